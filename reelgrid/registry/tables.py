@@ -32,8 +32,8 @@ VIEWS = {
         case when c.turn%3=2 then 12 else 0 end transition_frames,
         case c.turn%4 when 1 then 0 when 2 then 10 else -1 end audio_frames, c.turn%5<>4 own_audio
         from conversations c join all_ids a on a.rn=(c.conv_id*37+c.turn*11)%a.n""",
-    "grains": """select cast(user_id%2+1 as int) camera, event_id//3 house_index, cast(event_id%3 as int) phase,
-        event_id//3*20000000 tai_ns, event_type<>'error' present, event_id payload_id from events""",
+    "grains": """select cast(user_id%2+1 as int) camera, event_id//6 house_index, cast(event_id%3 as int) phase,
+        event_id//6*20000000 tai_ns, event_type<>'error' present, event_id payload_id from events""",
     "tally": """select epoch_us(ts)*1000 tai_ns, event_id, cast(event_id%2 as int) screen, cast(user_id%3 as int) display,
         case when event_type='error' then 1 else 0 end lh, case when event_type='view' then 2 else 0 end rh,
         case when event_type='purchase' then 1 else 0 end txt from events""",
@@ -154,9 +154,9 @@ class Tables:
     def grains(self) -> DataFrame:
         return self.events.selectExpr(
             "cast(user_id % 2 + 1 as int) camera",
-            "event_id div 3 house_index",
+            "event_id div 6 house_index",
             "cast(event_id % 3 as int) phase",
-            "event_id div 3 * 20000000 tai_ns",
+            "event_id div 6 * 20000000 tai_ns",
             "event_type <> 'error' present",
             "event_id payload_id",
         )
