@@ -90,20 +90,22 @@ def edge_gain(position, length) -> Column:
     return F.when((position < 0) | (position >= length), 0.0).otherwise(inside)
 
 
-def pick_source(position, period, factor, snap, motion) -> Column:
+def pick_source(position, period, factor_num, factor_den, snap, motion) -> Column:
     """Frames shown at a position: kind, numbers a and b, phase between them, and whether it snapped.
 
-    The source frame number and the rest are taken in whole nanoseconds of ``factor`` frames per ``period``, so the
-    phase keeps its precision at today's instants. ``factor`` is a whole number of source frames per house frame.
+    There are ``factor_num / factor_den`` source frames (at least one) per house ``period``. Frame number and rest are
+    taken in whole nanoseconds, so the phase keeps its precision at today's instants.
     """
-    position, period, motion = _c(position).cast("long"), _c(period).cast("long"), _c(motion)
-    factor = F.greatest(_c(factor).cast("long"), F.lit(1).cast("long"))
-    snap = _c(snap)
-    # position = houses·period + rest; rest·factor/period is the frame inside the house grain and its phase.
-    house = idiv(position, period)
-    rest = (position - house * period) * factor
-    lower = house * factor + idiv(rest, period)
-    phase = (rest % period).cast("double") / period.cast("double")
+    position, period, motion, snap = _c(position).cast("long"), _c(period).cast("long"), _c(motion), _c(snap)
+    num, den = _c(factor_num).cast("long"), _c(factor_den).cast("long")
+    one = F.lit(1).cast("long")
+    num, den = F.when(num < den, one).otherwise(num), F.when(num < den, one).otherwise(den)
+    # position = span·n + rest with span = period·den; rest·num/span is the frame in the span and its phase.
+    span = period * den
+    spans = idiv(position, span)
+    rest = (position - spans * span) * num
+    lower = spans * num + idiv(rest, span)
+    phase = (rest % span).cast("double") / span.cast("double")
     near = lower + F.when(phase >= 0.5, 1).otherwise(0)
     distance = F.least(phase, 1.0 - phase)
     snapped = distance <= snap
@@ -111,7 +113,7 @@ def pick_source(position, period, factor, snap, motion) -> Column:
     a = F.when(snapped | (repeat & (phase >= 0.5)), near).otherwise(lower)
     between = ~snapped & ~repeat
     kind = (
-        F.when(snapped & (factor == 1) & (distance < 1e-6), "exact")
+        F.when(snapped & (num == den) & (distance < 1e-6), "exact")
         .when(snapped | repeat, "repeat")
         .when(motion == "blend", "blend")
         .otherwise("interpolate")
@@ -123,3 +125,30 @@ def pick_source(position, period, factor, snap, motion) -> Column:
         F.when(between, phase).otherwise(0.0).alias("phase"),
         snapped.alias("snapped"),
     )
+
+
+def gain_ramp(samples, start, end) -> Column:
+    """A block of samples under a gain that goes linearly from ``start`` to ``end``."""
+    samples, start, end = _c(samples), _c(start), _c(end)
+    last = F.greatest(F.size(samples) - 1, F.lit(1)).cast("double")
+    return F.transform(samples, lambda x, i: x * (start + (end - start) * (i.cast("double") / last)))
+
+
+def tally_effective(lh, rh, text) -> Column:
+    """The colour a tally shows: its text's, else the right hand's, else the left hand's."""
+    zero = F.lit(0)
+    return F.coalesce(F.nullif(_c(text), zero), F.nullif(_c(rh), zero), _c(lh))
+
+
+def channel_label(live: Column, black: Column, playing: Column, shot: Column) -> Column:
+    return (
+        F.when(live, "live").when(black, "black").when(playing, "playing")
+        .when(shot.isin("cued", "ended"), shot).otherwise("paused")
+    )
+
+
+def progress(position, in_ns, out_ns) -> Column:
+    """How far a shot is, from 0 to 1."""
+    position, in_ns, out_ns = _c(position), _c(in_ns), _c(out_ns)
+    share = (position - in_ns).cast("double") / (out_ns - in_ns).cast("double")
+    return F.when(out_ns <= in_ns, 0.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)))

@@ -176,13 +176,13 @@ def _(t):
     "rate_convert",
     """with src as (select user_id file, event_id n, event_id*1000000+(event_id%7-3)*20000000 start_ns,
         (event_id%4+1)*10000000 duration_ns from events),
-    st as (select *, greatest(0, max(start_ns) over (partition by file order by n)) as at from src),
-    b as (select *, lag(at) over w pa, lead(at) over w na from st window w as (partition by file order by n)),
-    top as (select file, max(at+duration_ns)//20000000+3 m from b group by 1),
+    st as (select *, greatest(0, max(start_ns) over (partition by file order by n)) as s0 from src),
+    b as (select *, lag(s0) over w pa, lead(s0) over w na from st window w as (partition by file order by n)),
+    top as (select file, max(s0+duration_ns)//20000000+3 m from b group by 1),
     h as (select file, g, cast(g*cast(1000000000 as hugeint)*1001//60000 as bigint) t0, cast((g+1)*cast(1000000000 as hugeint)*1001//60000 as bigint) t1
         from top, lateral unnest(range(m*2)) r(g)),
     hit as (select b.file, b.n, h.g house_frame from b join h on h.file=b.file and
-        (b.pa is null or 2*h.t0>b.pa+b.at) and (case when b.na is null then h.t0+h.t1<=2*(b.at+b.duration_ns) else 2*h.t0<=b.at+b.na end))
+        (b.pa is null or 2*h.t0>b.pa+b.s0) and (case when b.na is null then h.t0+h.t1<=2*(b.s0+b.duration_ns) else 2*h.t0<=b.s0+b.na end))
     select file, n, house_frame from hit
     union all select b.file, b.n, 0 from b where b.na is null and not exists (select 1 from hit where hit.file=b.file)""",
 )

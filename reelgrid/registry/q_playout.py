@@ -1,0 +1,440 @@
+"""Speeds, positions, picks, demands, playlists, shots and transport."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reelgrid.functions import playout as pf
+from reelgrid.operators import timeline as tl
+from reelgrid.registry import query
+
+PERIOD = 20_000_000
+RAMP = 3
+
+# Speed of every grain: commands are followed one by one, each starting from the speed the one before had reached.
+SPEED = f"""numbered as (select *, row_number() over (partition by channel order by grain) n from ticks),
+    cmds as (select channel, grain, n, greatest(-1.0, least(2.0, target)) goal, row_number() over (partition by channel order by grain) c,
+        lead(n) over (partition by channel order by grain) upto from numbered where target is not null),
+    chain(channel, c, n, origin, goal, upto) as (
+        select channel, c, n, cast(1.0 as double), goal, upto from cmds where c=1
+        union all select k.channel, k.c, k.n, h.origin+(h.goal-h.origin)*(least(k.n-h.n, {RAMP})/{RAMP}.0), k.goal, k.upto
+        from chain h join cmds k on k.channel=h.channel and k.c=h.c+1),
+    speeds as (select t.channel, t.grain, t.n, coalesce(origin+(goal-origin)*(least(t.n-h.n+1, {RAMP})/{RAMP}.0), 1.0) speed
+        from numbered t asof left join chain h on h.channel=t.channel and t.n>=h.n)"""
+
+
+@query(
+    "speed_ramp",
+    f"with recursive {SPEED} select channel, grain, round(speed,6) speed from speeds",
+    "ticks",
+)
+def _(t):
+    return tl.speed_ramp(t.ticks, RAMP).select("channel", "grain", F.round("speed", 6).alias("speed"))
+
+
+@query(
+    "position_track",
+    f"""with recursive {SPEED} select channel, grain,
+        cast(1704067200000000000+sum(cast(round(round(speed,9)*{PERIOD}) as bigint)) over (partition by channel order by grain) as bigint) position_ns from speeds""",
+    "ticks",
+)
+def _(t):
+    speeds = tl.speed_ramp(t.ticks, RAMP).withColumn("speed", F.round("speed", 9))
+    return tl.position_track(speeds, PERIOD, 1_704_067_200_000_000_000).select("channel", "grain", "position_ns")
+
+
+PICK_INPUT = """select probe, at_ns+probe%20*1000000 position_ns, case when camera in (2,3) then 3 else 1 end factor,
+    case probe%3 when 0 then 'repeat' when 1 then 'blend' else 'interpolate' end motion from probes"""
+PICK = f"""i as ({PICK_INPUT}),
+    k as (select *, position_ns//{PERIOD} h, position_ns%{PERIOD}*factor r from i),
+    l as (select *, h*factor+r//{PERIOD} lower, (r%{PERIOD})/{PERIOD}.0 ph from k),
+    s as (select *, lower+case when ph>=0.5 then 1 else 0 end near, least(ph, 1-ph) dist from l),
+    pick as (select probe, position_ns, motion, case when dist<=0.1 and factor=1 and dist<1e-6 then 'exact' when dist<=0.1 or motion='repeat' then 'repeat' else motion end kind,
+        case when dist<=0.1 or (motion='repeat' and ph>=0.5) then near else lower end a,
+        case when dist<=0.1 or motion='repeat' then case when dist<=0.1 or ph>=0.5 then near else lower end else lower+1 end b,
+        case when dist<=0.1 or motion='repeat' then 0 else ph end phase, dist<=0.1 snapped from s)"""
+
+
+def picks(t):
+    given = t.probes.selectExpr(
+        "probe", "at_ns + probe % 20 * 1000000 position_ns", "case when camera in (2, 3) then 3 else 1 end factor",
+        "case probe % 3 when 0 then 'repeat' when 1 then 'blend' else 'interpolate' end motion",
+    )
+    pick = pf.pick_source("position_ns", PERIOD, "factor", 1, 0.1, "motion")
+    return given.withColumn("p", pick).select("probe", "position_ns", "motion", "p.*")
+
+
+@query(
+    "pick_source",
+    f"with {PICK} select probe, position_ns, kind, a, b, round(phase,6) phase, snapped from pick",
+    "probes",
+)
+def _(t):
+    return picks(t).select("probe", "position_ns", "kind", "a", "b", F.round("phase", 6).alias("phase"), "snapped")
+
+
+@query(
+    "motion_effective",
+    f"""with {PICK} select probe, case when probe%11=0 then 'mix' when kind in ('exact','repeat') then 'repeat'
+        when motion='interpolate' and probe%2=0 then 'interpolate' else 'blend' end shown from pick""",
+    "probes",
+)
+def _(t):
+    shown = tl.motion_effective(F.col("motion"), F.col("kind"), F.col("probe") % 2 == 0, F.col("probe") % 11 == 0)
+    return picks(t).select("probe", shown.alias("shown"))
+
+
+AUDIO_TICKS = f"""select channel, grain, tai_ns position_ns, kind='error' still, kind in ('error','signup') silent from commands"""
+# The fade counter and the held position are followed grain by grain.
+FADES = f"""a as ({AUDIO_TICKS}), m as (select *, row_number() over (partition by channel order by grain) i from a),
+    walk(channel, i, grain, position_ns, silent, fade, aft, audio_ns) as (
+        select channel, i, grain, position_ns, silent, 0, case when silent then 1 else 0 end, (position_ns+{PERIOD // 2})//{PERIOD}*{PERIOD} from m where i=1
+        union all select m.channel, m.i, m.grain, m.position_ns, m.silent, w.aft, case when m.silent then least(2, w.aft+1) else greatest(0, w.aft-1) end,
+            case when m.still and w.aft<2 then w.audio_ns+{PERIOD} else (m.position_ns+{PERIOD // 2})//{PERIOD}*{PERIOD} end
+        from walk w join m on m.channel=w.channel and m.i=w.i+1),
+    gains as (select *, case when silent then case when fade<2 then 1-fade/2.0 else 0 end when fade>0 then (2-fade)/2.0 else 1 end gain_from,
+        case when silent then case when fade<2 then 1-(fade+1)/2.0 else 0 end when fade>0 then (3-fade)/2.0 else 1 end gain_to from walk)"""
+
+
+def audio_ticks(t):
+    rows = t.commands.selectExpr(
+        "channel", "grain", "tai_ns position_ns", "kind = 'error' still", "kind in ('error', 'signup') silent"
+    )
+    return tl.audio_plan(rows, PERIOD)
+
+
+@query("audio_position", f"with recursive {FADES} select channel, grain, audio_ns from gains", "commands")
+def _(t):
+    return audio_ticks(t).select("channel", "grain", "audio_ns")
+
+
+@query(
+    "mute_fade",
+    f"""with recursive {FADES}, p as (select vec_id, sum(l*1.0) s0, sum(l*pos/63.0) s1 from samples group by 1)
+    select channel, grain, cast(gain_from as double) gain_from, cast(gain_to as double) gain_to,
+        round(s0*gain_from+s1*(gain_to-gain_from),6) faded from gains left join p on vec_id=grain""",
+    "commands samples",
+)
+def _(t):
+    plan = audio_ticks(t).select("channel", "grain", "gain_from", "gain_to")
+    blocks = t.base("embeddings").selectExpr("vec_id grain", "transform(embedding, e -> cast(e as double)) pcm")
+    total = F.aggregate(pf.gain_ramp("pcm", "gain_from", "gain_to"), F.lit(0.0), lambda a, v: a + v)
+    return plan.join(blocks, "grain", "left").select(
+        "channel", "grain", "gain_from", "gain_to", F.round(total, 6).alias("faded")
+    )
+
+
+STATES = """select probe as state, camera, at_ns+probe%20*1000000 position_ns, (probe%7-2)/4.0 speed, probe%5<>0 playing,
+    case probe%3 when 0 then 'repeat' when 1 then 'blend' else 'interpolate' end motion from probes"""
+AHEAD = f"""st as ({STATES}), g as (select st.*, r.g, greatest(0, position_ns+cast(round(speed*{PERIOD}) as bigint)*(r.g-case when playing then 0 else 1 end)) p
+    from st, range(1,9) r(g)), q as (select *, p//{PERIOD} lo, (p%{PERIOD})/{PERIOD}.0 ph from g)"""
+
+
+def states(t):
+    return t.probes.selectExpr(
+        "probe state", "camera", "at_ns + probe % 20 * 1000000 position_ns", "(probe % 7 - 2) / 4.0D speed", "probe % 5 <> 0 playing",
+        "case probe % 3 when 0 then 'repeat' when 1 then 'blend' else 'interpolate' end motion",
+    )
+
+
+@query(
+    "pair_demand",
+    f"""with {AHEAD} select state, lo a, lo+1 b, cast(min(g) as int) first, cast(max(case when not playing and g=1 then 8 else g end) as int) last
+        from q where least(ph,1-ph)>0.1 group by all""",
+    "probes",
+)
+def _(t):
+    return tl.pair_demand(states(t), PERIOD, 0.1)
+
+
+@query(
+    "frame_demand",
+    f"""with {AHEAD},
+    f as (select state, g, motion, case when least(ph,1-ph)<=0.1 then lo+case when ph>=0.5 then 1 else 0 end when motion='repeat' and ph>=0.5 then lo+1 else lo end a,
+        case when least(ph,1-ph)<=0.1 then lo+case when ph>=0.5 then 1 else 0 end when motion='repeat' then lo+case when ph>=0.5 then 1 else 0 end else lo+1 end b from q),
+    n as (select state, motion, position_ns//{PERIOD} lo, (position_ns%{PERIOD})/{PERIOD}.0 ph from st),
+    c as (select state, case when least(ph,1-ph)<=0.1 then lo+case when ph>=0.5 then 1 else 0 end when motion='repeat' and ph>=0.5 then lo+1 else lo end ca,
+        case when least(ph,1-ph)<=0.1 then lo+case when ph>=0.5 then 1 else 0 end when motion='repeat' then lo+case when ph>=0.5 then 1 else 0 end else lo+1 end cb from n),
+    w as (select state, a frame, g*2 o from f union all select state, b, g*2+1 from f),
+    d as (select w.state, frame, min(o) o from w join c using (state) where frame<>ca and frame<>cb group by all)
+    select state, frame, cast(row_number() over (partition by state order by o) as int) place from d
+    qualify row_number() over (partition by state order by o)<=8""",
+    "probes",
+)
+def _(t):
+    return tl.frame_demand(states(t), PERIOD, 0.1, 8)
+
+
+@query(
+    "grid_resync",
+    """with l as (select channel, tai_ns, grain//2 grain, grain//2-lag(grain//2) over (partition by channel order by tai_ns)-1 jump from commands)
+    select * from l where jump<>0""",
+    "commands",
+)
+def _(t):
+    return tl.grid_resyncs(t.commands.selectExpr("channel", "tai_ns", "grain div 2 grain"))
+
+
+@query(
+    "log_limit",
+    """with recursive e as (select channel, tai_ns from commands where kind='error'),
+    lines(channel, line_ns) as (select channel, min(tai_ns) from e group by 1
+        union all select l.channel, min(e.tai_ns) from lines l join e on e.channel=l.channel and e.tai_ns>=l.line_ns+3600000000000 group by 1),
+    p as (select channel, line_ns, lag(line_ns) over (partition by channel order by line_ns) prev from lines)
+    select p.channel, p.line_ns, case when any_value(prev) is null then 1 else count(e.tai_ns) end events from p
+        left join e on e.channel=p.channel and e.tai_ns>p.prev and e.tai_ns<=p.line_ns group by all""",
+    "commands",
+)
+def _(t):
+    return tl.log_limit(t.commands.filter("kind = 'error'").select("channel", "tai_ns"), ["channel"], 3_600_000_000_000)
+
+
+NEXT = """nx as (select *, min(case when present then position end) over (partition by playlist order by position rows between 1 following and unbounded following) later,
+    min(case when present then position end) over (partition by playlist) fst from listed)"""
+
+
+@query(
+    "end_action",
+    f"""with {NEXT}, w as (select *, loop and end_action in ('freeze','black') and later is null wraps from nx where present),
+    a as (select *, case when wraps then 'next' else end_action end as action from w)
+    select playlist, position, action, case when action='next' then coalesce(later, case when loop then fst end) end next_position,
+        action='next' and (auto_advance or wraps) plays_on from a""",
+    "listed",
+)
+def _(t):
+    return tl.end_action(t.listed)
+
+
+@query("idle_next", f"with {NEXT} select playlist, position, coalesce(later, fst) next_position from nx", "listed")
+def _(t):
+    return tl.idle_next(t.listed)
+
+
+@query(
+    "playlist_unroll",
+    f"""with recursive pr as (select *, lead(position) over (partition by playlist order by position) nxt from listed where present),
+    f as (select *, (loop and nxt is null and end_action in ('freeze','black')) or (end_action='next' and auto_advance and (nxt is not null or loop)) plays from pr),
+    s as (select *, coalesce(sum(case when plays then 0 else 1 end) over (partition by playlist order by position rows between unbounded preceding and 1 preceding),0) stops from f),
+    k as (select *, bool_and(plays) over (partition by playlist) endless from s where stops=0),
+    pl as (select k.*, p pass, case when transition='mix' then 12 else 0 end v, case when audio_frames>=0 then audio_frames when transition='mix' then 12 else 2 end au,
+        cast(ceil((out_ns-in_ns)/round(speed*{PERIOD})) as bigint) gr, cast(floor((out_ns-in_ns)/(speed*{PERIOD})) as bigint) fr from k, range(1,3) r(p) where p=1 or endless),
+    o as (select *, greatest(v,au) ln, row_number() over (partition by playlist order by pass, position) i from pl),
+    walk(playlist, pass, position, clip_id, i, start_grain, grains, overlap, free, plays, end_action) as (
+        select playlist, pass, position, clip_id, i, cast(0 as bigint), gr-1, cast(0 as bigint), gr-1, plays, end_action from o where i=1
+        union all select o.playlist, o.pass, o.position, o.clip_id, o.i,
+            w.start_grain+w.grains-case when ln=0 then 0 else least(ln, greatest(1, least(fr-2, w.free)), w.free) end, gr,
+            case when ln=0 then 0 else least(ln, greatest(1, least(fr-2, w.free)), w.free) end,
+            gr-greatest(1, case when ln=0 then 0 else least(ln, greatest(1, least(fr-2, w.free)), w.free) end), o.plays, o.end_action
+        from walk w join o on o.playlist=w.playlist and o.i=w.i+1)
+    select playlist, cast(pass as int) pass, position, clip_id, start_grain, grains, overlap,
+        case when plays then 'next' when end_action='next' then 'cued' else end_action end outcome from walk""",
+    "listed",
+)
+def _(t):
+    return tl.playlist_unroll(t.listed, PERIOD, 2)
+
+
+@query(
+    "clip_remaining",
+    """select id, in_ns+900*cast(1000000000 as bigint) position_ns, case when out_ns<=in_ns+900*cast(1000000000 as bigint) then 0
+        when speed-0.5>0 then cast(trunc((out_ns-in_ns-900*cast(1000000000 as bigint))/(speed-0.5)) as bigint) end left_ns from clips""",
+    "clips",
+)
+def _(t):
+    at = F.col("in_ns") + 900 * 1_000_000_000
+    return t.clips.select("id", at.alias("position_ns"), pf.clip_remaining(at, "out_ns", F.col("speed") - 0.5).alias("left_ns"))
+
+
+LENS = f"""ov as (select *, lag(auto_advance) over (partition by playlist order by position) pauto, lag(end_action) over (partition by playlist order by position) pend,
+    greatest(case when transition='mix' then 12 else 0 end, case when audio_frames>=0 then audio_frames when transition='mix' then 12 else 2 end)*{PERIOD} pn from listed)"""
+
+
+@query(
+    "playlist_remaining",
+    f"""with {LENS}, g as (select *, case when present then cast(trunc((out_ns-in_ns)/speed) as bigint) end len from ov),
+    c as (select *, case when present then len - case when pauto and pn>0 then least(pn, greatest({PERIOD}, len-2*{PERIOD})) else 0 end end gain from g),
+    st as (select i.playlist, i.position as pos, i.end_action e0, min(j.position) stop from c i left join c j on j.playlist=i.playlist and j.position>i.position and j.present and j.end_action<>'next' group by all),
+    tot as (select st.*, (select coalesce(sum(gain),0) from c where c.playlist=st.playlist and c.position>pos and (stop is null or c.position<=stop)) add_ns,
+        (select any_value(end_action) from c where c.playlist=st.playlist and c.position=stop) e1 from st)
+    select playlist, pos as position, case when e0='loop' then null when e0<>'next' then 1000 when e1='loop' then null else cast(1000+add_ns as bigint) end remaining_ns from tot""",
+    "listed",
+)
+def _(t):
+    return tl.playlist_remaining(t.listed.withColumn("left_ns", F.lit(1000).cast("long")), PERIOD)
+
+
+@query(
+    "playlist_duration",
+    f"""with {LENS} select playlist, round(coalesce(sum(case when present then (out_ns-in_ns)/speed -
+        case when pauto and pend='next' and pn>0 then least(cast(pn as double), greatest({PERIOD}.0, (out_ns-in_ns)/speed-2*{PERIOD})) else 0 end end),0),3) duration_ns
+    from ov group by 1""",
+    "listed",
+)
+def _(t):
+    return tl.playlist_duration(t.listed, PERIOD).withColumn("duration_ns", F.round("duration_ns", 3))
+
+
+@query(
+    "transition_plan",
+    """with p as (select playlist, position, transition, transition_frames, audio_frames, case when transition='mix' then
+        least(case when transition_frames>0 then transition_frames else 25 end, 250) else 0 end v from entries)
+    select playlist, position, v video, least(case when audio_frames>=0 then audio_frames when transition='mix' then v else 2 end, 250) audio,
+        greatest(v, least(case when audio_frames>=0 then audio_frames when transition='mix' then v else 2 end, 250)) length from p""",
+    "entries",
+)
+def _(t):
+    plan = pf.transition_frames("transition", "transition_frames", "audio_frames")
+    return t.entries.withColumn("p", plan).select("playlist", "position", "p.*")
+
+
+@query(
+    "transition_start",
+    f"""with a as (select *, case when transition='mix' then 12 else 0 end v, case when audio_frames>=0 then audio_frames when transition='mix' then 12 else 2 end au,
+        cast(floor((out_ns-in_ns)/(greatest(0.01,speed)*{PERIOD})) as bigint)-2 fits from listed where present),
+    b as (select *, lead(position) over w np, lead(v) over w nv, lead(au) over w na, lead(fits) over w nf, cast(ceil((out_ns-in_ns)/(speed*{PERIOD})) as bigint) gr
+        from a window w as (partition by playlist order by position)),
+    c as (select *, least(nv, greatest(1, least(nf, gr))) vf, least(na, greatest(1, least(nf, gr))) af from b where np is not null and end_action='next' and auto_advance)
+    select playlist, position, np next_position, vf video_frames, af audio_frames, gr-greatest(vf,af) start_grain,
+        in_ns+(gr-greatest(vf,af))*cast(round(speed*{PERIOD}) as bigint) start_ns from c where greatest(vf,af)>0""",
+    "listed",
+)
+def _(t):
+    return tl.transition_start(t.listed, PERIOD)
+
+
+@query(
+    "mix_weight",
+    """with k as (select event_id, event_id%40-5 k, event_id%27 n from events)
+    select event_id, round(case when n<=0 or k>=n then 1.0 when k<0 then 0.0 else (k+1)/(n+1) end,6) weight from k""",
+)
+def _(t):
+    weight = pf.mix_weight(F.col("event_id") % 40 - 5, F.col("event_id") % 27)
+    return t.events.select("event_id", F.round(weight, 6).alias("weight"))
+
+
+@query(
+    "shot_state",
+    """with c as (select channel, grain, 'clip-'||(user_id//40) shot from commands where kind='click'),
+    l as (select *, coalesce(shot<>lag(shot) over (partition by channel order by grain), true) nw from c),
+    i as (select *, sum(case when nw then 1 else 0 end) over (partition by channel order by grain) isl from l),
+    n as (select *, row_number() over (partition by channel, isl order by grain) k from i)
+    select channel, grain, shot, case when k=1 then 'cued' when k%2=0 then 'playing' else 'paused' end state from n""",
+    "commands",
+)
+def _(t):
+    clicks = t.commands.filter("kind = 'click'").selectExpr("channel", "grain", "concat('clip-', user_id div 40) shot")
+    return tl.shot_states(clicks)
+
+
+@query(
+    "tally_play",
+    """with recursive e as (select channel, grain, case when kind='click' then 'clip-'||(user_id//40) end shot, kind in ('error','purchase') red,
+        row_number() over (partition by channel order by grain) i from commands),
+    walk(channel, grain, i, shot, state, red, played) as (
+        select channel, grain, i, shot, case when shot is null then 'idle' else 'cued' end, shot is null and red, false from e where i=1
+        union all select e.channel, e.grain, e.i, coalesce(e.shot, w.shot),
+            case when e.shot is not null then case when e.shot is distinct from w.shot or w.state='idle' then 'cued' when w.state in ('cued','paused') then 'playing' else 'paused' end
+                when e.red and not w.red and w.state in ('cued','paused') then 'playing' else w.state end,
+            case when e.shot is not null then w.red else e.red end,
+            e.shot is null and e.red and not w.red and w.state in ('cued','paused')
+        from walk w join e on e.channel=w.channel and e.i=w.i+1)
+    select channel, grain, state, played from walk""",
+    "commands",
+)
+def _(t):
+    events = t.commands.selectExpr(
+        "channel", "grain", "case when kind = 'click' then concat('clip-', user_id div 40) end shot", "kind in ('error', 'purchase') red"
+    )
+    return tl.tally_plays(events, ["grain"])
+
+
+@query(
+    "tally_effective",
+    "select event_id, case when txt<>0 then txt when rh<>0 then rh else lh end colour from tally",
+    "tally",
+)
+def _(t):
+    return t.tally.select("event_id", pf.tally_effective("lh", "rh", "txt").alias("colour"))
+
+
+@query(
+    "idle_source",
+    """with k as (select channel, grain, tai_ns, cast(grain%4+1 as int) camera, case when kind not in ('error','signup') then grain end frame_id,
+        case channel when 1 then 'last' when 2 then 'black' else 'live' end idle from commands),
+    l as (select *, last_value(frame_id ignore nulls) over (partition by channel order by grain) lst from k),
+    b as (select l.*, f.tai_ns bt, f.event_id be from l asof left join frames f on f.camera=l.camera and l.tai_ns>=f.tai_ns),
+    n as (select b.*, f.tai_ns nt, f.event_id ne from b asof left join frames f on f.camera=b.camera and b.tai_ns<f.tai_ns),
+    s as (select channel, grain, frame_id, idle, coalesce(frame_id, case when idle='last' then lst when idle='live' then
+        case when bt is null or nt-tai_ns<tai_ns-bt then coalesce(ne,be) else be end end) shown_id from n)
+    select channel, grain, shown_id, case when frame_id is not null then 'frame' when shown_id is null then 'black' else idle end kind from s""",
+    "commands frames",
+)
+def _(t):
+    ticks = t.commands.selectExpr(
+        "channel", "grain", "tai_ns", "cast(grain % 4 + 1 as int) camera", "case when kind not in ('error', 'signup') then grain end frame_id",
+        "case channel when 1 then 'last' when 2 then 'black' else 'live' end idle",
+    )
+    return tl.idle_pictures(ticks, t.frames)
+
+
+@query(
+    "shot_progress",
+    """select probe, case when probe%9=0 then 'live' when probe%8=0 then 'black' when probe%2=0 then 'playing' when probe%3=0 then 'cued' else 'paused' end label,
+        round(least(1.0, greatest(0.0, (at_ns-c.in_ns)/(c.out_ns-c.in_ns))),6) progress from probes join clips c on c.id='clip-'||probe""",
+    "probes clips",
+)
+def _(t):
+    shots = t.probes.withColumn("id", F.concat(F.lit("clip-"), "probe")).join(t.clips.select("id", "in_ns", "out_ns"), "id")
+    label = pf.channel_label(
+        F.col("probe") % 9 == 0, F.col("probe") % 8 == 0, F.col("probe") % 2 == 0, F.when(F.col("probe") % 3 == 0, "cued").otherwise("paused")
+    )
+    return shots.select("probe", label.alias("label"), F.round(pf.progress("at_ns", "in_ns", "out_ns"), 6).alias("progress"))
+
+
+@query(
+    "keep_entry",
+    """with p as (select playlist||'/'||position channel, playlist, position+1 as position, clip_id from entries),
+    b as (select p.channel, arg_min(e.position, abs(e.position-p.position)*100+e.position) best from p join entries e on e.playlist=p.playlist and e.clip_id=p.clip_id
+        and e.position%3<>1 group by 1),
+    z as (select playlist, count(*) n from entries where position%3<>1 group by 1)
+    select p.channel, p.playlist, coalesce(best, least(p.position, coalesce(n,0)-1)) kept from p left join b using (channel) left join z using (playlist)""",
+    "entries",
+)
+def _(t):
+    playing = t.entries.selectExpr("concat(playlist, '/', position) channel", "playlist", "position + 1 position", "clip_id")
+    return tl.keep_entry(playing, t.entries.filter("position % 3 <> 1"))
+
+
+COMMANDS = """case kind when 'click' then 'play' when 'view' then case when value<20 then 'speed' when value<35 then 'scrub_frames' else 'angle' end
+    when 'error' then case when value<20 then 'pause' when value<40 then 'mark_in' else 'goto_in' end
+    when 'purchase' then case when value<20 then 'seek' when value<30 then 'mark_out' else 'goto_out' end
+    else case when value<5 then 'live' when value<10 then 'stop' else 'scrub_seconds' end end"""
+
+
+ARGUMENT = """case when kind = 'purchase' then cast(tai_ns - 1000000000 as double)
+    when kind = 'view' and value < 20 then round(value) / 10 - 1 else floor(value) end"""
+
+
+@query(
+    "transport_fold",
+    f"""with recursive e as (select channel, grain, tai_ns, {COMMANDS} cmd, {ARGUMENT} arg, row_number() over (partition by channel order by grain) i from commands),
+    walk(channel, i, grain, live, playing, pos, speed, mi, mo, cam) as (
+        select channel, cast(0 as bigint), min(grain), true, false, cast(0 as bigint), cast(1 as double), cast(null as bigint), cast(null as bigint), 1 from e group by 1
+        union all select channel, i, grain,
+            case when cmd='live' then true when cmd in ('play','pause','seek','scrub_frames','scrub_seconds') or (cmd='goto_in' and mi is not null) or (cmd='goto_out' and mo is not null) then false else live end,
+            case when cmd='play' then true when cmd in ('live','pause','stop','scrub_frames','scrub_seconds') or (cmd='goto_in' and mi is not null) or (cmd='goto_out' and mo is not null) then false else playing end,
+            case when cmd='seek' then cast(arg as bigint) when cmd='scrub_frames' then np+cast(arg as bigint)*{PERIOD} when cmd='scrub_seconds' then np+cast(arg as bigint)*1000000000
+                when cmd='goto_in' and mi is not null then mi when cmd='goto_out' and mo is not null then mo else np end,
+            case when cmd='speed' then greatest(-1.0, least(2.0, arg)) else speed end,
+            case when cmd='mark_in' then greatest(0, np) else mi end, case when cmd='mark_out' then greatest(0, np) else mo end,
+            case when cmd='angle' and arg between 1 and 4 then cast(arg as int) else cam end
+        from (select e.channel, e.i, e.grain, e.cmd, e.arg, w.live, w.playing, w.speed, w.mi, w.mo, w.cam,
+            case when w.live then e.tai_ns-{2 * PERIOD} when w.playing then w.pos+(e.grain-w.grain)*cast(round(w.speed*{PERIOD}) as bigint) else w.pos end np
+            from walk w join e on e.channel=w.channel and e.i=w.i+1))
+    select channel, grain, case when live then 'live' when playing then 'playing' else 'paused' end as mode, pos position_ns, speed, mi in_ns, mo out_ns, cam angle
+    from walk where i>0""",
+    "commands",
+)
+def _(t):
+    commands = t.commands.selectExpr("channel", "grain", "tai_ns", f"{COMMANDS} command", f"{ARGUMENT} argument")
+    return tl.transport_fold(commands, ["grain"], PERIOD, 2 * PERIOD, 4)

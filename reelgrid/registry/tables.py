@@ -51,7 +51,10 @@ VIEWS = {
         then round(value%300)/100-1.0 end target from commands""",
 }
 
-NEEDS = {"entries": ["all_ids"], "ticks": ["commands"]}
+# Entries with the clip they name and their list's loop flag.
+VIEWS["listed"] = """select e.*, cast(split_part(e.playlist,'-',2) as bigint)%3=0 loop, c.in_ns, c.out_ns, c.id is not null present
+    from entries e left join clips c on c.id=e.clip_id"""
+NEEDS = {"entries": ["all_ids"], "ticks": ["commands"], "listed": ["entries", "clips"]}
 
 
 def with_views(names: str, sql: str) -> str:
@@ -222,3 +225,13 @@ class Tables:
         return self.commands.selectExpr(
             "channel", "grain", "kind", "case when kind = 'click' then round(value % 300) / 100 - 1.0D end target"
         )
+
+    @cached_property
+    def listed(self) -> DataFrame:
+        """Entries with the clip they name and their list's loop flag."""
+        clips = self.clips.select(F.col("id").alias("clip_id"), "in_ns", "out_ns", F.lit(True).alias("present"))
+        return (
+            self.entries.join(clips, "clip_id", "left")
+            .fillna({"present": False})
+            .withColumn("loop", F.expr("cast(split(playlist, '-')[1] as bigint) % 3 = 0"))
+        )
