@@ -211,7 +211,7 @@ def create_clips(requests: DataFrame, cameras: DataFrame, first_serial: int | Co
         requests.withColumn("error", error)
         .withColumn("_cams", listed)
         .withColumn("_angles", F.when(F.col("error").isNotNull(), F.array().cast("array<struct<camera:int,label:string,colour:string>>"))
-                    .when("all_angles", F.col("_cams")).otherwise(alone))
+                    .when(F.col("all_angles"), F.col("_cams")).otherwise(alone))
         .withColumn("_made", F.size("_angles").cast("long"))
     )
     from reelgrid.plans.ordered import over_timeline, running_sum

@@ -431,8 +431,8 @@ def transport_fold(commands: DataFrame, order: list[str], period_ns: int, delay_
     """State of each channel after each command: mode, position, speed, marks and angle.
 
     Between two commands a playing channel moves by its speed each grain and a live one follows the output time. A
-    command has a ``grain``, its output time ``tai_ns``, a name and an argument; unknown names and arguments out of
-    range change nothing.
+    command has a ``grain``, its output time ``tai_ns``, a name, an argument and for a seek ``to_ns`` (never null);
+    unknown names and arguments out of range change nothing.
     """
 
     def step(state: str | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, str]:
@@ -440,8 +440,8 @@ def transport_fold(commands: DataFrame, order: list[str], period_ns: int, delay_
             "grain": None, "live": True, "playing": False, "pos": 0, "speed": 1.0, "in": None, "out": None, "camera": 1,
         }
         out = {k: [] for k in ("mode", "position_ns", "speed", "in_ns", "out_ns", "angle")}
-        columns = (rows[c].tolist() for c in ("grain", "tai_ns", "command", "argument"))
-        for grain, tai, command, argument in zip(*columns, strict=True):
+        columns = (rows[c].tolist() for c in ("grain", "tai_ns", "command", "argument", "to_ns"))
+        for grain, tai, command, argument, to_ns in zip(*columns, strict=True):
             if s["live"]:
                 s["pos"] = tai - delay_ns
             elif s["playing"] and s["grain"] is not None:
@@ -456,7 +456,7 @@ def transport_fold(commands: DataFrame, order: list[str], period_ns: int, delay_
             elif command == "stop":
                 s["playing"] = False
             elif command == "seek":
-                s["live"], s["pos"] = False, int(argument)
+                s["live"], s["pos"] = False, to_ns
             elif command in ("scrub_frames", "scrub_seconds"):
                 s["live"], s["playing"] = False, False
                 s["pos"] += int(argument) * (period_ns if command == "scrub_frames" else 1_000_000_000)
@@ -472,12 +472,13 @@ def transport_fold(commands: DataFrame, order: list[str], period_ns: int, delay_
             found = (mode, s["pos"], s["speed"], s["in"], s["out"], s["camera"])
             for name, value in zip(out, found, strict=True):
                 out[name].append(value)
-        found = pd.DataFrame(out)
-        return found.astype({"in_ns": "Int64", "out_ns": "Int64"}), json.dumps(s)
+        # Nullable integers: a float column would round today's instants.
+        found = {k: pd.array(v, dtype="Int64") if k in ("in_ns", "out_ns") else v for k, v in out.items()}
+        return pd.DataFrame(found), json.dumps(s)
 
     fields = [
         StructField("mode", StringType()), StructField("position_ns", LongType()), StructField("speed", DoubleType()),
         StructField("in_ns", LongType()), StructField("out_ns", LongType()), StructField("angle", IntegerType()),
     ]
-    rows = commands.select("channel", *dict.fromkeys([*order, "grain", "tai_ns"]), "command", "argument")
+    rows = commands.select("channel", *dict.fromkeys([*order, "grain", "tai_ns"]), "command", "argument", "to_ns")
     return fold_timeline(rows, ["channel"], order, step, fields)

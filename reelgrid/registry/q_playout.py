@@ -411,8 +411,7 @@ COMMANDS = """case kind when 'click' then 'play' when 'view' then case when valu
     else case when value<5 then 'live' when value<10 then 'stop' else 'scrub_seconds' end end"""
 
 
-ARGUMENT = """case when kind = 'purchase' then cast(tai_ns - 1000000000 as double)
-    when kind = 'view' and value < 20 then round(value) / 10 - 1 else floor(value) end"""
+ARGUMENT = "case when kind = 'view' and value < 20 then round(value) / 10 - 1 else cast(floor(value) as double) end"
 
 
 @query(
@@ -423,12 +422,12 @@ ARGUMENT = """case when kind = 'purchase' then cast(tai_ns - 1000000000 as doubl
         union all select channel, i, grain,
             case when cmd='live' then true when cmd in ('play','pause','seek','scrub_frames','scrub_seconds') or (cmd='goto_in' and mi is not null) or (cmd='goto_out' and mo is not null) then false else live end,
             case when cmd='play' then true when cmd in ('live','pause','stop','scrub_frames','scrub_seconds') or (cmd='goto_in' and mi is not null) or (cmd='goto_out' and mo is not null) then false else playing end,
-            case when cmd='seek' then cast(arg as bigint) when cmd='scrub_frames' then np+cast(arg as bigint)*{PERIOD} when cmd='scrub_seconds' then np+cast(arg as bigint)*1000000000
+            case when cmd='seek' then tai-1000000000 when cmd='scrub_frames' then np+cast(arg as bigint)*{PERIOD} when cmd='scrub_seconds' then np+cast(arg as bigint)*1000000000
                 when cmd='goto_in' and mi is not null then mi when cmd='goto_out' and mo is not null then mo else np end,
             case when cmd='speed' then greatest(-1.0, least(2.0, arg)) else speed end,
             case when cmd='mark_in' then greatest(0, np) else mi end, case when cmd='mark_out' then greatest(0, np) else mo end,
             case when cmd='angle' and arg between 1 and 4 then cast(arg as int) else cam end
-        from (select e.channel, e.i, e.grain, e.cmd, e.arg, w.live, w.playing, w.speed, w.mi, w.mo, w.cam,
+        from (select e.channel, e.i, e.grain, e.cmd, e.arg, e.tai_ns tai, w.live, w.playing, w.speed, w.mi, w.mo, w.cam,
             case when w.live then e.tai_ns-{2 * PERIOD} when w.playing then w.pos+(e.grain-w.grain)*cast(round(w.speed*{PERIOD}) as bigint) else w.pos end np
             from walk w join e on e.channel=w.channel and e.i=w.i+1))
     select channel, grain, case when live then 'live' when playing then 'playing' else 'paused' end as mode, pos position_ns, speed, mi in_ns, mo out_ns, cam angle
@@ -436,5 +435,5 @@ ARGUMENT = """case when kind = 'purchase' then cast(tai_ns - 1000000000 as doubl
     "commands",
 )
 def _(t):
-    commands = t.commands.selectExpr("channel", "grain", "tai_ns", f"{COMMANDS} command", f"{ARGUMENT} argument")
+    commands = t.commands.selectExpr("channel", "grain", "tai_ns", f"{COMMANDS} command", f"{ARGUMENT} argument", "tai_ns - 1000000000 to_ns")
     return tl.transport_fold(commands, ["grain"], PERIOD, 2 * PERIOD, 4)
