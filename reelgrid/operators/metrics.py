@@ -79,7 +79,7 @@ def rate(samples: DataFrame, key: str, window: str, slide: str, seconds: float)
 def ahead_ratio(asked: DataFrame) -> DataFrame:
     """Hits, late and missed frames of each channel's look-ahead; waits count only for planned frames."""
     waited = F.when(F.col("planned"), F.col("waited"))
-    counts = asked.groupBy("channel").pivot("result", ["hit", "late", "miss"]).agg(F.count("*")).fillna(0)
+    counts = asked.groupBy("channel").pivot("result", ["hit", "late", "miss"]).agg(F.count(F.lit(1))).fillna(0)
     waits = asked.groupBy("channel").agg(F.count(waited).alias("waits"), F.coalesce(F.sum(waited), F.lit(0.0)).alias("waited"))
     return counts.join(waits, "channel")
 

@@ -368,20 +368,21 @@ def shot_states(clicks: DataFrame, play_first: bool = False) -> DataFrame:
     return started.select(*clicks.columns, state.alias("state"))
 
 
-def tally_plays(events: DataFrame, order: list[str], armed: bool = True) -> DataFrame:
-    """Shots started by a tally: the rising edge of red plays a cued or paused shot, a red that stays on does not.
+# What a click does to a shot in each state.
+CLICKED = {"idle": "cued", "ended": "cued", "cued": "playing", "paused": "playing", "playing": "paused"}
+TALLY_FIELDS = [StructField("state", StringType()), StructField("played", BooleanType())]
 
-    ``events`` merges clicks (``shot``) and tallies (``red``) per channel; a state is folded over them.
-    """
+
+def tally_step(armed: bool = True):
+    """Step of :func:`tally_plays`, also used on streams; the state is (shot, its state, red before)."""
 
     def step(state: str | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, str]:
         shot, mode, was = json.loads(state) if state else (None, "idle", False)
         played, modes = np.zeros(len(rows), bool), []
         for i, (click, red) in enumerate(zip(rows["shot"].tolist(), rows["red"].tolist(), strict=True)):
             if isinstance(click, str):
-                mode = "idle" if click != shot else mode
+                mode = CLICKED[mode if click == shot else "idle"]
                 shot = click
-                mode = {"idle": "cued", "ended": "cued", "cued": "playing", "paused": "playing", "playing": "paused"}[mode]
             else:
                 red = bool(red)
                 if red and not was and armed and mode in ("cued", "paused"):
@@ -390,8 +391,16 @@ def tally_plays(events: DataFrame, order: list[str], armed: bool = True) -> Data
             modes.append(mode)
         return pd.DataFrame({"state": modes, "played": played}), json.dumps([shot, mode, was])
 
-    fields = [StructField("state", StringType()), StructField("played", BooleanType())]
-    return fold_timeline(events.select("channel", *order, "shot", "red"), ["channel"], order, step, fields)
+    return step
+
+
+def tally_plays(events: DataFrame, order: list[str], armed: bool = True) -> DataFrame:
+    """Shots started by a tally: the rising edge of red plays a cued or paused shot, a red that stays on does not.
+
+    ``events`` merges clicks (``shot``) and tallies (``red``) per channel; a state is folded over them.
+    """
+    narrow = events.select("channel", *order, "shot", "red")
+    return fold_timeline(narrow, ["channel"], order, tally_step(armed), TALLY_FIELDS)
 
 
 def idle_pictures(ticks: DataFrame, frames: DataFrame) -> DataFrame:
@@ -427,13 +436,14 @@ def keep_entry(playing: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
-def transport_fold(commands: DataFrame, order: list[str], period_ns: int, delay_ns: int, cameras: int) -> DataFrame:
-    """State of each channel after each command: mode, position, speed, marks and angle.
+TRANSPORT_FIELDS = [
+    StructField("mode", StringType()), StructField("position_ns", LongType()), StructField("speed", DoubleType()),
+    StructField("in_ns", LongType()), StructField("out_ns", LongType()), StructField("angle", IntegerType()),
+]
 
-    Between two commands a playing channel moves by its speed each grain and a live one follows the output time. A
-    command has a ``grain``, its output time ``tai_ns``, a name, an argument and for a seek ``to_ns`` (never null);
-    unknown names and arguments out of range change nothing.
-    """
+
+def transport_step(period_ns: int, delay_ns: int, cameras: int):
+    """Step of :func:`transport_fold`, also used on streams."""
 
     def step(state: str | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, str]:
         s = json.loads(state) if state else {
@@ -476,9 +486,15 @@ def transport_fold(commands: DataFrame, order: list[str], period_ns: int, delay_
         found = {k: pd.array(v, dtype="Int64") if k in ("in_ns", "out_ns") else v for k, v in out.items()}
         return pd.DataFrame(found), json.dumps(s)
 
-    fields = [
-        StructField("mode", StringType()), StructField("position_ns", LongType()), StructField("speed", DoubleType()),
-        StructField("in_ns", LongType()), StructField("out_ns", LongType()), StructField("angle", IntegerType()),
-    ]
+    return step
+
+
+def transport_fold(commands: DataFrame, order: list[str], period_ns: int, delay_ns: int, cameras: int) -> DataFrame:
+    """State of each channel after each command: mode, position, speed, marks and angle.
+
+    Between two commands a playing channel moves by its speed each grain and a live one follows the output time. A
+    command has a ``grain``, its output time ``tai_ns``, a name, an argument and for a seek ``to_ns`` (never null);
+    unknown names and arguments out of range change nothing.
+    """
     rows = commands.select("channel", *dict.fromkeys([*order, "grain", "tai_ns"]), "command", "argument", "to_ns")
-    return fold_timeline(rows, ["channel"], order, step, fields)
+    return fold_timeline(rows, ["channel"], order, transport_step(period_ns, delay_ns, cameras), TRANSPORT_FIELDS)

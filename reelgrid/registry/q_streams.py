@@ -1,0 +1,168 @@
+"""Streaming forms, run over the supplied events as a file stream until they are used up."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reelgrid.registry import ORACLES, query
+from reelgrid.registry.q_ingest import HOUR, INPUT
+from reelgrid.registry.q_playout import ARGUMENT, COMMANDS
+from reelgrid.registry.q_sources import fresh_folder
+from reelgrid.registry.tables import Tables
+from reelgrid.streaming import jobs, state
+
+
+# The watermark at the end of the events: what is still open beyond it is not written.
+LAST = "(select max(tai_ns) from frames)"
+
+
+class Streamed(Tables):
+    """The same views over the events as a stream."""
+
+    def base(self, name):
+        static = super().base(name)
+        return jobs.files(self.spark, f"{self.folder}/{name}.parque[t]", static.schema)
+
+
+def run(t, build, mode="append"):
+    live = Streamed(t.spark, t.folder)
+    return jobs.run_to_table(build(live), fresh_folder(t.spark, "stream"), mode)
+
+
+@query(
+    "ordered_append_stream",
+    """select camera, arrival, event_id, coalesce(tai_ns>max(tai_ns) over (partition by camera order by arrival, event_id rows between unbounded preceding and 1 preceding), true) accepted from frames""",
+    "frames",
+)
+def _(t):
+    return run(t, lambda s: jobs.ordered_append_stream(s.frames.select("camera", "arrival", "event_id", "tai_ns"), ["arrival", "event_id"]))
+
+
+@query(
+    "log_limit_stream",
+    """with recursive e as (select channel, tai_ns from commands where kind='error'),
+    lines(channel, line_ns) as (select channel, min(tai_ns) from e group by 1
+        union all select l.channel, min(e.tai_ns) from lines l join e on e.channel=l.channel and e.tai_ns>=l.line_ns+3600000000000 group by 1),
+    p as (select channel, line_ns, lag(line_ns) over (partition by channel order by line_ns) prev from lines)
+    select p.channel, p.line_ns tai_ns, case when any_value(prev) is null then 1 else count(e.tai_ns) end events from p
+        left join e on e.channel=p.channel and e.tai_ns>p.prev and e.tai_ns<=p.line_ns group by all""",
+    "commands",
+)
+def _(t):
+    return run(t, lambda s: jobs.log_limit_stream(s.commands.filter("kind = 'error'").select("channel", "tai_ns"), "channel", HOUR))
+
+
+@query("tally_play_stream")
+def _(t):
+    def build(s):
+        events = s.commands.selectExpr(
+            "channel", "grain", "case when kind = 'click' then concat('clip-', user_id div 40) end shot", "kind in ('error', 'purchase') red"
+        )
+        return jobs.tally_play_stream(events, ["grain"])
+
+    return run(t, build)
+
+
+@query("transport_stream")
+def _(t):
+    def build(s):
+        commands = s.commands.selectExpr("channel", "grain", "tai_ns", f"{COMMANDS} command", f"{ARGUMENT} argument", "tai_ns - 1000000000 to_ns")
+        return jobs.transport_stream(commands, ["grain"], 20_000_000, 40_000_000, 4)
+
+    return run(t, build)
+
+
+@query(
+    "input_stall_stream",
+    f"""with e as (select f.camera, f.tai_ns, {INPUT} ev from frames f join events using (event_id)),
+    s as (select *, first_value(case when ev='recorded' then tai_ns end ignore nulls) over w nx,
+        first_value(case when ev='skipped' then tai_ns end ignore nulls) over w sk,
+        first_value(case when ev='closed' then tai_ns end ignore nulls) over w cl from e
+        window w as (partition by camera order by tai_ns rows between 1 following and unbounded following)),
+    g as (select s.* from s where ev='recorded' and coalesce(nx, {LAST}-600000000000)>=tai_ns+{HOUR})
+    select camera, tai_ns+{HOUR} tai_ns, 'stopped' change, case when cl<=tai_ns+{HOUR} then 'flow_missing' when sk<=tai_ns+{HOUR}
+        then 'invalid_grains' else 'no_grains' end reason, cast(null as bigint) gap_ns from g
+    union all select camera, nx, 'resumed', null, nx-tai_ns from g where nx is not null""",
+    "frames",
+)
+def _(t):
+    def build(s):
+        events = s.events.selectExpr(
+            "cast(user_id % 4 + 1 as int) camera", "unix_micros(cast(ts as timestamp)) * 1000 tai_ns", f"{INPUT} event"
+        )
+        return state.stall_stream(jobs.event_time(events, "10 minutes"), HOUR)
+
+    return run(t, build)
+
+
+@query(
+    "rate_stream",
+    """with w as (select camera, (tai_ns//1000//900000000-k)*900000000 start_us, payload_bytes b from frames, range(4) r(k))
+    select camera, start_us, count(*) frames, cast(sum(b) as bigint) bytes from w where start_us+3600000000<=(select max(tai_ns)//1000-600000000 from frames) group by all""",
+    "frames",
+)
+def _(t):
+    return run(
+        t, lambda s: jobs.rate_stream(jobs.event_time(s.frames, "10 minutes"), "1 hour", "15 minutes", F.col("payload_bytes"))
+    )
+
+
+@query(
+    "connected_stream",
+    f"""with l as (select camera, tai_ns//1000 us, coalesce(tai_ns//1000-lag(tai_ns//1000) over (partition by camera order by tai_ns)>=1800000000, true) nw from frames),
+    i as (select *, sum(case when nw then 1 else 0 end) over (partition by camera order by us) s from l)
+    select camera, min(us) start_us, count(*) frames from i group by camera, s having max(us)+1800000000<={LAST}//1000-600000000""",
+    "frames",
+)
+def _(t):
+    return run(t, lambda s: jobs.connected_stream(jobs.event_time(s.frames.select("camera", "tai_ns"), "10 minutes"), "30 minutes"))
+
+
+@query(
+    "unsupported_stream",
+    "select distinct camera, 'flow-'||(payload_id%2) flow, 'interlaced' reason from frames where payload_id%10<4",
+    "frames",
+)
+def _(t):
+    def build(s):
+        checks = s.frames.selectExpr(
+            "camera", "tai_ns", "concat('flow-', payload_id % 2) flow", "case when payload_id % 10 < 4 then 'interlaced' end reason"
+        ).filter("reason is not null")
+        return jobs.unsupported_stream(jobs.event_time(checks, "1 hour")).select("camera", "flow", "reason")
+
+    return run(t, build)
+
+
+@query(
+    "phase_stream",
+    """with w as (select camera, house_index, phase, tai_ns, arg_max(present, payload_id) present from grains group by all)
+    select camera, house_index, bool_or(present) filter (phase=0) present_0, bool_or(present) filter (phase=1) present_1, bool_or(present) filter (phase=2) present_2
+    from w where (tai_ns//1000000000+1)*1000000000<=(select max(tai_ns)-1000000000 from grains) group by all""",
+    "grains",
+)
+def _(t):
+    return run(
+        t, lambda s: jobs.phase_stream(jobs.event_time(s.grains, "1 second"), 3, 20_000_000, "payload_id", "1 second")
+    )
+
+
+@query(
+    "snapshot_stream",
+    "select camera, min(tai_ns) oldest_ns, max(tai_ns) newest_ns, count(*) frames from frames group by 1",
+    "frames",
+)
+def _(t):
+    from reelgrid.sources.frames import frame_bounds
+
+    folder = fresh_folder(t.spark, "snapshot")
+    sink = jobs.snapshot_sink(Streamed(t.spark, t.folder).frames, folder, frame_bounds, every=None)
+    sink.awaitTermination()
+    # A snapshot per micro-batch; together they give the bounds of everything read.
+    return t.spark.read.parquet(folder).groupBy("camera").agg(
+        F.min("oldest_ns").alias("oldest_ns"), F.max("newest_ns").alias("newest_ns"), F.sum("frames").alias("frames")
+    )
+
+
+# The streams give what the batch operators give.
+for _name, _batch in (("tally_play_stream", "tally_play"), ("transport_stream", "transport_fold")):
+    ORACLES[_name] = ORACLES[_batch]

@@ -1,0 +1,40 @@
+"""Schemas of the stored tables."""
+
+from __future__ import annotations
+
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    BooleanType,
+    DoubleType,
+    FloatType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
+
+
+def table(**fields) -> StructType:
+    return StructType([StructField(n, t() if isinstance(t, type) else t) for n, t in fields.items()])
+
+
+# Instants are TAI nanoseconds in a BIGINT; a TIMESTAMP would round them.
+FRAMES = table(
+    camera=IntegerType, tai_ns=LongType, payload=BinaryType, payload_bytes=IntegerType, audio=ArrayType(FloatType()), seq=LongType
+)
+RANGES = table(camera=IntegerType, begin_ns=LongType, end_ns=LongType, owner=StringType)
+CLIPS = table(
+    id=StringType, name=StringType, camera=IntegerType, in_ns=LongType, out_ns=LongType, speed=DoubleType, motion=StringType,
+    audio=StringType, colour=StringType, tags=StringType, end_action=StringType, group_id=StringType, library=BooleanType,
+)
+ENTRIES = table(
+    playlist=StringType, position=LongType, clip_id=StringType, speed=DoubleType, end_action=StringType,
+    auto_advance=BooleanType, transition=StringType, transition_frames=IntegerType, audio_frames=IntegerType, own_audio=BooleanType,
+)
+AUDIO_ITEMS = table(id=StringType, name=StringType, samples=LongType, created_ns=LongType)
+TALLY = table(
+    connection=StringType, seq=LongType, screen=IntegerType, display=IntegerType, lh=IntegerType, rh=IntegerType, txt=IntegerType,
+    brightness=IntegerType, label=StringType, error=StringType,
+)
