@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import json
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
@@ -13,7 +11,7 @@ from pyspark.sql.types import LongType, StructField
 from reelgrid.functions.timebase import idiv, samples_until
 from reelgrid.operators.catalog import latest
 from reelgrid.plans.asof import nearest
-from reelgrid.plans.fold import fold_timeline
+from reelgrid.plans.fold import Rows, fold_timeline
 from reelgrid.plans.ordered import (
     following_row,
     last_value,
@@ -134,7 +132,7 @@ def audio_stalls(frames: DataFrame, limit: int) -> DataFrame:
     cut = spread(frames.select("camera", "tai_ns", "audio_ok"), ["camera"], ["tai_ns"])
     numbered = running(cut, ["camera"], ["tai_ns"], _n=running_count())
     heard = running(
-        numbered, ["camera"], ["tai_ns"], _heard=last_value(F.when(F.col("audio_ok"), F.col("_n")), before=True)
+        numbered, ["camera"], ["tai_ns"], again=True, _heard=last_value(F.when(F.col("audio_ok"), F.col("_n")), before=True)
     )
     missed = F.col("_n") - 1 - F.coalesce("_heard", F.lit(0))
     change = F.when(F.col("audio_ok") & (missed >= limit), "resumed").when(
@@ -207,19 +205,20 @@ def source_clock(frames: DataFrame, fallback_ns: int) -> DataFrame:
     before it; an unknown duration (0) is the step from the frame before, else the stream's frame period.
     """
 
-    def step(state: str | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, str]:
+    def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
         last, length = json.loads(state) if state else (None, 0)
-        starts, lengths = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
-        given = zip(rows["start_ns"].tolist(), rows["duration_ns"].tolist(), strict=True)
-        for i, (at, duration) in enumerate(given):
+        starts, lengths = [], []
+        for at, duration in zip(rows["start_ns"], rows["duration_ns"], strict=True):
             if last is None:
                 at, step_ns = max(at, 0), 0
             else:
                 at = max(last + length if at < 0 else at, last)
                 step_ns = at - last
             length = duration if duration > 0 else step_ns or fallback_ns
-            starts[i], lengths[i], last = at, length, at
-        return pd.DataFrame({"at_ns": starts, "length_ns": lengths}), json.dumps([last, length])
+            starts.append(at)
+            lengths.append(length)
+            last = at
+        return {"at_ns": starts, "length_ns": lengths}, json.dumps([last, length])
 
     narrow = frames.select("file", "n", "start_ns", "duration_ns")
     fields = [StructField("at_ns", LongType()), StructField("length_ns", LongType())]
@@ -235,7 +234,7 @@ def rate_convert(frames: DataFrame, num: int, den: int) -> DataFrame:
     second = 1_000_000_000 * den
     cut = spread(frames, ["file"], ["n"])
     risen = running(cut, ["file"], ["n"], at=running_max("start_ns"))
-    both = running(risen, ["file"], ["n"], _before=previous_row("at"), _after=following_row("at"))
+    both = running(risen, ["file"], ["n"], again=True, _before=previous_row("at"), _after=following_row("at"))
     at, house = F.col("at"), lambda n: idiv(n * second, num)
 
     def shown_until(sum_of_starts: Column) -> Column:

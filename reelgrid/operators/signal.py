@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import json
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField
+from pyspark.sql.types import BooleanType, DoubleType, StructField
 
 from reelgrid.functions.identity import db_to_gain
 from reelgrid.functions.playout import blend_sample, crossfade_gains, edge_gain, end_fade
 from reelgrid.functions.timebase import idiv, samples_until, stretch_length
-from reelgrid.plans.fold import fold_timeline
+from reelgrid.plans.fold import Rows, fold_timeline
 from reelgrid.plans.ordered import last_value, previous_row, running, running_count, spread
 
 # The window and the two constants of the structural similarity, and a peak for equal pictures.
@@ -123,19 +121,20 @@ def duck_ramp(samples: DataFrame, key: str, depth_db: float, attack: float, rele
     cut = spread(samples, [key], ["n"])
     seen = running(cut, [key], ["n"], _i=running_count(), _was=previous_row("ducked"))
     new = F.coalesce(F.col("_was.ducked") != F.col("ducked"), F.lit(True))
-    runs = running(seen, [key], ["n"], _start=last_value(F.when(new, F.col("_i"))))
+    runs = running(seen, [key], ["n"], again=True, _start=last_value(F.when(new, F.col("_i"))))
     starts = seen.filter(new).select(key, "_i", "ducked")
 
     def line(db: float, ducked: bool, k: int) -> float:
         return max(depth, db - down * k) if ducked else min(0.0, db + up * k)
 
-    def step(state: str | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, str]:
+    def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
         db, ducked, since = json.loads(state) if state else (0.0, False, 1)
-        found = np.empty(len(rows))
-        for i, (at, flag) in enumerate(zip(rows["_i"].tolist(), rows["ducked"].tolist(), strict=True)):
-            found[i] = db = line(db, ducked, at - since)
-            ducked, since = bool(flag), at
-        return pd.DataFrame({"_db": found}), json.dumps([db, ducked, since])
+        found = []
+        for at, flag in zip(rows["_i"], rows["ducked"], strict=True):
+            db = line(db, ducked, at - since)
+            ducked, since = flag, at
+            found.append(db)
+        return {"_db": found}, json.dumps([db, ducked, since])
 
     begun = fold_timeline(starts, [key], ["_i"], step, [StructField("_db", DoubleType())]).withColumnRenamed("_i", "_start")
     k = F.col("_i") - F.col("_start") + 1
@@ -175,22 +174,21 @@ def aux_mix(
     """Mix a bed under each channel's samples.
 
     ``samples``: channel, n, pcm, wanted, ducked, restart, remaining_ns (null when the list does not end). The bed's
-    own position, its fade in and out over two grains and its ducking depend on the samples before, so those three are
-    folded; every gain is then an expression, and the bed's sample is found by its position in ``source``
+    fade in and out over two grains and its ducking are folded; its position is the number of samples it has sounded
+    since it started. Every gain is then an expression, and the bed's sample is found by its position in ``source``
     (position, bed).
     """
     depth = min(0.0, duck_db)
     run_step = 1.0 / (2.0 * grain)
 
-    def step(state: str | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, str]:
-        at, run, db = json.loads(state) if state else (0, 0, 0.0)
-        places, runs, dbs = np.empty(len(rows), np.int64), np.empty(len(rows)), np.empty(len(rows))
-        flags = (rows[c].tolist() for c in ("wanted", "ducked", "restart"))
-        for i, (wanted, ducked, restart) in enumerate(zip(*flags, strict=True)):
+    def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
+        run, db = json.loads(state) if state else (0, 0.0)
+        found: Rows = {"_on": [], "_run": [], "_db": []}
+        for wanted, ducked, restart in zip(rows["wanted"], rows["ducked"], rows["restart"], strict=True):
             if restart:
-                at, run, db = 0, 0, 0.0
-            places[i] = -1
-            if wanted or run > 0:
+                run, db = 0, 0.0
+            sounds = wanted or run > 0
+            if sounds:
                 # The fade is counted in whole steps, so it ends exactly.
                 run = min(2 * grain, run + 1) if wanted else max(0, run - 1)
                 goal = depth if ducked else 0.0
@@ -198,16 +196,21 @@ def aux_mix(
                 rate = attack if db > goal else release
                 moved = span / rate if rate >= 1 else span
                 db = max(goal, db - moved) if db > goal else min(goal, db + moved)
-                if at >= length and loop and length > 0:
-                    at = 0
-                if at < length:
-                    places[i], at = at, at + 1
-            runs[i], dbs[i] = run * run_step, db
-        return pd.DataFrame({"position": places, "_run": runs, "_db": dbs}), json.dumps([at, run, db])
-
-    fields = [StructField("position", LongType()), StructField("_run", DoubleType()), StructField("_db", DoubleType())]
+            for name, value in (("_on", sounds), ("_run", run * run_step), ("_db", db)):
+                found[name].append(value)
+        return found, json.dumps([run, db])
+
+    fields = [StructField("_on", BooleanType()), StructField("_run", DoubleType()), StructField("_db", DoubleType())]
+    keys, order = ["channel"], ["n"]
     flags = samples.select("channel", "n", "wanted", "ducked", "restart")
-    placed = fold_timeline(flags, ["channel"], ["n"], step, fields)
+    folded = fold_timeline(flags, keys, order, step, fields, keep_chunk=True)
+    marked = folded.join(samples.select("channel", "n", "restart"), ["channel", "n"])
+    counted = running(marked, keys, order, _n=running_count(F.col("_on"), before=True))
+    begun = running(counted, keys, order, again=True, _zero=last_value(F.when(F.col("restart"), F.col("_n"))))
+    since = F.col("_n") - F.coalesce("_zero", F.lit(0))
+    inside = since % length if loop and length > 0 else F.when(since < length, since)
+    position = F.when(F.col("_on"), F.coalesce(inside, F.lit(-1).cast("long"))).otherwise(-1)
+    placed = begun.select("channel", "n", position.alias("position"), "_run", "_db")
     joined = samples.join(placed, ["channel", "n"]).join(source.select("position", "bed"), "position", "left")
     edge = F.when(F.col("position") < 0, 0.0).otherwise(edge_gain("position", F.lit(length).cast("long")))
     gain = (

@@ -42,7 +42,7 @@ def ordered_append(arrivals: DataFrame, ranges: DataFrame, order: list[str]) ->
     taken = newer | ((F.col("tai_ns") == F.col("_newest")) & ~F.col("_kept"))
     # Frames taken never go back in time, so the next taken one tells whether this one is replaced.
     judged = seen.withColumn("_taken", taken).withColumn("_instant", F.when(F.col("_taken"), F.col("tai_ns")))
-    after = running(judged, ["camera"], order, _next=next_value("_instant"))
+    after = running(judged, ["camera"], order, again=True, _next=next_value("_instant"))
     verdict = (
         F.when(~F.col("_taken"), "dropped")
         .when(F.col("_next") == F.col("tai_ns"), "replaced")
@@ -198,4 +198,4 @@ def repeated_pictures(frames: DataFrame, fingerprint: str) -> DataFrame:
     flagged = seen.withColumn(
         "repeated", F.coalesce(F.col(f"_was.{fingerprint}").eqNullSafe(F.col(fingerprint)) & F.col("_was").isNotNull(), F.lit(False))
     )
-    return running(flagged, ["camera"], ["tai_ns"], picture_run=running_count(~F.col("repeated"))).drop("_was", CHUNK)
+    return running(flagged, ["camera"], ["tai_ns"], again=True, picture_run=running_count(~F.col("repeated"))).drop("_was", CHUNK)

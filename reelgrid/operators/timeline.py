@@ -5,8 +5,6 @@ from __future__ import annotations
 import json
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField
@@ -19,7 +17,7 @@ from reelgrid.functions.playout import (
     transition_frames,
 )
 from reelgrid.plans.asof import nearest
-from reelgrid.plans.fold import fold_timeline
+from reelgrid.plans.fold import Rows, fold_timeline
 from reelgrid.plans.greedy import greedy_groups
 from reelgrid.plans.ordered import (
     following_row,
@@ -56,14 +54,15 @@ def speed_ramp(ticks: DataFrame, ramp: int) -> DataFrame:
     )
     commands = counted.filter("_to is not null").select("channel", "grain", "_to", "_n")
 
-    def step(state: str | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, str]:
+    def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
         origin, target, since = json.loads(state) if state else (1.0, 1.0, 0)
-        starts = np.empty(len(rows))
-        for i, (to, n) in enumerate(zip(rows["_to"].tolist(), rows["_n"].tolist(), strict=True)):
+        starts = []
+        for to, n in zip(rows["_to"], rows["_n"], strict=True):
             done = min(n - since, ramp) / ramp if ramp > 0 else 1.0
-            starts[i] = origin = origin + (target - origin) * done
+            origin += (target - origin) * done
             target, since = to, n
-        return pd.DataFrame({"_from": starts, "_since": rows["_n"]}), json.dumps([origin, target, since])
+            starts.append(origin)
+        return {"_from": starts, "_since": rows["_n"]}, json.dumps([origin, target, since])
 
     fields = [StructField("_from", DoubleType()), StructField("_since", LongType())]
     started = fold_timeline(commands, ["channel"], ["grain"], step, fields).withColumnRenamed("grain", "_command")
@@ -102,15 +101,15 @@ def audio_plan(ticks: DataFrame, house_ns: int) -> DataFrame:
     was = running(cut, keys, order, _was=previous_row("silent"), _n=running_count())
     silent, before = F.col("silent"), F.col("_was.silent")
     doubled = was.withColumn("_double", F.when(silent == before, silent).when(before.isNull() & ~silent, False))
-    known = running(doubled, keys, order, _known=last_value("_double"))
+    known = running(doubled, keys, order, again=True, _known=last_value("_double"))
     low = F.when(F.coalesce("_known", F.lit(False)), 1).otherwise(0)
     counted = known.withColumn("_after", low + F.when(silent, 1).otherwise(0))
-    faded = running(counted, keys, order, _prior=previous_row("_after"))
+    faded = running(counted, keys, order, again=True, _prior=previous_row("_after"))
     held_before = F.coalesce(F.col("_prior._after"), F.lit(0))
     holds = F.col("still") & (held_before < 2) & F.col("_prior").isNotNull()
     held = faded.withColumn("fade", held_before).withColumn("_holds", holds)
     base = F.when(~F.col("_holds"), F.struct(rounded.alias("at"), F.col("_n").alias("n")))
-    placed = running(held, keys, order, _base=last_value(base))
+    placed = running(held, keys, order, again=True, _base=last_value(base))
     start = F.when(silent, F.when(F.col("fade") < 2, 1 - F.col("fade") / 2).otherwise(0.0)).otherwise(
         F.when(F.col("fade") > 0, (2 - F.col("fade")) / 2).otherwise(1.0)
     )
@@ -237,7 +236,7 @@ def playlist_unroll(entries: DataFrame, period_ns: int, passes: int = 1) -> Data
     auto = on & ((F.col("end_action") != "next") | F.col("auto_advance"))
     flagged = cut.withColumn("_on", auto)
     stopped = running(
-        flagged, ["playlist"], ["position"], _stops=running_count(~F.col("_on"), before=True)
+        flagged, ["playlist"], ["position"], again=True, _stops=running_count(~F.col("_on"), before=True)
     ).filter("_stops = 0")
     endless = stopped.groupBy("playlist").agg(F.every("_on").alias("_endless"))
     repeats = F.when(F.col("_endless"), passes).otherwise(1)
@@ -257,24 +256,26 @@ def playlist_unroll(entries: DataFrame, period_ns: int, passes: int = 1) -> Data
         F.col("_plan").cast("long").alias("_plan"),
     )
 
-    def run(state: str | None, pdf: pd.DataFrame) -> tuple[pd.DataFrame, str]:
-        # State: where the entry before ends, and the grains it still has when no join is running.
-        end, free = json.loads(state) if state else (None, 0)
-        starts, lengths, overlaps = (np.empty(len(pdf), np.int64) for _ in range(3))
-        columns = zip(pdf["_grains"].tolist(), pdf["_frames"].tolist(), pdf["_plan"].tolist(), strict=True)
-        for i, (grains, frames, plan) in enumerate(columns):
-            if end is None:
-                begin, overlap, grains = 0, 0, grains - 1
+    def run(state: str | None, rows: Rows) -> tuple[Rows, str]:
+        # The state is the grains the entry before still has when no join is running.
+        free = int(state) if state else None
+        lengths, overlaps = [], []
+        for grains, frames, plan in zip(rows["_grains"], rows["_frames"], rows["_plan"], strict=True):
+            if free is None:
+                overlap, grains = 0, grains - 1
                 free = grains
             else:
-                overlap = min(plan, max(1, min(frames - DEFAULT_CUT_AUDIO_FRAMES, free))) if plan > 0 else 0
-                overlap = min(overlap, free)
-                begin, free = end - overlap, grains - max(overlap, 1)
-            starts[i], lengths[i], overlaps[i], end = begin, grains, overlap, begin + grains
-        return pd.DataFrame({"start_grain": starts, "grains": lengths, "overlap": overlaps}), json.dumps([end, free])
-
-    fields = [StructField(n, LongType()) for n in ("start_grain", "grains", "overlap")]
-    placed = fold_timeline(rows, ["playlist"], ["pass", "position"], run, fields)
+                overlap = min(plan, max(1, min(frames - DEFAULT_CUT_AUDIO_FRAMES, free)), free)
+                free = grains - max(overlap, 1)
+            lengths.append(grains)
+            overlaps.append(overlap)
+        return {"grains": lengths, "overlap": overlaps}, str(free)
+
+    fields = [StructField(n, LongType()) for n in ("grains", "overlap")]
+    keys, order = ["playlist"], ["pass", "position"]
+    joined = fold_timeline(rows, keys, order, run, fields, keep_chunk=True)
+    ends = running(joined, keys, order, _end=running_sum(F.col("grains") - F.col("overlap")))
+    placed = ends.withColumn("start_grain", F.col("_end") - F.col("grains"))
     detail = played.select("playlist", "pass", "position", "clip_id", "end_action", "_on")
     outcome = F.when(F.col("_on"), "next").when(F.col("end_action") == "next", "cued").otherwise(F.col("end_action"))
     return placed.join(detail, ["playlist", "pass", "position"]).select(
@@ -300,9 +301,9 @@ def playlist_remaining(entries: DataFrame, period_ns: int) -> DataFrame:
     joined = running(cut, keys, order, _was=previous_row("auto_advance"))
     overlap = F.when(F.col("_was.auto_advance"), overlap_ns(F.col("_len"), period_ns)).otherwise(F.lit(0).cast("long"))
     gained = F.coalesce(F.col("_len") - overlap, F.lit(0).cast("long"))
-    summed = running(joined, keys, order, _sum=running_sum(gained))
+    summed = running(joined, keys, order, again=True, _sum=running_sum(gained))
     stop = F.when(F.col("present") & (F.col("end_action") != "next"), F.struct("_sum", "end_action"))
-    stops = running(summed, keys, order, _stop=next_value(stop))
+    stops = running(summed, keys, order, again=True, _stop=next_value(stop))
     whole = summed.groupBy("playlist").agg(F.max_by("_sum", "position").alias("_whole"))
     own = F.col("end_action") != "next"
     until = F.when(own, F.col("_sum")).otherwise(F.coalesce(F.col("_stop._sum"), "_whole"))
@@ -362,7 +363,7 @@ def shot_states(clicks: DataFrame, play_first: bool = False) -> DataFrame:
     cut = spread(clicks, keys, order)
     seen = running(cut, keys, order, _n=running_count(), _was=previous_row("shot"))
     new = F.coalesce(F.col("_was.shot") != F.col("shot"), F.lit(True))
-    started = running(seen, keys, order, _start=last_value(F.when(new, F.col("_n"))))
+    started = running(seen, keys, order, again=True, _start=last_value(F.when(new, F.col("_n"))))
     nth = F.col("_n") - F.col("_start") + (2 if play_first else 1)
     state = F.when(nth == 1, "cued").when(nth % 2 == 0, "playing").otherwise("paused")
     return started.select(*clicks.columns, state.alias("state"))
@@ -376,20 +377,19 @@ TALLY_FIELDS = [StructField("state", StringType()), StructField("played", Boolea
 def tally_step(armed: bool = True):
     """Step of :func:`tally_plays`, also used on streams; the state is (shot, its state, red before)."""
 
-    def step(state: str | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, str]:
+    def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
         shot, mode, was = json.loads(state) if state else (None, "idle", False)
-        played, modes = np.zeros(len(rows), bool), []
-        for i, (click, red) in enumerate(zip(rows["shot"].tolist(), rows["red"].tolist(), strict=True)):
-            if isinstance(click, str):
+        played, modes = [False] * len(rows["red"]), []
+        for i, (click, red) in enumerate(zip(rows["shot"], rows["red"], strict=True)):
+            if click is not None:
                 mode = CLICKED[mode if click == shot else "idle"]
                 shot = click
             else:
-                red = bool(red)
                 if red and not was and armed and mode in ("cued", "paused"):
                     mode, played[i] = "playing", True
                 was = red
             modes.append(mode)
-        return pd.DataFrame({"state": modes, "played": played}), json.dumps([shot, mode, was])
+        return {"state": modes, "played": played}, json.dumps([shot, mode, was])
 
     return step
 
@@ -445,12 +445,12 @@ TRANSPORT_FIELDS = [
 def transport_step(period_ns: int, delay_ns: int, cameras: int):
     """Step of :func:`transport_fold`, also used on streams."""
 
-    def step(state: str | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, str]:
+    def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
         s = json.loads(state) if state else {
             "grain": None, "live": True, "playing": False, "pos": 0, "speed": 1.0, "in": None, "out": None, "camera": 1,
         }
         out = {k: [] for k in ("mode", "position_ns", "speed", "in_ns", "out_ns", "angle")}
-        columns = (rows[c].tolist() for c in ("grain", "tai_ns", "command", "argument", "to_ns"))
+        columns = (rows[c] for c in ("grain", "tai_ns", "command", "argument", "to_ns"))
         for grain, tai, command, argument, to_ns in zip(*columns, strict=True):
             if s["live"]:
                 s["pos"] = tai - delay_ns
@@ -482,9 +482,7 @@ def transport_step(period_ns: int, delay_ns: int, cameras: int):
             found = (mode, s["pos"], s["speed"], s["in"], s["out"], s["camera"])
             for name, value in zip(out, found, strict=True):
                 out[name].append(value)
-        # Nullable integers: a float column would round today's instants.
-        found = {k: pd.array(v, dtype="Int64") if k in ("in_ns", "out_ns") else v for k, v in out.items()}
-        return pd.DataFrame(found), json.dumps(s)
+        return out, json.dumps(s)
 
     return step
 

@@ -1,74 +1,107 @@
 """Sequential folds per key over chunks of the timeline.
 
-Some states are neither sums nor extremes. Every chunk is folded at once from a guessed entry state (that of the chunk
-before it, in the previous round); a chunk whose entry turns out different is folded again, until no exit changes.
-Most states forget where they came from within a chunk, so a few rounds suffice; the result is exact either way.
+Some states are neither sums nor extremes. Each task walks one contiguous chunk, batch by batch, and restarts the state
+at every new key. Only the first key of a chunk may continue from the chunk before, so only a chunk filled by a single
+key can pass on a state that depends on its own entry. Chunks are first walked without an entry; those single-key
+chunks are walked again while their entry turns out different. Most states forget where they came from within a
+chunk, so a few rounds suffice; the result is exact either way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType
 
 from reelgrid.plans.ordered import CHUNK, spread
-from reelgrid.plans.session import pinned
+
+Rows = dict[str, list]
+Step = Callable[[str | None, Rows], tuple[Rows, str]]
 
 
 def fold_timeline(
     rows: DataFrame,
     keys: list[str],
     order: list[str],
-    step: Callable[[str | None, pd.DataFrame], tuple[pd.DataFrame, str]],
+    step: Step,
     output: list[StructField],
+    keep_chunk: bool = False,
 ) -> DataFrame:
     """Rows of ``keys``, ``order`` and ``output`` as ``step`` computes them.
 
-    ``step(state, rows)`` gets the ordered rows of one chunk and the text state before them (None at a key's start);
-    it returns the output columns for the rows and the state after them. Pass narrow rows only.
+    ``step(state, rows)`` gets some consecutive rows of one key as columns and the text state before them (None at a
+    key's start); it returns the output columns for those rows and the state after them. Pass narrow rows only.
     """
     cut = spread(rows, keys, order)
-    key_fields = [rows.schema[k] for k in keys]
-    part = StructField(CHUNK, cut.schema[CHUNK].dataType)
+    columns = rows.columns
+    exit_schema = StructType(
+        [cut.schema[CHUNK], *[StructField(n, StringType()) for n in ("first_key", "last_key", "state")]]
+    )
+    kept = [*[rows.schema[c] for c in [*keys, *order]], *([cut.schema[CHUNK]] if keep_chunk else [])]
+    out_schema = StructType([*kept, *output])
 
-    def ordered(pdf: pd.DataFrame) -> tuple[str | None, pd.DataFrame]:
-        entry = pdf["_entry"].iloc[0]
-        return (None if entry is None or pd.isna(entry) else entry), pdf.sort_values(order).reset_index(drop=True)
+    def walk(batches: Iterator[pa.RecordBatch], entries: dict[int, str]) -> Iterator[tuple[int, tuple, str, Rows]]:
+        chunk, key, state = None, None, None
+        for batch in batches:
+            data = batch.to_pydict()
+            named = zip(data[CHUNK], *(data[k] for k in keys), strict=True)
+            begin = 0
+            for (here, *mine), run in groupby(named):
+                end = begin + sum(1 for _ in run)
+                if here != chunk:
+                    state = entries.get(here)
+                elif mine != key:
+                    state = None
+                chunk, key = here, mine
+                part = {c: data[c][begin:end] for c in columns}
+                found, state = step(state, part)
+                yield chunk, key, state, {**{f.name: part[f.name] for f in kept if f.name != CHUNK}, **found}
+                begin = end
 
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        entry, pdf = ordered(pdf)
-        _, state = step(entry, pdf)
-        out = pdf[[*keys, CHUNK]].iloc[[0]].copy()
-        out["_entry"], out["_exit"] = entry, state
-        return out
+    def exits(entries: dict[int, str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ends: dict[int, list[str]] = {}
+            for chunk, key, state, _ in walk(batches, entries):
+                name = json.dumps(key, default=str)
+                ends[chunk] = [ends.get(chunk, [name])[0], name, state]
+            if ends:
+                found = [[c, *e] for c, e in ends.items()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(v), f.type) for v, f in zip(zip(*found, strict=True), arrow_exit, strict=True)], schema=arrow_exit
+                )
 
-    def emit(pdf: pd.DataFrame) -> pd.DataFrame:
-        entry, pdf = ordered(pdf)
-        found, _ = step(entry, pdf)
-        return pd.concat([pdf[[*keys, *order]], found.reset_index(drop=True)], axis=1)
+        return run
 
-    text = lambda name: StructField(name, StringType())
-    state_schema = StructType([*key_fields, part, text("_entry"), text("_exit")])
-    before = Window.partitionBy(*keys).orderBy(CHUNK)
+    def emit(entries: dict[int, str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for chunk, _, _, data in walk(batches, entries):
+                size = len(data[order[0]])
+                data[CHUNK] = [chunk] * size
+                yield pa.RecordBatch.from_arrays([pa.array(data[f.name], f.type) for f in arrow_out], schema=arrow_out)
 
-    def folded(chunks: DataFrame) -> DataFrame:
-        return chunks.groupBy(*keys, CHUNK).applyInPandas(exits, state_schema)
+        return run
 
-    states = pinned(folded(cut.withColumn("_entry", F.lit(None).cast("string"))))
+    arrow_exit, arrow_out = to_arrow_schema(exit_schema), to_arrow_schema(out_schema)
+    # One row per chunk: as many as there are partitions.
+    ends = {r[CHUNK]: r for r in cut.mapInArrow(exits({}), exit_schema).collect()}
+    walked: dict[int, str | None] = {}
     while True:
-        guess = states.withColumn("_new", F.lag("_exit").over(before))
-        stale = guess.filter(~F.col("_new").eqNullSafe(F.col("_entry")))
-        if stale.isEmpty():
-            break
-        redo = stale.select(*keys, CHUNK, F.col("_new").alias("_entry"))
-        again = folded(cut.join(redo, [*keys, CHUNK]))
-        states = pinned(states.join(redo, [*keys, CHUNK], "left_anti").unionByName(again))
-    entries = states.select(*keys, CHUNK, "_entry")
-    return (
-        cut.join(entries, [*keys, CHUNK])
-        .groupBy(*keys, CHUNK)
-        .applyInPandas(emit, StructType([*key_fields, *[rows.schema[c] for c in order], *output]))
-    )
+        entries, before = {}, None
+        for chunk in sorted(ends):
+            if before is not None and ends[chunk].first_key == before.last_key:
+                entries[chunk] = before.state
+            before = ends[chunk]
+        stale = [
+            c for c, e in ends.items() if e.first_key == e.last_key and entries.get(c) != walked.get(c)
+        ]
+        if not stale:
+            return cut.mapInArrow(emit(entries), out_schema)
+        walked = {**walked, **{c: entries.get(c) for c in stale}}
+        again = cut.filter(F.col(CHUNK).isin(stale)).mapInArrow(exits(entries), exit_schema)
+        ends.update({r[CHUNK]: r for r in again.collect()})

@@ -74,17 +74,24 @@ def spread(df: DataFrame, keys: list[str], order: list[str], tiebreak: list[Colu
     ``tiebreak`` may split rows that are equal in (keys, order) over several chunks. The pin makes every later
     reader of the chunk number see the same cut, also after an executor is lost.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = [*map(F.col, keys), *map(F.col, order), *(tiebreak or [])]
-    cut = df.repartitionByRange(parts, *bounds).withColumn(CHUNK, F.spark_partition_id())
-    return pinned(cut)
+    cut = df.repartitionByRange(chunk_count(df), *bounds).sortWithinPartitions(*keys, *order)
+    return pinned(cut.withColumn(CHUNK, F.spark_partition_id()))
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], **outputs: Running) -> DataFrame:
+def chunk_count(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def running(df: DataFrame, keys: list[str], order: list[str], again: bool = False, **outputs: Running) -> DataFrame:
     """Add running values to rows that :func:`spread` cut; ``keys`` must not be null.
 
-    ``order`` must be a total order within a key as far as the chosen functions can tell.
+    ``order`` must be a total order within a key as far as the chosen functions can tell. The rows are placed with one
+    chunk per partition, which a hash of the chunk number would not give; ``again`` says that an earlier call placed
+    them, so a further round needs no shuffle.
+
+    A chunk is contiguous in (keys, order), so only its first key can have rows in earlier chunks and only its last
+    key in later ones. The carried states are therefore at most two rows per chunk, which is what is broadcast.
     """
     parts = [*keys, CHUNK]
     forward = Window.partitionBy(*parts).orderBy(*order)
@@ -120,10 +127,18 @@ def running(df: DataFrame, keys: list[str], order: list[str], **outputs: Running
             carry.append(F.last(theirs, ignorenulls=True).over(side).alias(theirs))
             combined[name] = F.coalesce(F.col(mine), F.col(theirs))
 
-    carried = df.groupBy(*parts).agg(*summary).select(*parts, *carry)
+    chunks = F.count("*").over(Window.partitionBy(*keys)) if keys else F.lit(2)
+    carried = (
+        df.groupBy(*parts)
+        .agg(*summary)
+        .select(*parts, *carry, chunks.alias("_chunks"))
+        .filter("_chunks > 1")
+        .drop("_chunks")
+    )
+    placed = df if again else df.repartitionById(chunk_count(df), F.col(CHUNK))
     return (
-        df.withColumns(inside)
-        .join(carried, parts, "left")
+        placed.withColumns(inside)
+        .join(F.broadcast(carried), parts, "left")
         .withColumns(combined)
         .drop(*inside, *[f"_carry_{name}" for name in outputs])
     )

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StructField
 
-from reelgrid.plans.fold import fold_timeline
+from reelgrid.plans.fold import Rows, fold_timeline
 
 # Fixed values of the protocol: the escape byte and the marks of a packet's start and end.
 DLE, STX, ETX = 0xFE, 0x02, 0x03
@@ -115,10 +115,9 @@ def datagram_packets(datagrams: DataFrame, keys: list[str], column: str = "data"
 def stream_packets(pieces: DataFrame, connection: str, order: str, column: str = "data") -> DataFrame:
     """Packets of byte streams that arrive in pieces; a packet may span pieces, so the framing is folded."""
 
-    def step(state: str | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, str]:
+    def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
         stream = Unframe(state)
-        packets = [stream.feed(bytes(b)) for b in rows[column]]
-        return pd.DataFrame({"packets": packets}), stream.state()
+        return {"packets": [stream.feed(b) for b in rows[column]]}, stream.state()
 
     found = fold_timeline(
         pieces.select(connection, order, column), [connection], [order], step, [StructField("packets", ArrayType(BinaryType()))]

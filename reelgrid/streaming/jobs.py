@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from reelgrid.operators.timeline import TALLY_FIELDS, TRANSPORT_FIELDS, tally_step, transport_step
+from reelgrid.plans.fold import Rows
 from reelgrid.streaming.state import fold_stream
 
 
@@ -32,10 +33,10 @@ def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFr
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def append_step(state: str | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, str]:
+def append_step(state: str | None, rows: Rows) -> tuple[Rows, str]:
     """Frames newer than all before them are accepted; the newest instant is the state."""
-    before = pd.Series([int(state) if state else -1, *rows["tai_ns"].tolist()]).cummax()
-    return pd.DataFrame({"accepted": rows["tai_ns"].to_numpy() > before[:-1].to_numpy()}), str(before.iloc[-1])
+    newest = list(accumulate(rows["tai_ns"], max, initial=int(state) if state else -1))
+    return {"accepted": [at > before for at, before in zip(rows["tai_ns"], newest, strict=False)]}, str(newest[-1])
 
 
 def ordered_append_stream(frames: DataFrame, order: list[str]) -> DataFrame:
@@ -46,15 +47,15 @@ def ordered_append_stream(frames: DataFrame, order: list[str]) -> DataFrame:
 def log_limit_step(interval_ns: int):
     """First event at once, then one line per interval with the count since; rows without a line give 0."""
 
-    def step(state: str | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, str]:
+    def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
         logged, waiting = (int(v) for v in state.split(",")) if state else (-1, 0)
         lines = []
-        for at in rows["tai_ns"].tolist():
+        for at in rows["tai_ns"]:
             waiting += 1
             due = logged < 0 or at >= logged + interval_ns
             lines.append(waiting if due else 0)
             logged, waiting = (at, 0) if due else (logged, waiting)
-        return pd.DataFrame({"events": lines}), f"{logged},{waiting}"
+        return {"events": lines}, f"{logged},{waiting}"
 
     return step
 

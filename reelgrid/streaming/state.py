@@ -3,21 +3,21 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-Step = Callable[[str | None, pd.DataFrame], tuple[pd.DataFrame, str]]
+from reelgrid.plans.fold import Step
 
 
 class FoldProcessor(StatefulProcessor):
     """Runs a batch step over the rows of a key in each micro-batch, in their own order."""
 
-    def __init__(self, keys: list[str], order: list[str], step: Step, columns: list[str]):
-        self.keys, self.order, self.step, self.columns = keys, order, step, columns
+    def __init__(self, keys: list[str], order: list[str], step: Step, output: list[StructField]):
+        self.keys, self.order, self.step, self.output = keys, order, step, output
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "value string")
@@ -26,9 +26,13 @@ class FoldProcessor(StatefulProcessor):
         # One trigger's rows of one key; the source's per-trigger limit bounds them.
         batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order).reset_index(drop=True)
         before = self.state.get()[0] if self.state.exists() else None
-        found, after = self.step(before, batch)
+        plain = {c: [None if v is None or v != v else v for v in batch[c].tolist()] for c in batch.columns}
+        found, after = self.step(before, plain)
         self.state.update((after,))
-        yield pd.concat([batch[[*self.keys, *self.order]], found.reset_index(drop=True)], axis=1)[self.columns]
+        # Nullable integers: a float column would round today's instants.
+        kinds = {LongType: "Int64", IntegerType: "Int32"}
+        out = {f.name: pd.array(found[f.name], dtype=kinds.get(type(f.dataType), "object")) for f in self.output}
+        yield pd.concat([batch[[*self.keys, *self.order]], pd.DataFrame(out)], axis=1)
 
     def close(self) -> None:
         pass
@@ -37,9 +41,8 @@ class FoldProcessor(StatefulProcessor):
 def fold_stream(rows: DataFrame, keys: list[str], order: list[str], step: Step, output: list[StructField]) -> DataFrame:
     """The streaming twin of the batch fold: same step, state kept per key between triggers."""
     fields = [*[rows.schema[c] for c in [*keys, *order]], *output]
-    columns = [f.name for f in fields]
     return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=FoldProcessor(keys, order, step, columns),
+        statefulProcessor=FoldProcessor(keys, order, step, output),
         outputStructType=StructType(fields),
         outputMode="append",
         timeMode="none",
