@@ -90,43 +90,6 @@ def edge_gain(position, length) -> Column:
     return F.when((position < 0) | (position >= length), 0.0).otherwise(inside)
 
 
-def pick_source(position, period, factor_num, factor_den, snap, motion) -> Column:
-    """Frames shown at a position: kind, numbers a and b, phase between them, and whether it snapped.
-
-    There are ``factor_num / factor_den`` source frames (at least one) per house ``period``. Frame number and rest are
-    taken in whole nanoseconds, so the phase keeps its precision at today's instants.
-    """
-    position, period, motion, snap = _c(position).cast("long"), _c(period).cast("long"), _c(motion), _c(snap)
-    num, den = _c(factor_num).cast("long"), _c(factor_den).cast("long")
-    one = F.lit(1).cast("long")
-    num, den = F.when(num < den, one).otherwise(num), F.when(num < den, one).otherwise(den)
-    # position = span·n + rest with span = period·den; rest·num/span is the frame in the span and its phase.
-    span = period * den
-    spans = idiv(position, span)
-    rest = (position - spans * span) * num
-    lower = spans * num + idiv(rest, span)
-    phase = (rest % span).cast("double") / span.cast("double")
-    near = lower + F.when(phase >= 0.5, 1).otherwise(0)
-    distance = F.least(phase, 1.0 - phase)
-    snapped = distance <= snap
-    repeat = motion == "repeat"
-    a = F.when(snapped | (repeat & (phase >= 0.5)), near).otherwise(lower)
-    between = ~snapped & ~repeat
-    kind = (
-        F.when(snapped & (num == den) & (distance < 1e-6), "exact")
-        .when(snapped | repeat, "repeat")
-        .when(motion == "blend", "blend")
-        .otherwise("interpolate")
-    )
-    return F.struct(
-        kind.alias("kind"),
-        a.alias("a"),
-        F.when(between, lower + 1).otherwise(a).alias("b"),
-        F.when(between, phase).otherwise(0.0).alias("phase"),
-        snapped.alias("snapped"),
-    )
-
-
 def gain_ramp(samples, start, end) -> Column:
     """A block of samples under a gain that goes linearly from ``start`` to ``end``."""
     samples, start, end = _c(samples), _c(start), _c(end)

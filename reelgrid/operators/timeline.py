@@ -13,9 +13,9 @@ from reelgrid.functions.playout import (
     DEFAULT_CUT_AUDIO_FRAMES,
     MIN_CLIP_SPEED,
     clip_remaining,
-    pick_source,
     transition_frames,
 )
+from reelgrid.functions.timebase import idiv
 from reelgrid.plans.asof import nearest
 from reelgrid.plans.fold import Rows, fold_timeline
 from reelgrid.plans.greedy import greedy_groups
@@ -80,6 +80,55 @@ def position_track(ticks: DataFrame, period_ns: int, start_ns: int) -> DataFrame
     return moved.withColumn("position_ns", F.col("_moved") + start_ns).drop("_moved")
 
 
+def with_pick(
+    rows: DataFrame, name: str, position: str, period_ns: int, num: Column, den: Column, snap: float, motion: Column
+) -> DataFrame:
+    """Add the frames shown at a position: kind, numbers a and b, phase between them, and whether it snapped.
+
+    There are ``num / den`` source frames (at least one) per house period. Frame number and rest are taken in whole
+    nanoseconds, so the phase keeps its precision at today's instants. The parts are separate projections, so each is
+    computed once per row.
+    """
+    one = F.lit(1).cast("long")
+    few = num < den
+    part = lambda p: f"_{name}_{p}"
+    num_col, span, lower, rest, phase = (F.col(part(p)) for p in ("num", "span", "lower", "rest", "phase"))
+    staged = (
+        rows.withColumns(
+            {
+                part("num"): F.when(few, one).otherwise(num.cast("long")),
+                part("span"): F.when(few, one).otherwise(den.cast("long")) * F.lit(period_ns).cast("long"),
+            }
+        )
+        # position = span·n + rest; rest·num/span is the frame in the span and its phase.
+        .withColumn(part("rest"), (F.col(position) % span) * num_col)
+        .withColumn(part("lower"), idiv(F.col(position), span) * num_col + idiv(rest, span))
+        .withColumn(part("phase"), (rest % span).cast("double") / span.cast("double"))
+    )
+    near = lower + F.when(phase >= 0.5, 1).otherwise(0)
+    distance = F.least(phase, 1.0 - phase)
+    snapped = distance <= snap
+    repeat = motion == "repeat"
+    a = F.when(snapped | (repeat & (phase >= 0.5)), near).otherwise(lower)
+    between = ~snapped & ~repeat
+    kind = (
+        F.when(snapped & (num_col * period_ns == span) & (distance < 1e-6), "exact")
+        .when(snapped | repeat, "repeat")
+        .when(motion == "blend", "blend")
+        .otherwise("interpolate")
+    )
+    return staged.withColumn(
+        name,
+        F.struct(
+            kind.alias("kind"),
+            a.alias("a"),
+            F.when(between, lower + 1).otherwise(a).alias("b"),
+            F.when(between, phase).otherwise(0.0).alias("phase"),
+            snapped.alias("snapped"),
+        ),
+    ).drop(*[part(p) for p in ("num", "span", "lower", "rest", "phase")])
+
+
 def motion_effective(motion: Column, kind: Column, has_flow: Column, mixing: Column) -> Column:
     """How a grain's picture is made: a mix, one frame, an interpolation with its flow, or a blend."""
     single = kind.isin("exact", "repeat")
@@ -134,8 +183,10 @@ def pair_demand(states: DataFrame, period_ns: int, snap: float, grains: int = PA
 
     A paused state keeps its own pair to the end of the look-ahead.
     """
-    pick = pick_source("_at", F.lit(period_ns), F.lit(factor), F.lit(1), F.lit(snap), F.lit("interpolate"))
-    picked = _ahead(states, grains, period_ns).withColumn("_p", pick).filter("_p.kind = 'interpolate'")
+    ahead = _ahead(states, grains, period_ns)
+    picked = with_pick(ahead, "_p", "_at", period_ns, F.lit(factor), F.lit(1), snap, F.lit("interpolate")).filter(
+        "_p.kind = 'interpolate'"
+    )
     last = F.when(~F.col("playing") & (F.col("g") == 1), grains).otherwise(F.col("g"))
     return picked.groupBy("state", F.col("_p.a").alias("a"), F.col("_p.b").alias("b")).agg(
         F.min("g").alias("first"), F.max(last).alias("last")
@@ -149,9 +200,9 @@ def frame_demand(
 
     Nothing before frame 0 and, with ``until``, nothing whose time lies after that OUT column.
     """
-    args = (F.lit(period_ns), F.lit(1), F.lit(1), F.lit(snap), F.col("motion"))
-    now = pick_source("position_ns", *args)
-    ahead = _ahead(states.withColumn("_now", now), grains, period_ns).withColumn("_p", pick_source("_at", *args))
+    args = (period_ns, F.lit(1), F.lit(1), snap, F.col("motion"))
+    now = with_pick(states, "_now", "position_ns", *args)
+    ahead = with_pick(_ahead(now, grains, period_ns), "_p", "_at", *args)
     nth = ahead.select(
         "state", "g", "_now", *([until] if until else []), F.posexplode(F.array("_p.a", "_p.b")).alias("_side", "frame")
     )

@@ -21,6 +21,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from reelgrid.plans.ordered import CHUNK, spread
 
+BATCH_ROWS = 10_000
 Rows = dict[str, list]
 Step = Callable[[str | None, Rows], tuple[Rows, str]]
 
@@ -80,10 +81,20 @@ def fold_timeline(
 
     def emit(entries: dict[int, str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ready: Rows = {f.name: [] for f in arrow_out}
+
+            def batch() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(ready[f.name], f.type) for f in arrow_out], schema=arrow_out)
+
             for chunk, _, _, data in walk(batches, entries):
-                size = len(data[order[0]])
-                data[CHUNK] = [chunk] * size
-                yield pa.RecordBatch.from_arrays([pa.array(data[f.name], f.type) for f in arrow_out], schema=arrow_out)
+                data[CHUNK] = [chunk] * len(data[order[0]])
+                for name, values in ready.items():
+                    values.extend(data[name])
+                if len(ready[order[0]]) >= BATCH_ROWS:
+                    yield batch()
+                    for values in ready.values():
+                        values.clear()
+            yield batch()
 
         return run
 

@@ -60,8 +60,8 @@ def picks(t):
         "probe", "at_ns + probe % 20 * 1000000 position_ns", "case when camera in (2, 3) then 3 else 1 end factor",
         "case probe % 3 when 0 then 'repeat' when 1 then 'blend' else 'interpolate' end motion",
     )
-    pick = pf.pick_source("position_ns", PERIOD, "factor", 1, 0.1, "motion")
-    return given.withColumn("p", pick).select("probe", "position_ns", "motion", "p.*")
+    picked = tl.with_pick(given, "p", "position_ns", PERIOD, F.col("factor"), F.lit(1), 0.1, F.col("motion"))
+    return picked.select("probe", "position_ns", "motion", "p.*")
 
 
 @query(

@@ -118,10 +118,10 @@ FLOW_DEF = """case event_id % 9 when 0 then 'not json' else concat('{',
 )
 def _(t):
     definition = F.expr(FLOW_DEF)
-    return t.events.select(
+    return documents.with_flow(t.events, definition).select(
         "event_id",
-        documents.flow_compat(definition, 1920, 1080, 25, 1, True).alias("i"),
-        documents.flow_compat(definition, 1920, 1080, 50, 1, False).alias("p"),
+        documents.flow_compat(1920, 1080, 25, 1, True).alias("i"),
+        documents.flow_compat(1920, 1080, 50, 1, False).alias("p"),
     ).select("event_id", "i.reason", "i.woven", F.col("p.reason").alias("progressive_house"))
 
 

@@ -19,9 +19,14 @@ def scan_registry(spark: SparkSession, root: str, name: str = "domain_def.json")
     )
 
 
-def flow_compat(definition: Column, width: int, height: int, num: int, den: int, interlaced: bool) -> Column:
-    """Why a flow is not recorded in the house format (null when it is), and whether its fields are woven."""
-    flow = F.from_json(definition, FLOW)
+def with_flow(rows: DataFrame, definition: Column) -> DataFrame:
+    """Parse a flow definition once, as ``flow``; unreadable ones have no fields."""
+    return rows.withColumn("flow", F.from_json(definition, FLOW))
+
+
+def flow_compat(width: int, height: int, num: int, den: int, interlaced: bool) -> Column:
+    """Why ``flow`` is not recorded in the house format (null when it is), and whether its fields are woven."""
+    flow = F.col("flow")
     mode = flow["interlace_mode"]
     progressive = mode.isNull() | (mode == "progressive")
     if not interlaced:
