@@ -31,9 +31,19 @@ def phase_interleave(grains: DataFrame, phases: int, house_ns: int, order: str)
     The last write of each phase counts. A missing phase shows the nearest present one (the lower on a tie) at the
     time of its own slot. A house grain with nothing present gives one row without a slot and all phases missing.
     """
+    houses = grains.groupBy("camera", "house_index").agg(*last_writes(phases, order))
+    return interleaved(houses, phases, house_ns)
+
+
+def last_writes(phases: int, order: str) -> list[Column]:
+    """The last write of each phase, as structs ``_p0`` on; aggregates of a house grain's rows."""
     write = F.struct("present", F.col("tai_ns").alias("t"), "payload_id")
-    last = [F.max_by(F.when(F.col("phase") == k, write), F.when(F.col("phase") == k, F.col(order))) for k in range(phases)]
-    houses = grains.groupBy("camera", "house_index").agg(*[w.alias(f"_p{k}") for k, w in enumerate(last)])
+    of = lambda k, value: F.when(F.col("phase") == k, value)
+    return [F.max_by(of(k, write), of(k, F.col(order))).alias(f"_p{k}") for k in range(phases)]
+
+
+def interleaved(houses: DataFrame, phases: int, house_ns: int) -> DataFrame:
+    """The slots of house grains whose last writes are known."""
     there = [F.coalesce(F.col(f"_p{k}.present"), F.lit(False)) for k in range(phases)]
     base = F.coalesce(*[F.when(there[k], F.col(f"_p{k}.t")) for k in range(phases)])
     slots = []

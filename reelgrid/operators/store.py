@@ -51,18 +51,17 @@ def ordered_append(arrivals: DataFrame, ranges: DataFrame, order: list[str]) ->
     return after.withColumn("verdict", verdict).drop("_kept", "_newest", "_taken", "_instant", "_next", CHUNK)
 
 
-def segment_assign(frames: DataFrame, length_ns: int) -> DataFrame:
-    """(camera, tai_ns, segment, first_ns): a new segment starts beyond ``length_ns`` after the first of the last."""
-    return greedy_groups(frames, ["camera"], "tai_ns", length_ns).select(
-        "camera", "tai_ns", F.col("group_no").alias("segment"), F.col("group_first").alias("first_ns")
+def segment_assign(frames: DataFrame, length_ns: int, carry: list[str] | None = None) -> DataFrame:
+    """(camera, tai_ns, carry, segment, first_ns): a segment starts beyond ``length_ns`` after the last one's first."""
+    return greedy_groups(frames, ["camera"], "tai_ns", length_ns, carry=carry).select(
+        "camera", "tai_ns", *(carry or []), F.col("group_no").alias("segment"), F.col("group_first").alias("first_ns")
     )
 
 
-def segment_stats(frames: DataFrame, segments: DataFrame) -> DataFrame:
-    """First, last, frames and bytes of each segment; the newest segment of a camera is open."""
+def segment_stats(frames: DataFrame) -> DataFrame:
+    """First, last, frames and bytes of each segment of frames with ``segment``; a camera's newest segment is open."""
     stats = (
-        frames.join(segments, ["camera", "tai_ns"])
-        .groupBy("camera", "segment")
+        frames.groupBy("camera", "segment")
         .agg(
             F.min("tai_ns").alias("first_ns"),
             F.max("tai_ns").alias("last_ns"),

@@ -225,13 +225,8 @@ def grid_resyncs(grains: DataFrame) -> DataFrame:
 def log_limit(events: DataFrame, keys: list[str], interval_ns: int) -> DataFrame:
     """The lines written for a repeated event: the first at once, then one per interval with the count since."""
     grouped = greedy_groups(events, keys, "tai_ns", interval_ns, inclusive=True)
-    size = events.groupBy(*keys, "tai_ns").agg(F.count("*").alias("_same"))
-    joined = grouped.join(size, [*keys, "tai_ns"])
-    own = F.when(F.col("tai_ns") == F.col("group_first"), F.col("_same"))
-    per = joined.groupBy(*keys, F.col("group_first").alias("line_ns")).agg(
-        F.sum("_same").alias("_all"), F.max(own).alias("_own")
-    )
-    # The events at the line's own instant after the first one wait for the next line.
+    per = grouped.groupBy(*keys, F.col("group_first").alias("line_ns")).agg(F.count("*").alias("_all"))
+    # A line counts the events after the line before and itself; others of its own instant wait for the next one.
     rest = over_timeline(per, keys, ["line_ns"], _was=previous_row("_all"))
     return rest.select(*keys, "line_ns", F.coalesce(F.col("_was._all"), F.lit(1).cast("long")).alias("events"))
 
@@ -475,16 +470,11 @@ def keep_entry(playing: DataFrame, entries: DataFrame) -> DataFrame:
     ``playing``: channel, playlist, position, clip_id.
     """
     size = entries.groupBy("playlist").agg(F.count("*").alias("_size"))
-    same = entries.select("playlist", "clip_id", F.col("position").alias("_there"))
-    best = (
-        playing.join(same, ["playlist", "clip_id"])
-        .groupBy("channel")
-        .agg(F.min_by("_there", F.struct(F.abs(F.col("_there") - F.col("position")), F.col("_there"))).alias("_best"))
-    )
-    place = F.coalesce("_best", F.least(F.col("position"), F.coalesce("_size", F.lit(0)) - 1))
-    return (
-        playing.join(best, "channel", "left").join(size, "playlist", "left").select("channel", "playlist", place.alias("kept"))
-    )
+    places = entries.select("playlist", "clip_id", F.col("position").alias("there"))
+    found = nearest(playing, places, ["playlist", "clip_id"], "position", "there", name="_best")
+    last = F.coalesce("_size", F.lit(0)) - 1
+    place = F.coalesce("_best.there", F.least(F.col("position"), last))
+    return found.join(size, "playlist", "left").select("channel", "playlist", place.alias("kept"))
 
 
 TRANSPORT_FIELDS = [

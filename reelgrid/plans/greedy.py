@@ -7,79 +7,106 @@ own by that short table, the tables of a key are chained, and each chunk is then
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
 from reelgrid.plans.ordered import CHUNK, spread
 
 
-def greedy_groups(rows: DataFrame, keys: list[str], at: str, length: int, inclusive: bool = False) -> DataFrame:
-    """(keys, at, group_first, group_no) for each distinct row instant; ``inclusive`` cuts at exactly ``length`` too."""
-    instants = rows.select(*keys, F.col(at).cast("long").alias(at)).distinct()
-    cut = spread(instants, keys, [at])
+def greedy_groups(
+    rows: DataFrame, keys: list[str], at: str, length: int, inclusive: bool = False, carry: list[str] | None = None
+) -> DataFrame:
+    """Rows (keys, ``at`` and the narrow ``carry`` columns) with ``group_first`` and ``group_no``.
+
+    Rows of one instant share a group; ``inclusive`` cuts at exactly ``length`` too.
+    """
+    narrow = rows.select(*keys, at, *(carry or []))
+    cut, columns = spread(narrow, keys, [at]), narrow.columns
     side = "left" if inclusive else "right"
-    key_fields = [instants.schema[k] for k in keys]
+    long = lambda name: StructField(name, LongType())
+    key_fields = [narrow.schema[k] for k in keys]
+    table = StructType([*key_fields, *map(long, (CHUNK, "_cut", "_exit", "_cuts"))])
+    output = StructType([*narrow.schema.fields, long("group_first"), long("group_no")])
+    arrow_table, arrow_output = to_arrow_schema(table), to_arrow_schema(output)
+
+    def runs(batches: Iterator[pa.RecordBatch]):
+        """Rows of one chunk and key, piece by piece."""
+        for batch in batches:
+            data = batch.to_pydict()
+            begin = 0
+            for (chunk, *key), run in groupby(zip(data[CHUNK], *(data[k] for k in keys), strict=True)):
+                end = begin + sum(1 for _ in run)
+                yield chunk, key, {c: data[c][begin:end] for c in columns}
+                begin = end
 
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf[at].to_numpy())
+    def exits(times: np.ndarray, first: bool) -> pd.DataFrame:
+        """Where each possible first cut of a chunk ends up; the first key of a chunk may be open from before."""
         n = len(times)
-        hop = np.append(np.searchsorted(times, times + length, side=side), n)
-        last, count = np.arange(n + 1), np.ones(n + 1, dtype=np.int64)
-        count[n] = 0
-        jump, steps = hop.copy(), count.copy()
+        jump = np.append(np.searchsorted(times, times + length, side=side), n)
+        possible = min(n, int(jump[0]) + 1) if first else 1
+        last, steps = np.arange(n + 1), np.append(np.ones(n, np.int64), 0)
         # Doubling: after round r, ``jump`` is 2^r cuts ahead.
         while (jump[:n] < n).any():
             ahead = jump < n
             last[ahead] = last[jump[ahead]]
             steps = steps + steps[jump]
             jump = jump[jump]
-        first_cuts = min(n - 1, int(hop[0]))
-        out = pdf[keys].iloc[[0]].loc[lambda d: d.index.repeat(first_cuts + 1)].reset_index(drop=True)
-        out[CHUNK] = int(pdf[CHUNK].iloc[0])
-        out["_cut"] = times[: first_cuts + 1]
-        out["_exit"] = times[last[: first_cuts + 1]]
-        out["_cuts"] = steps[: first_cuts + 1]
-        return out
+        return pd.DataFrame({"_cut": times[:possible], "_exit": times[last[:possible]], "_cuts": steps[:possible]})
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_first: set[int] = set()
+        for (chunk, *key), parts in groupby(runs(batches), lambda r: (r[0], *r[1])):
+            times = np.unique(np.concatenate([np.asarray(p[2][at], np.int64) for p in parts]))
+            found = exits(times, chunk not in open_first)
+            open_first.add(chunk)
+            for name, value in zip([*keys, CHUNK], [*key, chunk], strict=True):
+                found[name] = value
+            yield pa.RecordBatch.from_pandas(found[table.fieldNames()], schema=arrow_table, preserve_index=False)
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         found, first, before = [], None, 0
         for chunk, part in pdf.sort_values([CHUNK, "_cut"]).groupby(CHUNK, sort=True):
-            found.append((int(chunk), first, before))
+            if first is not None:
+                found.append((int(chunk), first, before))
             cuts = part["_cut"].to_numpy()
             i = 0 if first is None else int(np.searchsorted(cuts, first + length, side=side))
             if i < len(cuts):
                 first, before = int(part["_exit"].iloc[i]), before + int(part["_cuts"].iloc[i])
-        out = pdf[keys].iloc[[0]].loc[lambda d: d.index.repeat(len(found))].reset_index(drop=True)
-        out[CHUNK] = [f[0] for f in found]
-        out["_open"] = pd.array([f[1] for f in found], dtype="Int64")
-        out["_before"] = [f[2] for f in found]
-        return out
+        return pd.DataFrame(found, columns=[CHUNK, "_open", "_before"])
+
+    def assign(opened: dict[int, tuple[int, int]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chunk, key, first, number = None, None, None, -1
+            for here, mine, part in runs(batches):
+                if here != chunk:
+                    first, number = opened.get(here, (None, 0))
+                    number -= 1
+                elif mine != key:
+                    first, number = None, -1
+                chunk, key = here, mine
+                times = np.asarray(part[at], np.int64)
+                firsts, numbers, begin = np.empty(len(times), np.int64), np.empty(len(times), np.int64), 0
+                while begin < len(times):
+                    end = 0 if first is None else int(np.searchsorted(times, first + length, side=side))
+                    if end <= begin:
+                        first, number = int(times[begin]), number + 1
+                        end = int(np.searchsorted(times, first + length, side=side))
+                    firsts[begin:end], numbers[begin:end] = first, number
+                    begin = max(end, begin + 1)
+                part |= {"group_first": firsts, "group_no": numbers}
+                yield pa.RecordBatch.from_arrays([pa.array(part[f.name], f.type) for f in arrow_output], schema=arrow_output)
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(at)
-        times = pdf[at].to_numpy()
-        start = None if pd.isna(pdf["_open"].iloc[0]) else int(pdf["_open"].iloc[0])
-        number, begin = int(pdf["_before"].iloc[0]) - 1, 0
-        firsts, numbers = np.empty(len(times), np.int64), np.empty(len(times), np.int64)
-        while begin < len(times):
-            if start is None:
-                start, number = int(times[begin]), number + 1
-            end = int(np.searchsorted(times, start + length, side=side))
-            firsts[begin:end], numbers[begin:end] = start, number
-            begin, start = max(begin, end), None
-        out = pdf[[*keys, at]].copy()
-        out["group_first"], out["group_no"] = firsts, numbers
-        return out
+        return run
 
-    longs = lambda *names: [StructField(n, LongType()) for n in names]
-    summary = cut.groupBy(*keys, CHUNK).applyInPandas(
-        summarise, StructType([*key_fields, *longs(CHUNK, "_cut", "_exit", "_cuts")])
-    )
-    carried = summary.groupBy(*keys).applyInPandas(chain, StructType([*key_fields, *longs(CHUNK, "_open", "_before")]))
-    joined = cut.withColumn(CHUNK, F.col(CHUNK).cast("long")).join(carried, [*keys, CHUNK])
-    return joined.groupBy(*keys, CHUNK).applyInPandas(
-        assign, StructType([*key_fields, *longs(at, "group_first", "group_no")])
-    )
+    links = StructType([long(CHUNK), long("_open"), long("_before")])
+    tables = cut.mapInArrow(summarise, table)
+    # At most one row per chunk: only its first key can be open from before.
+    opened = {r[0]: (r[1], r[2]) for r in tables.groupBy(*keys).applyInPandas(chain, links).collect()}
+    return cut.mapInArrow(assign(opened), output)

@@ -65,7 +65,7 @@ def _(t):
     "frames clips",
 )
 def _(t):
-    placed = t.frames.join(segment_assign(t.frames, HOUR).select("camera", "tai_ns", "segment"), ["camera", "tai_ns"])
+    placed = segment_assign(t.frames, HOUR, ["payload_bytes"])
     return frames.segment_spans(placed.select("camera", "segment", "tai_ns", "payload_bytes"), FROM, TO)
 
 

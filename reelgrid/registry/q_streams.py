@@ -135,10 +135,7 @@ def _(t):
 
 @query(
     "phase_stream",
-    """with w as (select camera, house_index, phase, tai_ns, arg_max(present, payload_id) present from grains group by all)
-    select camera, house_index, bool_or(present) filter (phase=0) present_0, bool_or(present) filter (phase=1) present_1, bool_or(present) filter (phase=2) present_2
-    from w where (tai_ns//1000000000+1)*1000000000<=(select max(tai_ns)-1000000000 from grains) group by all""",
-    "grains",
+    f"select * from ({ORACLES['phase_interleave']}) where (house_index*20000000//1000000000+1)*1000000000<=(select max(event_id)//6*20000000-1000000000 from events)",
 )
 def _(t):
     return run(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from reelgrid.operators.ingest import interleaved, last_writes
 from reelgrid.operators.timeline import TALLY_FIELDS, TRANSPORT_FIELDS, tally_step, transport_step
 from reelgrid.plans.fold import Rows
 from reelgrid.streaming.state import fold_stream
@@ -76,10 +77,7 @@ def transport_stream(commands: DataFrame, order: list[str], period_ns: int, dela
 def phase_stream(grains: DataFrame, phases: int, house_ns: int, order: str, window: str) -> DataFrame:
     """Interleaved phases of a stream: a house grain is written when the watermark has passed its window."""
     spans = grains.withColumn("_w", F.window("ts", window))
-    write = F.struct("present", "tai_ns", "payload_id")
-    last = [F.max_by(F.when(F.col("phase") == k, write), F.when(F.col("phase") == k, F.col(order))).alias(f"_p{k}") for k in range(phases)]
-    whole = spans.groupBy("camera", "house_index", "_w").agg(*last)
-    return whole.select("camera", "house_index", *[F.col(f"_p{k}.present").alias(f"present_{k}") for k in range(phases)])
+    return interleaved(spans.groupBy("camera", "house_index", "_w").agg(*last_writes(phases, order)), phases, house_ns)
 
 
 def rate_stream(frames: DataFrame, window: str, slide: str, value: Column) -> DataFrame:

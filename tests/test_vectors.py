@@ -105,7 +105,7 @@ def recorded(spark):
 
 
 def test_segments_and_retention(spark, recorded):
-    segments = store.segment_stats(recorded, store.segment_assign(recorded, SECOND)).cache()
+    segments = store.segment_stats(store.segment_assign(recorded, SECOND, ["payload_bytes"])).cache()
     spans = [(a / SECOND, b / SECOND) for a, b in rows(segments, "first_ns", "last_ns")]
     assert spans == [(0.5, 1.5), (2, 3), (3.5, 4.5), (5, 6), (6.5, 7.5), (8, 9), (9.5, 10)]
     one = spark.createDataFrame([(1, SECOND, SECOND)], "camera int, begin_ns long, end_ns long")
