@@ -39,7 +39,7 @@ def fold_timeline(
     ``step(state, rows)`` gets some consecutive rows of one key as columns and the text state before them (None at a
     key's start); it returns the output columns for those rows and the state after them. Pass narrow rows only.
     """
-    cut = spread(rows, keys, order)
+    cut = spread(rows, keys, order, walk=True)
     columns = rows.columns
     exit_schema = StructType(
         [cut.schema[CHUNK], *[StructField(n, StringType()) for n in ("first_key", "last_key", "state")]]

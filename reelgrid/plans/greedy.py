@@ -28,7 +28,7 @@ def greedy_groups(
     Rows of one instant share a group; ``inclusive`` cuts at exactly ``length`` too.
     """
     narrow = rows.select(*keys, at, *(carry or []))
-    cut, columns = spread(narrow, keys, [at]), narrow.columns
+    cut, columns = spread(narrow, keys, [at], walk=True), narrow.columns
     side = "left" if inclusive else "right"
     long = lambda name: StructField(name, LongType())
     key_fields = [narrow.schema[k] for k in keys]

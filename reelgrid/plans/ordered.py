@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelgrid.plans.session import pinned
+from reelgrid.plans.session import pinned, pinned_table
 
 CHUNK = "_chunk"
 
@@ -68,15 +68,20 @@ def _col(value) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def spread(df: DataFrame, keys: list[str], order: list[str], tiebreak: list[Column] | None = None) -> DataFrame:
+def spread(
+    df: DataFrame, keys: list[str], order: list[str], tiebreak: list[Column] | None = None, walk: bool = False
+) -> DataFrame:
     """Cut the rows into balanced contiguous chunks of (keys, order) and pin the cut.
 
     ``tiebreak`` may split rows that are equal in (keys, order) over several chunks. The pin makes every later
-    reader of the chunk number see the same cut, also after an executor is lost.
+    reader of the chunk number see the same cut, also after an executor is lost. ``walk`` keeps each chunk as one
+    partition in order, for code that walks it.
     """
     bounds = [*map(F.col, keys), *map(F.col, order), *(tiebreak or [])]
-    cut = df.repartitionByRange(chunk_count(df), *bounds).sortWithinPartitions(*keys, *order)
-    return pinned(cut.withColumn(CHUNK, F.spark_partition_id()))
+    cut = df.repartitionByRange(chunk_count(df), *bounds)
+    if walk:
+        return pinned(cut.sortWithinPartitions(*keys, *order).withColumn(CHUNK, F.spark_partition_id()))
+    return pinned_table(cut.withColumn(CHUNK, F.spark_partition_id()))
 
 
 def chunk_count(df: DataFrame) -> int:

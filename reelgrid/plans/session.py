@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,7 +22,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+def pinned_table(df: DataFrame) -> DataFrame:
+    """Write a result that is read more than once as a table beside the checkpoints.
+
+    Unlike a checkpoint it is columnar: each reader takes only the columns it needs.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pinned(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a result that is read more than once."""
+    """Checkpoint a result whose partitions and their order must stay as they are."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()

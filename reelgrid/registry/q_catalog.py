@@ -191,8 +191,8 @@ def _(t):
     w as (select user_id, camera, case when pos<st then greatest(first_ns, pos-1800*cast(1000000000 as bigint)) else st end start_ns,
         case when pos<st then greatest(first_ns, pos-1800*cast(1000000000 as bigint))+7200*cast(1000000000 as bigint) else last_ns end end_ns from s),
     z as (select user_id, camera, start_ns, greatest(end_ns, start_ns+1000000000) end_ns from w)
-    select z.user_id, z.camera, start_ns, end_ns, c.id, round(least(100, greatest(0, (c.in_ns-start_ns)*100.0/(end_ns-start_ns))),6) left_pct,
-        round(greatest(0.25, least(100, greatest(0, (c.out_ns-start_ns)*100.0/(end_ns-start_ns)))-least(100, greatest(0, (c.in_ns-start_ns)*100.0/(end_ns-start_ns)))),6) width_pct
+    select z.user_id, z.camera, start_ns, end_ns, c.id, round(least(100, greatest(0, (c.in_ns-start_ns)*cast(100 as double)/(end_ns-start_ns))),6) left_pct,
+        round(greatest(0.25, least(100, greatest(0, (c.out_ns-start_ns)*cast(100 as double)/(end_ns-start_ns)))-least(100, greatest(0, (c.in_ns-start_ns)*cast(100 as double)/(end_ns-start_ns)))),6) width_pct
     from z join clips c on c.camera=z.camera and c.out_ns>=start_ns and c.in_ns<=end_ns""",
     "frames clips",
 )
