@@ -203,9 +203,8 @@ def aux_mix(
     fields = [StructField("_on", BooleanType()), StructField("_run", DoubleType()), StructField("_db", DoubleType())]
     keys, order = ["channel"], ["n"]
     flags = samples.select("channel", "n", "wanted", "ducked", "restart")
-    folded = fold_timeline(flags, keys, order, step, fields, keep_chunk=True)
-    marked = folded.join(samples.select("channel", "n", "restart"), ["channel", "n"])
-    counted = running(marked, keys, order, _n=running_count(F.col("_on"), before=True))
+    folded = fold_timeline(flags, keys, order, step, fields, keep=["restart"], keep_chunk=True)
+    counted = running(folded, keys, order, _n=running_count(F.col("_on"), before=True))
     begun = running(counted, keys, order, again=True, _zero=last_value(F.when(F.col("restart"), F.col("_n"))))
     since = F.col("_n") - F.coalesce("_zero", F.lit(0))
     inside = since % length if loop and length > 0 else F.when(since < length, since)

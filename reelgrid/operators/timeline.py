@@ -300,6 +300,9 @@ def playlist_unroll(entries: DataFrame, period_ns: int, passes: int = 1) -> Data
         F.ceil(length / step).cast("long").alias("_grains"),
         F.floor(length / (F.greatest(F.lit(MIN_CLIP_SPEED), "speed") * period_ns)).cast("long").alias("_frames"),
         F.col("_plan").cast("long").alias("_plan"),
+        "clip_id",
+        "end_action",
+        "_on",
     )
 
     def run(state: str | None, rows: Rows) -> tuple[Rows, str]:
@@ -319,12 +322,12 @@ def playlist_unroll(entries: DataFrame, period_ns: int, passes: int = 1) -> Data
 
     fields = [StructField(n, LongType()) for n in ("grains", "overlap")]
     keys, order = ["playlist"], ["pass", "position"]
-    joined = fold_timeline(rows, keys, order, run, fields, keep_chunk=True)
+    detail = ["clip_id", "end_action", "_on"]
+    joined = fold_timeline(rows, keys, order, run, fields, keep=detail, keep_chunk=True)
     ends = running(joined, keys, order, _end=running_sum(F.col("grains") - F.col("overlap")))
     placed = ends.withColumn("start_grain", F.col("_end") - F.col("grains"))
-    detail = played.select("playlist", "pass", "position", "clip_id", "end_action", "_on")
     outcome = F.when(F.col("_on"), "next").when(F.col("end_action") == "next", "cued").otherwise(F.col("end_action"))
-    return placed.join(detail, ["playlist", "pass", "position"]).select(
+    return placed.select(
         "playlist", "pass", "position", "clip_id", "start_grain", "grains", "overlap", outcome.alias("outcome")
     )
 

@@ -32,9 +32,10 @@ def fold_timeline(
     order: list[str],
     step: Step,
     output: list[StructField],
+    keep: list[str] | None = None,
     keep_chunk: bool = False,
 ) -> DataFrame:
-    """Rows of ``keys``, ``order`` and ``output`` as ``step`` computes them.
+    """Rows of ``keys``, ``order``, the ``keep`` columns and ``output`` as ``step`` computes them.
 
     ``step(state, rows)`` gets some consecutive rows of one key as columns and the text state before them (None at a
     key's start); it returns the output columns for those rows and the state after them. Pass narrow rows only.
@@ -44,7 +45,7 @@ def fold_timeline(
     exit_schema = StructType(
         [cut.schema[CHUNK], *[StructField(n, StringType()) for n in ("first_key", "last_key", "state")]]
     )
-    kept = [*[rows.schema[c] for c in [*keys, *order]], *([cut.schema[CHUNK]] if keep_chunk else [])]
+    kept = [*[rows.schema[c] for c in [*keys, *order, *(keep or [])]], *([cut.schema[CHUNK]] if keep_chunk else [])]
     out_schema = StructType([*kept, *output])
 
     def walk(batches: Iterator[pa.RecordBatch], entries: dict[int, str]) -> Iterator[tuple[int, tuple, str, Rows]]:

@@ -13,6 +13,15 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from reelgrid.plans.fold import Step
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(rows: DataFrame) -> DataFrame:
+    """Keyed state of this kind needs the RocksDB store; it also keeps large states out of the heap."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return rows
+
+
 class FoldProcessor(StatefulProcessor):
     """Runs a batch step over the rows of a key in each micro-batch, in their own order."""
 
@@ -41,7 +50,7 @@ class FoldProcessor(StatefulProcessor):
 def fold_stream(rows: DataFrame, keys: list[str], order: list[str], step: Step, output: list[StructField]) -> DataFrame:
     """The streaming twin of the batch fold: same step, state kept per key between triggers."""
     fields = [*[rows.schema[c] for c in [*keys, *order]], *output]
-    return rows.groupBy(*keys).transformWithStateInPandas(
+    return use_rocksdb(rows).groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=FoldProcessor(keys, order, step, output),
         outputStructType=StructType(fields),
         outputMode="append",
@@ -116,6 +125,6 @@ STALL_SCHEMA = StructType(
 def stall_stream(events: DataFrame, timeout_ns: int) -> DataFrame:
     """Stops and returns of each camera; ``events`` has camera, tai_ns, event and a watermarked ``ts``."""
     schema = StructType([events.schema["camera"], *STALL_SCHEMA.fields[1:]])
-    return events.groupBy("camera").transformWithStateInPandas(
+    return use_rocksdb(events).groupBy("camera").transformWithStateInPandas(
         statefulProcessor=StallProcessor(timeout_ns), outputStructType=schema, outputMode="append", timeMode="eventTime"
     )
