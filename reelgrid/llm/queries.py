@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrid.llm import chat, interleave, mixing, vafile
+from reelgrid.llm import chat, interleave, mixing, quality, toxicity, vafile
+from reelgrid.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +39,15 @@ def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(given.unionByName(added)))
 
 
+@query("op3_quality")
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = read(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    model = quality.fit(docs, read(spark, folder, "labels"))
+    scored = quality.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op4_mixing")
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """How many words the mix takes of every document."""
@@ -73,6 +83,15 @@ def op5_vafile(spark: SparkSession, folder: str) -> DataFrame:
     return vafile.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5, vector="embedding")
 
 
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """The toxicity score of every document."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read(spark, folder, "labels"))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op9_interleave")
 def op9_interleave(spark: SparkSession, folder: str) -> DataFrame:
     """The shard and place of every document; counts of shards differ by one at most."""
