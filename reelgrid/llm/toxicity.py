@@ -16,9 +16,11 @@ from reelgrid.llm.sampling import labelled
 #: Buckets of hashed character n-grams, their length and the size of an embedding.
 BUCKETS, SHORT, LONG, DIMS = 1 << 16, 3, 6, 8
 #: Words whose embeddings are averaged at once; a text scores as its most toxic window.
-WINDOW = 6
+WINDOW = 3
 #: Labelled documents of each class that a model is fitted on at most.
 SAMPLE = 3000
+#: Rounds on random windows, and windows of each class in one.
+WARM, ROUND = 6, 12_000
 #: Words whose scores a task remembers.
 REMEMBERED = 400_000
 
@@ -155,11 +157,13 @@ def train(texts: list[str], y: np.ndarray, stand_for: np.ndarray, seed: int = 5)
         scored = windows(per_word[flat], ends)
         return np.array([s + int(np.argmax(scored[s:e])) for s, e in zip(starts, ends)]), scored
 
-    for epoch in range(14):
-        some = starts + (draw.random(len(tokens)) * (ends - starts)).astype(np.int64)
-        if epoch < 4:
-            more = starts + (draw.random(len(tokens)) * (ends - starts)).astype(np.int64)
-            chosen, begin, label = np.concatenate([some, more]), np.tile(starts, 2), np.tile(y, 2)
+    anywhere = lambda at: starts[at] + (draw.random(len(at)) * (ends[at] - starts[at])).astype(np.int64)
+    everyone = np.arange(len(y))
+    for epoch in range(WARM + 10):
+        some = anywhere(everyone)
+        if epoch < WARM:  # as many windows of toxic texts as of clean ones, whatever their numbers
+            at = np.concatenate([np.repeat(np.flatnonzero(y == c), max(1, ROUND // max(1, int((y == c).sum())))) for c in (0, 1)])
+            chosen, begin, label = anywhere(at), starts[at], y[at]
         else:
             clean = y == 0
             chosen = np.concatenate([best()[0], some[clean]])
@@ -167,7 +171,7 @@ def train(texts: list[str], y: np.ndarray, stand_for: np.ndarray, seed: int = 5)
         shuffled = draw.permutation(len(label))
         for s in range(0, len(label), 512):
             b = shuffled[s : s + 512]
-            step(chosen[b], begin[b], label[b].astype(np.int64), 0.02 if epoch < 10 else 0.005)
+            step(chosen[b], begin[b], label[b].astype(np.int64), 0.02 if epoch < WARM + 6 else 0.005)
 
     at, scored = best()
     top = scored[at]
