@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrid.llm import chat, interleave, mixing, quality, toxicity, vafile
+from reelgrid.llm import chat, decontam, interleave, mixing, quality, toxicity, vafile
 from reelgrid.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,6 +83,56 @@ def op5_vafile(spark: SparkSession, folder: str) -> DataFrame:
     return vafile.top_k(vectors, vectors.filter("vec_id % 50 = 0"), 5, vector="embedding")
 
 
+@query(
+    "op6_decontam",
+    r"""
+    with docs as (
+        select row_number() over () as r, doc_id, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+        from documents
+    ), items as (
+        select item_id, regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+        from benchmark
+    ), wins as (
+        select item_id, least(len(w), 10) as n, unnest(range(0, greatest(len(w) - 10, 0) + 1)) as s, w
+        from items where len(w) > 0
+    ), phrase as (select distinct item_id, n, array_to_string(w[s + 1 : s + n], ' ') as p from wins
+    ), lens as (select distinct n from phrase
+    ), places as (
+        select r, n, unnest(range(0, len(w) - n + 1)) as s, w from docs, lens where len(w) >= n
+    ), hits as (
+        select r, s, x.n, x.item_id
+        from (select r, n, s, array_to_string(w[s + 1 : s + n], ' ') as p from places) d join phrase x on d.n = x.n and d.p = x.p
+    ), per as (
+        select r, count(distinct spot) as n_hit from (select r, unnest(range(s, s + n)) as spot from hits) group by r
+    ), named as (
+        select r, count(distinct item_id) as n_items,
+               sha256(array_to_string(list_sort(list(distinct cast(item_id as varchar))), ',')) as items_sha256
+        from hits group by r
+    )
+    select doc_id, cast(coalesce(len(w), 0) as bigint) as n_words, coalesce(n_hit, 0) as n_hit,
+           coalesce(n_items, 0) as n_items, coalesce(items_sha256, sha256('')) as items_sha256,
+           coalesce(n_hit, 0) > 0 as contaminated
+    from docs left join per using (r) left join named using (r)
+    """,
+)
+def op6_decontam(spark: SparkSession, folder: str) -> DataFrame:
+    """Which benchmark items every document holds, and how many of its words they cover."""
+    docs = read(spark, folder, "documents").select("doc_id", "text")
+    found = decontam.contaminated(docs, read(spark, folder, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """The toxicity score of every document."""
