@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrid.llm import chat, decontam, interleave, mixing, quality, toxicity, vafile
+from reelgrid.llm import chat, decontam, interleave, mixing, quality, simhash, toxicity, vafile
 from reelgrid.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,12 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+@query("op1_simhash")
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    """The fingerprint of every document and the group of near-duplicates it belongs to."""
+    return simhash.near_duplicates(read(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+
+
 @query("op2_chat")
 def op2_chat(spark: SparkSession, folder: str) -> DataFrame:
     """What the formatted conversations hold, read back from them."""
