@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrid.llm import chat, decontam, interleave, mixing, quality, simhash, toxicity, vafile
+from reelgrid.llm import backoff, chat, decontam, interleave, mixing, quality, simhash, toxicity, vafile
 from reelgrid.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,9 @@ def op9_interleave(spark: SparkSession, folder: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op10_backoff")
+def op10_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    """The log-probability of every document."""
+    return backoff.score(read(spark, folder, "documents").select("doc_id", "text"), held_out(folds=7, fold=2))
