@@ -24,6 +24,16 @@ def squeeze(values: np.ndarray) -> bytes:
     return np.int64(len(raw)).tobytes() + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
 
 
+def _text(raw: bytes) -> bytes:
+    return np.int64(len(raw)).tobytes() + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def spelt_words(data: bytes) -> list[bytes]:
+    """The words of a block's ``spelt``, in the order of its vocabulary."""
+    size = int(np.frombuffer(data[:8], np.int64)[0])
+    return pa.decompress(data[8:], size, "zstd", asbytes=True).split(b" ") if size else []
+
+
 def unsqueeze(data: bytes, kind: type) -> np.ndarray:
     size = int(np.frombuffer(data[:8], np.int64)[0])
     if not size:
@@ -55,7 +65,7 @@ def _pack(lower: bool, spelt: bool, full: int):
                     pa.array([held], pa.list_(pa.bool_())),
                     pa.array([squeeze(np.array(lengths, np.int64))]),
                     pa.array([squeeze(hashes[order])]),
-                    pa.array([pa.compress(b" ".join(texts[i] for i in order), "zstd", asbytes=True) if spelt else b""]),
+                    pa.array([_text(b" ".join(texts[i] for i in order)) if spelt else b""]),
                     pa.array([squeeze(numbers.astype(np.uint32))]),
                 ],
                 [c.split()[0] for c in _SHAPE.split(", ")],

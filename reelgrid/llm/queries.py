@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrid.llm import backoff, chat, decontam, interleave, mixing, quality, simhash, toxicity, vafile
+from reelgrid.llm import backoff, chat, decontam, fmindex, interleave, mixing, quality, simhash, toxicity, vafile
 from reelgrid.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,6 +148,36 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query(
+    "op8_fmindex",
+    r"""
+    with docs as (
+        select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents
+    ), wins as (
+        select doc_id, unnest(range(1, greatest(len(w) - 18, 1))) as s, w from docs
+    ), named as (
+        select doc_id, s, hash(w[s : s + 19]) as h, w[s : s + 19] as p from wins
+    ), repeated as (
+        select doc_id, s from (select doc_id, s, row_number() over (partition by h, p order by doc_id, s) as n from named)
+        where n > 1
+    ), gone as (
+        select distinct doc_id, unnest(range(s, s + 20)) as i from repeated
+    ), words as (
+        select doc_id, unnest(range(1, len(w) + 1)) as i, unnest(w) as word from docs
+    ), kept as (
+        select doc_id, string_agg(word, ' ' order by i) as kept from words anti join gone using (doc_id, i) group by doc_id
+    ), removed as (select doc_id, count(*) as n_removed from gone group by doc_id)
+    select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed,
+           sha256(coalesce(kept, '')) as kept_sha256
+    from docs left join kept using (doc_id) left join removed using (doc_id)
+    """,
+)
+def op8_fmindex(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document when passages that start earlier in the corpus are removed."""
+    left = fmindex.remove_repeats(read(spark, folder, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op9_interleave")
 def op9_interleave(spark: SparkSession, folder: str) -> DataFrame:
     """The shard and place of every document; counts of shards differ by one at most."""

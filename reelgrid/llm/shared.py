@@ -76,3 +76,10 @@ def rank_within(df: DataFrame, by: str) -> DataFrame:
     runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     joined = df.join(checked(pin(runs)), [by, "_chunk"])
     return joined.withColumn("_rank", F.col("_row") - F.col("_first") + F.col("_before")).drop("_first", "_before")
+
+
+def pin_by(df: DataFrame, key: str) -> DataFrame:
+    """Write a table bucketed by ``key`` to the warehouse: joins on ``key`` read it where it lies, without a shuffle."""
+    name = f"corpus_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(parts(df.sparkSession), key).saveAsTable(name)
+    return df.sparkSession.table(name)
