@@ -175,3 +175,11 @@ def _rounded(wide: DataFrame, plan: DataFrame, rate: Column, most: float) -> Dat
             "copies", F.col("copies") + F.when(F.col("_row") == F.col("_moved"), F.col("_by")).otherwise(F.lit(0))
         ).drop("_moved", "_by")
     return rows
+
+
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+    """The mix itself: each document as often as :func:`mix` takes it, with the columns it has."""
+    sized = docs.withColumn("_words_in_it", words_in(text))
+    taken = mix(sized, size="_words_in_it", source=source, key=key)
+    repeated = taken.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

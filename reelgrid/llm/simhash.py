@@ -17,6 +17,8 @@ from reelgrid.llm.shared import checked, pin
 
 #: Words of a shingle, differing bits up to which fingerprints link, fingerprints in one tree.
 SHINGLE, RADIUS, TREE = 4, 4, 1024
+#: Rows of one 8-byte key that may be broadcast.
+SMALL_KEYS = 500_000
 
 
 def fingerprint(text: str, words: int = SHINGLE) -> int:
@@ -215,14 +217,15 @@ def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
-    """Add ``fingerprint`` (16 hexadecimal digits) and ``component_id`` to the columns ``keep`` (all, if not given).
+    """Add ``fingerprint``, ``component_id`` and ``component`` to the columns ``keep`` (all, if not given).
 
-    Fingerprints link when at most ``RADIUS`` bits differ; ``component_id`` is the smallest id that links reach. Null
+    Fingerprints (16 hexadecimal digits) link when at most ``RADIUS`` bits differ; ``component_id`` is the smallest id
+    that links reach, ``component`` the smallest fingerprint, by which components without ids are told apart. Null
     texts and texts without words have the fingerprint zero, shorter texts that of all their words; repeated rows are
     in one component; null ids belong to components but don't name them (null, if there is no other); an empty table
     stays empty. Columns named like the results are replaced.
     """
-    own = [c for c in (keep or docs.columns) if c not in ("fingerprint", "component_id")]
+    own = [c for c in (keep or docs.columns) if c not in ("fingerprint", "component_id", "component")]
     rows = docs.select(
         F.struct(F.struct(*[F.col(f"`{c}`") for c in own]).alias("columns"), F.col(f"`{key}`").cast("long").alias("id")).alias("_kept"),
         F.col(f"`{text}`").cast("string").alias("_text"),
@@ -233,6 +236,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ke
     inside = values.join(reached.select(F.col("node").alias("fp"), "root"), "fp", "left")
     inside = pin(inside.withColumn("root", F.coalesce("root", "fp")))
     best = inside.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = pin(inside.join(best, "root").select("fp", "component_id"))
-    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(named, "fp").select("_kept.columns.*", hexed.alias("fingerprint"), "component_id")
+    named = pin(inside.join(best, "root").select("fp", "component_id", "root"))
+    hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
+    return rows.join(named, "fp").select(
+        "_kept.columns.*", hexed("fp").alias("fingerprint"), "component_id", hexed("root").alias("component")
+    )
+
+
+def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """One row of each component, as it is: the one with the smallest id; rows without ids stand back.
+
+    Of equal rows one stays. What goes is a list of hashes of id and text, so texts aren't shuffled unless rows repeat
+    or the list is long.
+    """
+    identity = F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`").cast("string"))
+    narrow = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), identity.alias("_identity"))
+    rows = pin(near_duplicates(narrow, "text", "id", keep=["id", "_identity"]).select("id", "_identity", "component"))
+    order = F.struct(F.col("id").isNull(), F.col("id"), F.col("_identity"))
+    first = rows.groupBy("component").agg(F.min_by("_identity", order).alias("_identity")).select("_identity")
+    gone = pin(rows.select("_identity").distinct().join(first, "_identity", "left_anti"))
+    left = docs.withColumn("_identity", identity).join(checked(gone, SMALL_KEYS), "_identity", "left_anti")
+    repeated = rows.groupBy("_identity").count().filter("count > 1").join(first, "_identity", "left_semi")
+    if repeated.limit(1).count():
+        left = left.dropDuplicates(["_identity"])
+    return left.drop("_identity")
