@@ -189,20 +189,39 @@ def train(texts: list[str], y: np.ndarray, stand_for: np.ndarray, seed: int = 5)
     return Model(embedding.astype(np.float64) @ (soft[:, 1] - soft[:, 0]), float(a / spread), float(b - a * top.mean() / spread))
 
 
+def _train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [row for batch in batches for row in batch.to_pylist()]
+    if not rows:
+        return
+    rows.sort(key=lambda r: (str(r["id"]), r["text"] or ""))
+    y = np.array([r["label"] for r in rows], np.int64)
+    share = float(np.clip(y.mean(), 0.01, 0.99))
+    model = Model(np.zeros(BUCKETS), 0.0, float(np.log(share / (1 - share))))
+    texts = [r["text"] or "" for r in rows]
+    stand_for = np.array([r["stand_for"] for r in rows])
+    del rows
+    if 0 < y.mean() < 1 and any(t.split() for t in texts):
+        model = train(texts, y, stand_for)
+    parts = [pa.array([model.buckets.tobytes()]), pa.array([model.slope]), pa.array([model.offset])]
+    yield pa.RecordBatch.from_arrays(parts, ["buckets", "slope", "offset"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", most: int = SAMPLE) -> Model:
     """Learn toxicity (1 toxic, 0 clean) from at most ``most`` labelled, not held-out documents of each class.
 
-    Without documents of both classes the model gives every text the share of toxic labels, or 0.5 without labels.
+    The bounded sample is fitted in one task; the driver gets the model alone. Without documents of both classes the
+    model gives every text the share of toxic labels, or 0.5 without labels.
     """
     rows, stand_for = labelled(docs, labels, "toxic", most)
-    got = rows.select(F.col(f"`{text}`").cast("string").alias("text"), F.col("_label").cast("int").alias("label"), "_id")
-    got = got.toPandas().sort_values(["_id", "text"], kind="stable")
-    y = got["label"].to_numpy(np.int64)
-    texts = [t or "" for t in got["text"]]
-    if len(set(y.tolist())) < 2 or not any(t.split() for t in texts):
-        share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
-        return Model(np.zeros(BUCKETS), 0.0, float(np.log(share / (1 - share))))
-    return train(texts, y, np.array([stand_for[int(c)] for c in y]))
+    weight = F.when(F.col("_label") == 1, F.lit(float(stand_for.get(1, 1)))).otherwise(F.lit(float(stand_for.get(0, 1))))
+    sample = rows.select(
+        F.col("_id").cast("string").alias("id"), F.col(f"`{text}`").cast("string").alias("text"),
+        F.col("_label").cast("long").alias("label"), weight.alias("stand_for"),
+    )
+    got = sample.repartition(1).mapInArrow(_train_task, "buckets binary, slope double, offset double").collect()
+    if not got:
+        return Model(np.zeros(BUCKETS), 0.0, 0.0)
+    return Model(np.frombuffer(bytes(got[0]["buckets"])), got[0]["slope"], got[0]["offset"])
 
 
 def _score(model: Model):
