@@ -170,7 +170,7 @@ TALLY_ROWS = """select event_id, {keys} case when event_id%97<>0 then screen end
 @query("tally_ingest", TALLY_ROWS.format(keys=""), "tally")
 def _(t):
     datagrams = packed(t).select("event_id", F.unhex("hex").alias("data"))
-    return tally.parse_packets(tally.datagram_packets(datagrams, ["event_id"]), ["event_id"])
+    return tally.datagram_displays(datagrams, ["event_id"])
 
 
 @query(

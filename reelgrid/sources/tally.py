@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from struct import unpack_from
+from struct import Struct
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,112 +13,124 @@ from pyspark.sql.types import ArrayType, BinaryType, StructField
 
 from reelgrid.plans.fold import Rows, fold_timeline
 
-# Fixed values of the protocol: the escape byte and the marks of a packet's start and end.
-DLE, STX, ETX = 0xFE, 0x02, 0x03
+# Fixed values of the protocol: an escape byte before a mark opens or closes a packet, before itself it is data. A
+# packet is its length (of what follows), version, flags and screen, then records of display, control and a sized text.
+ESCAPE, OPEN, CLOSE = b"\xfe", b"\xfe\x02", b"\xfe\x03"
+HEADER, RECORD, SIZE = Struct("<HBBH"), Struct("<HH"), Struct("<H")
+WIDE_TEXT, NO_DISPLAYS, NOT_A_DISPLAY = 1, 2, 0x8000
 DISPLAY = "screen int, display int, lh int, rh int, txt int, brightness int, label string, error string"
 
-
-class Unframe:
-    """Cuts a byte stream into packets: start and end marks, doubled escape bytes, and the length in front."""
-
-    def __init__(self, state: str | None = None):
-        pending, self.escaped, self.inside = (state or ",,").split(",")
-        self.body = bytearray.fromhex(pending)
-
-    def state(self) -> str:
-        return f"{self.body.hex()},{self.escaped},{self.inside}"
-
-    def feed(self, data: bytes) -> list[bytes]:
-        packets: list[bytes] = []
-        for byte in data:
-            if byte == DLE and not self.escaped:
-                self.escaped = "1"
-                continue
-            mark, self.escaped = bool(self.escaped) and byte != DLE, ""
-            if mark and byte in (STX, ETX):
-                self._close(packets)
-                self.inside = "1" if byte == STX else ""
-            elif not mark and self.inside:
-                self.body.append(byte)
-                if len(self.body) >= 2 and len(self.body) == unpack_from("<H", self.body)[0] + 2:
-                    self._close(packets)
-                    self.inside = ""
-        return packets
-
-    def _close(self, packets: list[bytes]) -> None:
-        if self.inside and self.body:
-            packets.append(bytes(self.body))
-        self.body.clear()
-
-
-def _text(raw: bytes, wide: bool) -> str:
-    if not wide:
-        return raw.decode("ascii", "replace").rstrip("\0")
-    units = raw[: len(raw) // 2 * 2].decode("utf-16-le", "surrogatepass")
-    return "".join("�" if "\ud800" <= c <= "\udfff" else c for c in units if c != "\0")
+_PAIRS = re.compile(rb"[^\xfe]+|\xfe.", re.DOTALL)
+_NOT_WIDE = re.compile("[\ud800-\udfff]")
+
+
+def split_framed(raw: bytes) -> tuple[list[bytes], bytes]:
+    """The packets of a framed byte stream, and its end from where a later piece has to go on.
+
+    The stream is cut at its marks and the escapes between two marks are taken out. What follows an opening mark is a
+    packet as soon as it has the length it states, or else when the next mark comes.
+    """
+    units = _PAIRS.findall(raw)
+    loose = raw[sum(map(len, units)) :]  # an escape byte whose partner is still to come
+    marks = [n for n, unit in enumerate(units) if unit in (OPEN, CLOSE)]
+    packets: list[bytes] = []
+    for mark, following in zip(marks, [*marks[1:], None]):
+        if units[mark] == CLOSE:
+            continue
+        between = units[mark + 1 : following]
+        body = b"".join(ESCAPE if u == ESCAPE * 2 else b"" if u[:1] == ESCAPE else u for u in between)
+        stated = SIZE.unpack_from(body)[0] + SIZE.size if len(body) >= SIZE.size else None
+        if stated is not None and len(body) >= stated:
+            packets.append(body[:stated])
+        elif following is None:
+            return packets, OPEN + b"".join(between) + loose
+        elif body:
+            packets.append(body)
+    return packets, loose
+
+
+def _label(raw: bytes, wide: bool) -> str:
+    if wide:
+        text = raw[: len(raw) & ~1].decode("utf-16-le", "surrogatepass")
+        return _NOT_WIDE.sub("\ufffd", text).replace("\0", "")
+    return raw.decode("ascii", "replace").rstrip("\0")
+
+
+class Damaged(ValueError):
+    """A packet that ends before what it announces; the argument names the part that is cut off."""
+
+
+def _records(body: memoryview) -> Iterator[tuple[int, int, memoryview]]:
+    """(display, control, text) of each record that describes a display."""
+    while len(body) >= RECORD.size:
+        (display, control), body = RECORD.unpack_from(body), body[RECORD.size :]
+        shown = not control & NOT_A_DISPLAY
+        if len(body) < SIZE.size:
+            raise Damaged("length" if shown else "control-length")
+        (size,), body = SIZE.unpack_from(body), body[SIZE.size :]
+        if shown and size > len(body):
+            raise Damaged("text")
+        if shown:
+            yield display, control, body[:size]
+        body = body[size:]
 
 
 def displays(packet: bytes) -> list[tuple]:
     """Rows of one packet; a damaged packet ends with a row that names the problem."""
-    if len(packet) < 6:
-        return [(None,) * 7 + ("short",)]
-    length, _, flags, screen = unpack_from("<HBBH", packet)
-    end, at = length + 2, 6
-    if end > len(packet):
-        return [(None,) * 7 + ("pbc",)]
     rows: list[tuple] = []
-    while not flags & 2 and at + 4 <= end:
-        display, control = unpack_from("<HH", packet, at)
-        special, at = bool(control & 0x8000), at + 4
-        size = unpack_from("<H", packet, at)[0] if at + 2 <= end else None
-        problem = ("control-length" if special else "length") if size is None else None
-        if problem is None and not special and at + 2 + size > end:
-            problem = "text"
-        if problem:
-            return [*rows, (None,) * 7 + (problem,)]
-        body, at = packet[at + 2 : at + 2 + size], at + 2 + size
-        if not special:
-            rh, txt, lh, bright = (control >> s & 3 for s in (0, 2, 4, 6))
-            rows.append((screen, display, lh, rh, txt, bright, _text(body, bool(flags & 1)), None))
+    try:
+        if len(packet) < HEADER.size:
+            raise Damaged("short")
+        length, _, flags, screen = HEADER.unpack_from(packet)
+        whole = memoryview(packet)[: length + SIZE.size]
+        if len(whole) < length + SIZE.size:
+            raise Damaged("pbc")
+        for display, control, text in () if flags & NO_DISPLAYS else _records(whole[HEADER.size :]):
+            rh, txt, lh, brightness = (control >> bits & 3 for bits in (0, 2, 4, 6))
+            rows.append((screen, display, lh, rh, txt, brightness, _label(bytes(text), bool(flags & WIDE_TEXT)), None))
+    except Damaged as problem:
+        rows.append((*[None] * 7, str(problem)))
     return rows
 
 
-def parse_packets(packets: DataFrame, keys: list[str], column: str = "packet") -> DataFrame:
-    """One row per display of each packet, with its keys; damaged packets give a row with ``error``."""
+def _displays_of(frame: DataFrame, keys: list[str], column: str, packets_of) -> DataFrame:
+    """One row per display of the packets that ``packets_of`` finds in a cell, with its keys, in one pass."""
     names = [part.split()[0] for part in DISPLAY.split(", ")]
-    schema = ", ".join(f"{k} {packets.schema[k].dataType.simpleString()}" for k in keys) + ", " + DISPLAY
+    schema = ", ".join(f"{k} {frame.schema[k].dataType.simpleString()}" for k in keys) + ", " + DISPLAY
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
                 (*key, *row)
-                for *key, packet in batch[[*keys, column]].itertuples(index=False, name=None)
-                for row in displays(bytes(packet))
+                for *key, cell in batch[[*keys, column]].itertuples(index=False, name=None)
+                for packet in packets_of(bytes(cell))
+                for row in displays(packet)
             ]
             out = pd.DataFrame(rows, columns=[*keys, *names])
             yield out.astype({n: "Int32" for n in names[:6]})
 
-    return packets.select(*keys, column).mapInPandas(parse, schema)
+    return frame.select(*keys, column).mapInPandas(parse, schema)
 
 
-def datagram_packets(datagrams: DataFrame, keys: list[str], column: str = "data") -> DataFrame:
-    """Packets of datagrams: one each, or those between the marks of a framed one."""
+def parse_packets(packets: DataFrame, keys: list[str], column: str = "packet") -> DataFrame:
+    """One row per display of each packet, with its keys; damaged packets give a row with ``error``."""
+    return _displays_of(packets, keys, column, lambda packet: [packet])
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            framed = batch[column].map(lambda b: Unframe().feed(b) if b[:2] == bytes((DLE, STX)) else [b])
-            yield batch[keys].assign(packets=framed)
 
-    schema = ", ".join(f"{k} {datagrams.schema[k].dataType.simpleString()}" for k in keys) + ", packets array<binary>"
-    return datagrams.select(*keys, column).mapInPandas(cut, schema).select(*keys, F.explode("packets").alias("packet"))
+def datagram_displays(datagrams: DataFrame, keys: list[str], column: str = "data") -> DataFrame:
+    """One row per display of each datagram, which is a packet or, behind an opening mark, framed ones."""
+    return _displays_of(datagrams, keys, column, lambda data: split_framed(data)[0] if data.startswith(OPEN) else [data])
 
 
 def stream_packets(pieces: DataFrame, connection: str, order: str, column: str = "data") -> DataFrame:
-    """Packets of byte streams that arrive in pieces; a packet may span pieces, so the framing is folded."""
+    """Packets of byte streams that arrive in pieces; a packet may span pieces, so its open end is the folded state."""
 
     def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
-        stream = Unframe(state)
-        return {"packets": [stream.feed(b) for b in rows[column]]}, stream.state()
+        found, left = [], bytes.fromhex(state or "")
+        for piece in rows[column]:
+            packets, left = split_framed(left + bytes(piece))
+            found.append(packets)
+        return {"packets": found}, left.hex()
 
     found = fold_timeline(
         pieces.select(connection, order, column), [connection], [order], step, [StructField("packets", ArrayType(BinaryType()))]

@@ -283,13 +283,16 @@ def test_tally_text_and_errors():
 def test_tally_framing():
     body = bytes([4, 0, 0xFE, 2, 9, 9])
     framed = bytes([0xFE, 2]) + body.replace(b"\xfe", b"\xfe\xfe") + bytes([0xFE, 3])
-    stream = tally.Unframe()
-    packets = []
+    packets, left = [], b""
     for at in range(0, len(framed) * 2, 3):
-        piece = (framed + framed)[at : at + 3]
-        packets += stream.feed(piece)
-        stream = tally.Unframe(stream.state())
+        found, left = tally.split_framed(left + (framed + framed)[at : at + 3])
+        packets += found
     assert packets == [body, body]
+    # a mark ends a packet that is too short, bytes after the stated length and outside of packets go
+    short, long = b"\x09\x00ab", b"\x01\x00abc"
+    assert tally.split_framed(b"zz\xfe\x02" + short + b"\xfe\x02" + long + b"\xfe\x03\xfe\xfe\xfe\x02\xfe\x03\xfe") == ([short, b"\x01\x00a"], b"\xfe")
+    assert tally.split_framed(b"\xfe\x02\x02") == ([], b"\xfe\x02\x02")
+    assert tally.split_framed(b"\xfe\x02\x02\x00\xfe\x07a\xfe\xfe") == ([b"\x02\x00a\xfe"], b"")
 
 
 def test_tally_colour_and_display(spark):
