@@ -107,34 +107,44 @@ def drop_classify(events: DataFrame, history_ns: int, order: list[str]) -> DataF
 def input_stalls(events: DataFrame, timeout_ns: int, until_ns: Column) -> DataFrame:
     """``stopped`` (with a reason) and ``resumed`` (with the gap) events of each camera input.
 
-    ``event`` is recorded, skipped (read, not recordable) or closed (flow not there). An input stops when nothing was
-    recorded for the timeout; its next recorded grain resumes it.
+    ``event`` is connect, opened, recorded, skipped (read, not recordable) or closed (flow not there). The clock starts
+    with the connection, or else the first recorded grain. An input stops when nothing was recorded for the timeout,
+    because its flow isn't open at that moment, because grains since the last recorded one could not be used, or
+    because none came; its next recorded grain resumes it.
     """
-    instant = lambda kind: F.when(F.col("event") == kind, F.col("tai_ns"))
+    event = F.col("event")
+    instant = lambda *kinds: F.when(event.isin(*kinds), F.col("tai_ns"))
     seen = over_timeline(
-        events,
+        events.select("camera", "tai_ns", "event"),
         ["camera"],
         ["tai_ns"],
         _next=next_value(instant("recorded")),
-        _skip=next_value(instant("skipped")),
-        _closed=next_value(instant("closed")),
-    ).filter("event = 'recorded'")
-    at = F.col("tai_ns") + timeout_ns
+        _before=last_value(instant("recorded", "connect"), before=True),
+    )
+    clocks = seen.filter((event == "recorded") | ((event == "connect") & F.col("_before").isNull()))
+    at = (F.col("tai_ns") + timeout_ns).alias("tai_ns")
+    stops = clocks.filter(F.coalesce("_next", until_ns) >= F.col("tai_ns") + timeout_ns).select(
+        "camera", at, F.lit("stop").alias("event"), F.lit(1).alias("_late"), F.col("tai_ns").alias("_since"), "_next"
+    )
+    # what is known at a stop: the flow's last opening or closing, and the last grain that could not be used
+    line = events.select("camera", "tai_ns", "event", F.lit(0).alias("_late")).unionByName(stops, allowMissingColumns=True)
+    opened = F.when(event == "closed", F.lit(False)).when(event.isin("opened", "recorded", "skipped"), F.lit(True))
+    known = over_timeline(
+        line, ["camera"], ["tai_ns", "_late"], _open=last_value(opened), _skip=last_value(instant("skipped"))
+    ).filter("_late = 1")
     reason = (
-        F.when(F.col("_closed") <= at, "flow_missing").when(F.col("_skip") <= at, "invalid_grains").otherwise("no_grains")
+        F.when(~F.coalesce("_open", F.lit(False)), "flow_missing")
+        .when(F.col("_skip") > F.col("_since"), "invalid_grains")
+        .otherwise("no_grains")
     )
     no_gap = F.lit(None).cast("long")
-    stopped = F.struct(at.alias("tai_ns"), F.lit("stopped").alias("change"), reason.alias("reason"), no_gap.alias("gap_ns"))
+    stopped = F.struct("tai_ns", F.lit("stopped").alias("change"), reason.alias("reason"), no_gap.alias("gap_ns"))
     resumed = F.struct(
         F.col("_next").alias("tai_ns"), F.lit("resumed").alias("change"), F.lit(None).cast("string").alias("reason"),
-        (F.col("_next") - F.col("tai_ns")).alias("gap_ns"),
+        (F.col("_next") - F.col("_since")).alias("gap_ns"),
     )
     happened = F.when(F.col("_next").isNull(), F.array(stopped)).otherwise(F.array(stopped, resumed))
-    return (
-        seen.filter(F.coalesce("_next", until_ns) >= at)
-        .select("camera", F.explode(happened).alias("_e"))
-        .select("camera", "_e.*")
-    )
+    return known.select("camera", F.explode(happened).alias("_e")).select("camera", "_e.*")
 
 
 def audio_stalls(frames: DataFrame, limit: int) -> DataFrame:

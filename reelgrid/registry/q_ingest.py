@@ -60,29 +60,31 @@ def _(t):
     return ingest.drop_classify(events, HOUR, ["tai_ns"]).select("camera", "tai_ns", "event_id", "dropped")
 
 
-INPUT = "case event_type when 'error' then 'skipped' when 'signup' then 'closed' else 'recorded' end"
+# Camera 9 connects but never records, others close, open again or have grains that can't be used.
+INPUT_EVENTS = """cast(case when user_id % 13 = 0 then 9 else user_id % 4 + 1 end as int) camera;{tai} tai_ns;
+    case when user_id % 13 = 0 then case event_type when 'click' then 'connect' when 'view' then 'opened' else 'skipped' end
+    else case event_type when 'error' then 'skipped' when 'signup' then 'closed' when 'purchase' then 'opened' else 'recorded' end end event"""
 
+STALLS = f"""with e as (select {INPUT_EVENTS.format(tai='epoch_us(ts)*1000').replace(';', ',')} from events),
+    s as (select *, first_value(case when event='recorded' then tai_ns end ignore nulls) over (partition by camera order by tai_ns rows between 1 following and unbounded following) nx,
+        last_value(case when event in ('recorded','connect') then tai_ns end ignore nulls) over (partition by camera order by tai_ns rows between unbounded preceding and 1 preceding) pv from e),
+    g as (select s.*, tai_ns+{HOUR} at_ns from s where (event='recorded' or (event='connect' and pv is null)) and coalesce(nx, UNTIL)>=tai_ns+{HOUR}),
+    k as (select g.camera, g.tai_ns, g.nx, g.at_ns, arg_max(e.event, e.tai_ns) filter (e.event<>'connect') ev,
+        max(e.tai_ns) filter (e.event='skipped') sk from g left join e on e.camera=g.camera and e.tai_ns<=g.at_ns group by all)
+    select camera, at_ns tai_ns, 'stopped' change, case when coalesce(ev, 'closed')='closed' then 'flow_missing' when sk>tai_ns
+        then 'invalid_grains' else 'no_grains' end reason, cast(null as bigint) gap_ns from k
+    union all select camera, nx, 'resumed', null, nx-tai_ns from k where nx is not null"""
 
-@query(
-    "input_stall",
-    f"""with e as (select f.camera, f.tai_ns, {INPUT} ev from frames f join events using (event_id)),
-    u as (select max(tai_ns) u from e),
-    s as (select *, first_value(case when ev='recorded' then tai_ns end ignore nulls) over w nx,
-        first_value(case when ev='skipped' then tai_ns end ignore nulls) over w sk,
-        first_value(case when ev='closed' then tai_ns end ignore nulls) over w cl from e
-        window w as (partition by camera order by tai_ns rows between 1 following and unbounded following)),
-    g as (select s.* from s, u where ev='recorded' and coalesce(nx,u)>=tai_ns+{HOUR})
-    select camera, tai_ns+{HOUR} tai_ns, 'stopped' change, case when cl<=tai_ns+{HOUR} then 'flow_missing' when sk<=tai_ns+{HOUR}
-        then 'invalid_grains' else 'no_grains' end reason, cast(null as bigint) gap_ns from g
-    union all select camera, nx, 'resumed', null, nx-tai_ns from g where nx is not null""",
-    "frames",
-)
+
+def input_events(t):
+    tai = "unix_micros(cast(ts as timestamp)) * 1000"
+    return t.events.selectExpr(*INPUT_EVENTS.format(tai=tai).split(";"))
+
+
+@query("input_stall", STALLS.replace("UNTIL", "(select max(tai_ns) from e)"))
 def _(t):
-    events = t.events.selectExpr(
-        "cast(user_id % 4 + 1 as int) camera", "unix_micros(cast(ts as timestamp)) * 1000 tai_ns", f"{INPUT} event"
-    )
-    until = t.frames.agg(F.max("tai_ns")).scalar()
-    return ingest.input_stalls(events, HOUR, until)
+    events = input_events(t)
+    return ingest.input_stalls(events, HOUR, events.agg(F.max("tai_ns")).scalar())
 
 
 @query(

@@ -411,7 +411,8 @@ COMMANDS = """case kind when 'click' then 'play' when 'view' then case when valu
     else case when value<5 then 'live' when value<10 then 'stop' else 'scrub_seconds' end end"""
 
 
-ARGUMENT = "case when kind = 'view' and value < 20 then round(value) / 10 - 1 else cast(floor(value) as double) end"
+ARGUMENT = """case when kind = 'view' and value < 20 then round(value) / 10 - 1
+    when kind in ('click', 'view', 'error', 'purchase') then cast(floor(value) as double) else value / 8 end"""
 
 
 @query(
@@ -422,7 +423,7 @@ ARGUMENT = "case when kind = 'view' and value < 20 then round(value) / 10 - 1 el
         union all select channel, i, grain,
             case when cmd='live' then true when cmd in ('play','pause','seek','scrub_frames','scrub_seconds') or (cmd='goto_in' and mi is not null) or (cmd='goto_out' and mo is not null) then false else live end,
             case when cmd='play' then true when cmd in ('live','pause','stop','scrub_frames','scrub_seconds') or (cmd='goto_in' and mi is not null) or (cmd='goto_out' and mo is not null) then false else playing end,
-            case when cmd='seek' then tai-1000000000 when cmd='scrub_frames' then np+cast(arg as bigint)*{PERIOD} when cmd='scrub_seconds' then np+cast(arg as bigint)*1000000000
+            case when cmd='seek' then tai-1000000000 when cmd='scrub_frames' then np+cast(arg as bigint)*{PERIOD} when cmd='scrub_seconds' then np+cast(round(arg*1e9) as bigint)
                 when cmd='goto_in' and mi is not null then mi when cmd='goto_out' and mo is not null then mo else np end,
             case when cmd='speed' then greatest(-1.0, least(2.0, arg)) else speed end,
             case when cmd='mark_in' then greatest(0, np) else mi end, case when cmd='mark_out' then greatest(0, np) else mo end,

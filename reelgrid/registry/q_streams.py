@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelgrid.registry import ORACLES, query
-from reelgrid.registry.q_ingest import HOUR, INPUT
+from reelgrid.registry.q_ingest import HOUR, STALLS, input_events
 from reelgrid.registry.q_playout import ARGUMENT, COMMANDS
 from reelgrid.registry.q_sources import fresh_folder
 from reelgrid.registry.tables import Tables
@@ -17,11 +17,21 @@ LAST = "(select max(tai_ns) from frames)"
 
 
 class Streamed(Tables):
-    """The same views over the events as a stream."""
+    """The same views over the events as a stream of three files, one per trigger, so that state is carried on."""
 
     def base(self, name):
         static = super().base(name)
-        return jobs.files(self.spark, f"{self.folder}/{name}.parque[t]", static.schema)
+        if name not in self.cuts:
+            folder = fresh_folder(self.spark, "pieces")
+            low, high = static.selectExpr("percentile(event_id, array(0.33, 0.66))").first()[0]
+            for piece in (F.col("event_id") <= low, F.col("event_id").between(low, high) & (F.col("event_id") > low), F.col("event_id") > high):
+                static.filter(piece).coalesce(1).write.mode("append").parquet(folder)
+            self.cuts[name] = folder
+        return jobs.files(self.spark, self.cuts[name], static.schema, 1)
+
+    def __init__(self, spark, folder):
+        super().__init__(spark, folder)
+        self.cuts = {}
 
 
 def run(t, build, mode="append"):
@@ -72,27 +82,9 @@ def _(t):
     return run(t, build)
 
 
-@query(
-    "input_stall_stream",
-    f"""with e as (select f.camera, f.tai_ns, {INPUT} ev from frames f join events using (event_id)),
-    s as (select *, first_value(case when ev='recorded' then tai_ns end ignore nulls) over w nx,
-        first_value(case when ev='skipped' then tai_ns end ignore nulls) over w sk,
-        first_value(case when ev='closed' then tai_ns end ignore nulls) over w cl from e
-        window w as (partition by camera order by tai_ns rows between 1 following and unbounded following)),
-    g as (select s.* from s where ev='recorded' and coalesce(nx, {LAST}-600000000000)>=tai_ns+{HOUR})
-    select camera, tai_ns+{HOUR} tai_ns, 'stopped' change, case when cl<=tai_ns+{HOUR} then 'flow_missing' when sk<=tai_ns+{HOUR}
-        then 'invalid_grains' else 'no_grains' end reason, cast(null as bigint) gap_ns from g
-    union all select camera, nx, 'resumed', null, nx-tai_ns from g where nx is not null""",
-    "frames",
-)
+@query("input_stall_stream", STALLS.replace("UNTIL", "(select max(tai_ns)-600000000000 from e)"))
 def _(t):
-    def build(s):
-        events = s.events.selectExpr(
-            "cast(user_id % 4 + 1 as int) camera", "unix_micros(cast(ts as timestamp)) * 1000 tai_ns", f"{INPUT} event"
-        )
-        return state.stall_stream(jobs.event_time(events, "10 minutes"), HOUR)
-
-    return run(t, build)
+    return run(t, lambda s: state.stall_stream(jobs.event_time(input_events(s), "10 minutes"), HOUR))
 
 
 @query(
@@ -118,17 +110,14 @@ def _(t):
     return run(t, lambda s: jobs.connected_stream(jobs.event_time(s.frames.select("camera", "tai_ns"), "10 minutes"), "30 minutes"))
 
 
-@query(
-    "unsupported_stream",
-    "select distinct camera, 'flow-'||(payload_id%2) flow, 'interlaced' reason from frames where payload_id%10<4",
-    "frames",
-)
+@query("unsupported_stream")
 def _(t):
     def build(s):
         checks = s.frames.selectExpr(
-            "camera", "tai_ns", "concat('flow-', payload_id % 2) flow", "case when payload_id % 10 < 4 then 'interlaced' end reason"
-        ).filter("reason is not null")
-        return jobs.unsupported_stream(jobs.event_time(checks, "1 hour")).select("camera", "flow", "reason")
+            "camera", "tai_ns", "event_id", "concat('flow-', payload_id % 2) flow",
+            "case when payload_id % 10 < 4 then 'interlaced' when payload_id % 10 < 6 then 'raster' end reason",
+        )
+        return jobs.unsupported_stream(checks, ["tai_ns", "event_id"])
 
     return run(t, build)
 
@@ -139,7 +128,7 @@ def _(t):
 )
 def _(t):
     return run(
-        t, lambda s: jobs.phase_stream(jobs.event_time(s.grains, "1 second"), 3, 20_000_000, "payload_id", "1 second")
+        t, lambda s: jobs.phase_stream(s.grains, 3, 20_000_000, "payload_id", "1 second", "1 second")
     )
 
 
@@ -161,5 +150,5 @@ def _(t):
 
 
 # The streams give what the batch operators give.
-for _name, _batch in (("tally_play_stream", "tally_play"), ("transport_stream", "transport_fold")):
+for _name, _batch in (("tally_play_stream", "tally_play"), ("transport_stream", "transport_fold"), ("unsupported_stream", "unsupported_once")):
     ORACLES[_name] = ORACLES[_batch]

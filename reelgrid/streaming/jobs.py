@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from reelgrid.operators.ingest import interleaved, last_writes
 from reelgrid.operators.timeline import TALLY_FIELDS, TRANSPORT_FIELDS, tally_step, transport_step
@@ -15,10 +16,9 @@ from reelgrid.plans.fold import Rows
 from reelgrid.streaming.state import fold_stream
 
 
-def files(spark: SparkSession, path: str, schema: StructType, per_trigger: int | None = None) -> DataFrame:
-    """A stream over Parquet files; ``per_trigger`` bounds what one trigger reads."""
-    reader = spark.readStream.schema(schema)
-    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).parquet(path)
+def files(spark: SparkSession, path: str, schema: StructType, per_trigger: int) -> DataFrame:
+    """A stream over Parquet files, oldest first; a trigger, and so a key's rows in it, is ``per_trigger`` files."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
 
 
 def event_time(rows: DataFrame, delay: str, column: str = "tai_ns") -> DataFrame:
@@ -74,9 +74,13 @@ def transport_stream(commands: DataFrame, order: list[str], period_ns: int, dela
     return fold_stream(commands, ["channel"], order, transport_step(period_ns, delay_ns, cameras), TRANSPORT_FIELDS)
 
 
-def phase_stream(grains: DataFrame, phases: int, house_ns: int, order: str, window: str) -> DataFrame:
-    """Interleaved phases of a stream: a house grain is written when the watermark has passed its window."""
-    spans = grains.withColumn("_w", F.window("ts", window))
+def phase_stream(grains: DataFrame, phases: int, house_ns: int, order: str, window: str, delay: str) -> DataFrame:
+    """Interleaved phases of a stream: a house grain is written when the watermark has passed its window.
+
+    The window is that of the house grain's start, so phases that arrive on both sides of an edge stay together.
+    """
+    start = F.timestamp_micros(F.expr(f"house_index * {house_ns} div 1000"))
+    spans = grains.withColumn("_start", start).withWatermark("_start", delay).withColumn("_w", F.window("_start", window))
     return interleaved(spans.groupBy("camera", "house_index", "_w").agg(*last_writes(phases, order)), phases, house_ns)
 
 
@@ -94,9 +98,26 @@ def connected_stream(frames: DataFrame, stall: str) -> DataFrame:
     )
 
 
-def unsupported_stream(checks: DataFrame) -> DataFrame:
-    """One report per camera, flow and reason while the watermark remembers it."""
-    return checks.dropDuplicatesWithinWatermark(["camera", "flow", "reason"])
+def unsupported_step(state: str | None, rows: Rows) -> tuple[Rows, str]:
+    """A reason is news unless the check before it had one for the same flow; that check is the state."""
+    before = json.loads(state) if state else [None, None]
+    news = []
+    for flow, reason in zip(rows["flow"], rows["reason"], strict=True):
+        news.append(reason is not None and (before[1] is None or before[0] != flow))
+        before = [flow, reason]
+    return {"news": news}, json.dumps(before)
+
+
+def unsupported_stream(checks: DataFrame, order: list[str]) -> DataFrame:
+    """The reports of :func:`~reelgrid.operators.ingest.unsupported_once` on a stream."""
+    names = {"_flow": StringType(), "_reason": StringType(), "news": BooleanType()}
+
+    def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
+        found, after = unsupported_step(state, rows)
+        return {"_flow": rows["flow"], "_reason": rows["reason"], **found}, after
+
+    told = fold_stream(checks, ["camera"], order, step, [StructField(n, t) for n, t in names.items()])
+    return told.filter("news").select("camera", *order, F.col("_flow").alias("flow"), F.col("_reason").alias("reason"))
 
 
 def snapshot_sink(stream: DataFrame, folder: str, summarise: Callable[[DataFrame], DataFrame], every: str | None = "1 second"):

@@ -78,34 +78,41 @@ class StallProcessor(StatefulProcessor):
         self.handle.registerTimer((last + self.timeout_ns) // 1_000_000)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        batch = pd.concat(list(rows), ignore_index=True).sort_values("tai_ns")
-        # The last recorded instant, whether a stop was reported, and what came since: skipped grains, a closed flow.
-        last, stopped, skipped, closed = json.loads(self.state.get()[0]) if self.state.exists() else (None, False, 0, 0)
+        # One trigger's rows of one key; the source's per-trigger limit bounds them.
+        batch = pd.concat(list(rows), ignore_index=True).sort_values("tai_ns", kind="stable")
+        now = self._now()
         for tai, event in zip(batch["tai_ns"].tolist(), batch["event"].tolist(), strict=True):
-            if last is not None and not stopped and tai > last + self.timeout_ns:
-                yield self._event(key, last + self.timeout_ns, "stopped", self._reason(skipped, closed), None)
-                stopped = True
+            due = None if now["last"] is None or now["stopped"] else now["last"] + self.timeout_ns
+            if due is not None and (tai > due or (tai == due and event == "recorded")):
+                yield self._event(key, due, "stopped", self._reason(now), None)
+                now["stopped"] = True
             if event == "recorded":
-                if last is not None and not stopped and tai == last + self.timeout_ns:
-                    yield self._event(key, tai, "stopped", self._reason(skipped, closed), None)
-                    stopped = True
-                if stopped:
-                    yield self._event(key, tai, "resumed", None, tai - last)
-                last, stopped, skipped, closed = tai, False, 0, 0
-            elif not stopped:
-                skipped, closed = skipped + (event == "skipped"), closed + (event == "closed")
-        self.state.update((json.dumps([last, stopped, skipped, closed]),))
-        if last is not None and not stopped:
-            self._watch(last)
-
-    def _reason(self, skipped: int, closed: int) -> str:
-        return "flow_missing" if closed else "invalid_grains" if skipped else "no_grains"
+                if now["stopped"]:
+                    yield self._event(key, tai, "resumed", None, tai - now["last"])
+                now |= {"last": tai, "stopped": False, "skipped": False}
+            elif event == "connect" and now["last"] is None:
+                now |= {"last": tai, "skipped": False}
+            elif event == "skipped":
+                now["skipped"] = True
+            if event != "connect":
+                now["open"] = event != "closed"
+        self.state.update((json.dumps(now),))
+        if now["last"] is not None and not now["stopped"]:
+            self._watch(now["last"])
+
+    def _now(self) -> dict:
+        """The last recorded instant or the connection, whether it is stopped, the flow open, a grain unusable since."""
+        fresh = {"last": None, "stopped": False, "open": False, "skipped": False}
+        return json.loads(self.state.get()[0]) if self.state.exists() else fresh
+
+    def _reason(self, now: dict) -> str:
+        return "flow_missing" if not now["open"] else "invalid_grains" if now["skipped"] else "no_grains"
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        last, stopped, skipped, closed = json.loads(self.state.get()[0])
-        if last is not None and not stopped:
-            self.state.update((json.dumps([last, True, skipped, closed]),))
-            yield self._event(key, last + self.timeout_ns, "stopped", self._reason(skipped, closed), None)
+        now = self._now()
+        if now["last"] is not None and not now["stopped"]:
+            yield self._event(key, now["last"] + self.timeout_ns, "stopped", self._reason(now), None)
+            self.state.update((json.dumps(now | {"stopped": True}),))
 
     def close(self) -> None:
         pass
