@@ -4,7 +4,9 @@ Some states are neither sums nor extremes. Each task walks one contiguous chunk,
 at every new key. Only the first key of a chunk may continue from the chunk before, so only a chunk filled by a single
 key can pass on a state that depends on its own entry. Chunks are first walked without an entry; those single-key
 chunks are walked again while their entry turns out different. Most states forget where they came from within a
-chunk, so a few rounds suffice; the result is exact either way.
+chunk, so ``ROUNDS`` rounds suffice. A key that still differs then keeps its state over many chunks; what is left of it,
+from its first open chunk to its end, is walked once, by one task in batches, which settles it. So the number of jobs
+doesn't depend on the number of chunks, and no row is walked more than ``ROUNDS`` + 3 times.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from reelgrid.plans.ordered import CHUNK, spread
 
 BATCH_ROWS = 10_000
+#: Rounds in which all open chunks are walked again side by side.
+ROUNDS = 2
 Rows = dict[str, list]
 Step = Callable[[str | None, Rows], tuple[Rows, str]]
 
@@ -48,7 +52,10 @@ def fold_timeline(
     kept = [*[rows.schema[c] for c in [*keys, *order, *(keep or [])]], *([cut.schema[CHUNK]] if keep_chunk else [])]
     out_schema = StructType([*kept, *output])
 
-    def walk(batches: Iterator[pa.RecordBatch], entries: dict[int, str]) -> Iterator[tuple[int, tuple, str, Rows]]:
+    def walk(
+        batches: Iterator[pa.RecordBatch], entries: dict[int, str], on: bool = False
+    ) -> Iterator[tuple[int, tuple, str, Rows]]:
+        # ``on``: a key's chunks follow each other here, and the state goes on from one to the next
         chunk, key, state = None, None, None
         for batch in batches:
             data = batch.to_pydict()
@@ -56,7 +63,7 @@ def fold_timeline(
             begin = 0
             for (here, *mine), run in groupby(named):
                 end = begin + sum(1 for _ in run)
-                if here != chunk:
+                if here != chunk and not (on and mine == key):
                     state = entries.get(here)
                 elif mine != key:
                     state = None
@@ -66,10 +73,10 @@ def fold_timeline(
                 yield chunk, key, state, {**{f.name: part[f.name] for f in kept if f.name != CHUNK}, **found}
                 begin = end
 
-    def exits(entries: dict[int, str]):
+    def exits(entries: dict[int, str], on: bool = False):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends: dict[int, list[str]] = {}
-            for chunk, key, state, _ in walk(batches, entries):
+            for chunk, key, state, _ in walk(batches, entries, on):
                 name = json.dumps(key, default=str)
                 ends[chunk] = [ends.get(chunk, [name])[0], name, state]
             if ends:
@@ -103,17 +110,34 @@ def fold_timeline(
     # One row per chunk: as many as there are partitions.
     ends = {r[CHUNK]: r for r in cut.mapInArrow(exits({}), exit_schema).collect()}
     walked: dict[int, str | None] = {}
-    while True:
-        entries, before = {}, None
+
+    def entered() -> dict[int, str]:
+        """The state that each chunk's first key brings along from the chunk before, as far as it is known."""
+        found, before = {}, None
         for chunk in sorted(ends):
             if before is not None and ends[chunk].first_key == before.last_key:
-                entries[chunk] = before.state
+                found[chunk] = before.state
             before = ends[chunk]
-        stale = [
-            c for c, e in ends.items() if e.first_key == e.last_key and entries.get(c) != walked.get(c)
-        ]
+        return found
+
+    for round_ in range(ROUNDS + 2):
+        entries = entered()
+        alone = [c for c, e in sorted(ends.items()) if e.first_key == e.last_key]
+        stale = [c for c in alone if entries.get(c) != walked.get(c)]
         if not stale:
             return cut.mapInArrow(emit(entries), out_schema)
-        walked = {**walked, **{c: entries.get(c) for c in stale}}
-        again = cut.filter(F.col(CHUNK).isin(stale)).mapInArrow(exits(entries), exit_schema)
-        ends.update({r[CHUNK]: r for r in again.collect()})
+        if round_ < ROUNDS:
+            walked |= {c: entries.get(c) for c in stale}
+            again = cut.filter(F.col(CHUNK).isin(stale)).mapInArrow(exits(entries), exit_schema)
+            ends.update({r[CHUNK]: r for r in again.collect()})
+            continue
+        first: dict[str, int] = {}
+        for c in stale:
+            first.setdefault(ends[c].first_key, c)
+        rest = [c for c in alone if c >= first.get(ends[c].first_key, c + 1)]
+        seeds = {c: entries[c] for c in first.values() if c in entries}
+        line = cut.filter(F.col(CHUNK).isin(rest)).repartition(*keys).sortWithinPartitions(*keys, CHUNK, *order)
+        ends.update({r[CHUNK]: r for r in line.mapInArrow(exits(seeds, True), exit_schema).collect()})
+        entries = entered()
+        walked |= {c: entries.get(c) for c in rest}
+    raise AssertionError("a chunk's entry changed after its key was walked to the end")

@@ -129,6 +129,25 @@ def plan(df):
     return df._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("chunks", [4, 16, 48])
+def test_a_kept_state_needs_few_jobs(spark, chunks):
+    from reelgrid.operators.timeline import transport_fold
+
+    rows = [(c, g, g * 20, "mark_in" if g == 5 else "pause", 0.0, 0) for c in (1, 2) for g in range(400)]
+    commands = spark.createDataFrame(rows, "channel int, grain long, tai_ns long, command string, argument double, to_ns long")
+    before, group = spark.conf.get("spark.sql.shuffle.partitions"), f"kept {chunks}"
+    spark.conf.set("spark.sql.shuffle.partitions", chunks)
+    spark.sparkContext.setJobGroup(group, "")
+    try:
+        found = transport_fold(commands, ["grain"], 20, 40, 4)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+        assert jobs <= 12
+        assert {(r.grain >= 5, r.in_ns) for r in found.collect()} == {(False, None), (True, 0)}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_no_nested_loops_or_whole_key_windows(spark):
     import __spark_entry__ as contract
 
