@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from reelgrid.functions.identity import ENUMS, normalise, serial
+from reelgrid.functions.identity import normalise, serial
 from reelgrid.functions.playout import play_time
 
 # The accepted ranges of catalogue fields, as (field, low, high, whole numbers only).
 CLIP_SPEED = (0.01, 2.0)
-CHANNEL_SPEED = (-1.0, 2.0)
 LIMITS = [
     ("transition_frames", 0, 250, True),
     ("audio_frames", -1, 250, True),
@@ -132,27 +131,28 @@ def shots(clips: DataFrame, playlists: DataFrame) -> DataFrame:
     return one.unionByName(many).withColumn("serial", serial("id"))
 
 
-def first_clips(entries: DataFrame, clips: DataFrame, top: int = 3) -> DataFrame:
-    """The first distinct existing clips of each playlist (three are drawn as a stack)."""
+def first_clips(entries: DataFrame, clips: DataFrame, top: int | None = None) -> DataFrame:
+    """The distinct existing clips of each playlist in order, the first ``top`` if given."""
     first = (
         entries.join(clips.select(F.col("id").alias("clip_id")), "clip_id", "left_semi")
         .groupBy("playlist", "clip_id")
         .agg(F.min("position").alias("position"))
     )
     rank = F.row_number().over(Window.partitionBy("playlist").orderBy("position"))
-    return first.withColumn("place", rank).filter(F.col("place") <= top)
+    placed = first.withColumn("place", rank)
+    return placed if top is None else placed.filter(F.col("place") <= top)
 
 
 def clip_rule(prefix: str = "") -> Column:
-    """First broken rule of a clip edit, null when it is fine."""
+    """The field and kind of the first broken rule of a clip edit, null when it is fine."""
     col = lambda n: F.col(prefix + n)
     low, high = CLIP_SPEED
     return (
-        F.when(~normalise("motion", col("motion"))["ok"], "motion must be repeat, blend or interpolate")
-        .when(~normalise("audio", col("audio"))["ok"], "audio must be mute, stretch or follow")
-        .when(~normalise("end_action", col("end_action"))["ok"], "end must be freeze, black, loop, next or return-to-live")
-        .when(col("out_ns") < col("in_ns"), "out_ns must not be before in_ns")
-        .when((col("speed") < low) | (col("speed") > high), "speed must be between 0.01 and 2")
+        F.when(~normalise("motion", col("motion"))["ok"], "motion:unknown")
+        .when(~normalise("audio", col("audio"))["ok"], "audio:unknown")
+        .when(~normalise("end_action", col("end_action"))["ok"], "end_action:unknown")
+        .when(col("out_ns") < col("in_ns"), "out_ns:order")
+        .when((col("speed") < low) | (col("speed") > high), "speed:range")
     )
 
 
@@ -164,8 +164,7 @@ def limit_rule(fields: list[str]) -> Column:
         bad = (value < low) | (value > high)
         if whole:
             bad = bad | (value != F.floor(value))
-        noun = "an integer" if whole else "a number"
-        rule = F.when(bad, f"{name} must be {noun} from {low} to {high}").otherwise(rule)
+        rule = F.when(bad, f"{name}:range").otherwise(rule)
     return rule
 
 
@@ -173,11 +172,11 @@ def entry_rule() -> Column:
     """First broken rule of a playlist entry, in the order the fields are read."""
     low, high = CLIP_SPEED
     return (
-        F.when(F.col("clip_id").isNull() | (F.col("clip_id") == ""), "each entry needs a clip_id")
-        .when(~normalise("end_action", "end_action")["ok"], "end must be freeze, black, loop, next or return-to-live")
-        .when(~normalise("transition", "transition")["ok"], "transition must be cut or mix")
+        F.when(F.col("clip_id").isNull() | (F.col("clip_id") == ""), "clip_id:missing")
+        .when(~normalise("end_action", "end_action")["ok"], "end_action:unknown")
+        .when(~normalise("transition", "transition")["ok"], "transition:unknown")
         .when(limit_rule(["transition_frames", "audio_frames"]).isNotNull(), limit_rule(["transition_frames", "audio_frames"]))
-        .when((F.col("speed") < low) | (F.col("speed") > high), "an entry's speed must be between 0.01 and 2")
+        .when((F.col("speed") < low) | (F.col("speed") > high), "speed:range")
     )
 
 
@@ -199,8 +198,8 @@ def create_clips(requests: DataFrame, cameras: DataFrame, first_serial: int | Co
     ).scalar()
     error = (
         F.when(
-            F.col("in_ns").isNull() | F.col("out_ns").isNull() | (F.col("out_ns") <= F.col("in_ns")), "mark IN and OUT first"
-        ).when(~F.col("force") & F.col("over_cap"), "over the protection cap")
+            F.col("in_ns").isNull() | F.col("out_ns").isNull() | (F.col("out_ns") <= F.col("in_ns")), "marks:order"
+        ).when(~F.col("force") & F.col("over_cap"), "cap:exceeded")
     )
     one = F.filter(F.col("_cams"), lambda c: c["camera"] == F.col("camera"))
     alone = F.array(
@@ -237,6 +236,3 @@ def create_clips(requests: DataFrame, cameras: DataFrame, first_serial: int | Co
         F.col("_cam.colour").alias("colour"),
         F.when(made & F.col("all_angles"), F.concat(F.lit("group-"), base)).alias("group_id"),
     )
-
-
-DEFAULTS = {kind: default for kind, (_, default, _) in ENUMS.items()}

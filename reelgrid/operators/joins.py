@@ -53,13 +53,18 @@ def angle_align(positions: DataFrame, cameras: DataFrame, frames: DataFrame) ->
 
 
 def dangling(sources: DataFrame, column: str, targets: DataFrame) -> DataFrame:
-    """Flag references whose target is gone; a cleared reference is what a delete leaves behind."""
+    """Flag references whose target is gone; a cleared reference is what a delete leaves behind.
+
+    Rows that refer to nothing, mostly the greater part, are set aside and don't meet in the join.
+    """
+    named = F.coalesce(F.col(column) != "", F.lit(False))
     known = targets.select(F.col("id").alias(column), F.lit(True).alias("_known"))
-    joined = sources.join(known, column, "left")
-    gone = (F.col(column) != "") & F.col("_known").isNull()
-    return joined.withColumn("dangling", gone).withColumn(
-        "cleared", F.when(gone, "").otherwise(F.col(column))
-    ).drop("_known")
+    joined = sources.filter(named).join(known, column, "left")
+    gone = F.col("_known").isNull()
+    flagged = joined.withColumn("dangling", gone).withColumn("cleared", F.when(gone, "").otherwise(F.col(column)))
+    free = sources.filter(~named)
+    none = F.when(F.col(column).isNull(), F.lit(None)).otherwise(F.lit(False))
+    return flagged.drop("_known").unionByName(free.withColumn("dangling", none).withColumn("cleared", F.col(column)))
 
 
 def display_channel(tally: DataFrame, mapping: str, screen: int | None = None) -> DataFrame:

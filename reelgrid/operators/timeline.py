@@ -31,9 +31,8 @@ from reelgrid.plans.ordered import (
     spread,
 )
 
-# How far ahead demands look, and how many frames they name.
+# Fixed value: how far ahead demands for pairs look.
 PAIR_GRAINS = 8
-FRAME_LIMIT = 8
 
 
 def speed_ramp(ticks: DataFrame, ramp: int) -> DataFrame:
@@ -194,9 +193,9 @@ def pair_demand(states: DataFrame, period_ns: int, snap: float, grains: int = PA
 
 
 def frame_demand(
-    states: DataFrame, period_ns: int, snap: float, grains: int, until: str | None = None, limit: int = FRAME_LIMIT
+    states: DataFrame, period_ns: int, snap: float, grains: int, until: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Frames the next grains show and the current one does not, in first-need order, at most ``limit``.
+    """Frames the next grains show and the current one does not, in first-need order, the first ``limit`` if given.
 
     Nothing before frame 0 and, with ``until``, nothing whose time lies after that OUT column.
     """
@@ -212,7 +211,8 @@ def frame_demand(
     need = fresh.groupBy("state", "frame").agg(F.min(F.col("g") * 2 + F.col("_side")).alias("_first"))
     # A state names at most two frames per grain, so its window is small.
     rank = F.row_number().over(Window.partitionBy("state").orderBy("_first"))
-    return need.withColumn("place", rank).filter(F.col("place") <= limit).select("state", "frame", "place")
+    placed = need.select("state", "frame", rank.alias("place"))
+    return placed if limit is None else placed.filter(F.col("place") <= limit)
 
 
 def grid_resyncs(grains: DataFrame) -> DataFrame:

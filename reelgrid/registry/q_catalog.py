@@ -179,7 +179,7 @@ def _(t):
     "entries clips",
 )
 def _(t):
-    return catalog.first_clips(t.entries, t.clips)
+    return catalog.first_clips(t.entries, t.clips, 3)
 
 
 @query(
@@ -210,7 +210,7 @@ def _(t):
     f"""with c as (select * from (values {CAMERAS}) v(camera, label, colour)),
     r as (select event_id request, cast(user_id%4+1 as int) camera, epoch_us(ts)*1000 in_ns, epoch_us(ts)*1000+(event_id%7-1)*1000000000 out_ns,
         value%4-1 target_speed, event_id%3=0 all_angles, event_id%2=0 force, event_id%5=0 over_cap, case when event_id%4=0 then '' else 'goal' end nm from events where event_type='click'),
-    e as (select *, case when out_ns<=in_ns then 'mark IN and OUT first' when not force and over_cap then 'over the protection cap' end error from r),
+    e as (select *, case when out_ns<=in_ns then 'marks:order' when not force and over_cap then 'cap:exceeded' end error from r),
     m as (select *, sum(made) over (order by request)-made b from (select *, case when error is not null then 0 when all_angles then 4 else 1 end made from e)),
     o as (select m.*, c.camera cc, c.label, c.colour, case when all_angles then c.camera-1 else 0 end nth from m join c on error is null and (all_angles or c.camera=m.camera))
     select request, error, 'clip-'||(b+nth+5000) id, case when nm='' then 'clip-'||(b+nth+5000) else nm end||case when all_angles then ' '||label else '' end as name, cc camera, in_ns, out_ns,
@@ -261,12 +261,16 @@ def _(t):
 
 @query(
     "clip_delete",
-    """select c.camera, in_ns begin_ns, out_ns end_ns, count(*) holders from clips c where not library and 'x'||id not in (select 'xclip-'||event_id from events where event_id%5=0) group by all""",
+    """with k as (select * from clips where id not in (select 'clip-'||event_id from events where event_id%5=0))
+    select camera, in_ns begin_ns, out_ns end_ns, count(*) holders, null as id from k where not library group by all
+    union all select camera, in_ns, out_ns, null, id from k""",
     "clips",
 )
 def _(t):
     doomed = t.events.filter("event_id % 5 = 0").selectExpr("concat('clip-', event_id) id")
-    return edits.delete_clips(t.clips, doomed)[1]
+    left, ranges = edits.delete_clips(t.clips, doomed)
+    clips = left.selectExpr("camera", "in_ns begin_ns", "out_ns end_ns", "id")
+    return ranges.unionByName(clips, allowMissingColumns=True)
 
 
 @query(
@@ -287,12 +291,14 @@ RULED = """select event_id, case when event_id%9=0 then '' else 'clip-'||event_i
 @query(
     "catalog_validate",
     f"""with r as (select * replace (case end_action when 'view' then 'freeze' when 'click' then 'live' when 'purchase' then 'next' else end_action end as end_action) from ({RULED}))
-    select event_id, case when clip_id='' then 'each entry needs a clip_id' when end_action not in ('freeze','live','next') then 'end must be freeze, black, loop, next or return-to-live'
-        when transition='wipe' then 'transition must be cut or mix' when transition_frames>250 then 'transition_frames must be an integer from 0 to 250'
-        when audio_frames<-1 or audio_frames>250 then 'audio_frames must be an integer from -1 to 250' when speed<0.01 or speed>2 then 'an entry''s speed must be between 0.01 and 2' end entry_problem,
-        case when level_db<-60 or level_db>12 then 'level_db must be a number from -60 to 12' when fade_out_frames>1000 then 'fade_out_frames must be an integer from 0 to 1000'
-        when duck_db<-60 or duck_db>0 then 'duck_db must be a number from -60 to 0' when attack_ms>5000 then 'attack_ms must be an integer from 0 to 5000'
-        when release_ms>10000 then 'release_ms must be an integer from 0 to 10000' end aux_problem from r""",
+    select event_id, case when clip_id='' then 'clip_id:missing' when end_action not in ('freeze','live','next') then 'end_action:unknown'
+        when transition='wipe' then 'transition:unknown' when transition_frames>250 then 'transition_frames:range'
+        when audio_frames<-1 or audio_frames>250 then 'audio_frames:range' when speed<0.01 or speed>2 then 'speed:range' end entry_problem,
+        case when level_db<-60 or level_db>12 then 'level_db:range' when fade_out_frames>1000 then 'fade_out_frames:range'
+        when duck_db<-60 or duck_db>0 then 'duck_db:range' when attack_ms>5000 then 'attack_ms:range'
+        when release_ms>10000 then 'release_ms:range' end aux_problem,
+        case when event_id%7=0 then 'motion:unknown' when event_id%8=0 then 'audio:unknown' when end_action not in ('freeze','live','next') then 'end_action:unknown'
+        when event_id%11=0 then 'out_ns:order' when speed<0.01 or speed>2 then 'speed:range' end clip_problem from r""",
 )
 def _(t):
     rows = t.events.selectExpr(
@@ -303,7 +309,13 @@ def _(t):
         "event_id % 5500 attack_ms", "event_id % 10500 release_ms",
     )
     aux = catalog.limit_rule(["level_db", "fade_out_frames", "duck_db", "attack_ms", "release_ms"])
-    return rows.select("event_id", catalog.entry_rule().alias("entry_problem"), aux.alias("aux_problem"))
+    clip = rows.selectExpr(
+        "*", "case when event_id % 7 = 0 then 'warp' else 'blend' end c_motion", "case when event_id % 8 = 0 then 'loud' else 'follow' end c_audio",
+        "end_action c_end_action", "1 c_in_ns", "event_id % 11 c_out_ns", "speed c_speed",
+    )
+    return clip.select(
+        "event_id", catalog.entry_rule().alias("entry_problem"), aux.alias("aux_problem"), catalog.clip_rule("c_").alias("clip_problem")
+    )
 
 
 @query(

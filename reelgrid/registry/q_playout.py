@@ -157,8 +157,7 @@ def _(t):
         case when least(ph,1-ph)<=0.1 then lo+case when ph>=0.5 then 1 else 0 end when motion='repeat' then lo+case when ph>=0.5 then 1 else 0 end else lo+1 end cb from n),
     w as (select state, a frame, g*2 o from f union all select state, b, g*2+1 from f),
     d as (select w.state, frame, min(o) o from w join c using (state) where frame<>ca and frame<>cb group by all)
-    select state, frame, cast(row_number() over (partition by state order by o) as int) place from d
-    qualify row_number() over (partition by state order by o)<=8""",
+    select state, frame, cast(row_number() over (partition by state order by o) as int) place from d""",
     "probes",
 )
 def _(t):
