@@ -121,7 +121,6 @@ def duck_ramp(samples: DataFrame, key: str, depth_db: float, attack: float, rele
     cut = spread(samples, [key], ["n"])
     seen = running(cut, [key], ["n"], _i=running_count(), _was=previous_row("ducked"))
     new = F.coalesce(F.col("_was.ducked") != F.col("ducked"), F.lit(True))
-    runs = running(seen, [key], ["n"], again=True, _start=last_value(F.when(new, F.col("_i"))))
     starts = seen.filter(new).select(key, "_i", "ducked")
 
     def line(db: float, ducked: bool, k: int) -> float:
@@ -136,12 +135,15 @@ def duck_ramp(samples: DataFrame, key: str, depth_db: float, attack: float, rele
             found.append(db)
         return {"_db": found}, json.dumps([db, ducked, since])
 
-    begun = fold_timeline(starts, [key], ["_i"], step, [StructField("_db", DoubleType())]).withColumnRenamed("_i", "_start")
+    begun = fold_timeline(starts, [key], ["_i"], step, [StructField("_db", DoubleType())])
+    # a run's start meets its own sample and is carried on from there, so a long run is no join key
+    met = seen.join(begun, [key, "_i"], "left").withColumn("_run", F.when(F.col("_db").isNotNull(), F.struct(F.col("_i").alias("_start"), "_db")))
+    runs = running(met.drop("_db"), [key], ["n"], _last=last_value("_run")).select("*", "_last._start", "_last._db")
     k = F.col("_i") - F.col("_start") + 1
     db = F.when(F.col("ducked"), F.greatest(F.lit(depth), F.col("_db") - k * down)).otherwise(
         F.least(F.lit(0.0), F.col("_db") + k * up)
     )
-    return runs.join(begun, [key, "_start"]).select(*samples.columns, db.alias("gain_db"))
+    return runs.select(*samples.columns, db.alias("gain_db"))
 
 
 def aux_position(position: Column, in_ns: Column, num: int, den: int, period_ns: int) -> Column:

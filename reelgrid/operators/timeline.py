@@ -39,7 +39,7 @@ def speed_ramp(ticks: DataFrame, ramp: int) -> DataFrame:
     """Speed applied on each grain of a channel; a grain with a ``target`` starts a linear ramp to it.
 
     Within a command the speed has a closed form in the grains since it. Only where a command starts from depends on
-    the one before, so the commands alone are folded and joined back to their grains.
+    the one before, so the commands alone are folded, meet their own grain, and are carried on from there.
     """
     wanted = F.when(F.col("target").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.col("target"))))
     cut = spread(ticks.withColumn("_to", wanted), ["channel"], ["grain"])
@@ -48,7 +48,6 @@ def speed_ramp(ticks: DataFrame, ramp: int) -> DataFrame:
         ["channel"],
         ["grain"],
         _n=running_count(),
-        _command=last_value(F.when(F.col("_to").isNotNull(), F.col("grain"))),
         _target=last_value("_to"),
     )
     commands = counted.filter("_to is not null").select("channel", "grain", "_to", "_n")
@@ -64,12 +63,15 @@ def speed_ramp(ticks: DataFrame, ramp: int) -> DataFrame:
         return {"_from": starts, "_since": rows["_n"]}, json.dumps([origin, target, since])
 
     fields = [StructField("_from", DoubleType()), StructField("_since", LongType())]
-    started = fold_timeline(commands, ["channel"], ["grain"], step, fields).withColumnRenamed("grain", "_command")
+    started = fold_timeline(commands, ["channel"], ["grain"], step, fields)
+    begun = F.when(F.col("_since").isNotNull(), F.struct("_from", "_since"))
+    met = counted.join(started, ["channel", "grain"], "left").withColumn("_begun", begun).drop("_from", "_since")
+    carried = running(met, ["channel"], ["grain"], _last=last_value("_begun")).select("*", "_last._from", "_last._since")
     done = F.least(F.col("_n") - F.col("_since") + 1, F.lit(ramp)) / F.lit(max(1, ramp))
     speed = F.when(F.col("_from").isNull(), 1.0).otherwise(
         F.when(F.lit(ramp) == 0, F.col("_target")).otherwise(F.col("_from") + (F.col("_target") - F.col("_from")) * done)
     )
-    return counted.join(started, ["channel", "_command"], "left").select(*ticks.columns, speed.alias("speed"))
+    return carried.select(*ticks.columns, speed.alias("speed"))
 
 
 def position_track(ticks: DataFrame, period_ns: int, start_ns: int) -> DataFrame:
