@@ -86,7 +86,7 @@ def timeline_view(views: DataFrame, bounds: DataFrame, clips: DataFrame, keys: l
         .select(*keys, "camera", "start_ns", "end_ns")
     )
     marks = clips.select("camera", "id", "in_ns", "out_ns")
-    pairs = overlap_join(marks, shown, ["camera"], ("in_ns", "out_ns"), ("start_ns", "end_ns"), max(span, SECOND), salts=4)
+    pairs = overlap_join(marks, shown, ["camera"], ("in_ns", "out_ns"), ("start_ns", "end_ns"))
 
     def place(ns: str) -> Column:
         share = (F.col(ns) - F.col("start_ns")).cast("double") * 100 / (F.col("end_ns") - F.col("start_ns"))

@@ -43,35 +43,38 @@ def touched(
 
 
 def overlap_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    left_span: tuple[str, str],
-    right_span: tuple[str, str],
-    bucket_ns: int,
-    salts: int = 1,
+    left: DataFrame, right: DataFrame, keys: list[str], left_span: tuple[str, str], right_span: tuple[str, str]
 ) -> DataFrame:
     """All pairs of overlapping closed intervals with equal keys.
 
-    Both sides are listed under every time bucket they touch and meet on (keys, bucket); a pair is kept only in the
-    later of its two first buckets, so no duplicate removal is needed. ``salts`` > 1 spreads the left rows of a
-    crowded bucket over that many tasks and repeats the right rows in each.
+    An interval's level is the power of two above its length, so it touches at most two buckets of that size. Pairs
+    meet in the buckets of the longer interval's level: each interval is listed at its own level, and at the greater
+    levels that the other side has, of which there are 64 at most. So the lists don't depend on how long intervals
+    are or how far they reach. A pair is kept only in the later of its two first buckets, which needs no duplicate
+    removal. A crowded bucket is left to the skew join.
     """
+    sides = []
+    for frame, (begin, end) in ((left, left_span), (right, right_span)):
+        length = F.greatest(F.col(end) - F.col(begin), F.lit(0))
+        sides.append(frame.withColumn("_own", F.length(F.bin(length))))
+    levels = [sorted(r[0] for r in side.select("_own").distinct().collect() if r[0] is not None) for side in sides]
 
-    def buckets(begin: str, end: str):
-        return F.explode(F.sequence(F.expr(f"{begin} div {bucket_ns}L"), F.expr(f"{end} div {bucket_ns}L")))
+    def listed(side: int, others: bool, strictly: bool) -> DataFrame:
+        begin, end = (left_span, right_span)[side]
+        at = F.array("_own")
+        if others:
+            wanted = F.array(*[F.lit(n) for n in levels[1 - side]]).cast("array<int>")
+            at = F.filter(wanted, lambda n: n > F.col("_own") if strictly else n >= F.col("_own"))
+        spread = sides[side].withColumn("_level", F.explode(at)).drop("_own")
+        return spread.withColumn("_bucket", F.explode(F.expr(f"sequence(shiftright({begin}, _level), shiftright({end}, _level))")))
 
-    lb, le = left_span
-    rb, re_ = right_span
-    listed_left = left.withColumn("_bucket", buckets(lb, le)).withColumn(
-        "_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts))
-    )
-    listed_right = right.withColumn("_bucket", buckets(rb, re_)).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    first_common = F.greatest(F.expr(f"{lb} div {bucket_ns}L"), F.expr(f"{rb} div {bucket_ns}L"))
+    (lb, le), (rb, re_) = left_span, right_span
+    first_common = F.greatest(F.expr(f"shiftright({lb}, _level)"), F.expr(f"shiftright({rb}, _level)"))
+    where = [*keys, "_level", "_bucket"]
+    shorter_left = listed(0, True, False).join(listed(1, False, False), where)
+    shorter_right = listed(0, False, False).join(listed(1, True, True), where)
     return (
-        listed_left.join(listed_right, [*keys, "_bucket", "_salt"])
+        shorter_left.unionByName(shorter_right)
         .filter((F.col(lb) <= F.col(re_)) & (F.col(le) >= F.col(rb)) & (F.col("_bucket") == first_common))
-        .drop("_bucket", "_salt")
+        .drop("_level", "_bucket")
     )

@@ -102,7 +102,7 @@ def _(t):
         "user_id", "camera", (F.col("at_ns") - VIEW_NS).alias("from_ns"), (F.col("at_ns") + VIEW_NS).alias("to_ns")
     )
     marks = t.clips.select("camera", "id", "in_ns", "out_ns")
-    pairs = overlap_join(marks, windows, ["camera"], ("in_ns", "out_ns"), ("from_ns", "to_ns"), 2 * VIEW_NS, salts=4)
+    pairs = overlap_join(marks, windows, ["camera"], ("in_ns", "out_ns"), ("from_ns", "to_ns"))
     return pairs.select("user_id", "camera", "id", "in_ns", "out_ns")
 
 

@@ -87,9 +87,17 @@ def test_touched_and_overlap(spark):
     pairs = {(i, n) for k, a, b, i in spans for n, (rk, x, y) in enumerate(ranges) if rk == k and a <= max(x, y) and b >= min(x, y)}
     assert {i for i, flag in hit.items() if flag} == {i for i, _ in pairs} and len(hit) == len(spans)
     numbered = spark.createDataFrame([(k, min(x, y), max(x, y), n) for n, (k, x, y) in enumerate(ranges)], "k int, x long, y long, n long")
-    for salts in (1, 3):
-        joined = overlap_join(left, numbered, ["k"], ("a", "b"), ("x", "y"), 16, salts).select("i", "n").collect()
-        assert len(joined) == len(pairs) and {tuple(r) for r in joined} == pairs
+    joined = overlap_join(left, numbered, ["k"], ("a", "b"), ("x", "y")).select("i", "n").collect()
+    assert len(joined) == len(pairs) and {tuple(r) for r in joined} == pairs
+
+
+def test_overlap_lists_are_short_for_any_length(spark):
+    spans = [(1, 7 * 10**17 + d, 7 * 10**17 + d + 10**n, n) for n in range(0, 18, 3) for d in (-(10**15), 0, 10**9)]
+    left = spark.createDataFrame(spans, "k int, a long, b long, i long")
+    right = left.selectExpr("k", "a x", "b y", "concat(i, ':', a) n")
+    found = overlap_join(left, right, ["k"], ("a", "b"), ("x", "y")).selectExpr("a", "b", "n").collect()
+    want = [(a, b, f"{j}:{x}") for _, a, b, _ in spans for _, x, y, j in spans if a <= y and b >= x]
+    assert sorted(tuple(r) for r in found) == sorted(want)
 
 
 @pytest.mark.parametrize("inclusive", [False, True])
