@@ -488,7 +488,7 @@ TRANSPORT_FIELDS = [
 ]
 
 
-def nearest(value: float) -> int:
+def whole(value: float) -> int:
     """The nearest whole number, halves away from zero."""
     return int(math.copysign(math.floor(abs(value) + 0.5), value))
 
@@ -506,7 +506,7 @@ def transport_step(period_ns: int, delay_ns: int, cameras: int):
             if s["live"]:
                 s["pos"] = tai - delay_ns
             elif s["playing"] and s["grain"] is not None:
-                s["pos"] += (grain - s["grain"]) * nearest(s["speed"] * period_ns)
+                s["pos"] += (grain - s["grain"]) * whole(s["speed"] * period_ns)
             s["grain"] = grain
             if command == "play":
                 s["live"], s["playing"] = False, True
@@ -520,7 +520,7 @@ def transport_step(period_ns: int, delay_ns: int, cameras: int):
                 s["live"], s["pos"] = False, to_ns
             elif command in ("scrub_frames", "scrub_seconds"):
                 s["live"], s["playing"] = False, False
-                s["pos"] += int(argument) * period_ns if command == "scrub_frames" else nearest(argument * 1e9)
+                s["pos"] += int(argument) * period_ns if command == "scrub_frames" else whole(argument * 1e9)
             elif command == "speed":
                 s["speed"] = max(-1.0, min(2.0, argument))
             elif command == "angle" and 1 <= argument <= cameras:
