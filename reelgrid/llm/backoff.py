@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.llm.blocks import packed, squeeze, unsqueeze
-from reelgrid.llm.shared import lower_ascii, parts, pin
+from reelgrid.llm.shared import parts, pin, pin_by
 
 #: Hashes of the end of a text and of its start; words' hashes are told from them by their own value only.
 END, START = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -54,14 +54,14 @@ def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
 
 
 def _pair_order(vocabulary: np.ndarray, a: np.ndarray, b: np.ndarray, shards: int, common: np.ndarray):
-    """The order in which a block's pairs are sent: by shard, then by both hashes; and the shard of each.
+    """The order in which a block's pairs are sent, by shard and as they are in it; and the shard of each.
 
     Pairs go to the shard of their first word, so that it can count what follows the word. What follows a common word
     is dealt out by the second word instead, and its counts are added up later.
     """
     left, right = vocabulary[a], vocabulary[b]
     shard = _shard(np.where(np.isin(left, common), right * np.uint64(0x9E3779B97F4A7C15), left), shards)
-    order = np.lexsort((right, left, shard))
+    order = np.argsort(shard.astype(np.uint16) if shards < 1 << 16 else shard, kind="stable")
     return order, shard[order]
 
 
@@ -293,8 +293,8 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
     """
     spark = docs.sparkSession
     shards = parts(spark)
-    blocks = pin(packed(docs, text, key, F.coalesce(held, F.lit(False)), lower=True))
-    common = _common_words(docs, blocks, shards)
+    blocks = pin_by(packed(docs, text, key, F.coalesce(held, F.lit(False)), lower=True), "block")
+    common = _common_words(blocks, shards)
     asked = blocks.select("block", "held", "lengths", "vocabulary", "words")
     request = "shard int, block long, left binary, runs binary, right binary, counts binary"
     answer = "kind string, shard int, block long, data binary, more binary, n long, v long"
@@ -313,7 +313,7 @@ def score(docs: DataFrame, held: Column, text: str = "text", key: str = "doc_id"
     return ready.mapInArrow(_score(shards, common, total or 0, kinds or 0, discount), _SHAPE)
 
 
-def _common_words(docs: DataFrame, blocks: DataFrame, shards: int) -> list[int]:
+def _common_words(blocks: DataFrame, shards: int) -> list[int]:
     """Hashes of words that make up more than about an eighth of a shard's share, by the blocks they stand out in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

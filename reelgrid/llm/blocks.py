@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words after which a block is full.
-BLOCK_WORDS = 1 << 21
+BLOCK_WORDS = 1 << 20
 
 _SHAPE = "block long, ids array<long>, held array<boolean>, lengths binary, vocabulary binary, spelt binary, words binary"
 

@@ -45,10 +45,6 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def lower_ascii(text: str | Column) -> Column:
-    return F.translate(F.col(text) if isinstance(text, str) else text, UPPER, UPPER.lower())
-
-
 def key_of(column: str) -> Column:
     """A key that is never null and tells null from every text."""
     return F.coalesce(F.concat(F.lit("s"), F.col(column).cast("string")), F.lit("n"))
