@@ -205,3 +205,29 @@ def test_backoff(docs, none):
     assert len(rows) == 10 and sum(r["n_tokens"] for r in rows) == 60_000 + 3 * 9 + 4 + 1 + 10
     assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in rows)
     assert backoff.score(none, held_out(folds=7, fold=2)).count() == 0
+
+
+def test_index_finds_first_places():
+    draw = np.random.default_rng(6)
+    for _ in range(40):
+        text = draw.integers(0, int(draw.integers(2, 7)), int(draw.integers(40, 400)))
+        text[-1] = 0
+        depth = int(draw.integers(2, 7))
+        index = fmindex.FMIndex(text, int(text.max()) + 1, depth)
+        stops = np.flatnonzero(text == 0)
+        begin = np.concatenate([[0], stops[:-1] + 1])
+        words = stops - begin
+        begin, words = begin[words > 0], words[words > 0]
+        first, want = {}, []
+        for b, n in zip(begin.tolist(), words.tolist()):
+            want += [first.setdefault(tuple(text[p : p + depth].tolist()), p) for p in range(b, b + n - depth + 1)]
+        assert index.matches(begin, words).tolist() == want
+
+
+def test_ranks_of_a_wavelet_matrix():
+    sequence = np.random.default_rng(7).integers(0, 11, 500).astype(np.int32)
+    matrix = fmindex.WaveletMatrix(sequence, 11)
+    places = np.arange(501, dtype=np.int32)
+    for symbol in range(11):
+        want = np.concatenate([[0], np.cumsum(sequence == symbol)])
+        assert (matrix.rank(np.full(501, symbol, np.int32), places) == want).all()
