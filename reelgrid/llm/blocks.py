@@ -91,6 +91,13 @@ def _pack(lower: bool, spelt: bool, full: int):
     return run
 
 
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows one by one; the blocks of a batch aren't copied together."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(n)[i].as_py() for n, name in enumerate(batch.schema.names)}
+
+
 def packed(docs: DataFrame, text: str, key: str, held: Column | None = None, lower: bool = False, full: int = BLOCK_WORDS) -> DataFrame:
     """Rows of (block, ids, held, lengths, vocabulary, spelt, words) for the words, apart at ASCII white space.
 

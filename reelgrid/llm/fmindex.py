@@ -11,11 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.llm.blocks import packed, spelt_words, squeeze, unsqueeze
+from reelgrid.llm.blocks import each_row, packed, spelt_words, squeeze, unsqueeze
 from reelgrid.llm.shared import parts, pin, pin_by
 
 #: Words of a window, and of the anchors of which each window has one.
 WINDOW, ANCHOR = 20, 8
+#: A word is common if it makes up more than one in so many; there are at most so many of them.
+COMMON = 65_000
+#: Words of a block of documents.
+BLOCK_WORDS = 1 << 19
 #: Different stretches at one anchor beyond which its windows are dealt out one by one.
 HOT = 256
 
@@ -31,85 +35,103 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class WaveletMatrix:
-    """A sequence of numbers as one bit vector per bit of its largest, with ranks in packed words of 64 bits."""
+    """A sequence of numbers as one bit vector per bit of its largest, with ranks in packed words of 32 bits."""
+
+    BELOW = ((np.uint64(1) << np.arange(32, dtype=np.uint64)) - np.uint64(1)).astype(np.uint32)
 
     def __init__(self, sequence: np.ndarray, kinds: int):
         self.levels = max(1, int(kinds - 1).bit_length())
         self.words, self.before, self.zeros = [], [], []
-        symbols = np.arange(kinds)
-        first = np.zeros(kinds, np.int64)
+        symbols = np.arange(kinds, dtype=np.int32)
+        first = np.zeros(kinds, np.int32)
         for level in reversed(range(self.levels)):
             bits = (sequence >> level & 1).astype(np.uint8)
-            padded = np.zeros((len(bits) // 64 + 1) * 64, np.uint8)
+            padded = np.zeros((len(bits) // 32 + 1) * 32, np.uint8)
             padded[: len(bits)] = bits
-            packed_bits = np.packbits(padded, bitorder="little").view(np.uint64)
+            packed_bits = np.packbits(padded, bitorder="little").view(np.uint32)
             self.words.append(packed_bits)
-            ones = np.cumsum(np.bitwise_count(packed_bits), dtype=np.int64)
-            self.before.append(np.concatenate([[0], ones[:-1]]))
-            self.zeros.append(len(bits) - int(ones[-1]))
+            ones = np.cumsum(np.bitwise_count(packed_bits), dtype=np.int32)
+            self.before.append(np.concatenate([np.zeros(1, np.int32), ones[:-1]]))
+            self.zeros.append(np.int32(len(bits) - int(ones[-1])))
             sequence = np.concatenate([sequence[bits == 0], sequence[bits == 1]])
             first = self._down(len(self.words) - 1, first, (symbols >> level & 1).astype(bool))
         self.first = first
 
     def _down(self, depth: int, at: np.ndarray, one: np.ndarray) -> np.ndarray:
-        block = at >> 6
-        inside = self.words[depth][block] & ((_U(1) << (at & 63).astype(np.uint64)) - _U(1))
-        ones = self.before[depth][block] + np.bitwise_count(inside)
-        return np.where(one, self.zeros[depth] + ones, at - ones)
+        block = at >> 5
+        ones = self.before[depth].take(block)
+        ones += np.bitwise_count(self.words[depth].take(block) & self.BELOW.take(at & 31))
+        return np.where(one, ones + self.zeros[depth], at - ones)
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often each symbol stands before each place."""
         for depth in range(self.levels):
-            at = self._down(depth, at, (symbol >> (self.levels - 1 - depth) & 1).astype(bool))
-        return at - self.first[symbol]
+            at = self._down(depth, at, (symbol & np.int32(1 << (self.levels - 1 - depth))) != 0)
+        return at - self.first.take(symbol)
 
 
 class FMIndex:
-    """An index of texts of numbers from 1, parted by 0, for patterns of up to ``depth`` numbers.
+    """An index of texts of numbers from 1, parted by 0, for matches of up to ``depth`` numbers.
 
     Suffixes are sorted by their first ``depth`` numbers only, which is all that intervals of such patterns depend on.
     """
 
+    #: Patterns searched at once, so that their state stays in the processor's cache.
+    AT_ONCE = 1 << 14
+
     def __init__(self, text: np.ndarray, kinds: int, depth: int):
         n = len(text)
         rank, reach = text.astype(np.int64), 1
         order = np.argsort(rank, kind="stable")
+        ordered = rank[order]
         while reach < depth:
             ahead = min(reach, depth - reach)
             later = np.zeros(n, np.int64)
             later[: n - ahead] = rank[ahead:] + 1
             key = rank * np.int64(n + 2 + kinds) + later
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ordered = key[order]
             rank = np.empty(n, np.int64)
             rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
             reach += ahead
-        self.suffixes = order
-        self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=kinds))])
-        self.last = WaveletMatrix(text[order - 1], kinds)
-
-    def backward(self, text: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Extend to the left from each end while a match with some other place is left, ``depth`` words at most.
-
-        Returns the matching statistics, that is the words matched, and the last intervals of suffixes.
+        self.depth = depth
+        self.text = text.astype(np.int32)
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=kinds))]).astype(np.int32)
+        self.last = WaveletMatrix(self.text[order - 1], kinds)
+        # suffixes that share ``depth`` numbers: where they begin and end, and the first place they have in the text
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if n else np.zeros(0, bool)
+        self.shared = (np.cumsum(new) - 1).astype(np.int32)
+        self.bounds = np.append(np.flatnonzero(new), n).astype(np.int32)
+        self.foremost = np.minimum.reduceat(order, self.bounds[:-1]) if n else order
+
+    def matches(self, begin: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """For each stretch of the text, and each place in it with ``depth`` words to follow, where these come first.
+
+        Matching statistics, cut off at ``depth``: a stretch is read backwards, each step extends the match by a word
+        to the left, and a match that has got too long is cut at the right, which widens its interval of suffixes to
+        all that share ``depth`` words. So a stretch takes one step for each of its words.
         """
-        matched = np.zeros(len(ends), np.int64)
-        low, high = self.starts[text[ends]], self.starts[text[ends] + 1]
-        out_low, out_high = low.copy(), high.copy()
-        live = np.flatnonzero(high - low > 1)
-        low, high = low[live], high[live]
-        matched[live] = 1
-        for step in range(1, depth):
-            if not len(live):
-                break
-            symbol = text[ends[live] - step]
-            ranks = self.last.rank(np.concatenate([symbol, symbol]), np.concatenate([low, high]))
-            low, high = np.split(ranks + np.concatenate([self.starts[symbol]] * 2), 2)
-            more = high - low > 1
-            live, low, high = live[more], low[more], high[more]
-            matched[live] = step + 1
-            out_low[live], out_high[live] = low, high
-        return matched, out_low, out_high
+        order = np.argsort(-words, kind="stable")
+        count = np.maximum(words - self.depth + 1, 0)
+        slot = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int64)
+        for i in range(0, len(order), self.AT_ONCE):
+            some = order[i : i + self.AT_ONCE]
+            ends, size, place = begin[some] + words[some] - 1, words[some], slot[some] + count[some] - 1
+            symbol = self.text.take(ends)
+            low, high = self.starts.take(symbol), self.starts.take(symbol + 1)
+            for step in range(int(size[0])):
+                if step:
+                    live = int(np.searchsorted(-size, -step, "left"))  # sizes fall; those above ``step`` go on
+                    symbol = self.text.take(ends[:live] - step)
+                    ranks = self.last.rank(np.concatenate([symbol, symbol]), np.concatenate([low[:live], high[:live]]))
+                    base = self.starts.take(symbol)
+                    low, high = ranks[:live] + base, ranks[live:] + base
+                if step + 1 >= self.depth:
+                    shared = self.shared.take(low)
+                    low, high = self.bounds.take(shared), self.bounds.take(shared + 1)
+                    out[place[: len(low)] - (step + 1 - self.depth)] = self.foremost.take(shared)
+        return out
 
 
 @dataclass
@@ -202,19 +224,18 @@ def _ask(shards: int):
     """How many different stretches a block has at each of its anchors; one that may repeat itself counts as two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, counts = _anchors(stretches(row))
-                edges = np.searchsorted(_shard(keys, shards), np.arange(shards + 1))
-                some = [s for s in range(shards) if edges[s] < edges[s + 1]]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()),
-                        pa.array([squeeze(np.diff(keys[edges[s] : edges[s + 1]], prepend=_U(0))) for s in some], pa.binary()),
-                        pa.array([squeeze(counts[edges[s] : edges[s + 1]].astype(np.uint32)) for s in some], pa.binary()),
-                    ],
-                    ["shard", "block", "data", "more"],
-                )
+        for row in each_row(batches):
+            keys, counts = _anchors(stretches(row))
+            edges = np.searchsorted(_shard(keys, shards), np.arange(shards + 1))
+            some = [s for s in range(shards) if edges[s] < edges[s + 1]]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()),
+                    pa.array([squeeze(np.diff(keys[edges[s] : edges[s + 1]] >> _U(16), prepend=_U(0))) for s in some], pa.binary()),
+                    pa.array([squeeze(counts[edges[s] : edges[s + 1]].astype(np.uint32)) for s in some], pa.binary()),
+                ],
+                ["shard", "block", "data", "more"],
+            )
 
     return run
 
@@ -265,35 +286,65 @@ def _sent(found: Stretches, answers: list[dict], shards: int) -> Sent:
     return Sent(start[order], count[order], shard[order], np.concatenate(known))
 
 
-def _send(shards: int):
+def _common_words(blocks: DataFrame) -> np.ndarray:
+    """The sorted hashes of common words, at most ``COMMON``, found by the blocks in which they are common."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in each_row(batches):
+            vocabulary, words = unsqueeze(row["vocabulary"], np.uint64), unsqueeze(row["words"], np.uint32)
+            counts = np.bincount(words, minlength=len(vocabulary))
+            out = np.flatnonzero(counts > len(words) / COMMON)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(vocabulary[out].view(np.int64)), pa.array(counts[out].astype(np.int64)), pa.array(np.full(len(out), len(words) / len(out) if len(out) else 0.0))],
+                ["word", "n", "words"],
+            )
+
+    found = pin(blocks.select("vocabulary", "words").mapInArrow(run, "word long, n long, words double"))
+    every = found.agg(F.sum("words")).first()[0] or 0
+    rows = found.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") > every / COMMON).select("word").collect()
+    return np.sort(np.array([r["word"] for r in rows], np.int64).view(np.uint64))
+
+
+def _coded(hashes: np.ndarray, common: np.ndarray) -> tuple[bytes, bytes]:
+    """Words as numbers of common ones, and 48 bits of the hashes of the others in their order."""
+    at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1)) if len(common) else np.zeros(len(hashes), np.int64)
+    hit = common[at] == hashes if len(common) else np.zeros(len(hashes), bool)
+    return squeeze(np.where(hit, at + 1, 0).astype(np.uint16)), squeeze(hashes[~hit] >> _U(16))
+
+
+def _decoded(codes: bytes, rest: bytes, common: np.ndarray) -> np.ndarray:
+    numbers = unsqueeze(codes, np.uint16).astype(np.int64)
+    hashes = np.concatenate([[_U(0)], common])[numbers]
+    hashes[numbers == 0] = unsqueeze(rest, np.uint64)
+    return hashes
+
+
+def _send(shards: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                found = stretches(row)
-                sent = _sent(found, row["answers"], shards)
-                ids = np.array([np.iinfo(np.int64).max if i is None else i for i in row["ids"]], np.int64)
-                edges = np.searchsorted(sent.shard, np.arange(shards + 1))
-                some = [s for s in range(shards) if edges[s] < edges[s + 1]]
-                cols: list[list[bytes]] = [[] for _ in range(6)]
-                for s in some:
-                    start, count = sent.start[edges[s] : edges[s + 1]], sent.count[edges[s] : edges[s + 1]]
-                    document = found.document(start)
-                    own, numbers = np.unique(found.hashes[_windows(start, count + WINDOW - 1)], return_inverse=True)
-                    for col, value in zip(
-                        cols,
-                        (ids[document], found.rank[document].astype(np.uint32), (start - found.begin[document]).astype(np.uint32),
-                         count.astype(np.uint32), np.diff(own, prepend=_U(0)), numbers.astype(np.uint32)),
-                    ):
-                        col.append(squeeze(value))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), *[pa.array(c, pa.binary()) for c in cols]],
-                    ["shard", "block", "ids", "ranks", "places", "counts", "vocabulary", "words"],
-                )
+        for row in each_row(batches):
+            found = stretches(row)
+            sent = _sent(found, row["answers"], shards)
+            ids = np.array([np.iinfo(np.int64).max if i is None else i for i in row["ids"]], np.int64)
+            edges = np.searchsorted(sent.shard, np.arange(shards + 1))
+            some = [s for s in range(shards) if edges[s] < edges[s + 1]]
+            cols: list[list[bytes]] = [[] for _ in range(6)]
+            for s in some:
+                start, count = sent.start[edges[s] : edges[s + 1]], sent.count[edges[s] : edges[s + 1]]
+                document = found.document(start)
+                numbers = (ids[document], found.rank[document].astype(np.uint32),
+                           (start - found.begin[document]).astype(np.uint32), count.astype(np.uint32))
+                text = _coded(found.hashes[_windows(start, count + WINDOW - 1)], common)
+                for col, value in zip(cols, [*map(squeeze, numbers), *text]):
+                    col.append(value)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.int64()), *[pa.array(c, pa.binary()) for c in cols]],
+                ["shard", "block", "ids", "ranks", "places", "counts", "codes", "rest"],
+            )
 
     return run
 
 
-def _search(group: pd.DataFrame) -> pd.DataFrame:
+def _search(group: pd.DataFrame, common: np.ndarray) -> pd.DataFrame:
     """Index a shard's pieces and say for each of their windows whether an equal one starts earlier."""
     col = lambda name, kind: [unsqueeze(d, kind) for d in group[name]]
     counts = col("counts", np.uint32)
@@ -301,7 +352,7 @@ def _search(group: pd.DataFrame) -> pd.DataFrame:
     count = np.concatenate(counts).astype(np.int64)
     owner = np.repeat(np.arange(len(pieces)), pieces)
     block = group["block"].to_numpy()[owner]
-    hashes = np.concatenate([np.cumsum(v)[w] for v, w in zip(col("vocabulary", np.uint64), col("words", np.uint32))])
+    hashes = np.concatenate([_decoded(c, r, common) for c, r in zip(group["codes"], group["rest"])])
     ids, ranks, places = np.concatenate(col("ids", np.int64)), np.concatenate(col("ranks", np.uint32)), np.concatenate(col("places", np.uint32))
     order = np.lexsort((places, ranks, block, ids))
     kinds, numbers = np.unique(hashes, return_inverse=True)
@@ -313,21 +364,10 @@ def _search(group: pd.DataFrame) -> pd.DataFrame:
     text = np.zeros(int(size.sum()) + len(size), np.int64)
     text[_windows(begin, size)] = numbers[_windows(first[order], size)] + 1
     index = FMIndex(text, len(kinds) + 1, WINDOW)
-    start = _windows(begin, count[order])
-    matched, low, high = index.backward(text, start + WINDOW - 1, WINDOW)
-    full = np.flatnonzero(matched == WINDOW)
-    earlier = np.zeros(len(start), bool)
-    if len(full):
-        spans, back = np.unique(low[full], return_inverse=True)
-        stop = np.zeros(len(spans), np.int64)
-        stop[back] = high[full]
-        edges = np.stack([spans, stop], 1).reshape(-1)
-        suffixes = np.append(index.suffixes, np.iinfo(np.int64).max)
-        least = np.minimum.reduceat(suffixes, edges)[::2]
-        earlier[full] = least[back] < start[full]
+    earlier = index.matches(begin, size) < _windows(begin, count[order])
     # back to the order in which each block sent its windows
     windows_before = np.cumsum(count) - count
-    result = np.empty(len(start), bool)
+    result = np.empty(len(earlier), bool)
     result[_windows(windows_before[order], count[order])] = earlier
     ends = np.cumsum(np.bincount(owner, count, len(pieces)).astype(np.int64))
     data = [np.packbits(result[e - n : e]).tobytes() for e, n in zip(ends, np.diff(ends, prepend=0))]
@@ -336,40 +376,39 @@ def _search(group: pd.DataFrame) -> pd.DataFrame:
 
 def _remove(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                answers = row["answers"] or []
-                found = stretches(row)
-                sent = _sent(found, answers, shards)
-                edges = np.searchsorted(sent.shard, np.arange(shards + 1))
-                repeated = [sent.known]
-                for x in (x for x in answers if x["kind"] == "earlier"):
-                    own = slice(edges[x["shard"]], edges[x["shard"] + 1])
-                    start = _windows(sent.start[own], sent.count[own])
-                    bits = np.unpackbits(np.frombuffer(x["data"], np.uint8), count=len(start)).astype(bool)
-                    repeated.append(start[bits])
-                start = np.concatenate(repeated)
-                n = len(found.hashes)
-                cover = np.zeros(n + 1, np.int64)
-                np.add.at(cover, start, 1)
-                np.add.at(cover, start + WINDOW, -1)
-                gone = np.cumsum(cover)[:n] > 0
-                spelt = spelt_words(row["spelt"])
-                numbers = unsqueeze(row["words"], np.uint32)
-                lengths = unsqueeze(row["lengths"], np.int64)
-                texts, removed, spans = [], [], []
-                for begin, length in zip(found.begin.tolist(), lengths.tolist()):
-                    out = gone[begin : begin + length]
-                    kept = numbers[begin : begin + length][~out]
-                    texts.append(b" ".join([spelt[i] for i in kept.tolist()]).decode())
-                    removed.append(int(out.sum()))
-                    edge = np.flatnonzero(np.diff(out, prepend=False, append=False))
-                    spans.append([{"from": a, "to": b} for a, b in edge.reshape(-1, 2).tolist()])
-                kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["ids"], pa.int64()), pa.array(lengths), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(texts)],
-                    ["doc_id", "n_words", "n_removed", "removed", "kept"],
-                )
+        for row in each_row(batches):
+            answers = row["answers"] or []
+            found = stretches(row)
+            sent = _sent(found, answers, shards)
+            edges = np.searchsorted(sent.shard, np.arange(shards + 1))
+            repeated = [sent.known]
+            for x in (x for x in answers if x["kind"] == "earlier"):
+                own = slice(edges[x["shard"]], edges[x["shard"] + 1])
+                start = _windows(sent.start[own], sent.count[own])
+                bits = np.unpackbits(np.frombuffer(x["data"], np.uint8), count=len(start)).astype(bool)
+                repeated.append(start[bits])
+            start = np.concatenate(repeated)
+            n = len(found.hashes)
+            cover = np.zeros(n + 1, np.int64)
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + WINDOW, -1)
+            gone = np.cumsum(cover)[:n] > 0
+            spelt = spelt_words(row["spelt"])
+            numbers = unsqueeze(row["words"], np.uint32)
+            lengths = unsqueeze(row["lengths"], np.int64)
+            texts, removed, spans = [], [], []
+            for begin, length in zip(found.begin.tolist(), lengths.tolist()):
+                out = gone[begin : begin + length]
+                kept = numbers[begin : begin + length][~out]
+                texts.append(b" ".join([spelt[i] for i in kept.tolist()]).decode())
+                removed.append(int(out.sum()))
+                edge = np.flatnonzero(np.diff(out, prepend=False, append=False))
+                spans.append([{"from": a, "to": b} for a, b in edge.reshape(-1, 2).tolist()])
+            kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row["ids"], pa.int64()), pa.array(lengths), pa.array(removed, pa.int64()), pa.array(spans, kind), pa.array(texts)],
+                ["doc_id", "n_words", "n_removed", "removed", "kept"],
+            )
 
     return run
 
@@ -390,18 +429,21 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
 
     Null texts have no words; documents of fewer words than a window keep all; rows with one id are taken in the order
     of their blocks, null ids after all others; an empty table gives no rows; further columns are ignored. Words are
-    compared by 64-bit hashes.
+    compared by hashes, of 64 bits in a block and of 48 at least between blocks, so that two windows that differ in one
+    word are taken for equal once in 2 ** 48 times.
     """
     shards = parts(docs.sparkSession)
-    blocks = pin_by(packed(docs, text, key), "block")
+    blocks = pin_by(packed(docs, text, key, full=BLOCK_WORDS), "block")
     asked = blocks.select("block", "ids", "lengths", "vocabulary", "words")
     request = "shard int, block long, data binary, more binary"
     answer = "kind string, shard int, block long, data binary"
     totals = pin(asked.mapInArrow(_ask(shards), request).groupBy("shard").applyInPandas(_add_up, answer))
     gather = lambda df: df.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "data")).alias("answers"))
     told = asked.join(gather(totals), "block")
-    piece = "shard int, block long, ids binary, ranks binary, places binary, counts binary, vocabulary binary, words binary"
-    found = pin(told.mapInArrow(_send(shards), piece).groupBy("shard").applyInPandas(_search, answer))
+    piece = "shard int, block long, ids binary, ranks binary, places binary, counts binary, codes binary, rest binary"
+    common = _common_words(blocks)
+    sent = told.mapInArrow(_send(shards, common), piece)
+    found = pin(sent.groupBy("shard").applyInPandas(lambda group: _search(group, common), answer))
     ready = blocks.drop("held").join(gather(totals.unionByName(found)), "block", "left")
     shape = "doc_id long, n_words long, n_removed long, removed array<struct<from: int, to: int>>, kept string"
     return ready.mapInArrow(_remove(shards), shape)
