@@ -21,7 +21,7 @@ def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; only a local session may lack that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
