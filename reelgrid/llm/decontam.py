@@ -22,11 +22,14 @@ def words(text: str = "text") -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
+def _hashes(text: str, key: str) -> list[Column]:
+    own = [F.col(f"`{c}`").cast("string") for c in (key, text)]
+    return [F.xxhash64(*own).alias("_doc"), F.xxhash64(F.lit(1), *own).alias("_more")]
+
+
 def _keyed(docs: DataFrame, text: str, key: str) -> DataFrame:
     """Documents with their words and two hashes of id and text. The index holds the first; results go by both."""
-    own = [F.col(f"`{c}`").cast("string") for c in (key, text)]
-    hashes = {"_doc": F.xxhash64(*own), "_more": F.xxhash64(F.lit(1), *own)}
-    return docs.withColumns(hashes | {"_words": words(text)})
+    return docs.select("*", *_hashes(text, key), words(text).alias("_words"))
 
 
 def phrases(items: DataFrame, docs: DataFrame, window: int, text: str = "text", item: str = "item_id") -> DataFrame:
@@ -102,8 +105,9 @@ def find(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text"
     lines_of = lines.join(checked(pin(spans)), "_item")
     keys = pin(lines.select("_doc").distinct())
     few = keys.limit(SMALL_KEYS + 1).count() <= SMALL_KEYS
-    texts = _keyed(docs, text, key).select("_doc", "_more", "_words")
+    texts = docs.select(*_hashes(text, key), F.col(f"`{text}`").alias("_text"))
     texts = texts.join(F.broadcast(keys) if few else keys, "_doc", "left_semi").dropDuplicates(["_doc", "_more"])
+    texts = texts.select("_doc", "_more", words("_text").alias("_words"))
     equal = F.transform("words", lambda w, i: F.coalesce(F.get("_words", F.col("shift") + i) == w, F.lit(False)))
     pairs = texts.join(lines_of, "_doc").withColumn("_equal", equal)
     places = F.sequence(F.lit(0), F.size("words") - F.col("length"))
@@ -153,6 +157,5 @@ def contaminated(
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, text: str = "text", key: str = "doc_id", item: str = "item_id") -> DataFrame:
     """The documents without a match, as they are; see :func:`contaminated`."""
     bad = pin(find(docs, items, window, text, key, item).select("_doc", "_more"))
-    own = [F.col(f"`{c}`").cast("string") for c in (key, text)]
-    rows = docs.withColumns({"_doc": F.xxhash64(*own), "_more": F.xxhash64(F.lit(1), *own)})
+    rows = docs.select("*", *_hashes(text, key))
     return rows.join(checked(bad, SMALL_KEYS), ["_doc", "_more"], "left_anti").drop("_doc", "_more")
