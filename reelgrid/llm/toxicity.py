@@ -21,15 +21,32 @@ WINDOW = 3
 SAMPLE = 3000
 #: Rounds on random windows, and windows of each class in one.
 WARM, ROUND = 6, 12_000
-#: Words whose scores a task remembers.
-REMEMBERED = 400_000
+#: Words whose scores a task remembers, and words whose subwords are found at once.
+REMEMBERED, AT_ONCE = 400_000, 20_000
+#: Characters of the longest word that stays whole; a longer one is read in pieces of so many, of which so many overlap.
+LONGEST, PIECE, OVERLAP = 50, 16, 8
 
 _EDGES = ".,;:!?\"'()[]{}*#$%&|"
 
 
+def words_of(text: str) -> list[str]:
+    """The words of a text; unspaced runs are cut into overlapping pieces, which are words of their own.
+
+    ``OVERLAP`` is no less than ``LONG`` - 1, so every n-gram of a run lies whole in some piece.
+    """
+    found = []
+    for w in text.lower().split():
+        w = w.strip(_EDGES)
+        if len(w) <= LONGEST:
+            found.append(w)
+        else:
+            found.extend(w[at : at + PIECE] for at in range(0, len(w) - OVERLAP, PIECE - OVERLAP))
+    return found
+
+
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) for every character n-gram of every word, and for the word as a whole."""
-    marked = [f"<{w.strip(_EDGES)[:200]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     ends = np.cumsum(lengths)
@@ -83,13 +100,13 @@ class Model:
     offset: float
 
     def log_odds(self, texts: list[str], known: dict[str, float]) -> np.ndarray:
-        tokens = [t.lower().split() for t in texts]
+        tokens = [words_of(t) for t in texts]
         fresh = list({w for words in tokens for w in words} - known.keys())
         if len(known) + len(fresh) > REMEMBERED:
             known.clear()
             fresh = list({w for words in tokens for w in words})
-        for start in range(0, len(fresh), 20_000):
-            some = fresh[start : start + 20_000]
+        for start in range(0, len(fresh), AT_ONCE):
+            some = fresh[start : start + AT_ONCE]
             known.update(zip(some, word_scores(some, self.buckets).tolist()))
         flat = np.fromiter((known[w] for words in tokens for w in words), np.float64)
         counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
@@ -109,12 +126,17 @@ def train(texts: list[str], y: np.ndarray, stand_for: np.ndarray, seed: int = 5)
     """
     draw = np.random.default_rng(seed)
     place: dict[str, int] = {}
-    tokens = [np.array([place.setdefault(w, len(place)) for w in t.lower().split()] or [-1], np.int64) for t in texts]
+    tokens = [np.array([place.setdefault(w, len(place)) for w in words_of(t)] or [-1], np.int64) for t in texts]
     keep = np.flatnonzero([t[0] >= 0 for t in tokens])
     tokens, y, stand_for = [tokens[i] for i in keep], y[keep], stand_for[keep]
-    word, bucket = subwords(list(place))
-    order = np.argsort(word, kind="stable")
-    bucket, many = bucket[order], np.bincount(word, minlength=len(place))
+    vocabulary = list(place)
+    buckets, lengths = [], []
+    for start in range(0, len(vocabulary), AT_ONCE):
+        some = vocabulary[start : start + AT_ONCE]
+        word, found = subwords(some)
+        buckets.append(found[np.argsort(word, kind="stable")].astype(np.uint16))
+        lengths.append(np.bincount(word, minlength=len(some)))
+    bucket, many = np.concatenate(buckets), np.concatenate(lengths)
     first = np.cumsum(many) - many
     flat = np.concatenate(tokens)
     ends = np.cumsum([len(t) for t in tokens])
@@ -153,7 +175,11 @@ def train(texts: list[str], y: np.ndarray, stand_for: np.ndarray, seed: int = 5)
 
     def best() -> np.ndarray:
         own = embedding @ (soft[:, 1] - soft[:, 0])
-        per_word = np.bincount(np.repeat(np.arange(len(place)), many), own[bucket], len(place)) / np.maximum(many, 1)
+        per_word = np.empty(len(place))
+        for start in range(0, len(place), AT_ONCE):
+            some = many[start : start + AT_ONCE]
+            scores = own[bucket[first[start] : first[start] + some.sum()]]
+            per_word[start : start + AT_ONCE] = np.bincount(np.repeat(np.arange(len(some)), some), scores, len(some)) / some
         scored = windows(per_word[flat], ends)
         return np.array([s + int(np.argmax(scored[s:e])) for s, e in zip(starts, ends)]), scored
 

@@ -132,6 +132,31 @@ def test_misspellings_share_subwords(spark):
     assert odds[0] > 0 > odds[1] and odds[2] < 0
 
 
+def test_unspaced_runs_are_read_to_their_end(spark):
+    draw = np.random.default_rng(4)
+    vocabulary = ["".join(chr(97 + c) for c in draw.integers(0, 26, 6)) for _ in range(60)]
+    some = lambda n: list(draw.choice(vocabulary, n))
+    grams = lambda w: {w[i : i + n] for n in range(toxicity.SHORT, toxicity.LONG + 1) for i in range(len(w) - n + 1)}
+    for n in (3, 50, 51, 57, 58, 59, 64, 65, 201, 1000):
+        word = "".join(chr(0x4E00 + c) for c in draw.integers(0, 400, n))
+        pieces = toxicity.words_of(word)
+        assert grams(word) == set().union(*map(grams, pieces)) and max(map(len, pieces)) <= toxicity.LONGEST
+        assert pieces[0][0] == word[0] and pieces[-1][-1] == word[-1]
+    text = lambda i, glue: glue.join(some(60) + ["vilescum"] * (i % 2) + some(3))
+    y = np.arange(200) % 2
+    # learnt from texts that are one word each, with what is toxic behind 400 characters
+    odds = toxicity.train([text(i, "_") for i in range(200)], y, np.ones(200)).log_odds([text(i, "_") for i in range(200)], {})
+    assert (odds[y == 1][:, None] > odds[y == 0]).mean() > 0.9
+    model = toxicity.train([text(i, " ") for i in range(200)], y, np.ones(200))
+    plain = ["_".join(some(1500)) for _ in range(10)]
+    assert min(map(len, plain)) > 10_000
+    clean, toxic = model.log_odds(plain, {}), model.log_odds([f"{t}_vilescum" for t in plain], {})
+    assert (toxic > clean + 0.5).all() and toxic.min() > clean.max()
+    rows = spark.createDataFrame([(f"{t}_vilescum",) for t in plain], "text string")
+    scores = [r["score"] for r in toxicity.score(rows, model).collect()]
+    assert sorted(scores) == pytest.approx(sorted(1 / (1 + np.exp(-toxic))))
+
+
 def test_mixing(docs, none):
     rows = mixing.mix(docs.withColumn("n", mixing.words_in("text")), size="n").collect()
     assert len(rows) == 10 and {r["n"] for r in rows} == {9, 0, 4, 60_000, 1}
