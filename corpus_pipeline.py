@@ -9,6 +9,8 @@ from reelgrid.llm.shared import pin
 
 #: Documents that score below are rejected.
 LEAST_QUALITY = 0.3
+#: Words of a shingle, bits up to which fingerprints are compared further, and the shared part of shingles that links.
+SHINGLE, RADIUS, SIMILARITY = 5, 24, 0.8
 SHARDS = 16
 
 
@@ -20,7 +22,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near-duplicates."""
-    return simhash.deduplicated(docs)
+    return simhash.deduplicated(docs, words=SHINGLE, radius=RADIUS, similarity=SIMILARITY)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

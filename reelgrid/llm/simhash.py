@@ -10,29 +10,35 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from reelgrid.llm.components import components
 from reelgrid.llm.shared import checked, pin
 
 #: Words of a shingle, differing bits up to which fingerprints link, fingerprints in one tree.
 SHINGLE, RADIUS, TREE = 4, 4, 1024
+#: Keys of a shingle set and the least hashes in one: two sets that share 0.8 of their shingles share a key with chance
+#: 1 - (1 - 0.8 ** 4) ** 16 = 0.9998.
+BANDS, ROWS = 16, 4
 #: Rows of one 8-byte key that may be broadcast.
 SMALL_KEYS = 500_000
 
 
-def fingerprint(text: str, words: int = SHINGLE) -> int:
-    """The bits that more than half of the shingles' hashes have, as an unsigned number; 0 without words."""
+def shingles(text: str, words: int = SHINGLE) -> np.ndarray:
+    """The hashes of all runs of ``words`` words, or of all words of a shorter text."""
     tokens = text.encode().lower().split()
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     line = memoryview(b" ".join(tokens))
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = max(1, len(tokens) - words + 1)
     spans = zip(starts[:last].tolist(), ends[min(words, len(tokens)) - 1 :].tolist())
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[a:b], 42) for a, b in spans], np.uint64)
+    return np.array([digest(line[a:b], 42) for a, b in spans], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
     votes = np.zeros(64, np.int64)
     for start in range(0, len(hashes), 4096):
         some = hashes[start : start + 4096]
@@ -40,10 +46,68 @@ def fingerprint(text: str, words: int = SHINGLE) -> int:
     return int(np.packbits(votes * 2 > len(hashes)).view(">u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.array([fingerprint(t or "") for t in batch.column("_text").to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("_kept"), pa.array(found)], ["_kept", "fp"])
+def fingerprint(text: str, words: int = SHINGLE) -> int:
+    """The bits that more than half of the shingles' hashes have, as an unsigned number; 0 without words."""
+    return majority(shingles(text, words))
+
+
+def _fingerprints(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("_text").to_pylist()
+            found = np.array([fingerprint(t or "", words) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("_kept"), pa.array(found)], ["_kept", "fp"])
+
+    return run
+
+
+_DRAW = np.random.default_rng(11)
+_TIMES = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _DRAW.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def bands(distinct: np.ndarray) -> np.ndarray:
+    """``BANDS`` keys of a set, each of the least of its members under ``ROWS`` orders."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(distinct), 4096):
+        mixed = distinct[start : start + 4096, None] * _TIMES + _PLUS
+        least = np.minimum(least, ((mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)).min(0))
+    least = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(least[n].tobytes(), n) for n in range(BANDS)], np.uint64).view(np.int64)
+
+
+def _name(distinct: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(distinct.tobytes(), 3)
+
+
+def _sketches(words: int):
+    """The fingerprint of each text, the name of its set of shingles and the set's keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, names, keys = [], [], []
+            for text in batch.column("_text").to_pylist():
+                hashes = shingles(text or "", words)
+                distinct = np.unique(hashes)
+                prints.append(majority(hashes))
+                names.append(_name(distinct))
+                keys.append(bands(distinct))
+            flat = np.concatenate(keys or [np.empty(0, np.int64)])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * BANDS, pa.int32()), pa.array(flat))
+            both = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (prints, names)]
+            yield pa.RecordBatch.from_arrays([batch.column("_kept"), *both, lists], ["_kept", "fp", "node", "keys"])
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.unique(shingles(t or "", words)) for t in batch.column("_text").to_pylist()]
+            names = np.array([_name(d) for d in found], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([d.tobytes() for d in found], pa.binary())], ["node", "members"])
+
+    return run
 
 
 class Forest:
@@ -216,11 +280,106 @@ def links(values: DataFrame, radius: int = RADIUS) -> DataFrame:
     return inside.unionByName(across)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pack the sets of each (group, shard), which lie together, into one row."""
+    names = ["group", "shard", "nodes", "prints", "members"]
+
+    def row() -> pa.RecordBatch:
+        nodes, prints, members = zip(*held)
+        parts = [[key[0]], [key[1]], [np.array(nodes, np.int64).tobytes()], [np.array(prints, np.int64).tobytes()], [list(members)]]
+        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(p, k) for p, k in zip(parts, kinds)], names)
+
+    held, key = [], None
+    for batch in batches:
+        for g, s, *value in zip(*(batch.column(c).to_pylist() for c in ("group", "shard", "node", "fp", "members"))):
+            if held and key != (g, s):
+                yield row()
+                held = []
+            key = (g, s)
+            held.append(value)
+    if held:
+        yield row()
+
+
+def _verified(radius: int, least: float):
+    """Links between sets of which at least ``least`` is shared; sets that already hang together are passed over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for one in batch.to_pylist():
+                two = one if one["nodes2"] is None else {k: one[f"{k}2"] for k in ("nodes", "prints", "members")}
+                nodes, others = (np.frombuffer(x["nodes"], np.int64) for x in (one, two))
+                prints, asked = (np.frombuffer(x["prints"], np.uint64) for x in (one, two))
+                near = Forest(prints, np.zeros(len(prints), np.int64)).near(asked, np.zeros(len(asked), np.int64), radius)
+                order = np.lexsort(near[::-1])
+                query, node = near[0][order], near[1][order]
+                if two is one:
+                    query, node, label, shift = query[node < query], node[node < query], np.arange(len(nodes)), 0
+                else:
+                    label, shift = np.arange(len(nodes) + len(others)), len(nodes)
+                sets = [[np.frombuffer(m, np.uint64) for m in x["members"]] for x in (one, two)]
+                edges = np.searchsorted(query, np.arange(len(asked) + 1))
+                links = []
+                for q in range(len(asked)):
+                    left = node[edges[q] : edges[q + 1]]
+                    mine = sets[1][q]
+                    left = left[label[left] != label[q + shift]]
+                    while len(left):
+                        n = left[0]
+                        his = sets[0][n]
+                        if min(len(mine), len(his)) >= least * max(len(mine), len(his)):
+                            both = len(np.intersect1d(mine, his, assume_unique=True))
+                            if both >= least * (len(mine) + len(his) - both):
+                                links.append((others[q], nodes[n]))
+                                label[label == label[n]] = label[q + shift]
+                        left = left[1:]
+                        left = left[label[left] != label[q + shift]]
+                ends = np.array(links, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+
+    return run
+
+
+def similar(rows: DataFrame, texts: DataFrame, words: int, radius: int, least: float) -> DataFrame:
+    """Links (a, b) that join all sets of ``rows`` (node, fp, keys, _hash) that share ``least`` of their shingles.
+
+    ``radius`` is too wide for groups of equal blocks of bits, so sets meet by their keys. In each group the trees give
+    the candidates, whose shingles, hashed again from ``texts`` (_hash, _text), decide. Only groups of two sets and
+    more get them. Large groups are split like those of ``links``.
+    """
+    values = pin(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.first("keys").alias("keys"), F.min("_hash").alias("_hash")))
+    keyed = values.select("node", "fp", F.explode(F.array_distinct("keys")).alias("group"))
+    sizes = pin(keyed.groupBy("group").count().filter("count > 1"))
+    sizes = sizes.select("group", F.ceil(F.col("count") / TREE).cast("int").alias("shards"))
+    keyed = pin(keyed.join(checked(sizes, SMALL_KEYS), "group"))
+    wanted = values.join(keyed.select("node").distinct(), "node", "left_semi").select("_hash").distinct()
+    found = texts.join(checked(pin(wanted), SMALL_KEYS), "_hash", "left_semi").select("_text")
+    sets = pin(found.mapInArrow(_sets(words), "node long, members binary").dropDuplicates(["node"]))
+    shard = F.pmod(F.xxhash64("node", F.lit(7)), F.col("shards")).cast("int").alias("shard")
+    dealt = keyed.select("node", "fp", "group", shard).join(sets, "node")
+    dealt = dealt.repartition("group", "shard").sortWithinPartitions("group", "shard", "node")
+    shape = "group long, shard int, nodes binary, prints binary, members array<binary>"
+    packed = pin(dealt.select("group", "shard", "node", "fp", "members").mapInArrow(_packed_sets, shape))
+    columns = "nodes", "prints", "members"
+    alone = packed.select(*columns, *[F.lit(None).cast(packed.schema[c].dataType).alias(f"{c}2") for c in columns])
+    large = packed.join(checked(pin(sizes.filter("shards > 1").select("group"))), "group", "left_semi")
+    others = large.select("group", F.col("shard").alias("other"), *[F.col(c).alias(f"{c}2") for c in columns])
+    pairs = large.join(others, "group").filter("shard < other").repartition("group", "shard", "other")
+    check = lambda df: df.select(*columns, *[f"{c}2" for c in columns]).mapInArrow(_verified(radius, least), "a long, b long")
+    return check(alone).unionByName(check(pairs))
+
+
+def near_duplicates(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", keep: list[str] | None = None,
+    words: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None,
+) -> DataFrame:
     """Add ``fingerprint``, ``component_id`` and ``component`` to the columns ``keep`` (all, if not given).
 
-    Fingerprints (16 hexadecimal digits) link when at most ``RADIUS`` bits differ; ``component_id`` is the smallest id
-    that links reach, ``component`` the smallest fingerprint, by which components without ids are told apart. Null
+    Fingerprints (16 hexadecimal digits) of shingles of ``words`` words link when at most ``radius`` bits differ;
+    ``component_id`` is the smallest id that links reach, ``component`` the smallest fingerprint, by which components
+    without ids are told apart. With ``similarity``, texts link when they share so much of their shingles (Jaccard) and
+    their fingerprints lie within ``radius``, and ``component`` is the smallest name of a set of shingles. Null
     texts and texts without words have the fingerprint zero, shorter texts that of all their words; repeated rows are
     in one component; null ids belong to components but don't name them (null, if there is no other); an empty table
     stays empty. Columns named like the results are replaced.
@@ -230,20 +389,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ke
         F.struct(F.struct(*[F.col(f"`{c}`") for c in own]).alias("columns"), F.col(f"`{key}`").cast("long").alias("id")).alias("_kept"),
         F.col(f"`{text}`").cast("string").alias("_text"),
     )
-    rows = pin(rows.mapInArrow(_fingerprints, StructType([rows.schema["_kept"], StructField("fp", LongType())])))
-    values = pin(rows.groupBy("fp").agg(F.min("_kept.id").alias("least")))
-    reached = pin(components(links(values.select("fp"))))
-    inside = values.join(reached.select(F.col("node").alias("fp"), "root"), "fp", "left")
-    inside = pin(inside.withColumn("root", F.coalesce("root", "fp")))
+    kept, whole = rows.schema["_kept"], [StructField(c, LongType()) for c in ("fp", "node")]
+    if similarity is None:
+        rows = pin(rows.mapInArrow(_fingerprints(words), StructType([kept, whole[0]]))).withColumn("node", F.col("fp"))
+    else:
+        texts = rows.select(F.xxhash64("_text").alias("_hash"), "_text")
+        rows = rows.withColumn("_kept", F.struct("_kept.columns", "_kept.id", F.xxhash64("_text").alias("_hash")))
+        shape = StructType([rows.schema["_kept"], *whole, StructField("keys", ArrayType(LongType()))])
+        rows = pin(rows.mapInArrow(_sketches(words), shape))
+    values = pin(rows.groupBy("node").agg(F.min("_kept.id").alias("least")))
+    if similarity is None:
+        linked = links(values.select(F.col("node").alias("fp")), radius)
+    else:
+        linked = similar(rows.select("node", "fp", "keys", "_kept._hash"), texts, words, radius, similarity)
+    reached = pin(components(linked))
+    inside = values.join(reached, "node", "left")
+    inside = pin(inside.withColumn("root", F.coalesce("root", "node")))
     best = inside.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = pin(inside.join(best, "root").select("fp", "component_id", "root"))
+    named = pin(inside.join(best, "root").select("node", "component_id", "root"))
     hexed = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
-    return rows.join(named, "fp").select(
+    return rows.join(named, "node").select(
         "_kept.columns.*", hexed("fp").alias("fingerprint"), "component_id", hexed("root").alias("component")
     )
 
 
-def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def deduplicated(
+    docs: DataFrame, text: str = "text", key: str = "doc_id",
+    words: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None,
+) -> DataFrame:
     """One row of each component, as it is: the one with the smallest id; rows without ids stand back.
 
     Of equal rows one stays. What goes is a list of hashes of id and text, so texts aren't shuffled unless rows repeat
@@ -251,7 +424,8 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """
     identity = F.xxhash64(F.col(f"`{key}`").cast("string"), F.col(f"`{text}`").cast("string"))
     narrow = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"), identity.alias("_identity"))
-    rows = pin(near_duplicates(narrow, "text", "id", keep=["id", "_identity"]).select("id", "_identity", "component"))
+    found = near_duplicates(narrow, "text", "id", ["id", "_identity"], words, radius, similarity)
+    rows = pin(found.select("id", "_identity", "component"))
     order = F.struct(F.col("id").isNull(), F.col("id"), F.col("_identity"))
     first = rows.groupBy("component").agg(F.min_by("_identity", order).alias("_identity")).select("_identity")
     gone = pin(rows.select("_identity").distinct().join(first, "_identity", "left_anti"))

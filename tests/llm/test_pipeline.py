@@ -1,6 +1,7 @@
 """The corpus pipeline: every stage against brute force on what its predecessor kept."""
 
 import collections
+import random
 import re
 
 import pytest
@@ -50,6 +51,30 @@ def test_one_of_each_group_stays(stages):
     assert sorted(r["doc_id"] for r in stages[2]) == sorted(set(group.values()))
 
 
+@pytest.mark.parametrize("tree", [1024, 8])
+def test_near_copies_go(spark, monkeypatch, tree):
+    monkeypatch.setattr(simhash, "TREE", tree)
+    draw, texts = random.Random(3), []
+    for _ in range(30):
+        words = [f"w{draw.randrange(5000)}" for _ in range(150)]
+        for edits in (0, 1, 2, 3, 5, 7, 12):
+            texts.append(" ".join(f"x{draw.randrange(99)}" if i in draw.sample(range(150), edits) else w for i, w in enumerate(words)))
+    texts += [texts[0], texts[0].upper(), "", "   ", "two words", "Two  words"]
+    base = texts[0].split()
+    for n in range(40):  # a crowded group
+        texts.append(" ".join([*base[:-1], f"end{n}"]))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = corpus_pipeline.one_of_each_group(spark, docs, FOLDER).collect()
+    assert sorted(r["doc_id"] for r in left) == sorted(set(group))
+
+
 def test_no_benchmark_is_left(spark, stages):
     cut = lambda t: re.findall(r"[0-9a-z\x80-\U0010FFFF]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     phrases = set()
