@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrid.llm import backoff, chat, decontam, fmindex, interleave, mixing, quality, simhash, toxicity, vafile
+from reelgrid.llm import backoff, chat, decontam, fmindex, interleave, merkle, mixing, quality, simhash, toxicity, vafile
 from reelgrid.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,3 +203,91 @@ def op9_interleave(spark: SparkSession, folder: str) -> DataFrame:
 def op10_backoff(spark: SparkSession, folder: str) -> DataFrame:
     """The log-probability of every document."""
     return backoff.score(read(spark, folder, "documents").select("doc_id", "text"), held_out(folds=7, fold=2))
+
+
+@query(
+    "op12_merkle",
+    r"""
+    with recursive docs as (
+        select doc_id, source, lang, n_chars, text,
+               list_reduce(
+                   list_prepend(cast(4294967295 as bigint), list_transform(
+                       string_split(cast(doc_id as varchar), ''), lambda c: cast(ascii(c) as bigint))),
+                   lambda a, b: list_reduce(
+                       list_prepend(xor(a, b), [cast(0 as bigint) for _ in range(8)]),
+                       lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))) & 1 = 1 as tampered
+        from documents
+    ), spelt as (
+        select *,
+               coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-')
+               || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+               || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as head,
+               case when tampered then replace(text, chr(10), '') else text end as now
+        from docs
+    ), leaves as (
+        select doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+               sha256(head || coalesce(strlen(now) || ':' || now, '-')) as claim,
+               row_number() over (partition by source order by doc_id) - 1 as spot,
+               count(*) over (partition by source) as n
+        from spelt
+    ), tree as (
+        select source, 0 as level, spot, n, leaf as node from leaves
+        union all
+        select source, level + 1, spot // 3, any_value((n + 2) // 3), sha256(string_agg(node, '' order by spot))
+        from tree where n > 1 group by source, level, spot // 3
+    ), subroots as (
+        select source, node as subroot, level as height,
+               row_number() over (order by source nulls first) - 1 as spot, count(*) over () as n
+        from tree where n = 1
+    ), upper as (
+        select 0 as level, spot, n, subroot as node from subroots
+        union all
+        select level + 1, spot // 3, any_value((n + 2) // 3), sha256(string_agg(node, '' order by spot))
+        from upper where n > 1 group by level, spot // 3
+    ), whole as (select node as root from upper where n = 1
+    ), nodes as (
+        select coalesce('s' || source, '') as key, level, spot, node from tree where n > 1
+    ), upper_nodes as (select level, spot, node from upper where n > 1
+    ), starts as (
+        select doc_id, coalesce('s' || l.source, '') as key, l.spot, s.spot as top_at, s.height, leaf, claim, subroot
+        from leaves l join subroots s on l.source is not distinct from s.source
+    ), heights as (select max(level) as tall from upper
+    ), steps as (
+        select doc_id, claim, g as step, key, g as level, spot // cast(pow(3, g) as bigint) as spot, false as above
+        from starts, range(0, 40) r(g) where g < height
+        union all
+        select doc_id, claim, height + g, key, g, top_at // cast(pow(3, g) as bigint), true
+        from starts, heights, range(0, 40) r(g) where g < tall
+    ), beside as (
+        select s.doc_id, s.claim, step,
+               coalesce(string_agg(n.node, '' order by n.spot) filter (where n.spot < s.spot), '') as left_side,
+               coalesce(string_agg(n.node, '' order by n.spot) filter (where n.spot > s.spot), '') as right_side
+        from steps s join (
+            select key, level, spot, node, false as above from nodes
+            union all select null, level, spot, node, true from upper_nodes
+        ) n on s.above = n.above and s.level = n.level and s.spot // 3 = n.spot // 3 and (s.above or s.key = n.key)
+        group by s.doc_id, s.claim, step
+    ), proofs as (
+        select doc_id, claim, string_agg(left_side || right_side, '' order by step) as proof from beside group by doc_id, claim
+    ), folded as (
+        select doc_id, claim, 0 as step, claim as node from starts
+        union all
+        select f.doc_id, f.claim, f.step + 1, sha256(left_side || node || right_side)
+        from folded f join beside b on f.doc_id = b.doc_id and f.claim = b.claim and f.step = b.step
+    ), ends as (
+        select doc_id, claim, arg_max(node, step) as folded_root from folded group by doc_id, claim
+    )
+    select s.doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) as proof_sha256, folded_root, folded_root = root as verified
+    from starts s join ends e using (doc_id, claim) left join proofs p using (doc_id, claim), whole
+    """,
+)
+def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    """The Merkle proof of every document, and what it says of the document as it is held now."""
+    names = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(2)) == 0
+    now = F.when(changed, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    docs = read(spark, folder, "documents")
+    made = merkle.manifest(docs, names, by="source", order="doc_id", claim=[*map(F.col, names[:-1]), now])
+    return made.prove().select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), "folded_root", "verified"
+    )
