@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrid.llm import backoff, chat, decontam, fmindex, interleave, merkle, mixing, quality, simhash, toxicity, vafile
+from reelgrid.llm import backoff, chat, decontam, fmindex, interleave, merkle, mixing, quality, segments, simhash, toxicity, vafile
 from reelgrid.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -291,3 +291,37 @@ def op12_merkle(spark: SparkSession, folder: str) -> DataFrame:
     return made.prove().select(
         "doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("siblings", ""), 256).alias("proof_sha256"), "folded_root", "verified"
     )
+
+
+@query(
+    "op13_segments",
+    """
+    with ok as (
+        select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+               list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+        from embeddings
+        where label is not null and embedding is not null
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), scored as (
+        select a.vec_id as anchor_id, c.vec_id, a.label = c.label as same,
+               cast(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i])) as bigint) as score
+        from ok a join ok c on a.vec_id <> c.vec_id
+        where a.vec_id % 50 = 0
+    ), positives as (
+        select anchor_id, vec_id as positive_id, score as positive_score from (
+            select *, row_number() over (partition by anchor_id order by score desc, vec_id) as n from scored where same
+        ) where n <= 5
+    ), negatives as (
+        select p.*, s.vec_id as negative_id, s.score as negative_score, cast(row_number() over (
+            partition by anchor_id, positive_id order by s.score desc, s.vec_id) as integer) as rank
+        from positives p join scored s using (anchor_id)
+        where not s.same and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score
+    )
+    select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from negatives where rank <= 3
+    """,
+)
+def op13_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector and its five best positives."""
+    label = F.expr("cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as long)")
+    vectors = read(spark, folder, "embeddings").select("vec_id", label.alias("label"), "embedding")
+    return segments.hard_negatives(vectors, F.expr("vec_id % 50 = 0"), vector="embedding")
