@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reelgrid.llm import backoff, chat, decontam, fmindex, interleave, merkle, mixing, quality, segments, simhash, toxicity, vafile
+from reelgrid.llm import (
+    backoff,
+    chat,
+    crossparse,
+    decontam,
+    fmindex,
+    interleave,
+    merkle,
+    mixing,
+    quality,
+    segments,
+    simhash,
+    toxicity,
+    vafile,
+)
 from reelgrid.llm.sampling import held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -205,6 +219,16 @@ def op10_backoff(spark: SparkSession, folder: str) -> DataFrame:
     return backoff.score(read(spark, folder, "documents").select("doc_id", "text"), held_out(folds=7, fold=2))
 
 
+@query("op11_crossparse")
+def op11_crossparse(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document."""
+    docs = read(spark, folder, "documents").select("doc_id", "text", "lang")
+    outside = held_out(folds=4, fold=2)
+    model = crossparse.fit(docs, learn=~outside)
+    found = crossparse.predict(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return found.select("doc_id", outside.alias("held_out"), "lang_pred", "score")
+
+
 @query(
     "op12_merkle",
     r"""
