@@ -96,9 +96,9 @@ def fold(leaf: str, steps: list[tuple[int, tuple[str, ...]]]) -> str:
     return leaf
 
 
-def _raised(levels: int, total: int) -> int:
+def _raised(levels: int, total: int, height: int) -> int:
     """How often a subtree's root is hashed alone until it reaches the height of its neighbours."""
-    return HEIGHT + 1 - levels if total > FAN**HEIGHT else 0
+    return height + 1 - levels if total > FAN**height else 0
 
 
 _STEPS = ArrayType(StructType([StructField("place", IntegerType()), StructField("others", ArrayType(StringType()))]))
@@ -109,10 +109,11 @@ class Forest:
     """Trees as rounds of subtrees: ``tree``, ``block``, ``total`` (leaves of the round), ``rows``, ``levels``, ``nodes``, ``root``."""
 
     rounds: list[DataFrame]
+    height: int
 
     def roots(self) -> DataFrame:
         """``tree`` and ``root`` of every tree."""
-        done = [r.filter(F.col("total") <= FAN**HEIGHT).select("tree", "root") for r in self.rounds]
+        done = [r.filter(F.col("total") <= FAN**self.height).select("tree", "root") for r in self.rounds]
         out = done[0]
         for more in done[1:]:
             out = out.unionByName(more)
@@ -125,14 +126,14 @@ class Forest:
         """
         given = None
         for subtrees in reversed(self.rounds):
-            done = subtrees.filter(F.col("total") <= FAN**HEIGHT).select("tree", "block").join(checked(top, FEW_PATHS), "tree")
+            done = subtrees.filter(F.col("total") <= FAN**self.height).select("tree", "block").join(checked(top, FEW_PATHS), "tree")
             above = pin(done if given is None else done.unionByName(given))
             here = subtrees.join(checked(above, FEW_PATHS), ["tree", "block"])
             if subtrees is self.rounds[0]:
                 return here
             shape = StructType([subtrees.schema["tree"], subtrees.schema["block"], StructField("subroot", StringType()), StructField("above", _STEPS)])
             given = here.select("tree", "block", "total", "levels", "nodes", F.size("rows").alias("n"), "subroot", "above").mapInArrow(
-                _downwards(to_arrow_schema(shape)), shape
+                _downwards(to_arrow_schema(shape), self.height), shape
             )
         raise AssertionError("a forest has a round at least")
 
@@ -141,13 +142,13 @@ def _steps(given) -> list[tuple[int, tuple[str, ...]]]:
     return [(s["place"], tuple(s["others"])) for s in given]
 
 
-def _downwards(shape: pa.Schema):
+def _downwards(shape: pa.Schema, height: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                rest = [_LONE] * _raised(row["levels"], row["total"]) + _steps(row["above"])
+                rest = [_LONE] * _raised(row["levels"], row["total"], height) + _steps(row["above"])
                 ways = [[{"place": p, "others": list(o)} for p, o in way + rest] for way in paths(row["levels"], row["nodes"], row["n"])]
-                first = row["block"] * FAN**HEIGHT
+                first = row["block"] * FAN**height
                 yield pa.RecordBatch.from_pydict(
                     {
                         "tree": [row["tree"]] * len(ways), "block": list(range(first, first + len(ways))),
@@ -158,7 +159,7 @@ def _downwards(shape: pa.Schema):
     return run
 
 
-def _subtrees(shape: pa.Schema):
+def _subtrees(shape: pa.Schema, height: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
@@ -166,7 +167,7 @@ def _subtrees(shape: pa.Schema):
                 leaves = one.column("rows").flatten().field("digest").to_pylist()
                 levels, nodes, root = build_subtree(leaves)
                 total = one.column("total")[0].as_py()
-                raised = fold(root, [_LONE] * _raised(levels, total))
+                raised = fold(root, [_LONE] * _raised(levels, total, height))
                 made = {"levels": [levels], "nodes": [nodes], "root": [root], "raised": [raised]}
                 arrays = [one.column(f.name) if f.name in one.schema.names else pa.array(made[f.name], f.type) for f in shape]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, shape)], schema=shape)
@@ -174,21 +175,21 @@ def _subtrees(shape: pa.Schema):
     return run
 
 
-def build(leaves: DataFrame) -> Forest:
+def build(leaves: DataFrame, height: int = HEIGHT) -> Forest:
     """Trees over the pinned rows ``tree``, ``at`` (gapless from 0), ``total`` (rows of the tree), ``digest`` and any others."""
     most = leaves.agg(F.max("total")).first()[0] or 0
     rounds, here = [], leaves
-    full = FAN**HEIGHT
+    full = FAN**height
     while True:
         own = [c for c in here.columns if c not in ("tree", "at", "total")]
         rows = here.groupBy("tree", F.expr(f"at div {full}").alias("block"), "total").agg(
             F.sort_array(F.collect_list(F.struct(F.expr(f"cast(at % {full} as int)").alias("spot"), *own))).alias("rows")
         )
         shape = StructType([*rows.schema.fields, StructField("levels", IntegerType()), *StructType.fromDDL("nodes binary, root string, raised string").fields])
-        built = pin(rows.mapInArrow(_subtrees(to_arrow_schema(shape)), shape))
+        built = pin(rows.mapInArrow(_subtrees(to_arrow_schema(shape), height), shape))
         rounds.append(built)
         if most <= full:
-            return Forest(rounds)
+            return Forest(rounds, height)
         most = -(-most // full)
         here = built.filter(F.col("total") > full).select(
             "tree", F.col("block").alias("at"), F.ceil(F.col("total") / full).cast("long").alias("total"), F.unhex("raised").alias("digest")
@@ -243,12 +244,12 @@ class Manifest:
             self.top.roots().select("tree", F.col("root").alias("subroot"), F.array().cast(_STEPS).alias("above"))
         )
         shape = StructType([named.schema["tree"], StructField("subroot", StringType()), StructField("above", _STEPS)])
-        upper = named.select("rows", "total", "levels", "nodes", "above").mapInArrow(_tops(to_arrow_schema(shape)), shape)
+        upper = named.select("rows", "total", "levels", "nodes", "above").mapInArrow(_tops(to_arrow_schema(shape), self.top.height), shape)
         subtrees = self.sources.with_paths(pin(upper))
         inside = subtrees.schema["rows"].dataType.elementType
         texts = [StructField(n, StringType()) for n in ("leaf", "subroot", "root")]
         out = StructType([inside["_kept"], *texts, StructField("siblings", ArrayType(StringType())), StructField("folded_root", StringType()), StructField("verified", BooleanType())])
-        proven = subtrees.select("rows", "total", "levels", "nodes", "subroot", "above").mapInArrow(_proofs(to_arrow_schema(out), root), out)
+        proven = subtrees.select("rows", "total", "levels", "nodes", "subroot", "above").mapInArrow(_proofs(to_arrow_schema(out), root, self.sources.height), out)
         return proven.select("_kept.*", *[f.name for f in out.fields[1:]])
 
 
@@ -256,25 +257,25 @@ def _source() -> Column:
     return F.when(F.col("tree") != "", F.expr("substring(tree, 2)"))
 
 
-def _ways(row: dict) -> Iterator[tuple[dict, list]]:
-    rest = [_LONE] * _raised(row["levels"], row["total"]) + _steps(row["above"])
+def _ways(row: dict, height: int) -> Iterator[tuple[dict, list]]:
+    rest = [_LONE] * _raised(row["levels"], row["total"], height) + _steps(row["above"])
     for leaf_row, way in zip(row["rows"], paths(row["levels"], row["nodes"], len(row["rows"]))):
         yield leaf_row, way + rest
 
 
-def _tops(shape: pa.Schema):
+def _tops(shape: pa.Schema, height: int):
     """What the tree over the sources' roots gives each source."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                found = [(r["name"], r["digest"].hex(), [{"place": p, "others": list(o)} for p, o in way]) for r, way in _ways(row)]
+                found = [(r["name"], r["digest"].hex(), [{"place": p, "others": list(o)} for p, o in way]) for r, way in _ways(row, height)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), shape)], schema=shape)
 
     return run
 
 
-def _proofs(shape: pa.Schema, root: str | None):
+def _proofs(shape: pa.Schema, root: str | None, height: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
@@ -284,7 +285,7 @@ def _proofs(shape: pa.Schema, root: str | None):
                 inner = one.column("rows").flatten()
                 row["rows"] = [{"digest": d, "claim": c} for d, c in zip(inner.field("digest").to_pylist(), inner.field("claim").to_pylist())]
                 found = []
-                for r, way in _ways(row):
+                for r, way in _ways(row, height):
                     own = r["digest"].hex()
                     folded = fold((r["claim"] or r["digest"]).hex(), way)
                     found.append((own, row["subroot"], root, [o for _, others in way for o in others], folded, folded == root))
@@ -294,11 +295,11 @@ def _proofs(shape: pa.Schema, root: str | None):
     return run
 
 
-def manifest(docs: DataFrame, fields: list[str], by: str, order: str, claim: list[Column] | None = None, keep: list[str] | None = None) -> Manifest:
+def manifest(docs: DataFrame, fields: list[str], by: str, order: str, claim: list[Column] | None = None, keep: list[str] | None = None, height: int = HEIGHT) -> Manifest:
     """Build the manifest of a dataset.
 
     A row's leaf is the digest of its ``fields``. The leaves of a source (``by``) ascend by ``order``; while there is
-    more than one node, each run of ``FAN`` (the last may be shorter, even one) becomes the digest of their hex texts.
+    more than one node, each run of ``FAN`` (the last may be shorter, even one) becomes the digest of their hex texts. Subtrees have ``height`` steps.
     The sources' roots, null first and then by their bytes, are joined the same way. ``claim`` are the fields as a
     reader holds them now; proofs fold the leaf of these (null or not given: the original fields).
 
@@ -318,7 +319,7 @@ def manifest(docs: DataFrame, fields: list[str], by: str, order: str, claim: lis
     # where a claim repeats the leaf, it isn't kept
     rows = pin(rows.withColumn("claim", F.when(F.col("claim") != F.col("digest"), F.col("claim"))))
     leaves = _numbered(placed(rows, F.col("tree"), F.col("_order"), F.col("digest"))).drop("_order")
-    sources = build(pin(leaves))
+    sources = build(pin(leaves), height)
     roots = sources.roots().select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.unhex("root").alias("digest"))
-    top = build(pin(_numbered(placed(pin(roots), F.col("name")))))
+    top = build(pin(_numbered(placed(pin(roots), F.col("name")))), height)
     return Manifest(sources, top, own)
