@@ -11,7 +11,7 @@ from pyspark.sql.types import LongType, StructField
 from reelgrid.functions.timebase import idiv, samples_until
 from reelgrid.operators.catalog import latest
 from reelgrid.plans.asof import nearest
-from reelgrid.plans.fold import Rows, fold_timeline
+from reelgrid.plans.fold import Machine, Rows, fold_timeline
 from reelgrid.plans.ordered import (
     following_row,
     last_value,
@@ -218,11 +218,11 @@ def recorder_health(frames: DataFrame, now_ns: Column, started_ns: int, window_n
     )
 
 
-def source_clock(frames: DataFrame, fallback_ns: int) -> DataFrame:
-    """Start and duration of each decoded frame of an upload (``file``, ``n``), kept in decode order.
+def clock_machine(fallback_ns: int) -> Machine:
+    """Start and duration of decoded frames, one after the other.
 
-    A frame without a timestamp (negative) follows the one before by its duration; no frame starts before the one
-    before it; an unknown duration (0) is the step from the frame before, else the stream's frame period.
+    Frames without a time move the start before them by a fixed way. From the first timed frame on all depends on that
+    start alone, by a function of few straight pieces, as later frames are rarely before it.
     """
 
     def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
@@ -240,9 +240,70 @@ def source_clock(frames: DataFrame, fallback_ns: int) -> DataFrame:
             last = at
         return {"at_ns": starts, "length_ns": lengths}, json.dumps([last, length])
 
+    def split(piece: tuple, at: int) -> list[tuple[int | None, bool]]:
+        """Where the pieces of a piece begin that start before ``at`` and that don't; a piece starts at p + q x."""
+        begin, end, (p, q), _ = piece
+        if q == 0:
+            return [(begin, p < at)]
+        edge = -((p - at) // q) if q > 0 else (p - at) // -q + 1
+        if begin is not None and edge <= begin:
+            return [(begin, q < 0)]
+        if end is not None and edge >= end:
+            return [(begin, q > 0)]
+        return [(begin, q > 0), (edge, q < 0)]
+
+    def timed(pieces: list[tuple], at: int, duration: int) -> list[tuple]:
+        found: list[tuple] = []
+        for piece in pieces:
+            (p, q), stop = piece[2], piece[1]
+            parts = split(piece, at)
+            for n, (begin, before) in enumerate(parts):
+                end = parts[n + 1][0] if n + 1 < len(parts) else stop
+                length = (duration, 0) if duration > 0 else (at - p, -q) if before else (fallback_ns, 0)
+                now = ((at, 0) if before else (p, q), length)
+                if found and found[-1][2:] == now:
+                    found[-1] = (found[-1][0], end, *now)
+                else:
+                    found.append((begin, end, *now))
+        return found
+
+    def extend(effect: dict | None, rows: Rows) -> dict:
+        # before the first timed frame: earlier lengths to add, a way to add, the length if it is known
+        early, way, known, pieces = (effect or {"all": (0, 0, None, None)})["all"]
+        for at, duration in zip(rows["start_ns"], rows["duration_ns"], strict=True):
+            if at >= 0:
+                pieces = timed([(None, None, (0, 1), (0, 0))] if pieces is None else pieces, at, duration)
+            elif pieces is None:
+                early, way = (early + 1, way) if known is None else (early, way + known)
+                known = duration if duration > 0 else known
+            else:
+                moved = [(b, e, (p + r, q + s), (duration, 0) if duration > 0 else (r, s)) for b, e, (p, q), (r, s) in pieces]
+                pieces = [m for n, m in enumerate(moved) if n == 0 or m[2:] != moved[n - 1][2:]]
+                pieces = [(b, pieces[n + 1][0] if n + 1 < len(pieces) else None, *rest) for n, (b, _, *rest) in enumerate(pieces)]
+        return {"all": (early, way, known, pieces)}
+
+    def enter(effect: dict, state: str) -> str:
+        early, way, known, pieces = effect["all"]
+        last, length = json.loads(state)
+        last += early * length + way
+        length = length if known is None else known
+        for begin, end, (p, q), (r, s) in pieces or ():
+            if (begin is None or last >= begin) and (end is None or last < end):
+                return json.dumps([p + q * last, r + s * last])
+        return json.dumps([last, length])
+
+    return Machine(step, extend, enter)
+
+
+def source_clock(frames: DataFrame, fallback_ns: int) -> DataFrame:
+    """Start and duration of each decoded frame of an upload (``file``, ``n``), kept in decode order.
+
+    A frame without a timestamp (negative) follows the one before by its duration; no frame starts before the one
+    before it; an unknown duration (0) is the step from the frame before, else the stream's frame period.
+    """
     narrow = frames.select("file", "n", "start_ns", "duration_ns")
     fields = [StructField("at_ns", LongType()), StructField("length_ns", LongType())]
-    return fold_timeline(narrow, ["file"], ["n"], step, fields)
+    return fold_timeline(narrow, ["file"], ["n"], clock_machine(fallback_ns), fields)
 
 
 def rate_convert(frames: DataFrame, num: int, den: int) -> DataFrame:

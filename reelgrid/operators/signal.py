@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import json
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StructField
+from pyspark.sql.types import DoubleType, LongType, StructField
 
 from reelgrid.functions.identity import db_to_gain
 from reelgrid.functions.playout import blend_sample, crossfade_gains, edge_gain, end_fade
 from reelgrid.functions.timebase import idiv, samples_until, stretch_length
-from reelgrid.plans.fold import Rows, fold_timeline
+from reelgrid.plans.fold import Machine, Rows, fold_timeline
+from reelgrid.plans.lines import Line, towards
 from reelgrid.plans.ordered import last_value, previous_row, running, running_count, spread
 
 # The window and the two constants of the structural similarity, and a peak for equal pictures.
@@ -123,19 +125,33 @@ def duck_ramp(samples: DataFrame, key: str, depth_db: float, attack: float, rele
     new = F.coalesce(F.col("_was.ducked") != F.col("ducked"), F.lit(True))
     starts = seen.filter(new).select(key, "_i", "ducked")
 
-    def line(db: float, ducked: bool, k: int) -> float:
-        return max(depth, db - down * k) if ducked else min(0.0, db + up * k)
+    def line(ducked: bool, k: int) -> Line:
+        return Line(1, -down * k, low=depth) if ducked else Line(1, up * k, high=0.0)
 
     def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
         db, ducked, since = json.loads(state) if state else (0.0, False, 1)
         found = []
         for at, flag in zip(rows["_i"], rows["ducked"], strict=True):
-            db = line(db, ducked, at - since)
+            db = line(ducked, at - since)(db)
             ducked, since = flag, at
             found.append(db)
         return {"_db": found}, json.dumps([db, ducked, since])
 
-    begun = fold_timeline(starts, [key], ["_i"], step, [StructField("_db", DoubleType())])
+    def extend(effect: tuple | None, rows: Rows) -> tuple:
+        for at, flag in zip(rows["_i"], rows["ducked"], strict=True):
+            if effect is None:
+                effect = at, Line(), flag, at
+            else:
+                first, gain, ducked, since = effect
+                effect = first, gain.then(line(ducked, at - since)), flag, at
+        return effect
+
+    def enter(effect: tuple, state: str) -> str:
+        first, gain, flag, at = effect
+        db, ducked, since = json.loads(state)
+        return json.dumps([gain(line(ducked, first - since)(db)), flag, at])
+
+    begun = fold_timeline(starts, [key], ["_i"], Machine(step, extend, enter), [StructField("_db", DoubleType())])
     # a run's start meets its own sample and is carried on from there, so a long run is no join key
     met = seen.join(begun, [key, "_i"], "left").withColumn("_run", F.when(F.col("_db").isNotNull(), F.struct(F.col("_i").alias("_start"), "_db")))
     runs = running(met.drop("_db"), [key], ["n"], _last=last_value("_run")).select("*", "_last._start", "_last._db")
@@ -161,6 +177,64 @@ def clip_samples(in_ns: Column, out_ns: Column, num: int, den: int, period_ns: i
     return samples_until(first + frames, num, den) - samples_until(first, num, den)
 
 
+def bed_machine(full: int, depth: float, down: float, up: float) -> Machine:
+    """Fade steps, ducking and sounded samples of a bed where each run of equal flags starts.
+
+    What runs do depends on the fade steps before them, of which there are few, and for each on the ducking by a clamped
+    line; an effect is a table of these lines, as long as the fade.
+    """
+    fresh = (0, 0.0, 0)
+
+    def through(wanted: bool, ducked: bool, k: int, fade: int, db: float, sounded: int) -> tuple[int, float, int]:
+        """Fade, ducking and sounded samples after ``k`` samples of a run."""
+        steps = k if wanted else min(k, fade)
+        return (min(full, fade + k) if wanted else max(0, fade - k)), towards(db, depth if ducked else 0.0, steps, down, up), sounded + steps
+
+    def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
+        wanted, ducked, since, *now = json.loads(state) if state else (False, False, 1, *fresh)
+        out: Rows = {"_fade": [], "_db": [], "_sounded": []}
+        for at, *flags, restart in zip(rows["_i"], rows["wanted"], rows["ducked"], rows["restart"], strict=True):
+            now = fresh if restart else through(wanted, ducked, at - since, *now)
+            (wanted, ducked), since = flags, at
+            for values, value in zip(out.values(), now):
+                values.append(value)
+        return out, json.dumps([wanted, ducked, since, *now])
+
+    def extend(effect: dict | None, rows: Rows) -> dict:
+        for at, *flags, restart in zip(rows["_i"], rows["wanted"], rows["ducked"], rows["restart"], strict=True):
+            if effect is None:
+                # fade, low, high and shift of the ducking's line, sounded samples, for every fade before the first run
+                table = [np.arange(full + 1), np.full(full + 1, -np.inf), np.full(full + 1, np.inf), np.zeros(full + 1), np.zeros(full + 1, np.int64)]
+                effect = {"first": at, "flags": flags, "since": at, "table": table, "fixed": fresh if restart else None}
+                continue
+            wanted, ducked = effect["flags"]
+            k = at - effect["since"]
+            if restart:
+                effect["fixed"] = fresh
+            elif effect["fixed"]:
+                effect["fixed"] = through(wanted, ducked, k, *effect["fixed"])
+            else:
+                fade, low, high, shift, sounded = effect["table"]
+                steps = np.full(full + 1, k) if wanted else np.minimum(k, fade)
+                move = -down * steps if ducked else up * steps
+                # the ducking stays between its depth and 0, so it only ever moves towards one of them
+                low, high = (np.clip(edge + move, depth if ducked else -np.inf, np.inf if ducked else 0.0) for edge in (low, high))
+                effect["table"] = [np.minimum(full, fade + k) if wanted else np.maximum(0, fade - k), low, high, shift + move, sounded + steps]
+            effect |= {"flags": flags, "since": at}
+        return effect
+
+    def enter(effect: dict, state: str) -> str:
+        wanted, ducked, since, *now = json.loads(state)
+        found = effect["fixed"]
+        if found is None:
+            fade, db, sounded = through(wanted, ducked, effect["first"] - since, *now)
+            to, low, high, shift, more = (column[fade].item() for column in effect["table"])
+            found = to, max(low, min(high, db + shift)), sounded + more
+        return json.dumps([*effect["flags"], effect["since"], *found])
+
+    return Machine(step, extend, enter)
+
+
 def aux_mix(
     samples: DataFrame,
     source: DataFrame,
@@ -175,43 +249,33 @@ def aux_mix(
 ) -> DataFrame:
     """Mix a bed under each channel's samples.
 
-    ``samples``: channel, n, pcm, wanted, ducked, restart, remaining_ns (null when the list does not end). The bed's
-    fade in and out over two grains and its ducking are folded; its position is the number of samples it has sounded
-    since it started. Every gain is then an expression, and the bed's sample is found by its position in ``source``
-    (position, bed).
+    ``samples``: channel, n, pcm, wanted, ducked, restart, remaining_ns (null when the list does not end). Within a run
+    of equal ``wanted`` and ``ducked`` the bed's fade (in and out over two grains), its ducking and the samples it has
+    sounded are clamped lines; only where each run starts from is folded. The bed's sample is found by its position in
+    ``source`` (position, bed).
     """
-    depth = min(0.0, duck_db)
-    run_step = 1.0 / (2.0 * grain)
-
-    def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
-        run, db = json.loads(state) if state else (0, 0.0)
-        found: Rows = {"_on": [], "_run": [], "_db": []}
-        for wanted, ducked, restart in zip(rows["wanted"], rows["ducked"], rows["restart"], strict=True):
-            if restart:
-                run, db = 0, 0.0
-            sounds = wanted or run > 0
-            if sounds:
-                # The fade is counted in whole steps, so it ends exactly.
-                run = min(2 * grain, run + 1) if wanted else max(0, run - 1)
-                goal = depth if ducked else 0.0
-                span = max(-depth, abs(db - goal))
-                rate = attack if db > goal else release
-                moved = span / rate if rate >= 1 else span
-                db = max(goal, db - moved) if db > goal else min(goal, db + moved)
-            for name, value in (("_on", sounds), ("_run", run * run_step), ("_db", db)):
-                found[name].append(value)
-        return found, json.dumps([run, db])
-
-    fields = [StructField("_on", BooleanType()), StructField("_run", DoubleType()), StructField("_db", DoubleType())]
+    depth, full = min(0.0, duck_db), 2 * grain
+    down, up = (-depth / rate if rate >= 1 else -depth for rate in (attack, release))
     keys, order = ["channel"], ["n"]
-    flags = samples.select("channel", "n", "wanted", "ducked", "restart")
-    folded = fold_timeline(flags, keys, order, step, fields, keep=["restart"], keep_chunk=True)
-    counted = running(folded, keys, order, _n=running_count(F.col("_on"), before=True))
-    begun = running(counted, keys, order, again=True, _zero=last_value(F.when(F.col("restart"), F.col("_n"))))
-    since = F.col("_n") - F.coalesce("_zero", F.lit(0))
-    inside = since % length if loop and length > 0 else F.when(since < length, since)
-    position = F.when(F.col("_on"), F.coalesce(inside, F.lit(-1).cast("long"))).otherwise(-1)
-    placed = begun.select("channel", "n", position.alias("position"), "_run", "_db")
+    cut = spread(samples.select("channel", "n", "wanted", "ducked", "restart"), keys, order)
+    seen = running(cut, keys, order, _i=running_count(), _was=previous_row("wanted", "ducked"))
+    same = (F.col("_was.wanted") == F.col("wanted")) & (F.col("_was.ducked") == F.col("ducked")) & ~F.col("restart")
+    starts = seen.filter(~F.coalesce(same, F.lit(False))).select("channel", "_i", "wanted", "ducked", "restart")
+    fields = [StructField("_fade", LongType()), StructField("_db", DoubleType()), StructField("_sounded", LongType())]
+    begun = fold_timeline(starts, keys, ["_i"], bed_machine(full, depth, down, up), fields)
+    start = F.struct(F.col("_i").alias("_start"), "_fade", "_db", "_sounded")
+    met = seen.join(begun, ["channel", "_i"], "left").withColumn("_run", F.when(F.col("_fade").isNotNull(), start)).drop("_fade", "_db", "_sounded")
+    runs = running(met, keys, order, _last=last_value("_run")).select("channel", "n", "wanted", "ducked", "_i", "_last.*")
+    k = F.col("_i") - F.col("_start") + 1
+    sounding = F.when(F.col("wanted"), k).otherwise(F.least(k, F.col("_fade")))
+    before = F.col("_sounded") + F.when(F.col("wanted"), k - 1).otherwise(F.least(k - 1, F.col("_fade")))
+    on = F.col("wanted") | (k <= F.col("_fade"))
+    fade = F.when(F.col("wanted"), F.least(F.lit(full), F.col("_fade") + k)).otherwise(F.greatest(F.lit(0), F.col("_fade") - k))
+    goal = F.when(F.col("ducked"), F.lit(depth)).otherwise(0.0)
+    db = F.when(F.col("_db") > goal, F.greatest(goal, F.col("_db") - sounding * down)).otherwise(F.least(goal, F.col("_db") + sounding * up))
+    inside = before % length if loop and length > 0 else F.when(before < length, before)
+    position = F.when(on, F.coalesce(inside, F.lit(-1).cast("long"))).otherwise(-1)
+    placed = runs.select("channel", "n", position.alias("position"), (fade * (1.0 / full)).alias("_run"), db.alias("_db"))
     joined = samples.join(placed, ["channel", "n"]).join(source.select("position", "bed"), "position", "left")
     edge = F.when(F.col("position") < 0, 0.0).otherwise(edge_gain("position", F.lit(length).cast("long")))
     gain = (

@@ -27,12 +27,12 @@ def camera_status(frames: DataFrame, ranges: DataFrame, num: int, den: int) -> D
 
 
 def channel_status(states: DataFrame, tally: DataFrame, order: str, num: int, den: int) -> DataFrame:
-    """The last transport state and tally colour of each channel, its timecode and the time left to its OUT mark."""
+    """The last transport state and tally colour of each channel, its timecode, angle, lock and the time left to its OUT mark."""
     last = states.groupBy("channel").agg(
-        F.max_by(F.struct("mode", "position_ns", "speed", "out_ns"), order).alias("_s")
+        F.max_by(F.struct("mode", "position_ns", "speed", "out_ns", "angle", "locked"), order).alias("_s")
     )
     colour = tally.groupBy("channel").agg(F.max_by(tally_effective("lh", "rh", "txt"), "tai_ns").alias("tally"))
     return last.join(colour, "channel", "left").select(
         "channel", "_s.mode", "_s.position_ns", timecode("_s.position_ns", num, den).alias("timecode"), "tally",
-        clip_remaining("_s.position_ns", "_s.out_ns", "_s.speed").alias("left_ns"),
+        "_s.speed", "_s.angle", "_s.locked", clip_remaining("_s.position_ns", "_s.out_ns", "_s.speed").alias("left_ns"),
     )

@@ -1,13 +1,12 @@
-"""The output timeline: speeds, positions, source picks, look-ahead demands, playlists, shots and transport."""
+"""The output timeline: speeds, positions, source picks, look-ahead demands, playlists and shots."""
 
 from __future__ import annotations
 
 import json
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField
+from pyspark.sql.types import DoubleType, LongType, StructField
 
 from reelgrid.functions.playout import (
     DEFAULT_CUT_AUDIO_FRAMES,
@@ -17,8 +16,9 @@ from reelgrid.functions.playout import (
 )
 from reelgrid.functions.timebase import idiv
 from reelgrid.plans.asof import nearest
-from reelgrid.plans.fold import Rows, fold_timeline
+from reelgrid.plans.fold import Machine, Rows, fold_timeline
 from reelgrid.plans.greedy import greedy_groups
+from reelgrid.plans.lines import Line
 from reelgrid.plans.ordered import (
     following_row,
     last_value,
@@ -35,6 +35,38 @@ from reelgrid.plans.ordered import (
 PAIR_GRAINS = 8
 
 
+def _ramp_machine(ramp: int) -> Machine:
+    """Where each command's ramp starts from: an affine function of where the one before did."""
+
+    def reached(origin: float, target: float, grains: int) -> float:
+        return origin + (target - origin) * (min(grains, ramp) / ramp if ramp > 0 else 1.0)
+
+    def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
+        origin, target, since = json.loads(state) if state else (1.0, 1.0, 0)
+        starts = []
+        for to, n in zip(rows["_to"], rows["_n"], strict=True):
+            origin = reached(origin, target, n - since)
+            target, since = to, n
+            starts.append(origin)
+        return {"_from": starts, "_since": rows["_n"]}, json.dumps([origin, target, since])
+
+    def extend(effect: tuple | None, rows: Rows) -> tuple:
+        for to, n in zip(rows["_to"], rows["_n"], strict=True):
+            if effect is None:
+                effect = n, 1.0, 0.0, to, n
+                continue
+            first, slope, shift, target, since = effect
+            effect = first, reached(slope, 0.0, n - since), reached(shift, target, n - since), to, n
+        return effect
+
+    def enter(effect: tuple, state: str) -> str:
+        first, slope, shift, target, since = effect
+        origin, goal, begun = json.loads(state)
+        return json.dumps([slope * reached(origin, goal, first - begun) + shift, target, since])
+
+    return Machine(step, extend, enter)
+
+
 def speed_ramp(ticks: DataFrame, ramp: int) -> DataFrame:
     """Speed applied on each grain of a channel; a grain with a ``target`` starts a linear ramp to it.
 
@@ -52,18 +84,8 @@ def speed_ramp(ticks: DataFrame, ramp: int) -> DataFrame:
     )
     commands = counted.filter("_to is not null").select("channel", "grain", "_to", "_n")
 
-    def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
-        origin, target, since = json.loads(state) if state else (1.0, 1.0, 0)
-        starts = []
-        for to, n in zip(rows["_to"], rows["_n"], strict=True):
-            done = min(n - since, ramp) / ramp if ramp > 0 else 1.0
-            origin += (target - origin) * done
-            target, since = to, n
-            starts.append(origin)
-        return {"_from": starts, "_since": rows["_n"]}, json.dumps([origin, target, since])
-
     fields = [StructField("_from", DoubleType()), StructField("_since", LongType())]
-    started = fold_timeline(commands, ["channel"], ["grain"], step, fields)
+    started = fold_timeline(commands, ["channel"], ["grain"], _ramp_machine(ramp), fields)
     begun = F.when(F.col("_since").isNotNull(), F.struct("_from", "_since"))
     met = counted.join(started, ["channel", "grain"], "left").withColumn("_begun", begun).drop("_from", "_since")
     carried = running(met, ["channel"], ["grain"], _last=last_value("_begun")).select("*", "_last._from", "_last._since")
@@ -266,6 +288,38 @@ def idle_next(entries: DataFrame) -> DataFrame:
     return _listed(entries).select("playlist", "position", F.coalesce("_later", "_first").alias("next_position"))
 
 
+def _held(frames: int, plan: int) -> int:
+    """What a join may take at most of the grains before it, however many these are."""
+    return max(1, min(plan, max(1, frames - DEFAULT_CUT_AUDIO_FRAMES)))
+
+
+def _join_step(state: str | None, rows: Rows) -> tuple[Rows, str]:
+    # The state is the grains the entry before still has when no join is running.
+    free = int(state) if state else None
+    lengths, overlaps = [], []
+    for grains, frames, plan in zip(rows["_grains"], rows["_frames"], rows["_plan"], strict=True):
+        if free is None:
+            overlap, grains = 0, grains - 1
+            free = grains
+        else:
+            overlap = min(plan, max(1, min(frames - DEFAULT_CUT_AUDIO_FRAMES, free)), free)
+            free = grains - max(1, min(free, _held(frames, plan)))
+        lengths.append(grains)
+        overlaps.append(overlap)
+    return {"grains": lengths, "overlap": overlaps}, str(free)
+
+
+def _join_extend(effect: Line | None, rows: Rows) -> Line:
+    line = effect or Line()
+    for grains, frames, plan in zip(rows["_grains"], rows["_frames"], rows["_plan"], strict=True):
+        line = line.then(Line(-1, grains, grains - _held(frames, plan), grains - 1))
+    return line
+
+
+#: Joins of a list: the grains an entry has left are a clamped line of those the one before had.
+JOINS = Machine(_join_step, _join_extend, lambda effect, state: str(int(effect(int(state)))))
+
+
 def playlist_unroll(entries: DataFrame, period_ns: int, passes: int = 1) -> DataFrame:
     """Plays of each playlist on its output timeline, in grains from its start.
 
@@ -307,25 +361,10 @@ def playlist_unroll(entries: DataFrame, period_ns: int, passes: int = 1) -> Data
         "_on",
     )
 
-    def run(state: str | None, rows: Rows) -> tuple[Rows, str]:
-        # The state is the grains the entry before still has when no join is running.
-        free = int(state) if state else None
-        lengths, overlaps = [], []
-        for grains, frames, plan in zip(rows["_grains"], rows["_frames"], rows["_plan"], strict=True):
-            if free is None:
-                overlap, grains = 0, grains - 1
-                free = grains
-            else:
-                overlap = min(plan, max(1, min(frames - DEFAULT_CUT_AUDIO_FRAMES, free)), free)
-                free = grains - max(overlap, 1)
-            lengths.append(grains)
-            overlaps.append(overlap)
-        return {"grains": lengths, "overlap": overlaps}, str(free)
-
     fields = [StructField(n, LongType()) for n in ("grains", "overlap")]
     keys, order = ["playlist"], ["pass", "position"]
     detail = ["clip_id", "end_action", "_on"]
-    joined = fold_timeline(rows, keys, order, run, fields, keep=detail, keep_chunk=True)
+    joined = fold_timeline(rows, keys, order, JOINS, fields, keep=detail, keep_chunk=True)
     ends = running(joined, keys, order, _end=running_sum(F.col("grains") - F.col("overlap")))
     placed = ends.withColumn("start_grain", F.col("_end") - F.col("grains"))
     outcome = F.when(F.col("_on"), "next").when(F.col("end_action") == "next", "cued").otherwise(F.col("end_action"))
@@ -420,40 +459,6 @@ def shot_states(clicks: DataFrame, play_first: bool = False) -> DataFrame:
     return started.select(*clicks.columns, state.alias("state"))
 
 
-# What a click does to a shot in each state.
-CLICKED = {"idle": "cued", "ended": "cued", "cued": "playing", "paused": "playing", "playing": "paused"}
-TALLY_FIELDS = [StructField("state", StringType()), StructField("played", BooleanType())]
-
-
-def tally_step(armed: bool = True):
-    """Step of :func:`tally_plays`, also used on streams; the state is (shot, its state, red before)."""
-
-    def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
-        shot, mode, was = json.loads(state) if state else (None, "idle", False)
-        played, modes = [False] * len(rows["red"]), []
-        for i, (click, red) in enumerate(zip(rows["shot"], rows["red"], strict=True)):
-            if click is not None:
-                mode = CLICKED[mode if click == shot else "idle"]
-                shot = click
-            else:
-                if red and not was and armed and mode in ("cued", "paused"):
-                    mode, played[i] = "playing", True
-                was = red
-            modes.append(mode)
-        return {"state": modes, "played": played}, json.dumps([shot, mode, was])
-
-    return step
-
-
-def tally_plays(events: DataFrame, order: list[str], armed: bool = True) -> DataFrame:
-    """Shots started by a tally: the rising edge of red plays a cued or paused shot, a red that stays on does not.
-
-    ``events`` merges clicks (``shot``) and tallies (``red``) per channel; a state is folded over them.
-    """
-    narrow = events.select("channel", *order, "shot", "red")
-    return fold_timeline(narrow, ["channel"], order, tally_step(armed), TALLY_FIELDS)
-
-
 def idle_pictures(ticks: DataFrame, frames: DataFrame) -> DataFrame:
     """What an output shows: its frame, or by its ``idle`` mode the last one, black, or the live frame."""
     held = over_timeline(ticks, ["channel"], ["grain"], _last=last_value("frame_id"))
@@ -480,70 +485,3 @@ def keep_entry(playing: DataFrame, entries: DataFrame) -> DataFrame:
     last = F.coalesce("_size", F.lit(0)) - 1
     place = F.coalesce("_best.there", F.least(F.col("position"), last))
     return found.join(size, "playlist", "left").select("channel", "playlist", place.alias("kept"))
-
-
-TRANSPORT_FIELDS = [
-    StructField("mode", StringType()), StructField("position_ns", LongType()), StructField("speed", DoubleType()),
-    StructField("in_ns", LongType()), StructField("out_ns", LongType()), StructField("angle", IntegerType()),
-]
-
-
-def whole(value: float) -> int:
-    """The nearest whole number, halves away from zero."""
-    return int(math.copysign(math.floor(abs(value) + 0.5), value))
-
-
-def transport_step(period_ns: int, delay_ns: int, cameras: int):
-    """Step of :func:`transport_fold`, also used on streams."""
-
-    def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
-        s = json.loads(state) if state else {
-            "grain": None, "live": True, "playing": False, "pos": 0, "speed": 1.0, "in": None, "out": None, "camera": 1,
-        }
-        out = {k: [] for k in ("mode", "position_ns", "speed", "in_ns", "out_ns", "angle")}
-        columns = (rows[c] for c in ("grain", "tai_ns", "command", "argument", "to_ns"))
-        for grain, tai, command, argument, to_ns in zip(*columns, strict=True):
-            if s["live"]:
-                s["pos"] = tai - delay_ns
-            elif s["playing"] and s["grain"] is not None:
-                s["pos"] += (grain - s["grain"]) * whole(s["speed"] * period_ns)
-            s["grain"] = grain
-            if command == "play":
-                s["live"], s["playing"] = False, True
-            elif command == "live":
-                s["live"], s["playing"] = True, False
-            elif command == "pause":
-                s["live"], s["playing"] = False, False
-            elif command == "stop":
-                s["playing"] = False
-            elif command == "seek":
-                s["live"], s["pos"] = False, to_ns
-            elif command in ("scrub_frames", "scrub_seconds"):
-                s["live"], s["playing"] = False, False
-                s["pos"] += int(argument) * period_ns if command == "scrub_frames" else whole(argument * 1e9)
-            elif command == "speed":
-                s["speed"] = max(-1.0, min(2.0, argument))
-            elif command == "angle" and 1 <= argument <= cameras:
-                s["camera"] = int(argument)
-            elif command in ("mark_in", "mark_out"):
-                s[command[5:]] = max(0, s["pos"])
-            elif command in ("goto_in", "goto_out") and s[command[5:]] is not None:
-                s["live"], s["playing"], s["pos"] = False, False, s[command[5:]]
-            mode = "live" if s["live"] else "playing" if s["playing"] else "paused"
-            found = (mode, s["pos"], s["speed"], s["in"], s["out"], s["camera"])
-            for name, value in zip(out, found, strict=True):
-                out[name].append(value)
-        return out, json.dumps(s)
-
-    return step
-
-
-def transport_fold(commands: DataFrame, order: list[str], period_ns: int, delay_ns: int, cameras: int) -> DataFrame:
-    """State of each channel after each command: mode, position, speed, marks and angle.
-
-    Between two commands a playing channel moves by its speed each grain and a live one follows the output time. A
-    command has a ``grain``, its output time ``tai_ns``, a name, an argument and for a seek ``to_ns`` (never null);
-    unknown names and arguments out of range change nothing.
-    """
-    rows = commands.select("channel", *dict.fromkeys([*order, "grain", "tai_ns"]), "command", "argument", "to_ns")
-    return fold_timeline(rows, ["channel"], order, transport_step(period_ns, delay_ns, cameras), TRANSPORT_FIELDS)

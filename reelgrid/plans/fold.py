@@ -2,90 +2,93 @@
 
 Some states are neither sums nor extremes. Each task walks one contiguous chunk, batch by batch, and restarts the state
 at every new key. Only the first key of a chunk may continue from the chunk before, so only a chunk filled by a single
-key can pass on a state that depends on its own entry. Chunks are first walked without an entry; those single-key
-chunks are walked again while their entry turns out different. Most states forget where they came from within a
-chunk, so ``ROUNDS`` rounds suffice. A key that still differs then keeps its state over many chunks; what is left of it,
-from its first open chunk to its end, is walked once, by one task in batches, which settles it. So the number of jobs
-doesn't depend on the number of chunks, and no row is walked more than ``ROUNDS`` + 3 times.
+key can pass on a state that depends on its own entry. What such a chunk does to whatever state it meets is therefore
+summarised as a function, its *effect*: a table, an affine or clamped line, a few registers. The effects, one small row
+per chunk, are applied one after the other, which gives the state each chunk starts from; then all chunks are walked.
+So every row is walked twice, side by side with the others, however long a key keeps its state.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 from collections.abc import Callable, Iterator
 from itertools import groupby
+from typing import Any, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from reelgrid.plans.ordered import CHUNK, spread
 
 BATCH_ROWS = 10_000
-#: Rounds in which all open chunks are walked again side by side.
-ROUNDS = 2
 Rows = dict[str, list]
 Step = Callable[[str | None, Rows], tuple[Rows, str]]
 
 
+class Machine(NamedTuple):
+    """A sequential rule, row by row and as effects.
+
+    ``step(state, rows)`` gets some consecutive rows of one key as columns and the text state before them (None at a
+    key's start); it returns the output columns for those rows and the state after them. ``extend(effect, rows)`` is
+    the effect of the rows so far and some more; the effect of no rows is None. ``enter(effect, state)`` is the state
+    after the effect's rows for any state before them. An effect must stay small whatever the number of rows.
+    """
+
+    step: Step
+    extend: Callable[[Any, Rows], Any]
+    enter: Callable[[Any, str], str]
+
+
 def fold_timeline(
     rows: DataFrame,
     keys: list[str],
     order: list[str],
-    step: Step,
+    machine: Machine,
     output: list[StructField],
     keep: list[str] | None = None,
     keep_chunk: bool = False,
 ) -> DataFrame:
-    """Rows of ``keys``, ``order``, the ``keep`` columns and ``output`` as ``step`` computes them.
+    """Rows of ``keys``, ``order``, the ``keep`` columns and ``output`` as the machine computes them.
 
-    ``step(state, rows)`` gets some consecutive rows of one key as columns and the text state before them (None at a
-    key's start); it returns the output columns for those rows and the state after them. Pass narrow rows only.
+    Pass narrow rows only. Rows with a chunk already are taken as :func:`~reelgrid.plans.ordered.spread` left them for
+    a walk.
     """
-    cut = spread(rows, keys, order, walk=True)
-    columns = rows.columns
-    exit_schema = StructType(
-        [cut.schema[CHUNK], *[StructField(n, StringType()) for n in ("first_key", "last_key", "state")]]
-    )
-    kept = [*[rows.schema[c] for c in [*keys, *order, *(keep or [])]], *([cut.schema[CHUNK]] if keep_chunk else [])]
+    cut = rows if CHUNK in rows.columns else spread(rows, keys, order, walk=True)
+    columns = [c for c in rows.columns if c != CHUNK]
+    text = lambda name: StructField(name, StringType())
+    exit_schema = StructType([cut.schema[CHUNK], text("first_key"), text("last_key"), text("state"), StructField("effect", BinaryType())])
+    kept = [*[cut.schema[c] for c in [*keys, *order, *(keep or [])]], *([cut.schema[CHUNK]] if keep_chunk else [])]
     out_schema = StructType([*kept, *output])
 
-    def walk(
-        batches: Iterator[pa.RecordBatch], entries: dict[int, str], on: bool = False
-    ) -> Iterator[tuple[int, tuple, str, Rows]]:
-        # ``on``: a key's chunks follow each other here, and the state goes on from one to the next
-        chunk, key, state = None, None, None
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, Rows]]:
+        """Consecutive rows of one chunk and key."""
         for batch in batches:
             data = batch.to_pydict()
-            named = zip(data[CHUNK], *(data[k] for k in keys), strict=True)
             begin = 0
-            for (here, *mine), run in groupby(named):
+            for (chunk, *key), run in groupby(zip(data[CHUNK], *(data[k] for k in keys), strict=True)):
                 end = begin + sum(1 for _ in run)
-                if here != chunk and not (on and mine == key):
-                    state = entries.get(here)
-                elif mine != key:
-                    state = None
-                chunk, key = here, mine
-                part = {c: data[c][begin:end] for c in columns}
-                found, state = step(state, part)
-                yield chunk, key, state, {**{f.name: part[f.name] for f in kept if f.name != CHUNK}, **found}
+                yield chunk, key, {c: data[c][begin:end] for c in columns}
                 begin = end
 
-    def exits(entries: dict[int, str], on: bool = False):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ends: dict[int, list[str]] = {}
-            for chunk, key, state, _ in walk(batches, entries, on):
-                name = json.dumps(key, default=str)
-                ends[chunk] = [ends.get(chunk, [name])[0], name, state]
-            if ends:
-                found = [[c, *e] for c, e in ends.items()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(v), f.type) for v, f in zip(zip(*found, strict=True), arrow_exit, strict=True)], schema=arrow_exit
-                )
-
-        return run
+    def exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # per chunk: its first key, its last key, the last key's state and what it does to an earlier state if it is alone
+        ends: dict[int, list] = {}
+        for chunk, key, part in runs(batches):
+            name = json.dumps(key, default=str)
+            end = ends.setdefault(chunk, [name, name, None, None])
+            if name != end[1]:
+                end[1:] = [name, None, None]
+            if end[0] == end[1]:
+                end[3] = machine.extend(end[3], part)
+            _, end[2] = machine.step(end[2], part)
+        if ends:
+            found = [(c, *e[:3], pickle.dumps(e[3])) for c, e in ends.items()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(v), f.type) for v, f in zip(zip(*found, strict=True), arrow_exit, strict=True)], schema=arrow_exit
+            )
 
     def emit(entries: dict[int, str]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +97,15 @@ def fold_timeline(
             def batch() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([pa.array(ready[f.name], f.type) for f in arrow_out], schema=arrow_out)
 
-            for chunk, _, _, data in walk(batches, entries):
-                data[CHUNK] = [chunk] * len(data[order[0]])
+            here, mine, state = None, None, None
+            for chunk, key, part in runs(batches):
+                if chunk != here:
+                    state = entries.get(chunk)
+                elif key != mine:
+                    state = None
+                here, mine = chunk, key
+                found, state = machine.step(state, part)
+                data = {**part, **found, CHUNK: [chunk] * len(part[order[0]])}
                 for name, values in ready.items():
                     values.extend(data[name])
                 if len(ready[order[0]]) >= BATCH_ROWS:
@@ -108,36 +118,14 @@ def fold_timeline(
 
     arrow_exit, arrow_out = to_arrow_schema(exit_schema), to_arrow_schema(out_schema)
     # One row per chunk: as many as there are partitions.
-    ends = {r[CHUNK]: r for r in cut.mapInArrow(exits({}), exit_schema).collect()}
-    walked: dict[int, str | None] = {}
-
-    def entered() -> dict[int, str]:
-        """The state that each chunk's first key brings along from the chunk before, as far as it is known."""
-        found, before = {}, None
-        for chunk in sorted(ends):
-            if before is not None and ends[chunk].first_key == before.last_key:
-                found[chunk] = before.state
-            before = ends[chunk]
-        return found
-
-    for round_ in range(ROUNDS + 2):
-        entries = entered()
-        alone = [c for c, e in sorted(ends.items()) if e.first_key == e.last_key]
-        stale = [c for c in alone if entries.get(c) != walked.get(c)]
-        if not stale:
-            return cut.mapInArrow(emit(entries), out_schema)
-        if round_ < ROUNDS:
-            walked |= {c: entries.get(c) for c in stale}
-            again = cut.filter(F.col(CHUNK).isin(stale)).mapInArrow(exits(entries), exit_schema)
-            ends.update({r[CHUNK]: r for r in again.collect()})
-            continue
-        first: dict[str, int] = {}
-        for c in stale:
-            first.setdefault(ends[c].first_key, c)
-        rest = [c for c in alone if c >= first.get(ends[c].first_key, c + 1)]
-        seeds = {c: entries[c] for c in first.values() if c in entries}
-        line = cut.filter(F.col(CHUNK).isin(rest)).repartition(*keys).sortWithinPartitions(*keys, CHUNK, *order)
-        ends.update({r[CHUNK]: r for r in line.mapInArrow(exits(seeds, True), exit_schema).collect()})
-        entries = entered()
-        walked |= {c: entries.get(c) for c in rest}
-    raise AssertionError("a chunk's entry changed after its key was walked to the end")
+    entries: dict[int, str] = {}
+    key, state = None, None
+    for end in sorted(cut.mapInArrow(exits, exit_schema).collect(), key=lambda r: r[CHUNK]):
+        if end.first_key == key:
+            entries[end[CHUNK]] = state
+            alone = end.first_key == end.last_key
+            state = machine.enter(pickle.loads(end.effect), state) if alone else end.state
+        else:
+            state = end.state
+        key = end.last_key
+    return cut.mapInArrow(emit(entries), out_schema)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelgrid.functions import playout as pf
+from reelgrid.operators import shots, transport
 from reelgrid.operators import timeline as tl
-from reelgrid.registry import query
+from reelgrid.registry import ORACLES, query
 
 PERIOD = 20_000_000
 RAMP = 3
@@ -311,18 +312,48 @@ def _(t):
     return t.events.select("event_id", F.round(weight, 6).alias("weight"))
 
 
+# What happens to shots: clicks, transport, ends of clips and tallies.
+SHOT_EVENT = """case kind when 'click' then 'click' when 'error' then 'red' when 'view' then case when value<15 then 'pause' when value<40 then 'finish' else 'play' end
+    when 'purchase' then case when value<10 then 'stop' when value<25 then 'live' else 'not-red' end else 'not-red' end"""
+ENDING = """case grain%5 when 0 then 'freeze' when 1 then 'loop' when 2 then 'next' when 3 then 'next-cued' else 'return-to-live' end"""
+
+
 @query(
     "shot_state",
-    """with c as (select channel, grain, 'clip-'||(user_id//40) shot from commands where kind='click'),
-    l as (select *, coalesce(shot<>lag(shot) over (partition by channel order by grain), true) nw from c),
-    i as (select *, sum(case when nw then 1 else 0 end) over (partition by channel order by grain) isl from l),
-    n as (select *, row_number() over (partition by channel, isl order by grain) k from i)
-    select channel, grain, shot, case when k=1 then 'cued' when k%2=0 then 'playing' else 'paused' end state from n""",
+    f"""with recursive e as (select channel, grain, {SHOT_EVENT} ev, {ENDING} ending, 'clip-'||(user_id//40) shot, row_number() over (partition by channel order by grain) i from commands),
+    walk(channel, grain, i, shot, state, live, red, played, plays) as (
+        select channel, cast(-1 as bigint), cast(0 as bigint), cast(null as varchar), 'idle', false, false, false, cast(0 as bigint) from e group by 1
+        union all select e.channel, e.grain, e.i, case when ev='click' then e.shot else w.shot end,
+            case ev when 'click' then case when e.shot is distinct from w.shot or w.state in ('idle','ended') then 'cued' when w.state='playing' then 'paused' else 'playing' end
+                when 'play' then 'playing' when 'pause' then 'paused' when 'live' then 'idle' when 'stop' then case when w.live then w.state else 'ended' end
+                when 'finish' then case when w.state<>'playing' or w.live then w.state when ending in ('loop','next') then 'playing' when ending='next-cued' then 'cued' else 'ended' end
+                when 'red' then case when not w.red and not w.live and w.state in ('cued','paused') then 'playing' else w.state end else w.state end,
+            case when ev in ('click','play','pause') then false when ev='live' then true when ev='finish' and w.state='playing' and not w.live then ending='return-to-live' else w.live end,
+            case ev when 'red' then true when 'not-red' then false else w.red end,
+            ev='red' and not w.red and not w.live and w.state in ('cued','paused'),
+            w.plays+case when ev='red' and not w.red and not w.live and w.state in ('cued','paused') then 1 else 0 end
+        from walk w join e on e.channel=w.channel and e.i=w.i+1)
+    select channel, grain, shot, state, live, played, plays from walk where i>0""",
     "commands",
 )
 def _(t):
-    clicks = t.commands.filter("kind = 'click'").selectExpr("channel", "grain", "concat('clip-', user_id div 40) shot")
-    return tl.shot_states(clicks)
+    return shots.shot_life(shot_events(t), ["grain"])
+
+
+def shot_events(t):
+    return t.commands.selectExpr("channel", "grain", f"{SHOT_EVENT} event", "concat('clip-', user_id div 40) shot", f"{ENDING} ending")
+
+
+@query(
+    "tally_counts",
+    f"""with p as ({{shot}}) select 'tally_rows_total' as "name", cast(null as int) channel, count(*) as "value" from tally
+    union all select 'tally_errors_total', null, count(*) filter (event_id%97=0) from tally
+    union all select 'tally_plays_total', channel, count(*) filter (played) from p group by channel""".format(shot=ORACLES["shot_state"]),
+    "tally",
+)
+def _(t):
+    displays = t.tally.selectExpr("case when event_id % 97 = 0 then 'pbc' end error")
+    return shots.tally_counts(displays, shots.shot_life(shot_events(t), ["grain"]))
 
 
 @query(
@@ -344,7 +375,7 @@ def _(t):
     events = t.commands.selectExpr(
         "channel", "grain", "case when kind = 'click' then concat('clip-', user_id div 40) end shot", "kind in ('error', 'purchase') red"
     )
-    return tl.tally_plays(events, ["grain"])
+    return shots.tally_plays(events, ["grain"])
 
 
 @query(
@@ -404,36 +435,61 @@ def _(t):
     return tl.keep_entry(playing, t.entries.filter("position % 3 <> 1"))
 
 
-COMMANDS = """case kind when 'click' then 'play' when 'view' then case when value<20 then 'speed' when value<35 then 'scrub_frames' else 'angle' end
+COMMANDS = """case when user_id%11=0 then case kind when 'click' then 'motion' when 'view' then 'audio' when 'error' then 'timecode' when 'purchase' then 'lock' else 'library' end
+    else case kind when 'click' then 'play' when 'view' then case when value<20 then 'speed' when value<35 then 'scrub_frames' else 'angle' end
     when 'error' then case when value<20 then 'pause' when value<40 then 'mark_in' else 'goto_in' end
     when 'purchase' then case when value<20 then 'seek' when value<30 then 'mark_out' else 'goto_out' end
-    else case when value<5 then 'live' when value<10 then 'stop' else 'scrub_seconds' end end"""
+    else case when value<5 then 'live' when value<10 then 'stop' else 'scrub_seconds' end end end"""
 
 
-ARGUMENT = """case when kind = 'view' and value < 20 then round(value) / 10 - 1
+ARGUMENT = """case when user_id%11=0 then cast(user_id%2 as double) when kind = 'view' and value < 20 then round(value) / 10 - 1
     when kind in ('click', 'view', 'error', 'purchase') then cast(floor(value) as double) else value / 8 end"""
 
 
+CHOICE = """case when user_id%11=0 then case kind when 'click' then case grain%4 when 0 then 'repeat' when 1 then 'blend' when 2 then 'interpolate' else 'still' end
+    when 'view' then case grain%4 when 0 then 'mute' when 1 then 'stretch' when 2 then 'follow' else 'loud' end
+    when 'error' then case grain%4 when 0 then 'output' when 1 then 'source' else '' end end end"""
+
+# Grains in which a channel reaches a new speed.
+SPEED_GRAINS = 5
+
+
 @query(
     "transport_fold",
-    f"""with recursive e as (select channel, grain, tai_ns, {COMMANDS} cmd, {ARGUMENT} arg, row_number() over (partition by channel order by grain) i from commands),
-    walk(channel, i, grain, live, playing, pos, speed, mi, mo, cam) as (
-        select channel, cast(0 as bigint), min(grain), true, false, cast(0 as bigint), cast(1 as double), cast(null as bigint), cast(null as bigint), 1 from e group by 1
+    f"""with recursive e as (select channel, grain, tai_ns, {COMMANDS} cmd, {ARGUMENT} arg, {CHOICE} choice, row_number() over (partition by channel order by grain) i from commands),
+    walk(channel, i, grain, live, playing, pos, origin, goal, done, mi, mo, cam, locked, motion, audio, tc) as (
+        select channel, cast(0 as bigint), min(grain), true, false, cast(0 as bigint), cast(1 as double), cast(1 as double), cast(1000 as bigint), cast(null as bigint), cast(null as bigint), 1,
+            cast(null as boolean), cast(null as varchar), cast(null as varchar), cast(null as varchar) from e group by 1
         union all select channel, i, grain,
             case when cmd='live' then true when cmd in ('play','pause','seek','scrub_frames','scrub_seconds') or (cmd='goto_in' and mi is not null) or (cmd='goto_out' and mo is not null) then false else live end,
             case when cmd='play' then true when cmd in ('live','pause','stop','scrub_frames','scrub_seconds') or (cmd='goto_in' and mi is not null) or (cmd='goto_out' and mo is not null) then false else playing end,
             case when cmd='seek' then tai-1000000000 when cmd='scrub_frames' then np+cast(arg as bigint)*{PERIOD} when cmd='scrub_seconds' then np+cast(round(arg*1e9) as bigint)
                 when cmd='goto_in' and mi is not null then mi when cmd='goto_out' and mo is not null then mo else np end,
-            case when cmd='speed' then greatest(-1.0, least(2.0, arg)) else speed end,
+            case when cmd='speed' then case when done>{SPEED_GRAINS} then goal else origin+(goal-origin)*done/{SPEED_GRAINS} end else origin end,
+            case when cmd='speed' then greatest(-1.0, least(2.0, arg)) else goal end, case when cmd='speed' then 0 else done end,
             case when cmd='mark_in' then greatest(0, np) else mi end, case when cmd='mark_out' then greatest(0, np) else mo end,
-            case when cmd='angle' and arg between 1 and 4 then cast(arg as int) else cam end
-        from (select e.channel, e.i, e.grain, e.cmd, e.arg, e.tai_ns tai, w.live, w.playing, w.speed, w.mi, w.mo, w.cam,
-            case when w.live then e.tai_ns-{2 * PERIOD} when w.playing then w.pos+(e.grain-w.grain)*cast(round(w.speed*{PERIOD}) as bigint) else w.pos end np
-            from walk w join e on e.channel=w.channel and e.i=w.i+1))
-    select channel, grain, case when live then 'live' when playing then 'playing' else 'paused' end as mode, pos position_ns, speed, mi in_ns, mo out_ns, cam angle
+            case when cmd='angle' and arg between 1 and 4 then cast(arg as int) when cmd='library' then 0 when cmd='live' and cam=0 then 1 else cam end,
+            case when cmd='lock' then arg<>0 else locked end,
+            case when cmd='motion' and choice in ('repeat','blend','interpolate') then choice else motion end,
+            case when cmd='audio' and choice in ('mute','stretch','follow') then choice else audio end,
+            case when cmd='timecode' and choice in ('output','source') then choice else tc end
+        from (select *, done0+n done, case when live then tai-{2 * PERIOD} when playing then pos+(n-k)*cast(round(goal*{PERIOD}) as bigint)
+                +coalesce(cast(list_sum(list_transform(range(1, k+1), lambda x: cast(round((origin+(goal-origin)*(done0+x)/{SPEED_GRAINS})*{PERIOD}) as bigint))) as bigint), 0) else pos end np
+            from (select e.channel, e.i, e.grain, e.cmd, e.arg, e.choice, e.tai_ns tai, w.live, w.playing, w.pos, w.origin, w.goal, w.done done0, w.mi, w.mo, w.cam, w.locked, w.motion, w.audio, w.tc,
+                case when w.playing then e.grain-w.grain else 0 end n, least(case when w.playing then e.grain-w.grain else 0 end, greatest(0, {SPEED_GRAINS}-w.done)) k
+            from walk w join e on e.channel=w.channel and e.i=w.i+1)))
+    select channel, grain, case when live then 'live' when playing then 'playing' else 'paused' end as mode, pos position_ns,
+        case when done>{SPEED_GRAINS} then goal else origin+(goal-origin)*done/{SPEED_GRAINS} end speed, mi in_ns, mo out_ns, cam angle, locked, motion, audio, tc timecode
     from walk where i>0""",
     "commands",
 )
 def _(t):
-    commands = t.commands.selectExpr("channel", "grain", "tai_ns", f"{COMMANDS} command", f"{ARGUMENT} argument", "tai_ns - 1000000000 to_ns")
-    return tl.transport_fold(commands, ["grain"], PERIOD, 2 * PERIOD, 4)
+    return transport_states(t)
+
+
+def transport_commands(t):
+    return t.commands.selectExpr("channel", "grain", "tai_ns", f"{COMMANDS} command", f"{ARGUMENT} argument", f"{CHOICE} choice", "tai_ns - 1000000000 to_ns")
+
+
+def transport_states(t):
+    return transport.transport_fold(transport_commands(t), ["grain"], PERIOD, 2 * PERIOD, 4, SPEED_GRAINS)

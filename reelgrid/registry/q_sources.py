@@ -7,11 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from reelgrid.operators import joins, status
-from reelgrid.operators import timeline as tl
 from reelgrid.operators.store import segment_assign
 from reelgrid.plans.session import ensure_checkpoint_dir
-from reelgrid.registry import query
-from reelgrid.registry.q_playout import ARGUMENT, COMMANDS
+from reelgrid.registry import ORACLES, query
+from reelgrid.registry.q_playout import transport_states
 from reelgrid.registry.q_store import HOUR, RECURSIVE
 from reelgrid.sources import documents, frames, tally
 
@@ -162,6 +161,10 @@ def packed(t):
     return t.tally.select("event_id", "tai_ns", F.concat(le16(length.cast("int")), inner).alias("hex"))
 
 
+# The timecode of an instant at 50 frames a second.
+TIMECODE = """strftime(make_timestamp({at}//1000000000*1000000), '%H:%M:%S')||':'||lpad(cast(cast((({at}+10000000)//20000000-({at}//1000000000)*50)%50 as int) as varchar),2,'0')"""
+
+
 TALLY_ROWS = """select event_id, {keys} case when event_id%97<>0 then screen end screen, case when event_id%97<>0 then display end display, case when event_id%97<>0 then lh end lh,
     case when event_id%97<>0 then rh end rh, case when event_id%97<>0 then txt end txt, cast(case when event_id%97<>0 then 3 end as int) brightness,
     case when event_id%97<>0 then 'CAM '||(display+1) end as label, case when event_id%97=0 then 'pbc' end error from tally"""
@@ -197,17 +200,20 @@ def _(t):
 
 @query(
     "status_snapshot",
-    """with p as (select *, exists (select 1 from clips c where c.camera=f.camera and f.tai_ns between c.in_ns and c.out_ns) prot from frames f),
-    c as (select camera, min(tai_ns) oldest_ns, max(tai_ns) newest_ns, count(*) frames, count(*) filter (prot) protected_frames, cast(sum(payload_bytes) as bigint) bytes from p group by 1)
-    select 'camera' kind, camera id, oldest_ns, newest_ns, frames, protected_frames, bytes, strftime(make_timestamp(newest_ns//1000000000*1000000), '%H:%M:%S')||':'||
-        lpad(cast(cast(((newest_ns+10000000)//20000000-(newest_ns//1000000000)*50)%50 as int) as varchar),2,'0') timecode, cast(null as int) tally from c
-    union all select 'channel', display+1, null, null, null, null, null, null, arg_max(case when txt<>0 then txt when rh<>0 then rh else lh end, tai_ns) from tally where display<3 group by display""",
+    f"""with p as (select *, exists (select 1 from clips c where c.camera=f.camera and f.tai_ns between c.in_ns and c.out_ns) prot from frames f),
+    c as (select camera, min(tai_ns) oldest_ns, max(tai_ns) newest_ns, count(*) frames, count(*) filter (prot) protected_frames, cast(sum(payload_bytes) as bigint) bytes from p group by 1),
+    s as (select channel, arg_max({{{{'mode': mode, 'pos': position_ns, 'speed': speed, 'outs': out_ns, 'angle': angle, 'locked': locked}}}}, grain) s from ({{transport}}) group by channel),
+    y as (select display+1 channel, arg_max(case when txt<>0 then txt when rh<>0 then rh else lh end, tai_ns) tally from tally group by display)
+    select 'camera' kind, camera id, oldest_ns, newest_ns, frames, protected_frames, bytes, {{newest}} timecode, cast(null as int) tally,
+        cast(null as varchar) as mode, cast(null as bigint) position_ns, cast(null as double) speed, cast(null as int) angle, cast(null as boolean) locked, cast(null as bigint) left_ns from c
+    union all select 'channel', channel, null, null, null, null, null, {{position}}, tally, s.mode, s.pos, s.speed, s.angle, s.locked,
+        case when s.pos>=s.outs then 0 when s.speed>0 then cast(trunc((s.outs-s.pos)/s.speed) as bigint) end from s left join y using (channel)""".format(
+        transport=ORACLES["transport_fold"], newest=TIMECODE.format(at="newest_ns"), position=TIMECODE.format(at="s.pos")
+    ),
     "frames clips tally",
 )
 def _(t):
     cams = status.camera_status(t.frames, t.ranges, 50, 1).withColumnRenamed("camera", "id").withColumn("kind", F.lit("camera"))
-    commands = t.commands.selectExpr("channel", "grain", "tai_ns", f"{COMMANDS} command", f"{ARGUMENT} argument", "tai_ns - 1000000000 to_ns")
-    states = tl.transport_fold(commands, ["grain"], 20_000_000, 40_000_000, 4)
-    channels = status.channel_status(states, joins.display_channel(t.tally, ""), "grain", 50, 1)
-    rows = channels.select(F.lit("channel").alias("kind"), F.col("channel").alias("id"), "tally")
+    channels = status.channel_status(transport_states(t), joins.display_channel(t.tally, ""), "grain", 50, 1)
+    rows = channels.withColumnRenamed("channel", "id").withColumn("kind", F.lit("channel"))
     return cams.unionByName(rows, allowMissingColumns=True)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.registry import ORACLES, query
 from reelgrid.registry.q_ingest import HOUR, STALLS, input_events
-from reelgrid.registry.q_playout import ARGUMENT, COMMANDS
+from reelgrid.registry.q_playout import SPEED_GRAINS, shot_events, transport_commands
 from reelgrid.registry.q_sources import fresh_folder
 from reelgrid.registry.tables import Tables
 from reelgrid.streaming import jobs, state
@@ -78,11 +78,15 @@ def _(t):
     return run(t, build)
 
 
+@query("shot_stream")
+def _(t):
+    return run(t, lambda s: jobs.shot_stream(shot_events(s), ["grain"]))
+
+
 @query("transport_stream")
 def _(t):
     def build(s):
-        commands = s.commands.selectExpr("channel", "grain", "tai_ns", f"{COMMANDS} command", f"{ARGUMENT} argument", "tai_ns - 1000000000 to_ns")
-        return jobs.transport_stream(commands, ["grain"], 20_000_000, 40_000_000, 4)
+        return jobs.transport_stream(transport_commands(s), ["grain"], 20_000_000, 40_000_000, 4, SPEED_GRAINS)
 
     return run(t, build)
 
@@ -155,5 +159,5 @@ def _(t):
 
 
 # The streams give what the batch operators give.
-for _name, _batch in (("tally_play_stream", "tally_play"), ("transport_stream", "transport_fold"), ("unsupported_stream", "unsupported_once")):
+for _name, _batch in (("tally_play_stream", "tally_play"), ("shot_stream", "shot_state"), ("transport_stream", "transport_fold"), ("unsupported_stream", "unsupported_once")):
     ORACLES[_name] = ORACLES[_batch]

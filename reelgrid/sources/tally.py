@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StructField
 
-from reelgrid.plans.fold import Rows, fold_timeline
+from reelgrid.plans.fold import Machine, Rows, fold_timeline
 
 # Fixed values of the protocol: an escape byte before a mark opens or closes a packet, before itself it is data. A
 # packet is its length (of what follows), version, flags and screen, then records of display, control and a sized text.
@@ -122,8 +122,13 @@ def datagram_displays(datagrams: DataFrame, keys: list[str], column: str = "data
     return _displays_of(datagrams, keys, column, lambda data: split_framed(data)[0] if data.startswith(OPEN) else [data])
 
 
-def stream_packets(pieces: DataFrame, connection: str, order: str, column: str = "data") -> DataFrame:
-    """Packets of byte streams that arrive in pieces; a packet may span pieces, so its open end is the folded state."""
+def framing_machine(column: str) -> Machine:
+    """Packets of consecutive pieces; the state is the open end of the last one.
+
+    The bytes after a mark don't depend on what came before it. Where no mark has come, the bytes so far are the effect;
+    once they outgrow the longest packet, an earlier one is complete and only a last escape byte stays open.
+    """
+    longest = 0xFFFF + SIZE.size
 
     def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
         found, left = [], bytes.fromhex(state or "")
@@ -132,7 +137,32 @@ def stream_packets(pieces: DataFrame, connection: str, order: str, column: str =
             found.append(packets)
         return {"packets": found}, left.hex()
 
+    def extend(effect: tuple | None, rows: Rows) -> tuple:
+        head, state = effect or (b"", None)
+        if state is not None:
+            return b"", step(state, rows)[1]
+        head += b"".join(map(bytes, rows[column]))
+        # an escape byte before may take the first byte that isn't one along; after that all cut alike
+        sure = head.lstrip(ESCAPE)[1:]
+        units = _PAIRS.findall(sure)
+        if any(unit in (OPEN, CLOSE) for unit in units):
+            return b"", split_framed(sure)[1].hex()
+        if sum(len(u) if u[:1] != ESCAPE else u == ESCAPE * 2 for u in units) >= longest:
+            return b"", sure[sum(map(len, units)) :].hex()
+        return head, None
+
+    def enter(effect: tuple, state: str) -> str:
+        head, after = effect
+        return after if after is not None else split_framed(bytes.fromhex(state) + head)[1].hex()
+
+    return Machine(step, extend, enter)
+
+
+def stream_packets(pieces: DataFrame, connection: str, order: str, column: str = "data") -> DataFrame:
+    """Packets of byte streams that arrive in pieces; a packet may span pieces, so its open end is the folded state."""
+
+    machine = framing_machine(column)
     found = fold_timeline(
-        pieces.select(connection, order, column), [connection], [order], step, [StructField("packets", ArrayType(BinaryType()))]
+        pieces.select(connection, order, column), [connection], [order], machine, [StructField("packets", ArrayType(BinaryType()))]
     )
     return found.select(connection, order, F.posexplode("packets").alias("nth", "packet"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from reelgrid.operators.ingest import interleaved, last_writes
-from reelgrid.operators.timeline import TALLY_FIELDS, TRANSPORT_FIELDS, tally_step, transport_step
+from reelgrid.operators.shots import SHOT_FIELDS, shot_machine, tally_events
+from reelgrid.operators.transport import TRANSPORT_FIELDS, transport_step
 from reelgrid.plans.fold import Rows
 from reelgrid.streaming.state import fold_stream
 
@@ -66,12 +67,19 @@ def log_limit_stream(events: DataFrame, key: str, interval_ns: int) -> DataFrame
     return lines.filter("events > 0")
 
 
-def tally_play_stream(events: DataFrame, order: list[str]) -> DataFrame:
-    return fold_stream(events, ["channel"], order, tally_step(), TALLY_FIELDS)
+def shot_stream(events: DataFrame, order: list[str], armed: bool = True, play_first: bool = False) -> DataFrame:
+    """The life of shots on a stream."""
+    step = shot_machine(armed, play_first).step
+    named = events.withColumnRenamed("shot", "_clicked")
+    return fold_stream(named, ["channel"], order, lambda state, rows: step(state, {**rows, "shot": rows["_clicked"]}), SHOT_FIELDS)
 
 
-def transport_stream(commands: DataFrame, order: list[str], period_ns: int, delay_ns: int, cameras: int) -> DataFrame:
-    return fold_stream(commands, ["channel"], order, transport_step(period_ns, delay_ns, cameras), TRANSPORT_FIELDS)
+def tally_play_stream(rows: DataFrame, order: list[str]) -> DataFrame:
+    return shot_stream(tally_events(rows, *order), order).select("channel", *order, "state", "played")
+
+
+def transport_stream(commands: DataFrame, order: list[str], period_ns: int, delay_ns: int, cameras: int, ramp: int = 0) -> DataFrame:
+    return fold_stream(commands, ["channel"], order, transport_step(period_ns, delay_ns, cameras, ramp), TRANSPORT_FIELDS)
 
 
 def phase_stream(grains: DataFrame, phases: int, house_ns: int, order: str, window: str, delay: str) -> DataFrame:

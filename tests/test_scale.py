@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelgrid.plans.asof import asof
-from reelgrid.plans.fold import fold_timeline
+from reelgrid.plans.fold import Machine, fold_timeline
 from reelgrid.plans.greedy import greedy_groups
 from reelgrid.plans.intervals import overlap_join, touched
 from reelgrid.plans.ordered import (
@@ -124,7 +124,17 @@ def test_fold_with_a_state_that_never_forgets(spark):
             out.append(total)
         return {"x": out}, json.dumps(total)
 
-    found = {(r.k, r.t, r.i): r.x for r in fold_timeline(df, ["k"], ["t", "i"], step, [StructField("x", LongType())]).collect()}
+    def extend(effect, data):
+        factor, shift = effect or (1, 0)
+        for t in data["t"]:
+            factor, shift = factor * 3 % 1_000_003, (shift * 3 + t) % 1_000_003
+        return factor, shift
+
+    def enter(effect, state):
+        return json.dumps((effect[0] * int(json.loads(state)) + effect[1]) % 1_000_003)
+
+    machine = Machine(step, extend, enter)
+    found = {(r.k, r.t, r.i): r.x for r in fold_timeline(df, ["k"], ["t", "i"], machine, [StructField("x", LongType())]).collect()}
     for k, group in by_key(rows).items():
         total = 0
         for _, t, i in group:
@@ -139,7 +149,7 @@ def plan(df):
 
 @pytest.mark.parametrize("chunks", [4, 16, 48])
 def test_a_kept_state_needs_few_jobs(spark, chunks):
-    from reelgrid.operators.timeline import transport_fold
+    from reelgrid.operators.transport import transport_fold
 
     rows = [(c, g, g * 20, "mark_in" if g == 5 else "pause", 0.0, 0) for c in (1, 2) for g in range(400)]
     commands = spark.createDataFrame(rows, "channel int, grain long, tai_ns long, command string, argument double, to_ns long")

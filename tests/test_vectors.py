@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelgrid.functions import identity, playout, timebase
-from reelgrid.operators import catalog, ingest, joins, signal, store, timeline
+from reelgrid.operators import catalog, ingest, joins, shots, signal, store, timeline
 from reelgrid.sources import documents, tally
 
 MS = 1_000_000
@@ -306,7 +306,7 @@ def test_tally_colour_and_display(spark):
 def test_tally_plays_on_the_edge(spark):
     given = [("a", False), (None, True), (None, True), (None, False), ("a", False), (None, True)]
     events = spark.createDataFrame([(1, i, s, r) for i, (s, r) in enumerate(given)], "channel int, grain long, shot string, red boolean")
-    assert [r.played for r in timeline.tally_plays(events, ["grain"]).orderBy("grain").collect()] == [False, True, False, False, False, True]
+    assert [r.played for r in shots.tally_plays(events, ["grain"]).orderBy("grain").collect()] == [False, True, False, False, False, True]
 
 
 def test_sound(spark):
