@@ -218,11 +218,17 @@ def recorder_health(frames: DataFrame, now_ns: Column, started_ns: int, window_n
     )
 
 
+#: Straight pieces up to which a clock's effect is followed exactly.
+CLOCK_PIECES = 32
+
+
 def clock_machine(fallback_ns: int) -> Machine:
     """Start and duration of decoded frames, one after the other.
 
     Frames without a time move the start before them by a fixed way. From the first timed frame on all depends on that
-    start alone, by a function of few straight pieces, as later frames are rarely before it.
+    start alone, by a function of straight pieces. Where frames lack durations too, each step may bend it again; beyond
+    ``CLOCK_PIECES`` only its bounds are followed, until a timed frame with a duration comes after them all. A chunk
+    without such a frame has no effect and is walked when its state is known.
     """
 
     def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
@@ -240,57 +246,82 @@ def clock_machine(fallback_ns: int) -> Machine:
             last = at
         return {"at_ns": starts, "length_ns": lengths}, json.dumps([last, length])
 
-    def split(piece: tuple, at: int) -> list[tuple[int | None, bool]]:
-        """Where the pieces of a piece begin that start before ``at`` and that don't; a piece starts at p + q x."""
+    # A piece is (begin, end, (p, q), (r, s)): for x from begin to before end, the start is p + q x, the length r + s x.
+    def halves(piece: tuple, at: int) -> list[tuple[int, int | None, bool]]:
+        """The parts of a piece that start before ``at`` and that don't."""
         begin, end, (p, q), _ = piece
         if q == 0:
-            return [(begin, p < at)]
+            return [(begin, end, p < at)]
         edge = -((p - at) // q) if q > 0 else (p - at) // -q + 1
-        if begin is not None and edge <= begin:
-            return [(begin, q < 0)]
-        if end is not None and edge >= end:
-            return [(begin, q > 0)]
-        return [(begin, q > 0), (edge, q < 0)]
+        if edge <= begin or (end is not None and edge >= end):
+            return [(begin, end, (q < 0) == (edge <= begin))]
+        return [(begin, edge, q > 0), (edge, end, q < 0)]
 
-    def timed(pieces: list[tuple], at: int, duration: int) -> list[tuple]:
+    def joined(pieces: list[tuple]) -> list[tuple]:
         found: list[tuple] = []
-        for piece in pieces:
-            (p, q), stop = piece[2], piece[1]
-            parts = split(piece, at)
-            for n, (begin, before) in enumerate(parts):
-                end = parts[n + 1][0] if n + 1 < len(parts) else stop
-                length = (duration, 0) if duration > 0 else (at - p, -q) if before else (fallback_ns, 0)
-                now = ((at, 0) if before else (p, q), length)
-                if found and found[-1][2:] == now:
-                    found[-1] = (found[-1][0], end, *now)
-                else:
-                    found.append((begin, end, *now))
+        for begin, end, *lines in pieces:
+            if found and found[-1][2:] == tuple(lines):
+                begin = found.pop()[0]
+            found.append((begin, end, *lines))
         return found
 
-    def extend(effect: dict | None, rows: Rows) -> dict:
-        # before the first timed frame: earlier lengths to add, a way to add, the length if it is known
-        early, way, known, pieces = (effect or {"all": (0, 0, None, None)})["all"]
+    def timed(pieces: list[tuple], at: int, duration: int) -> list[tuple]:
+        found = []
+        for piece in pieces:
+            p, q = piece[2]
+            for begin, end, before in halves(piece, at):
+                length = (duration, 0) if duration > 0 else (at - p, -q) if before else (fallback_ns, 0)
+                found.append((begin, end, (at, 0) if before else (p, q), length))
+        return joined(found)
+
+    def bounded(bounds: tuple, at: int, duration: int) -> tuple:
+        """Bounds of what is too bent: its end, least and greatest start, greatest length."""
+        end, least, most, length = bounds
+        if at < 0:
+            return end, least, most + length, duration if duration > 0 else length
+        return end, max(least, at), max(most, at), duration if duration > 0 else max(at - least, fallback_ns)
+
+    def given_up(pieces: list[tuple], bounds: tuple | None) -> tuple[list[tuple], tuple]:
+        """Keep the last piece, in which the start before is later than all frames, and the bounds of the others."""
+        ends = [(p + q * x, r + s * x) for b, e, (p, q), (r, s) in pieces[:-1] for x in (b, e - 1)]
+        starts, lengths = zip(*ends)
+        found = pieces[-1][0], min(starts), max(starts), max(lengths)
+        return pieces[-1:], tuple(f(*pair) for f, pair in zip((max, min, max, max), zip(found, bounds or found)))
+
+    def extend(effect: tuple | None, rows: Rows) -> tuple:
+        # before the first timed frame: how often the earlier length is added, a way to add, the length once it is known
+        early, way, known, pieces, bounds = effect or (0, 0, None, None, None)
         for at, duration in zip(rows["start_ns"], rows["duration_ns"], strict=True):
-            if at >= 0:
-                pieces = timed([(None, None, (0, 1), (0, 0))] if pieces is None else pieces, at, duration)
-            elif pieces is None:
+            if pieces is None and at < 0:
                 early, way = (early + 1, way) if known is None else (early, way + known)
                 known = duration if duration > 0 else known
+                continue
+            if pieces is None:
+                pieces = [(0, None, (0, 1), (0, 0))]
+            if bounds:
+                if at > bounds[2] and duration > 0:
+                    pieces, bounds = [(0, bounds[0], (at, 0), (duration, 0)), *timed(pieces, at, duration)], None
+                    pieces = joined(pieces)
+                    continue
+                bounds = bounded(bounds, at, duration)
+            if at >= 0:
+                pieces = timed(pieces, at, duration)
             else:
-                moved = [(b, e, (p + r, q + s), (duration, 0) if duration > 0 else (r, s)) for b, e, (p, q), (r, s) in pieces]
-                pieces = [m for n, m in enumerate(moved) if n == 0 or m[2:] != moved[n - 1][2:]]
-                pieces = [(b, pieces[n + 1][0] if n + 1 < len(pieces) else None, *rest) for n, (b, _, *rest) in enumerate(pieces)]
-        return {"all": (early, way, known, pieces)}
+                pieces = joined([(b, e, (p + r, q + s), (duration, 0) if duration > 0 else (r, s)) for b, e, (p, q), (r, s) in pieces])
+            if len(pieces) > CLOCK_PIECES:
+                pieces, bounds = given_up(pieces, bounds)
+        return early, way, known, pieces, bounds
 
-    def enter(effect: dict, state: str) -> str:
-        early, way, known, pieces = effect["all"]
+    def enter(effect: tuple, state: str) -> str | None:
+        early, way, known, pieces, bounds = effect
         last, length = json.loads(state)
         last += early * length + way
         length = length if known is None else known
-        for begin, end, (p, q), (r, s) in pieces or ():
-            if (begin is None or last >= begin) and (end is None or last < end):
-                return json.dumps([p + q * last, r + s * last])
-        return json.dumps([last, length])
+        if pieces is None:
+            return json.dumps([last, length])
+        if bounds and last < bounds[0]:
+            return None
+        return next(json.dumps([p + q * last, r + s * last]) for b, e, (p, q), (r, s) in pieces if last >= b and (e is None or last < e))
 
     return Machine(step, extend, enter)
 

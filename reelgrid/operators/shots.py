@@ -53,7 +53,7 @@ def _code(mode: int, live: bool, red: bool) -> int:
 
 
 def shot_machine(armed: bool = True, play_first: bool = False) -> Machine:
-    """Events with ``event``, the clicked ``shot`` and, for a finish, its ``ending``."""
+    """Events with ``event``, the shot ``clicked`` and, for a finish, its ``ending``."""
     states = [(mode, live, red) for mode in range(5) for live in (False, True) for red in (False, True)]
     tables: dict[tuple, list[int]] = {}
 
@@ -73,7 +73,7 @@ def shot_machine(armed: bool = True, play_first: bool = False) -> Machine:
     def step(state: str | None, rows: Rows) -> tuple[Rows, str]:
         shot, code, count = json.loads(state) if state else (None, 0, 0)
         out: Rows = {f.name: [] for f in SHOT_FIELDS}
-        for event, clicked, ending in zip(rows["event"], rows["shot"], rows["ending"], strict=True):
+        for event, clicked, ending in zip(rows["event"], rows["clicked"], rows["ending"], strict=True):
             played = False
             if event == "click":
                 code = own[code] if clicked == shot else other[code]
@@ -91,7 +91,7 @@ def shot_machine(armed: bool = True, play_first: bool = False) -> Machine:
         fresh = lambda: [list(range(len(states))), [0] * len(states)]
         # tables before and after the first click, each with the plays by tally
         effect = effect or {"early": fresh(), "first": None, "late": fresh(), "shot": None}
-        for event, clicked, ending in zip(rows["event"], rows["shot"], rows["ending"], strict=True):
+        for event, clicked, ending in zip(rows["event"], rows["clicked"], rows["ending"], strict=True):
             codes, counts = effect["late" if effect["first"] else "early"]
             if event == "click" and not effect["first"]:
                 effect |= {"first": [clicked], "shot": clicked}
@@ -128,15 +128,12 @@ def shot_life(events: DataFrame, order: list[str], armed: bool = True, play_firs
     cues the next entry, goes live or ends. Where ``armed``, the rising edge of red plays a cued or paused shot of a
     channel that isn't live; ``played`` marks it, ``plays`` counts such plays so far.
     """
-    narrow = events.select("channel", *order, "event", "shot", "ending")
-    named = narrow.withColumnRenamed("shot", "_clicked")
-    machine = shot_machine(armed, play_first)
+    return fold_timeline(machine_events(events, order), ["channel"], order, shot_machine(armed, play_first), SHOT_FIELDS)
 
-    def under(rows: Rows) -> Rows:
-        return {**rows, "shot": rows["_clicked"]}
 
-    renamed = Machine(lambda s, r: machine.step(s, under(r)), lambda e, r: machine.extend(e, under(r)), machine.enter)
-    return fold_timeline(named, ["channel"], order, renamed, SHOT_FIELDS)
+def machine_events(events: DataFrame, order: list[str]) -> DataFrame:
+    """Events under the names the machine reads; its ``shot`` is the one after the event."""
+    return events.select("channel", *order, "event", F.col("shot").alias("clicked"), "ending")
 
 
 def tally_events(rows: DataFrame, *columns: str) -> DataFrame:

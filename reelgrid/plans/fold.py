@@ -18,6 +18,7 @@ from typing import Any, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
@@ -34,12 +35,13 @@ class Machine(NamedTuple):
     ``step(state, rows)`` gets some consecutive rows of one key as columns and the text state before them (None at a
     key's start); it returns the output columns for those rows and the state after them. ``extend(effect, rows)`` is
     the effect of the rows so far and some more; the effect of no rows is None. ``enter(effect, state)`` is the state
-    after the effect's rows for any state before them. An effect must stay small whatever the number of rows.
+    after the effect's rows for any state before them. An effect must stay small whatever the number of rows; if it can't,
+    ``enter`` may give None, and the chunk is walked from that state by a job of its own.
     """
 
     step: Step
     extend: Callable[[Any, Rows], Any]
-    enter: Callable[[Any, str], str]
+    enter: Callable[[Any, str], str | None]
 
 
 def fold_timeline(
@@ -116,6 +118,16 @@ def fold_timeline(
 
         return run
 
+    def walked(chunk: int, entry: str) -> str:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state = entry
+            for _, _, part in runs(batches):
+                _, state = machine.step(state, part)
+            yield pa.RecordBatch.from_arrays([pa.array([None if state is entry else state], pa.string())], ["state"])
+
+        ends = cut.filter(F.col(CHUNK) == chunk).mapInArrow(run, "state string").filter("state is not null").collect()
+        return ends[0]["state"] if ends else entry
+
     arrow_exit, arrow_out = to_arrow_schema(exit_schema), to_arrow_schema(out_schema)
     # One row per chunk: as many as there are partitions.
     entries: dict[int, str] = {}
@@ -124,7 +136,7 @@ def fold_timeline(
         if end.first_key == key:
             entries[end[CHUNK]] = state
             alone = end.first_key == end.last_key
-            state = machine.enter(pickle.loads(end.effect), state) if alone else end.state
+            state = (machine.enter(pickle.loads(end.effect), state) or walked(end[CHUNK], state)) if alone else end.state
         else:
             state = end.state
         key = end.last_key

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from reelgrid.operators.ingest import interleaved, last_writes
-from reelgrid.operators.shots import SHOT_FIELDS, shot_machine, tally_events
+from reelgrid.operators.shots import SHOT_FIELDS, machine_events, shot_machine, tally_events
 from reelgrid.operators.transport import TRANSPORT_FIELDS, transport_step
 from reelgrid.plans.fold import Rows
 from reelgrid.streaming.state import fold_stream
@@ -69,9 +69,7 @@ def log_limit_stream(events: DataFrame, key: str, interval_ns: int) -> DataFrame
 
 def shot_stream(events: DataFrame, order: list[str], armed: bool = True, play_first: bool = False) -> DataFrame:
     """The life of shots on a stream."""
-    step = shot_machine(armed, play_first).step
-    named = events.withColumnRenamed("shot", "_clicked")
-    return fold_stream(named, ["channel"], order, lambda state, rows: step(state, {**rows, "shot": rows["_clicked"]}), SHOT_FIELDS)
+    return fold_stream(machine_events(events, order), ["channel"], order, shot_machine(armed, play_first).step, SHOT_FIELDS)
 
 
 def tally_play_stream(rows: DataFrame, order: list[str]) -> DataFrame:

@@ -7,9 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from reelgrid.plans import greedy
 from reelgrid.plans.asof import asof
 from reelgrid.plans.fold import Machine, fold_timeline
-from reelgrid.plans.greedy import greedy_groups
 from reelgrid.plans.intervals import overlap_join, touched
 from reelgrid.plans.ordered import (
     following_row,
@@ -101,14 +101,22 @@ def test_overlap_lists_are_short_for_any_length(spark):
 
 
 @pytest.mark.parametrize("inclusive", [False, True])
-def test_greedy_groups(spark, inclusive):
+@pytest.mark.parametrize(("chunks", "fan", "length"), [(8, 8, 13), (16, 2, 13), (16, 3, 400), (16, 2, 5000), (1, 8, 13)])
+def test_greedy_groups(spark, monkeypatch, inclusive, chunks, fan, length):
+    # lengths of 400 and 5000 are longer than a chunk
+    monkeypatch.setattr(greedy, "FAN", fan)
     rows = skewed(7)
     df = spark.createDataFrame(rows, "k int, t long, i long")
-    found = {(r.k, r.t): (r.group_first, r.group_no) for r in greedy_groups(df, ["k"], "t", 13, inclusive).collect()}
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", chunks)
+    try:
+        found = {(r.k, r.t): (r.group_first, r.group_no) for r in greedy.greedy_groups(df, ["k"], "t", length, inclusive).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     for k, group in by_key({(k, t) for k, t, _ in rows}).items():
         first, number = None, -1
         for _, t in group:
-            if first is None or (t >= first + 13 if inclusive else t > first + 13):
+            if first is None or (t >= first + length if inclusive else t > first + length):
                 first, number = t, number + 1
             assert found[k, t] == (first, number)
 
