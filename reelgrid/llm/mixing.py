@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reelgrid.llm.shared import SMALL_ROWS, checked, key_of, pin, placed
+from reelgrid.llm.shared import SMALL_ROWS, checked, identified, key_of, pin, placed
 
 #: Fixed point of the rounding: sums of these are exact in any order.
 UNIT = 1 << 24
@@ -100,6 +100,7 @@ def mix(
     weights: tuple[float, ...] = (1, 2, 3),
     most: float = 3.0,
     seed: int = 29,
+    stored: bool = False,
 ) -> DataFrame:
     """Say how often to take each document so that sources reach their targets in words.
 
@@ -120,9 +121,10 @@ def mix(
         F.greatest(F.coalesce(F.col(f"`{size}`").cast("long"), F.lit(0)), F.lit(0)).alias("_size"),
         F.xxhash64(F.lit(seed), F.col(f"`{key}`").cast("string")).alias("_shuffled"),
         F.col(f"`{key}`").cast("string").alias("_key"),
-        F.monotonically_increasing_id().alias("_tie"),
     )
-    wide = placed(packed, *[F.col(c) for c in ("_source", "_size", "_shuffled", "_key", "_tie")])
+    rows = identified(packed, stored)
+    narrow = pin(rows.drop("_kept"))
+    wide = placed(narrow, *[F.col(c) for c in ("_source", "_size", "_shuffled", "_key", "_id")])
     histogram = pin(wide.groupBy("_source", "source", "_size").agg(F.count("*").alias("_n")))
     totals = histogram.groupBy("_source", "source").agg(
         F.sum(F.col("_size") * F.col("_n")).alias("source_size"),
@@ -140,11 +142,9 @@ def mix(
     )
     chosen = _rounded(wide, checked(plan.select("_source", "target", "tilt", "_mean")), rate, most)
     ends = checked(plan.select("_source", "source_size", "target"))
-    counts = chosen.select("_row", "copies")
-    return (
-        wide.select("_row", "_source", "_kept").join(ends, "_source").join(counts, "_row")
-        .select("_kept.*", "source_size", "target", "copies")
-    )
+    counts = wide.select("_row", "_id", "_source").join(chosen.select("_row", "copies"), "_row").join(ends, "_source")
+    found = rows.select("_id", "_kept").join(counts.drop("_row", "_source"), "_id")
+    return found.select("_kept.*", "source_size", "target", "copies")
 
 
 def _rounded(wide: DataFrame, plan: DataFrame, rate: Column, most: float) -> DataFrame:
@@ -177,9 +177,9 @@ def _rounded(wide: DataFrame, plan: DataFrame, rate: Column, most: float) -> Dat
     return rows
 
 
-def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
+def mixed(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", stored: bool = False) -> DataFrame:
     """The mix itself: each document as often as :func:`mix` takes it, with the columns it has."""
     sized = docs.withColumn("_words_in_it", words_in(text))
-    taken = mix(sized, size="_words_in_it", source=source, key=key)
+    taken = mix(sized, size="_words_in_it", source=source, key=key, stored=stored)
     repeated = taken.filter("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

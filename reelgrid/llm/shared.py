@@ -6,7 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,13 +32,45 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/corpus-{uuid.uuid4()}"
 
 
+#: Folders written while :func:`released` holds, innermost last.
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what :func:`pin` writes meanwhile; whatever is kept must have been written elsewhere by then."""
+    _WRITTEN.append([])
+    try:
+        yield
+    finally:
+        for path in _WRITTEN.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write a result that is read more than once, or whose rows must stay where they are, and read it back."""
     path = shared_folder(df.sparkSession)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def identified(df: DataFrame, stored: bool) -> DataFrame:
+    """Add ``_id``, unique for each row and the same whenever the rows are read.
+
+    Rows ``stored`` in files that are read plainly are known by file and place, so wide ones need not be written again.
+    """
+    if stored and "_metadata" not in df.columns:
+        try:
+            place = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+            return df.withColumn("_id", place)
+        except AnalysisException:
+            pass  # no files below
+    return pin(df.withColumn("_id", F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))))
+
+
 def checked(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     """Mark a pinned side for broadcast if it has few rows; Spark chooses the join of a larger one."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

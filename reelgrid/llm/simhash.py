@@ -89,7 +89,8 @@ def _sketches(words: int):
             for text in batch.column("_text").to_pylist():
                 hashes = shingles(text or "", words)
                 distinct = np.unique(hashes)
-                prints.append(majority(hashes))
+                # repeats within a text must not turn its fingerprint away from those of like sets
+                prints.append(majority(distinct))
                 names.append(_name(distinct))
                 keys.append(bands(distinct))
             flat = np.concatenate(keys or [np.empty(0, np.int64)])
