@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from reelgrid.llm import decontam, interleave, mixing, quality, simhash
-from reelgrid.llm.shared import pin
+from reelgrid.llm.shared import released, remove, shared_folder
 
 #: Documents that score below are rejected.
 LEAST_QUALITY = 0.3
@@ -32,12 +32,12 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def weighted_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat and leave out documents until sources have their share of the words."""
-    return mixing.mixed(docs)
+    return mixing.mixed(docs, stored=True)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Give every document of the mix its shard and place."""
-    return interleave.interleave(docs, SHARDS)
+    return interleave.interleave(docs, SHARDS, stored=True)
 
 
 STAGES = [
@@ -53,8 +53,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents of a folder; each result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply all stages to the documents of a folder; each result is written and read again.
+
+    What a stage wrote on its way, and the documents it was given, go as soon as its own are written.
+    """
+    docs, given = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = pin(stage(spark, docs, sf_dir))
+        folder = shared_folder(spark)
+        with released(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(folder)
+        if given:
+            remove(spark, given)
+        docs, given = spark.read.schema(made.schema).parquet(folder), folder
     return STAGES[-1][1](spark, docs, sf_dir)
