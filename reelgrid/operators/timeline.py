@@ -31,10 +31,6 @@ from reelgrid.plans.ordered import (
     spread,
 )
 
-# Fixed value: how far ahead demands for pairs look.
-PAIR_GRAINS = 8
-
-
 def _ramp_machine(ramp: int) -> Machine:
     """Where each command's ramp starts from: an affine function of where the one before did."""
 
@@ -192,53 +188,6 @@ def audio_plan(ticks: DataFrame, house_ns: int) -> DataFrame:
     return placed.select(*ticks.columns, "fade", audio.alias("audio_ns"), start.alias("gain_from"), end.alias("gain_to"))
 
 
-def _ahead(states: DataFrame, grains: int, period_ns: int) -> DataFrame:
-    """The next grains of each channel state: ``g`` and the position then; a paused state first shows its own."""
-    step = F.round(F.col("speed") * F.lit(float(period_ns))).cast("long")
-    moves = F.col("g") - F.when(F.col("playing"), 0).otherwise(1)
-    return states.withColumn("g", F.explode(F.sequence(F.lit(1), F.lit(grains)))).withColumn(
-        "_at", F.greatest(F.lit(0).cast("long"), F.col("position_ns") + step * moves)
-    )
-
-
-def pair_demand(states: DataFrame, period_ns: int, snap: float, grains: int = PAIR_GRAINS, factor: int = 1) -> DataFrame:
-    """Distinct frame pairs the next grains interpolate between: first and last grain needing each.
-
-    A paused state keeps its own pair to the end of the look-ahead.
-    """
-    ahead = _ahead(states, grains, period_ns)
-    picked = with_pick(ahead, "_p", "_at", period_ns, F.lit(factor), F.lit(1), snap, F.lit("interpolate")).filter(
-        "_p.kind = 'interpolate'"
-    )
-    last = F.when(~F.col("playing") & (F.col("g") == 1), grains).otherwise(F.col("g"))
-    return picked.groupBy("state", F.col("_p.a").alias("a"), F.col("_p.b").alias("b")).agg(
-        F.min("g").alias("first"), F.max(last).alias("last")
-    )
-
-
-def frame_demand(
-    states: DataFrame, period_ns: int, snap: float, grains: int, until: str | None = None, limit: int | None = None
-) -> DataFrame:
-    """Frames the next grains show and the current one does not, in first-need order, the first ``limit`` if given.
-
-    Nothing before frame 0 and, with ``until``, nothing whose time lies after that OUT column.
-    """
-    args = (period_ns, F.lit(1), F.lit(1), snap, F.col("motion"))
-    now = with_pick(states, "_now", "position_ns", *args)
-    ahead = with_pick(_ahead(now, grains, period_ns), "_p", "_at", *args)
-    nth = ahead.select(
-        "state", "g", "_now", *([until] if until else []), F.posexplode(F.array("_p.a", "_p.b")).alias("_side", "frame")
-    )
-    fresh = nth.filter((F.col("frame") != F.col("_now.a")) & (F.col("frame") != F.col("_now.b")) & (F.col("frame") >= 0))
-    if until:
-        fresh = fresh.filter(F.col("frame") * period_ns <= F.col(until))
-    need = fresh.groupBy("state", "frame").agg(F.min(F.col("g") * 2 + F.col("_side")).alias("_first"))
-    # A state names at most two frames per grain, so its window is small.
-    rank = F.row_number().over(Window.partitionBy("state").orderBy("_first"))
-    placed = need.select("state", "frame", rank.alias("place"))
-    return placed if limit is None else placed.filter(F.col("place") <= limit)
-
-
 def grid_resyncs(grains: DataFrame) -> DataFrame:
     """Where a channel's output left its grid, and by how much."""
     seen = over_timeline(grains, ["channel"], ["tai_ns"], _was=previous_row("grain"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelgrid.functions import playout as pf
-from reelgrid.operators import shots, transport
+from reelgrid.operators import lookahead, shots, transport
 from reelgrid.operators import timeline as tl
 from reelgrid.registry import ORACLES, query
 
@@ -138,31 +138,50 @@ def states(t):
     )
 
 
+# Pairs whose second frame is recorded: every third state is close to live.
 @query(
     "pair_demand",
     f"""with {AHEAD} select state, lo a, lo+1 b, cast(min(g) as int) first, cast(max(case when not playing and g=1 then 8 else g end) as int) last
-        from q where least(ph,1-ph)>0.1 group by all""",
+        from q where least(ph,1-ph)>0.1 and (lo+1)*{PERIOD}<=position_ns+case when state%3=0 then {2 * PERIOD} else 100000000000 end group by all""",
     "probes",
 )
 def _(t):
-    return tl.pair_demand(states(t), PERIOD, 0.1)
+    newest = F.col("position_ns") + F.when(F.col("state") % 3 == 0, 2 * PERIOD).otherwise(100_000_000_000)
+    return lookahead.pair_demand(states(t).withColumn("newest_ns", newest), PERIOD, 0.1, recorded="newest_ns")
+
+
+# Every fourth state ends within its look-ahead and is followed by a clip; every third mixes in a second source.
+PLANNED = f"""st as ({STATES}), src as (
+        select state, 0 side, camera, position_ns, speed, playing, motion, case when state%4=0 then position_ns+{3 * PERIOD} end until_ns, 8 grains, state%6<>1 bth from st
+        union all select state, 1, camera%4+1, position_ns-400000000, 1.0, true, 'repeat', position_ns-300000000, 4, true from st where state%3=0),
+    p as (select src.*, g, case when g=0 then greatest(0, position_ns) else greatest(0, position_ns+cast(round(speed*{PERIOD}) as bigint)*(g-case when playing then 0 else 1 end)) end here
+        from src, range(0,9) r(g) where g<=grains),
+    q as (select *, here//{PERIOD} lo, (here%{PERIOD})/{PERIOD}.0 ph from p),
+    k as (select *, least(ph,1-ph)>0.1 and motion<>'repeat' btw, lo+case when ph>=0.5 then 1 else 0 end near from q),
+    f as (select *, case when btw then lo else near end a, case when btw then lo+1 else near end b from k)"""
 
 
 @query(
     "frame_demand",
-    f"""with {AHEAD},
-    f as (select state, g, motion, case when least(ph,1-ph)<=0.1 then lo+case when ph>=0.5 then 1 else 0 end when motion='repeat' and ph>=0.5 then lo+1 else lo end a,
-        case when least(ph,1-ph)<=0.1 then lo+case when ph>=0.5 then 1 else 0 end when motion='repeat' then lo+case when ph>=0.5 then 1 else 0 end else lo+1 end b from q),
-    n as (select state, motion, position_ns//{PERIOD} lo, (position_ns%{PERIOD})/{PERIOD}.0 ph from st),
-    c as (select state, case when least(ph,1-ph)<=0.1 then lo+case when ph>=0.5 then 1 else 0 end when motion='repeat' and ph>=0.5 then lo+1 else lo end ca,
-        case when least(ph,1-ph)<=0.1 then lo+case when ph>=0.5 then 1 else 0 end when motion='repeat' then lo+case when ph>=0.5 then 1 else 0 end else lo+1 end cb from n),
-    w as (select state, a frame, g*2 o from f union all select state, b, g*2+1 from f),
-    d as (select w.state, frame, min(o) o from w join c using (state) where frame<>ca and frame<>cb group by all)
-    select state, frame, cast(row_number() over (partition by state order by o) as int) place from d""",
+    f"""with {PLANNED}, now as (select state, side, a ca, b cb, btw cbtw from f where g=0),
+    w as (select state, side, camera, g, a n, 0 half, until_ns, bth, btw from f where g>0 union all select state, side, camera, g, b, 1, until_ns, bth, btw from f where g>0),
+    need as (select w.state, camera, n*{PERIOD} frame_ns, g*100+side*10+half o from w join now using (state, side)
+        where not (btw and not bth) and not ((bth or not cbtw) and (n=ca or (cbtw and n=cb))) and n>=0 and (until_ns is null or n*{PERIOD}<=until_ns)
+        union all select state, camera%4+1, (position_ns-5000000000+r.g*{PERIOD}+{PERIOD // 2})//{PERIOD}*{PERIOD}, 150+r.g from st, range(0,6) r(g) where state%4=0),
+    d as (select state, camera, frame_ns, min(o) o from need group by all),
+    r as (select *, row_number() over (partition by state order by o) place from d)
+    select state, cast(place as int) place, cast(camera as int) camera, frame_ns from r where place<=8""",
     "probes",
 )
 def _(t):
-    return tl.frame_demand(states(t), PERIOD, 0.1, 8)
+    at, state = F.col("position_ns"), F.col("state")
+    first = lookahead.source(
+        F.col("camera"), at, F.col("speed"), F.col("playing"), F.col("motion"), until_ns=F.when(state % 4 == 0, at + 3 * PERIOD), both=state % 6 != 1
+    )
+    second = lookahead.source(F.col("camera") % 4 + 1, at - 400_000_000, 1.0, True, "repeat", until_ns=at - 300_000_000, grains=4)
+    mix = F.when(state % 3 == 0, F.array(first, second)).otherwise(F.array(first))
+    following = F.when(state % 4 == 0, lookahead.opening(F.col("camera") % 4 + 1, at - 5_000_000_000, F.lit(1.0), PERIOD, 0.1))
+    return lookahead.frame_demand(lookahead.decode_plan(states(t), mix, PERIOD, 0.1, 8, following))
 
 
 @query(

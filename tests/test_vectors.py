@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelgrid.functions import identity, playout, timebase
-from reelgrid.operators import catalog, ingest, joins, shots, signal, store, timeline
+from reelgrid.operators import catalog, ingest, joins, lookahead, shots, signal, store, timeline
 from reelgrid.sources import documents, tally
 
 MS = 1_000_000
@@ -232,10 +232,13 @@ def test_source_clock(spark):
 def test_demands(spark):
     state = "state long, position_ns long, speed double, playing boolean, motion string"
     half = spark.createDataFrame([(1, 0, 0.5, True, "interpolate"), (2, 200 * MS, -0.5, True, "interpolate")], state)
-    assert rows(timeline.pair_demand(half, 20 * MS, 0.1).filter("state = 1"), "a", "b", "first") == [(0, 1, 1), (1, 2, 3), (2, 3, 5), (3, 4, 7)]
-    assert rows(timeline.pair_demand(half, 20 * MS, 0.1).filter("state = 2"), F.col("first"), "a") == [(1, 9), (3, 8), (5, 7), (7, 6)]
+    assert rows(lookahead.pair_demand(half, 20 * MS, 0.1).filter("state = 1"), "a", "b", "first") == [(0, 1, 1), (1, 2, 3), (2, 3, 5), (3, 4, 7)]
+    assert rows(lookahead.pair_demand(half, 20 * MS, 0.1).filter("state = 2"), F.col("first"), "a") == [(1, 9), (3, 8), (5, 7), (7, 6)]
     whole = spark.createDataFrame([(1, 200 * MS, 1.0, True, "repeat"), (2, 200 * MS, 2.0, True, "repeat"), (3, 200 * MS, -1.0, True, "repeat")], state)
-    assert rows(timeline.frame_demand(whole, 20 * MS, 0.1, 2), "state", "place", "frame") == [(1, 1, 11), (1, 2, 12), (2, 1, 12), (2, 2, 14), (3, 1, 9), (3, 2, 8)]
+    one = lookahead.source(F.lit(1), F.col("position_ns"), F.col("speed"), F.col("playing"), F.lit("repeat"))
+    planned = lookahead.decode_plan(whole, F.array(one), 20 * MS, 0.1, 2)
+    numbered = lookahead.frame_demand(planned).withColumn("frame", F.col("frame_ns") / (20 * MS))
+    assert rows(numbered, "state", "place", "frame") == [(1, 1, 11), (1, 2, 12), (2, 1, 12), (2, 2, 14), (3, 1, 9), (3, 2, 8)]
 
 
 @pytest.mark.parametrize(
@@ -331,3 +334,29 @@ def test_picture_quality(spark):
 def test_rules(spark):
     given = spark.createDataFrame([(0.0,), (1.0,), (2.5,)], "speed double").selectExpr("speed", "'blend' motion", "'mute' audio", "'live' end_action", "1L in_ns", "2L out_ns")
     assert [r.p for r in given.select("speed", catalog.clip_rule().alias("p")).orderBy("speed").collect()] == ["speed:range", None, "speed:range"]
+
+
+def test_decode_plan_of_several_sources(spark):
+    def plan(*sources, following=None, grains=2):
+        given = [lookahead.source(c, int(at * 20 * MS), v, True, motion, until_ns=until, both=both) for c, at, v, motion, until, both in sources]
+        after = F.array(*[F.struct(F.lit(c).alias("camera"), F.lit(f * 20 * MS).alias("frame_ns")) for c, f in following]) if following else None
+        row = lookahead.decode_plan(spark.range(1), F.array(*given), 20 * MS, 0.1, grains, after).first()
+        return [[(f.camera, f.frame_ns // (20 * MS)) for f in frames] for frames in (row.plan, row.keep)]
+
+    assert plan((1, 10, 1.0, "repeat", None, True)) == [[(1, 11), (1, 12)], [(1, 10)]]
+    assert plan((1, 10.5, 0.5, "interpolate", None, True)) == [[(1, 12)], [(1, 10), (1, 11)]]
+    assert plan((1, 10.5, 0.5, "interpolate", None, False))[1] == []
+    ends = (1, 10, 1.0, "repeat", 11 * 20 * MS, True)
+    assert plan(ends, following=[(0, 500), (0, 501)])[0] == [(1, 11), (0, 500), (0, 501)]
+    assert plan(ends, following=[(1, 2), (1, 3)])[0] == [(1, 11), (1, 2), (1, 3)]
+    mix = (0, 500, 1.0, "repeat", None, True), (1, 20, 1.0, "repeat", 21 * 20 * MS, True)
+    assert plan(*mix) == [[(0, 501), (1, 21), (0, 502)], [(0, 500), (1, 20)]]
+    first = spark.range(1).select(lookahead.opening(F.lit(2), F.lit(40 * MS), F.lit(0.5), 20 * MS, 0.1).alias("o")).first().o
+    assert [(f.camera, f.frame_ns // (20 * MS)) for f in first] == [(2, 2), (2, 3), (2, 4), (2, 5)]
+
+
+def test_pairs_are_recorded(spark):
+    df = spark.sql(f"select 1 state, {10 * 20 * MS + 10 * MS}L position_ns, 1.0D speed, true playing, {12 * 20 * MS}L newest")
+    found = lookahead.pair_demand(df, 20 * MS, 0.1, recorded="newest")
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+    assert rows(found, "a", "b", "first", "last") == [(11, 12, 1, 1)]
