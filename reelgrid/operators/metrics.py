@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.plans.ordered import over_timeline, previous_row
+from reelgrid.plans.ordered import over_timeline, previous_row, running, running_count, spread
 
 # Upper bounds of the latency buckets in seconds.
 BOUNDS = (0.001, 0.002, 0.005, 0.008, 0.012, 0.020, 0.040)
@@ -48,18 +48,60 @@ def histogram(observations: DataFrame, keys: list[str], value: str, bounds=BOUND
     )
 
 
+def _quantile(buckets: list[Column], all_of: Column, q: float, bounds) -> Column:
+    """Linear inside the first bucket that reaches the quantile; the last bound beyond all of them, null of nothing."""
+    rank = all_of * F.lit(q)
+    found = F.lit(float(bounds[-1]))
+    for i in reversed(range(len(bounds))):
+        low, before = (bounds[i - 1], buckets[i - 1]) if i else (0.0, F.lit(0))
+        share = (rank - before) / (buckets[i] - before)
+        inside = F.lit(float(low)) + F.when(buckets[i] > before, share).otherwise(1.0) * F.lit(bounds[i] - low)
+        found = F.when(buckets[i] >= rank, inside).otherwise(found)
+    return F.when(all_of > 0, found)
+
+
 def histogram_quantile(observations: DataFrame, keys: list[str], value: str, q: float, bounds=BOUNDS) -> DataFrame:
-    """Quantile from the buckets: linear inside the first one that reaches it; the last bound beyond all of them."""
+    """Quantile of observations from their buckets."""
     below = [F.count_if(F.col(value) <= b).alias(f"_b{i}") for i, b in enumerate(bounds)]
     totals = observations.groupBy(*keys).agg(*below, F.count(value).alias("_n"))
-    rank = F.col("_n") * F.lit(q)
-    found = F.lit(float(bounds[-1]))
-    for i in reversed(range(len(bounds))):
-        low, before = (bounds[i - 1], F.col(f"_b{i - 1}")) if i else (0.0, F.lit(0))
-        share = (rank - before) / (F.col(f"_b{i}") - before)
-        inside = F.lit(float(low)) + F.when(F.col(f"_b{i}") > before, share).otherwise(1.0) * F.lit(bounds[i] - low)
-        found = F.when(F.col(f"_b{i}") >= rank, inside).otherwise(found)
-    return totals.select(*keys, F.when(F.col("_n") > 0, found).alias("quantile"))
+    return totals.select(*keys, _quantile([F.col(f"_b{i}") for i in range(len(bounds))], F.col("_n"), q, bounds).alias("quantile"))
+
+
+def bucket_samples(observations: DataFrame, keys: list[str], order: list[str], value: str, restarts: str | None = None, bounds=BOUNDS) -> DataFrame:
+    """What a scrape of the buckets reads after each observation: ``le`` (null for the last) and the count so far.
+
+    With ``restarts``, a flag on the rows before which the process starts anew and counts from zero.
+    """
+    cut = spread(observations, keys, order)
+    generation = running_count(F.col(restarts)) if restarts else running_count(F.lit(False))
+    lived = running(cut, keys, order, _life=generation)
+    within = [*keys, "_life"]
+    counts = {f"_b{i}": running_count(F.col(value) <= b) for i, b in enumerate(bounds)}
+    counted = running(lived, within, order, again=True, **counts, _all=running_count())
+    rows = [F.struct(F.lit(float(b)).alias("le"), F.col(f"_b{i}").alias("value")) for i, b in enumerate(bounds)]
+    rows.append(F.struct(F.lit(None).cast("double").alias("le"), F.col("_all").alias("value")))
+    return counted.select(*keys, *order, F.explode(F.array(*rows)).alias("_s")).select(*keys, *order, "_s.le", "_s.value")
+
+
+def bucket_rates(samples: DataFrame, series: list[str], order: list[str], keys: list[str], window: str, slide: str) -> DataFrame:
+    """Increases of bucket counters over a sliding window, summed by ``keys`` and ``le``.
+
+    ``samples``: series, le, ``ts_us`` first in ``order``, value. A counter that falls has restarted from zero. The
+    increases of any series add up, so they are reduced before they are shuffled.
+    """
+    named = samples.withColumn("_le", F.coalesce(F.col("le"), F.lit(float("inf"))))
+    seen = over_timeline(named, [*series, "_le"], order, _was=previous_row("value"))
+    step = F.when(F.col("value") >= F.col("_was.value"), F.col("value") - F.col("_was.value")).when(F.col("_was").isNotNull(), F.col("value"))
+    sliding = F.window(F.timestamp_micros("ts_us"), window, slide)
+    per = seen.groupBy(*keys, "le", sliding.alias("_w")).agg(F.sum(F.coalesce(step, F.lit(0).cast("long"))).alias("increase"))
+    return per.select(*keys, "le", F.unix_micros("_w.start").alias("start_us"), "increase")
+
+
+def quantile_of_rates(rates: DataFrame, keys: list[str], q: float, bounds=BOUNDS) -> DataFrame:
+    """The quantile of each window from its buckets' increases; null where nothing was counted."""
+    at = [F.sum(F.when(F.col("le") == float(b), F.col("increase"))).alias(f"_b{i}") for i, b in enumerate(bounds)]
+    wide = rates.groupBy(*keys, "start_us").agg(*at, F.sum(F.when(F.col("le").isNull(), F.col("increase"))).alias("_n"))
+    return wide.select(*keys, "start_us", _quantile([F.col(f"_b{i}") for i in range(len(bounds))], F.col("_n"), q, bounds).alias("quantile"))
 
 
 def rate(samples: DataFrame, key: str, window: str, slide: str, seconds: float) -> DataFrame:
@@ -84,6 +126,11 @@ def ahead_ratio(asked: DataFrame) -> DataFrame:
     return counts.join(waits, "channel")
 
 
+def ahead_waits(asked: DataFrame, bounds=BOUNDS) -> DataFrame:
+    """Buckets of the time each channel's planned frames were waited for."""
+    return histogram(asked.filter("planned"), ["channel"], "waited", bounds)
+
+
 def number(value) -> Column:
     """A number as text: whole numbers without a point, others with six places."""
     fixed = F.col(value).cast("decimal(28,6)") if isinstance(value, str) else value.cast("decimal(28,6)")

@@ -40,21 +40,17 @@ def psnr(a, b, scale: float) -> Column:
 
 def ssim(pairs: DataFrame, keys: list[str], width: int, height: int, scale: float) -> DataFrame:
     """Mean structural similarity of planes ``a`` and ``b`` over whole 8×8 windows; 0 for a picture without one."""
-    pixel = pairs.select(*keys, F.posexplode(F.arrays_zip("a", "b")).alias("_i", "_p"))
+    pixel = pairs.select(*keys, F.posexplode_outer(F.arrays_zip("a", "b")).alias("_i", "_p"))
     wx, wy = F.expr(f"(_i % {width}) div {SSIM_WINDOW}"), F.expr(f"_i div {width} div {SSIM_WINDOW}")
     x, y = F.col("_p.a") / scale, F.col("_p.b") / scale
-    windows = (
-        pixel.groupBy(*keys, wx.alias("_wx"), wy.alias("_wy"))
-        .agg(
-            F.avg(x).alias("ma"), F.avg(y).alias("mb"), F.var_pop(x).alias("va"), F.var_pop(y).alias("vb"),
-            F.covar_pop(x, y).alias("cov"),
-        )
-        .filter((F.col("_wx") < width // SSIM_WINDOW) & (F.col("_wy") < height // SSIM_WINDOW))
-    )
+    windows = pixel.groupBy(*keys, wx.alias("_wx"), wy.alias("_wy")).agg(
+        F.avg(x).alias("ma"), F.avg(y).alias("mb"), F.var_pop(x).alias("va"), F.var_pop(y).alias("vb"), F.covar_pop(x, y).alias("cov")
+    )
     ma, mb = F.col("ma"), F.col("mb")
     top = (ma * mb * 2 + SSIM_C1) * (F.col("cov") * 2 + SSIM_C2)
     bottom = (ma * ma + mb * mb + SSIM_C1) * (F.col("va") + F.col("vb") + SSIM_C2)
-    return windows.groupBy(*keys).agg(F.avg(top / bottom).alias("ssim"))
+    inside = (F.col("_wx") < width // SSIM_WINDOW) & (F.col("_wy") < height // SSIM_WINDOW)
+    return windows.groupBy(*keys).agg(F.coalesce(F.avg(F.when(inside, top / bottom)), F.lit(0.0)).alias("ssim"))
 
 
 def area_mean(plane, width: int, height: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelgrid.operators import metrics as mt
+from reelgrid.plans.ordered import running, running_count, spread
 from reelgrid.registry import query
 
 BUCKETS = "(0.001, 0.001), (0.002, 0.002), (0.005, 0.005), (0.008, 0.008), (0.012, 0.012), (0.02, 0.02), (0.04, 0.04), (null, 1e9)"
@@ -73,6 +74,46 @@ def _(t):
     return rows.withColumn("quantile", F.round("quantile", 6))
 
 
+# Each series counts on from its last scrape, but every 40th observation follows a restart.
+@query(
+    "quantile_of_rates",
+    f"""with b as (select cast(le as double) le, cast(lim as double) lim from (values {BUCKETS}) v(le, lim)),
+    n as (select *, row_number() over (partition by channel, stage order by ts_us, event_id) n from metrics), l as (select *, n//40 life from n),
+    c as (select channel, stage, ts_us, event_id, life, b.le, count(*) filter (secs*4<=b.lim) over (partition by channel, stage, life, b.lim order by ts_us, event_id) v from l, b),
+    p as (select *, lag(v) over (partition by channel, stage, le order by ts_us, event_id) w from c),
+    i as (select stage, le, ts_us, case when v>=w then v-w when w is not null then v else 0 end inc from p),
+    r as (select stage, le, (ts_us//3600000000-k)*3600000000 start_us, cast(sum(inc) as bigint) inc from i, range(6) r(k) group by all),
+    q as (select x.stage, x.start_us, x.le hi, x.inc cum, t.inc n, coalesce(lag(x.le) over w, 0) lo, coalesce(lag(x.inc) over w, 0) bef, x.inc>=cast(0.95 as double)*t.inc reached
+        from r x join r t on t.stage=x.stage and t.start_us=x.start_us and t.le is null where x.le is not null window w as (partition by x.stage, x.start_us order by x.le)),
+    f as (select *, row_number() over (partition by stage, start_us order by hi) rn from q where reached)
+    select t.stage, t.start_us, case when t.inc>0 then round(coalesce(lo+case when cum>bef then (cast(0.95 as double)*n-bef)/(cum-bef) else 1 end*(hi-lo), 0.04),6) end quantile
+        from r t left join f on f.stage=t.stage and f.start_us=t.start_us and rn=1 where t.le is null""",
+    "metrics",
+)
+def _(t):
+    rows = t.metrics.withColumn("s4", F.col("secs") * 4)
+    series, order = ["channel", "stage"], ["ts_us", "event_id"]
+    cut = spread(rows, series, order)
+    numbered = running(cut, series, order, _n=running_count())
+    scraped = mt.bucket_samples(numbered.drop("_chunk").withColumn("fresh", F.col("_n") % 40 == 0), series, order, "s4", "fresh")
+    rates = mt.bucket_rates(scraped, series, order, ["stage"], "6 hours", "1 hour")
+    return mt.quantile_of_rates(rates, ["stage"], 0.95).withColumn("quantile", F.round("quantile", 6))
+
+
+ASKED = """with a as (select cast(user_id%3+1 as int) channel, event_id%4<>0 planned, value/10000 w from events)"""
+
+
+@query(
+    "ahead_waits",
+    f"""{ASKED}, b as (select cast(le as double) le, cast(lim as double) lim from (values {BUCKETS}) v(le, lim)), p as (select * from a where planned),
+    g as (select channel, round(sum(w),6) total, count(*) "count" from p group by 1)
+    select g.channel, b.le, count(*) filter (w<=b.lim) bucket, g.total, g."count" from g join p using (channel), b group by all""",
+)
+def _(t):
+    asked = t.events.selectExpr("cast(user_id % 3 + 1 as int) channel", "event_id % 4 <> 0 planned", "value / 10000 waited")
+    return mt.ahead_waits(asked).withColumn("total", F.round("total", 6))
+
+
 @query(
     "ahead_ratio",
     """with a as (select cast(user_id%3+1 as int) channel, case when event_type in ('view','click','signup') then 'hit' when event_type='error' then 'late' else 'miss' end r,

@@ -47,16 +47,15 @@ def _(t):
     return pairs(t).select("vec_id", F.round(sg.psnr("a", "b", 1023.0), 6).alias("psnr"))
 
 
-TALL = """tall as (select vec_id//4 picture, list_reduce(list(luma order by vec_id), lambda a, b: list_concat(a, b)) luma from pictures group by 1 having count(*)=4)"""
+TALL = """tall as (select vec_id//4 picture, list_resize(list_reduce(list(luma order by vec_id), lambda a, b: list_concat(a, b)), 256, 0) luma from pictures group by 1)"""
 
 
 def tall(t):
-    """Pictures of 8 × 32: four tiles one below the other."""
+    """Pictures of 8 × 32: four tiles one below the other, the last picture filled up with black."""
     tiles = F.sort_array(F.collect_list(F.struct("vec_id", "luma")))
     grouped = t.pictures.groupBy(F.expr("vec_id div 4").alias("picture")).agg(tiles.alias("tiles"))
-    return grouped.filter(F.size("tiles") == 4).select(
-        "picture", F.flatten(F.transform("tiles", lambda x: x["luma"])).alias("luma")
-    )
+    luma = F.flatten(F.transform("tiles", lambda x: x["luma"]))
+    return grouped.select("picture", F.concat(luma, F.array_repeat(F.lit(0), F.lit(256) - F.size(luma))).alias("luma"))
 
 
 @query(
@@ -72,19 +71,22 @@ def _(t):
     return sg.ssim(both, ["picture"], 8, 32, 1023.0).withColumn("ssim", F.round("ssim", 6))
 
 
-@query(
-    "area_mean",
-    """with x as (select vec_id, i%9 x, i//9 y, luma[i+1] v from pictures, range(63) r(i)),
-    l1 as (select vec_id, x//2 x, y//2 y, avg(v) v from x where x<8 and y<6 group by all),
-    l2 as (select vec_id, x//2 x, y//2 y, avg(v) v from l1 where x<4 and y<2 group by all)
+def levels_sql(width: int) -> str:
+    return f"""with x as (select vec_id, i%{width} x, i//{width} y, coalesce(luma[i+1], 0) v from pictures, range({8 * width}) r(i)),
+    l1 as (select vec_id, x//2 x, y//2 y, avg(v) v from x where x<8 group by all),
+    l2 as (select vec_id, x//2 x, y//2 y, avg(v) v from l1 group by all)
     select vec_id, round(sum(case when lv=1 then v end),6) level1, round(sum(case when lv=2 then v end),6) level2
-    from (select 1 lv, vec_id, v from l1 union all select 2, vec_id, v from l2) group by 1""",
-    "pictures",
-)
+    from (select 1 lv, vec_id, v from l1 union all select 2, vec_id, v from l2) group by 1"""
+
+
+# Two levels of 8 x 8 samples, and of the same samples laid out 9 wide and filled up, which leaves a column over.
+@query("area_mean", f"select e.*, o.level1 odd1, o.level2 odd2 from ({levels_sql(8)}) e join ({levels_sql(9)}) o using (vec_id)", "pictures")
 def _(t):
     total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, v: a + v), 6)
-    levels = t.pictures.withColumn("l1", sg.area_mean(F.slice("luma", 1, 63), 9, 7)).withColumn("l2", sg.area_mean(F.col("l1"), 4, 3))
-    return levels.select("vec_id", total("l1").alias("level1"), total("l2").alias("level2"))
+    wide = F.concat("luma", F.array_repeat(F.lit(0), 8))
+    first = t.pictures.withColumn("l1", sg.area_mean(F.col("luma"), 8, 8)).withColumn("o1", sg.area_mean(wide, 9, 8))
+    both = first.withColumn("l2", sg.area_mean(F.col("l1"), 4, 4)).withColumn("o2", sg.area_mean(F.col("o1"), 4, 4))
+    return both.select("vec_id", total("l1").alias("level1"), total("l2").alias("level2"), total("o1").alias("odd1"), total("o2").alias("odd2"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
 from pyspark.sql import functions as F
 
 from reelgrid.registry import ORACLES, query
@@ -9,6 +11,7 @@ from reelgrid.registry.q_ingest import HOUR, STALLS, input_events
 from reelgrid.registry.q_playout import SPEED_GRAINS, shot_events, transport_commands
 from reelgrid.registry.q_sources import fresh_folder
 from reelgrid.registry.tables import Tables
+from reelgrid.sources.frames import frame_bounds
 from reelgrid.streaming import jobs, state
 
 
@@ -16,30 +19,53 @@ from reelgrid.streaming import jobs, state
 LAST = "(select max(tai_ns) from frames)"
 
 
+#: Rows that arrive between two triggers, and triggers at least, so that state is always carried on.
+ARRIVALS, TRIGGERS = 1_000_000, 3
+
+
 class Streamed(Tables):
-    """The same views over the events as a stream of three files, one per trigger, so that state is carried on.
+    """The same views over the events as a stream whose files arrive in the order ``by``.
 
-    The files follow each other in the order ``by``, as a stream's rows do that is folded in that order.
+    The table is cut into stretches of that order, as many as it is long; each arrives, as files of its own, when the
+    stream has used up the ones before.
     """
 
-    def __init__(self, spark, folder, by="event_id"):
+    def __init__(self, spark, folder, by="event_id", triggers=None, even=False):
         super().__init__(spark, folder)
-        self.by, self.cuts = F.expr(by), {}
+        self.by, self.triggers, self.even, self.arriving = F.expr(by), triggers, even, {}
 
     def base(self, name):
         static = super().base(name)
-        if name not in self.cuts:
-            folder = fresh_folder(self.spark, "pieces")
-            low, high = static.select(F.percentile(self.by, [0.33, 0.66])).first()[0]
-            for piece in (self.by <= low, (self.by > low) & (self.by <= high), self.by > high):
-                static.filter(piece).coalesce(1).write.mode("append").parquet(folder)
-            self.cuts[name] = folder
-        return jobs.files(self.spark, self.cuts[name], static.schema, 1)
-
-
-def run(t, build, by="event_id"):
-    live = Streamed(t.spark, t.folder, by)
-    return jobs.run_to_table(build(live), fresh_folder(t.spark, "stream"))
+        if name not in self.arriving:
+            folder = fresh_folder(self.spark, "arrivals")
+            count = self.triggers or max(TRIGGERS, -(-static.count() // ARRIVALS))
+            if self.even:
+                low, high = static.select(F.min(self.by), F.max(self.by)).first()
+                bounds = [low + (-(-(high - low + 1) * i // count)) - 1 for i in range(1, count)]
+            else:
+                # approximate bounds do: rows of one place in the order always arrive together
+                shares = [F.lit(i / count) for i in range(1, count)]
+                bounds = static.select(F.percentile_approx(self.by, F.array(*shares), 10_000)).first()[0] if shares else []
+            cuts = [F.lit(True), *[self.by > b for b in bounds]], [*[self.by <= b for b in bounds], F.lit(True)]
+            self.arriving[name] = (folder, [static.filter(low & high) for low, high in zip(*cuts)])
+            self.arrive(name, 0)
+        return jobs.files(self.spark, self.arriving[name][0], static.schema, 1_000_000)
+
+    def arrive(self, name, n):
+        folder, stretches = self.arriving[name]
+        stretches[n].write.mode("append").option("maxRecordsPerFile", ARRIVALS // 8).parquet(folder)
+
+    def rest(self):
+        """Let the later stretches arrive, one at a time."""
+        for n in range(1, max(len(s) for _, s in self.arriving.values())):
+            for name in self.arriving:
+                self.arrive(name, n)
+            yield
+
+
+def run(t, build, by="event_id", triggers=None):
+    live = Streamed(t.spark, t.folder, by, triggers)
+    return jobs.run_to_table(build(live), fresh_folder(t.spark, "stream"), more=live.rest())
 
 
 @query(
@@ -147,15 +173,34 @@ def _(t):
     "frames",
 )
 def _(t):
-    from reelgrid.sources.frames import frame_bounds
-
     folder = fresh_folder(t.spark, "snapshot")
-    sink = jobs.snapshot_sink(Streamed(t.spark, t.folder).frames, folder, frame_bounds, every=None)
-    sink.awaitTermination()
-    # A snapshot per micro-batch; together they give the bounds of everything read.
-    return t.spark.read.parquet(folder).groupBy("camera").agg(
-        F.min("oldest_ns").alias("oldest_ns"), F.max("newest_ns").alias("newest_ns"), F.sum("frames").alias("frames")
-    )
+    live = Streamed(t.spark, t.folder)
+    frames = live.frames
+    for _ in chain([None], live.rest()):
+        jobs.snapshot_sink(frames, folder, frame_bounds, jobs.merged_bounds, every=None).awaitTermination()
+    # The last snapshot alone holds the bounds of everything read.
+    last = t.spark.read.parquet(folder)
+    return last.filter(F.col("snapshot") == last.agg(F.max("snapshot")).first()[0]).drop("snapshot")
+
+
+@query(
+    "display_map_stream",
+    """with t as (select min(event_id) lo, max(event_id)-min(event_id)+1 wide from tally)
+    select event_id, display, cast((display+(event_id-lo)*3//wide)%4 as int) channel from tally, t""",
+    "tally",
+)
+def _(t):
+    """Whom a display belongs to changes between triggers: rows are placed by the map of their time."""
+    folder = fresh_folder(t.spark, "mapped")
+    live = Streamed(t.spark, t.folder, triggers=3, even=True)
+    tally = live.tally.select("event_id", "display")
+    for n, _ in enumerate(chain([None], live.rest())):
+        # another process rewrites the map before the next rows arrive
+        t.spark.range(8).selectExpr("cast(id as int) display", f"cast((id + {n}) % 4 as int) channel").write.mode("overwrite").parquet(f"{folder}/map")
+        read_map = lambda spark: spark.read.parquet(f"{folder}/map")
+        sink = jobs.with_dimension(tally, folder, read_map, lambda rows, side: rows.join(side, "display"))
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{folder}/rows").select("event_id", "display", "channel")
 
 
 # The streams give what the batch operators give.

@@ -38,7 +38,7 @@ VIEWS = {
         case when event_type='error' then 1 else 0 end lh, case when event_type='view' then 2 else 0 end rh,
         case when event_type='purchase' then 1 else 0 end txt from events""",
     "metrics": """select epoch_us(ts) ts_us, 'playout_seconds' as name, cast(user_id%3+1 as int) channel,
-        case when event_id%2=0 then 'render' else 'publish' end stage, value/10000 secs from events""",
+        case when event_id%2=0 then 'render' else 'publish' end stage, value/10000 secs, event_id from events""",
     "pictures": """select vec_id, list_transform(embedding,
         lambda e: cast(round((cast(e as double)+1)*511.5) as int)) luma from embeddings""",
     "probes": """select event_id probe, cast(event_id%4+1 as int) camera, cast(user_id%3+1 as int) channel,
@@ -184,6 +184,7 @@ class Tables:
             "cast(user_id % 3 + 1 as int) channel",
             "case when event_id % 2 = 0 then 'render' else 'publish' end stage",
             "value / 10000 secs",
+            "event_id",
         )
 
     @cached_property

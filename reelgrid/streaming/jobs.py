@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
-from itertools import accumulate
+from collections.abc import Callable, Iterable
+from itertools import accumulate, chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +17,10 @@ from reelgrid.plans.fold import Rows
 from reelgrid.streaming.state import fold_stream
 
 
+#: Rows of a dimension up to which it is broadcast to a micro-batch.
+DIMENSION_ROWS = 50_000
+
+
 def files(spark: SparkSession, path: str, schema: StructType, per_trigger: int) -> DataFrame:
     """A stream over Parquet files, oldest first; a trigger, and so a key's rows in it, is ``per_trigger`` files."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(path)
@@ -27,11 +31,15 @@ def event_time(rows: DataFrame, delay: str, column: str = "tai_ns") -> DataFrame
     return rows.withColumn("ts", F.timestamp_micros(F.expr(f"{column} div 1000"))).withWatermark("ts", delay)
 
 
-def run_to_table(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Process what is there and return the rows written; ``folder`` must be reachable by every executor."""
-    sink = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
-    query = sink.trigger(availableNow=True).start(f"{folder}/rows")
-    query.awaitTermination()
+def run_to_table(stream: DataFrame, folder: str, mode: str = "append", more: Iterable[None] = ()) -> DataFrame:
+    """Process what is there and return the rows written; ``folder`` must be reachable by every executor.
+
+    ``more`` adds files as it is walked; after each step the stream goes on from where it stopped.
+    """
+    for _ in chain([None], more):
+        sink = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
+        query = sink.trigger(availableNow=True).start(f"{folder}/rows")
+        query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
@@ -126,11 +134,48 @@ def unsupported_stream(checks: DataFrame, order: list[str]) -> DataFrame:
     return told.filter("news").select("camera", *order, F.col("_flow").alias("flow"), F.col("_reason").alias("reason"))
 
 
-def snapshot_sink(stream: DataFrame, folder: str, summarise: Callable[[DataFrame], DataFrame], every: str | None = "1 second"):
-    """Rewrite a snapshot of each micro-batch; the batch number names it, so a retried batch replaces itself."""
+def snapshot_sink(
+    stream: DataFrame, folder: str, summarise: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame], every: str | None = "1 second"
+):
+    """Keep a snapshot of all rows so far: ``folder/snapshot=n`` after micro-batch ``n``.
+
+    ``summarise`` gives one row per key of a micro-batch; ``merge`` makes one of the rows of two summaries by key. Each
+    snapshot is the one before and the micro-batch's summary, so a batch that is tried again makes the same snapshot
+    again. The one before stays for that; older ones go.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        summarise(batch).write.mode("overwrite").parquet(f"{folder}/snapshot={number}")
+        spark, path = batch.sparkSession, lambda n: f"{folder}/snapshot={n}"
+        now = summarise(batch)
+        if number > 0:
+            before = spark.read.schema(now.schema).parquet(path(number - 1))
+            now = merge(before.unionByName(now))
+        now.write.mode("overwrite").parquet(path(number))
+        old = spark._jvm.org.apache.hadoop.fs.Path(path(number - 2))
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     sink = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/_checkpoint")
     return (sink.trigger(processingTime=every) if every else sink.trigger(availableNow=True)).start()
+
+
+def merged_bounds(rows: DataFrame) -> DataFrame:
+    """Bounds of cameras from several summaries of them."""
+    return rows.groupBy("camera").agg(
+        F.min("oldest_ns").alias("oldest_ns"), F.max("newest_ns").alias("newest_ns"), F.sum("frames").alias("frames")
+    )
+
+
+def with_dimension(stream: DataFrame, folder: str, read: Callable[[SparkSession], DataFrame], join: Callable[[DataFrame, DataFrame], DataFrame]):
+    """Join each micro-batch with a dimension as it is then, and append the rows to ``folder/rows``.
+
+    The dimension is read anew for each batch, so its changes count from the next trigger on. It is broadcast only if
+    its size allows; a batch that is tried again replaces its own rows.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        side = read(batch.sparkSession)
+        if side.limit(DIMENSION_ROWS + 1).count() <= DIMENSION_ROWS:
+            side = F.broadcast(side)
+        join(batch, side).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/_checkpoint")
