@@ -42,8 +42,8 @@ def last_writes(phases: int, order: str) -> list[Column]:
     return [F.max_by(of(k, write), of(k, F.col(order))).alias(f"_p{k}") for k in range(phases)]
 
 
-def interleaved(houses: DataFrame, phases: int, house_ns: int) -> DataFrame:
-    """The slots of house grains whose last writes are known."""
+def interleaved(houses: DataFrame, phases: int, house_ns: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The slots of house grains whose last writes are known, with the columns ``keep``."""
     there = [F.coalesce(F.col(f"_p{k}.present"), F.lit(False)) for k in range(phases)]
     base = F.coalesce(*[F.when(there[k], F.col(f"_p{k}.t")) for k in range(phases)])
     slots = []
@@ -63,8 +63,8 @@ def interleaved(houses: DataFrame, phases: int, house_ns: int) -> DataFrame:
         )
     missing = sum((F.when(t, 0).otherwise(1) for t in there), F.lit(0))
     shown = F.when(base.isNotNull(), F.array(*slots))
-    return houses.select("camera", "house_index", missing.alias("missing"), F.explode_outer(shown).alias("_s")).select(
-        "camera", "house_index", "missing", "_s.*"
+    return houses.select("camera", "house_index", *keep, missing.alias("missing"), F.explode_outer(shown).alias("_s")).select(
+        "camera", "house_index", *keep, "missing", "_s.*"
     )
 
 

@@ -6,6 +6,7 @@ from itertools import chain
 
 from pyspark.sql import functions as F
 
+from reelgrid.operators.ingest import interleaved
 from reelgrid.registry import ORACLES, query
 from reelgrid.registry.q_ingest import HOUR, STALLS, input_events
 from reelgrid.registry.q_playout import SPEED_GRAINS, shot_events, transport_commands
@@ -167,6 +168,36 @@ def _(t):
     )
 
 
+@query(
+    "phase_complete_stream",
+    """with s as (select *, event_id e from (select *, payload_id event_id from grains)),
+    w as (select *, max(e) filter (present and phase=0) over r p0, max(e) filter (present and phase=1) over r p1, max(e) filter (present and phase=2) over r p2,
+        max(e) filter (phase=0) over r q0, max(e) filter (phase=1) over r q1, max(e) filter (phase=2) over r q2 from s window r as (partition by camera, house_index order by e)),
+    c as (select *, min(case when p0=q0 and p1=q1 and p2=q2 then e end) over (partition by camera, house_index) full_at, max(house_index) over (partition by camera) last from w),
+    k as (select camera, house_index, phase, arg_max(present, e) present, arg_max(tai_ns, e) t, max(e) payload_id, any_value(full_at) full_at from c
+        where (full_at is null and house_index<last) or e<=full_at group by camera, house_index, phase),
+    h as (select camera, house_index, case when any_value(full_at) is null then 'next' else 'full' end reason, 3-count(*) filter (present) missing, arg_min(t, phase) filter (present) base from k group by camera, house_index),
+    z as (select h.*, k slot from h, range(3) r(k) where base is not null),
+    d as (select z.*, k.phase, k.payload_id, k.t, row_number() over (partition by z.camera, z.house_index, slot order by abs(k.phase-slot), k.phase) rn
+        from z join k on k.camera=z.camera and k.house_index=z.house_index and k.present)
+    select camera, house_index, reason, cast(missing as int) missing, cast(slot as int) slot, case when phase=slot and t<>0 then t else base end+20000000*slot//3 time_ns,
+        phase, payload_id, phase<>slot repeated from d where rn=1
+    union all select camera, house_index, reason, 3, null, null, null, null, null from h where base is null
+    union all select camera, house_index, 'late', 0, null, null, phase, payload_id, null from c where e>full_at""",
+    "grains",
+)
+def _(t):
+    def build(s):
+        end = F.timestamp_micros(F.expr("(house_index + 1) * 20000000 div 1000"))
+        return state.house_stream(s.grains.withColumn("ts", end).withWatermark("ts", "1 day"), 3, 20_000_000, "payload_id")
+
+    houses = run(t, build)
+    slots = interleaved(houses.filter("reason <> 'late'"), 3, 20_000_000, keep=("reason",))
+    only = F.coalesce(*[F.when(F.col(f"_p{k}.present"), F.struct(F.lit(k).alias("phase"), F.col(f"_p{k}.payload_id").alias("payload_id"))) for k in range(3)])
+    late = houses.filter("reason = 'late'").select("camera", "house_index", "reason", F.lit(0).alias("missing"), only["phase"].alias("phase"), only["payload_id"].alias("payload_id"))
+    return slots.unionByName(late, allowMissingColumns=True)
+
+
 @query(
     "snapshot_stream",
     "select camera, min(tai_ns) oldest_ns, max(tai_ns) newest_ns, count(*) frames from frames group by 1",

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
@@ -135,3 +136,87 @@ def stall_stream(events: DataFrame, timeout_ns: int) -> DataFrame:
     return use_rocksdb(events).groupBy("camera").transformWithStateInPandas(
         statefulProcessor=StallProcessor(timeout_ns), outputStructType=schema, outputMode="append", timeMode="eventTime"
     )
+
+
+class HouseProcessor(StatefulProcessor):
+    """Collects the phases of a camera's house grain and writes it as soon as it is complete.
+
+    A grain is complete when all its phases are there, when a later one opens, or when event time has passed its end.
+    A phase that comes after its grain was written is told as late.
+    """
+
+    def __init__(self, phases: int, house_ns: int, order: str):
+        self.phases, self.house_ns, self.order = phases, house_ns, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("house", "value string")
+
+    def _row(self, camera: int, house: int, reason: str, found: dict) -> dict:
+        row = {"camera": camera, "house_index": house, "reason": reason}
+        for k in range(self.phases):
+            row[f"t{k}"], row[f"payload{k}"] = found.get(str(k), (None, None))
+        return row
+
+    def _out(self, rows: list[dict]) -> pd.DataFrame:
+        whole = [c for k in range(self.phases) for c in (f"t{k}", f"payload{k}")]
+        out = pd.DataFrame(rows, columns=["camera", "house_index", "reason", *whole])
+        return out.astype(dict.fromkeys(whole, "Int64"))
+
+    def _watch(self, house: int | None) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if house is not None:
+            self.handle.registerTimer((house + 1) * self.house_ns // 1_000_000)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # One trigger's rows of one camera; the source's per-trigger limit bounds them.
+        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
+        now = json.loads(self.state.get()[0]) if self.state.exists() else {"open": None, "done": -1, "found": {}}
+        out = []
+        columns = (batch[c].tolist() for c in ("house_index", "phase", "present", "tai_ns", "payload_id"))
+        for house, phase, present, tai, payload in zip(*columns, strict=True):
+            if house <= now["done"]:
+                out.append(self._row(key[0], house, "late", {str(phase): (tai, payload)}))
+                continue
+            if now["open"] is not None and house > now["open"]:
+                out.append(self._row(key[0], now["open"], "next", now["found"]))
+                now = {"open": None, "done": now["open"], "found": {}}
+            now["open"] = house
+            if present:
+                now["found"][str(phase)] = (tai, payload)
+            else:
+                now["found"].pop(str(phase), None)
+            if len(now["found"]) == self.phases:
+                out.append(self._row(key[0], house, "full", now["found"]))
+                now = {"open": None, "done": house, "found": {}}
+        self.state.update((json.dumps(now),))
+        self._watch(now["open"])
+        yield self._out(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = json.loads(self.state.get()[0])
+        if now["open"] is not None:
+            self.state.update((json.dumps({"open": None, "done": now["open"], "found": {}}),))
+            yield self._out([self._row(key[0], now["open"], "timer", now["found"])])
+
+    def close(self) -> None:
+        pass
+
+
+def house_stream(grains: DataFrame, phases: int, house_ns: int, order: str) -> DataFrame:
+    """House grains of each camera with the ``reason`` they were written, and late phases.
+
+    ``grains``: camera, house_index (not older than the one before but for late phases), phase, present, tai_ns,
+    payload_id, the order and a watermarked ``ts``. ``_p0`` on are the phases as structs, null where one is missing.
+    """
+    names = [c for k in range(phases) for c in (f"t{k}", f"payload{k}")]
+    fields = [grains.schema["camera"], StructField("house_index", LongType()), StructField("reason", StringType())]
+    written = use_rocksdb(grains).groupBy("camera").transformWithStateInPandas(
+        statefulProcessor=HouseProcessor(phases, house_ns, order),
+        outputStructType=StructType([*fields, *[StructField(n, LongType()) for n in names]]),
+        outputMode="append",
+        timeMode="eventTime",
+    )
+    phase = lambda k: F.struct(F.col(f"t{k}").isNotNull().alias("present"), F.col(f"t{k}").alias("t"), F.col(f"payload{k}").alias("payload_id"))
+    return written.select("camera", "house_index", "reason", *[phase(k).alias(f"_p{k}") for k in range(phases)])
