@@ -87,8 +87,8 @@ def _(t):
 
 @query(
     "catalog_export",
-    """select id, '{"id":"'||id||'","name":"'||name||'","camera":'||camera||',"in_ns":'||in_ns||',"out_ns":'||out_ns||',"speed":'||speed||',"tags":"'||tags||'","library":'||library||'}' as document from clips
-    union all select playlist, '{"id":"'||playlist||'","entries":['||string_agg('{"clip_id":"'||clip_id||'","speed":'||speed||',"auto_advance":'||auto_advance||',"transition":"'||transition
+    """select id, '{"id":"'||id||'","name":"'||name||'","camera":'||camera||',"in_ns":'||in_ns||',"out_ns":'||out_ns||',"speed":'||speed||',"tags":"'||tags||'","end":"'||end_action||'","library":'||library||'}' as document from clips
+    union all select playlist, '{"id":"'||playlist||'","entries":['||string_agg('{"clip_id":"'||clip_id||'","speed":'||speed||',"end":"'||end_action||'","auto_advance":'||auto_advance||',"transition":"'||transition
         ||'","transition_frames":'||transition_frames||',"audio_frames":'||audio_frames||',"own_audio":'||own_audio||'}', ',' order by position)||']}' from entries group by 1""",
     "clips entries",
 )
@@ -96,6 +96,51 @@ def _(t):
     return documents.export_clips(t.clips).unionByName(documents.export_playlists(t.entries))
 
 
+# Lists with a name, a loop flag and a bed; every fifth bed has a level out of range, which an import puts back to all
+# defaults. Clips and entries have all their fields; a cut has no frames and a mix without frames has the default.
+LISTS = """lists as (select playlist, cast(split_part(playlist,'-',2) as bigint) n from entries group by 1)"""
+LIST_TEXT = """'{"id":"'||playlist||'","name":"List '||n||'","loop":'||(n%3=0)||',"entries":['||e||'],"aux":'||aux||'}'"""
+BED = """'{"source":"clip-'||n||'","level_db":'||cast(LEVEL as double)||',"loop":'||(n%2=0)||',"fade_out_frames":'||(n%7*10)||',"duck_db":-12.0,"attack_ms":'||(n%9*100)||',"release_ms":400}'"""
+
+
+@query(
+    "catalog_round_trip",
+    f"""with {LISTS}, e as (select playlist, string_agg('{{"clip_id":"'||clip_id||'","speed":'||speed||',"end":"'||end_action||'","auto_advance":'||auto_advance||',"transition":"'||transition
+        ||'","transition_frames":'||case when transition='mix' then case when transition_frames=0 then 25 else transition_frames end else 0 end||',"audio_frames":'||audio_frames||',"own_audio":'||own_audio||'}}', ',' order by position) e from entries group by 1),
+    a as (select *, case when n%5=0 then '{{"source":"","level_db":0.0,"loop":true,"fade_out_frames":50,"duck_db":-12.0,"attack_ms":200,"release_ms":500}}' else {BED.replace('LEVEL', 'n%60-50')} end aux from lists)
+    select 'playlist' kind, playlist id, {LIST_TEXT} as document from a join e using (playlist)
+    union all select 'clip', id, '{{"id":"'||id||'","name":"'||name||'","camera":'||camera||',"in_ns":'||in_ns||',"out_ns":'||out_ns||',"speed":'||speed||',"motion":"blend","audio":"mute","colour":"c'||camera||'","tags":"'||tags||'","end":"'||end_action||'","library":'||library||',"group":"g'||camera||'"}}' from clips
+    union all select 'setting', 'CH'||camera||'_LABEL', '{{"key":"CH'||camera||'_LABEL","value":"'||count(*)||'"}}' from clips group by camera""",
+    "clips entries",
+)
+def _(t):
+    number = F.expr("cast(split(playlist, '-')[1] as bigint)")
+    level = F.when(F.col("n") % 5 == 0, F.lit(99.0)).otherwise(F.expr("cast(n % 60 - 50 as double)"))
+    bed = F.struct(
+        F.concat(F.lit("clip-"), "n").alias("source"), level.alias("level_db"), (F.col("n") % 2 == 0).alias("loop"),
+        F.expr("cast(n % 7 * 10 as int) fade_out_frames"), F.lit(-12.0).alias("duck_db"), F.expr("cast(n % 9 * 100 as int) attack_ms"), F.lit(400).alias("release_ms"),
+    )
+    lists = t.entries.select("playlist").distinct().withColumn("n", number).select(
+        F.col("playlist").alias("id"), F.concat(F.lit("List "), "n").alias("name"), (F.col("n") % 3 == 0).alias("loop"), bed.alias("aux")
+    )
+    clips = t.clips.selectExpr(
+        "id", "name", "camera", "in_ns", "out_ns", "speed", "tags", "library", "end_action", "'blend' motion", "'mute' audio", "concat('c', camera) colour",
+        "concat('g', camera) group",
+    )
+    settings = t.clips.groupBy("camera").agg(F.count("*").cast("string").alias("value")).select(F.expr("concat('CH', camera, '_LABEL') key"), "value")
+
+    def written(settings, clips, lists, entries):
+        parts = {"setting": documents.export_settings(settings), "clip": documents.export_clips(clips), "playlist": documents.export_playlists(entries, lists)}
+        return {kind: part.withColumn("kind", F.lit(kind)) for kind, part in parts.items()}
+
+    first = written(settings, clips, lists, t.entries)
+    again = written(
+        documents.import_settings(first["setting"]), documents.import_clips(first["clip"].select("document")),
+        documents.import_playlists(first["playlist"]), documents.import_entries(first["playlist"]),
+    )
+    return again["setting"].unionByName(again["clip"]).unionByName(again["playlist"])
+
+
 DOC = """'{"id":"'||case when event_id%13=0 then '' else 'clip-'||event_id end||'","name":"n'||event_id||'","camera":'||(user_id%4+1)||',"in_ns":'||(event_id*1000000000)||
     case when event_id%3=0 then '' else ',"out_ns":'||(event_id*1000000000+5000000000) end||case when event_id%4=0 then '' else ',"speed":0.5' end||',"end":"'||event_type||'"'||
     case when event_id%5=0 then ',"library":true' else '' end||'}'"""
