@@ -40,6 +40,32 @@ def audio_receiver(seed, camera) -> Column:
     return F.concat(_c(seed), F.lit("/in/"), _c(camera), F.lit("/audio"))
 
 
+# The resources of an installation by the pattern of their name; an asterisk stands for each part given.
+RESOURCES = {
+    "node": "node", "device": "device", "domain": "domain",
+    "video_receiver": "in/*/video/*", "audio_receiver": "in/*/audio",
+    "video_source": "out/*/video/source", "video_sender": "out/*/video/sender", "video_flow": "out/*/video/flow/*",
+    "audio_source": "out/*/audio/source", "audio_sender": "out/*/audio/sender", "audio_flow": "out/*/audio/flow",
+    "data_source": "out/*/data/source", "data_sender": "out/*/data/sender", "data_flow": "out/*/data/flow/*",
+}
+
+
+def resource_name(prefix, seed, kind: str, *parts) -> Column:
+    """Name of a resource of an installation: its prefix and seed and the pattern of its kind with the parts put in."""
+    fixed = RESOURCES[kind].split("*")
+    if len(parts) != len(fixed) - 1:
+        raise ValueError(f"{kind} takes {len(fixed) - 1} parts")
+    texts = [F.lit(fixed[0])]
+    for part, text in zip(parts, fixed[1:]):
+        texts += [_c(part).cast("string"), F.lit(text)]
+    return F.concat(_c(prefix), F.lit("/"), _c(seed), F.lit("/"), *texts)
+
+
+def resources(kinds: dict[str, tuple], prefix, seed) -> Column:
+    """Names of several resources of a row as an array of (kind, name), to be exploded."""
+    return F.array(*[F.struct(F.lit(k).alias("resource"), resource_name(prefix, seed, k, *parts).alias("name")) for k, parts in kinds.items()])
+
+
 def channel_resource(seed, channel, essence: str, role: str, format_token=None) -> Column:
     """Resource name of a channel's ``source``, ``sender`` or ``flow`` for video, audio or data."""
     parts = [_c(seed), F.lit("/out/"), _c(channel), F.lit(f"/{essence}/{role}")]

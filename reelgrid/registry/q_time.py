@@ -177,6 +177,34 @@ def _(t):
     return named.select("event_id", ident.uuid_v5("nm").alias("uuid"))
 
 
+# All resources of an input and a channel, by the pattern of their names.
+NAMED = {
+    "node": "", "device": "", "domain": "", "video_receiver": "camera event_id", "audio_receiver": "camera", "video_source": "channel",
+    "video_sender": "channel", "video_flow": "channel token", "audio_source": "channel", "audio_sender": "channel", "audio_flow": "channel",
+    "data_source": "channel", "data_sender": "channel", "data_flow": "channel token",
+}
+
+
+@query(
+    "resource_ids",
+    """with e as (select event_id, user_id%4+1 camera, user_id%3+1 channel, case when event_id%2=0 then '1080p50' else '1080i25' end token from events),
+    n as (select event_id, unnest([{r: 'node', nm: 'node'}, {r: 'device', nm: 'device'}, {r: 'domain', nm: 'domain'}, {r: 'video_receiver', nm: 'in/'||camera||'/video/'||event_id},
+        {r: 'audio_receiver', nm: 'in/'||camera||'/audio'}, {r: 'video_source', nm: 'out/'||channel||'/video/source'}, {r: 'video_sender', nm: 'out/'||channel||'/video/sender'},
+        {r: 'video_flow', nm: 'out/'||channel||'/video/flow/'||token}, {r: 'audio_source', nm: 'out/'||channel||'/audio/source'}, {r: 'audio_sender', nm: 'out/'||channel||'/audio/sender'},
+        {r: 'audio_flow', nm: 'out/'||channel||'/audio/flow'}, {r: 'data_source', nm: 'out/'||channel||'/data/source'}, {r: 'data_sender', nm: 'out/'||channel||'/data/sender'},
+        {r: 'data_flow', nm: 'out/'||channel||'/data/flow/'||token}]) p from e),
+    h as (select event_id, p.r resource, sha1(cast(unhex('6ba7b8119dad11d180b400c04fd430c8') as blob)||encode('studio/seed-'||(event_id%5)||'/'||p.nm)) x from n)
+    select event_id, resource, substr(x,1,8)||'-'||substr(x,9,4)||'-5'||substr(x,14,3)||'-'||substr('89ab89ab89ab89ab', strpos('0123456789abcdef', substr(x,17,1)), 1)||substr(x,18,3)||'-'||substr(x,21,12) uuid from h""",
+)
+def _(t):
+    rows = t.events.selectExpr(
+        "event_id", "user_id % 4 + 1 camera", "user_id % 3 + 1 channel", "case when event_id % 2 = 0 then '1080p50' else '1080i25' end token",
+        "concat('seed-', event_id % 5) seed",
+    )
+    names = ident.resources({k: tuple(v.split()) for k, v in NAMED.items()}, F.lit("studio"), F.col("seed"))
+    return rows.select("event_id", F.inline(names)).select("event_id", "resource", ident.uuid_v5("name").alias("uuid"))
+
+
 ENUM_TEXT = """case event_id % 9 when 0 then 'repeat' when 1 then 'blend' when 2 then 'interpolate' when 3 then 'stretch'
     when 4 then 'follow' when 5 then 'live' when 6 then 'loop' when 7 then 'mix' else 'nothing' end"""
 
