@@ -19,7 +19,8 @@ from reelgrid.llm.shared import pin
 
 #: Rows of a block of vectors and of a block of anchors; a task holds one of each.
 BLOCK, ASKED = 8192, 256
-#: Segments of a vector, level by level; each level refines the bounds of the one before.
+#: Segments of a vector, level by level, each twice or more those before; each level refines the bounds of the one before.
+#: The last one is stored, the others follow from it.
 LEVELS = (4, 8, 16, 32)
 #: The share of pairs above which a level is computed for all pairs of two blocks.
 DENSE = 1 / 16
@@ -28,15 +29,21 @@ SEED = 4096
 
 #: A block of rows (``kind`` 0), then the blocks of anchors that meet it (``kind`` 1).
 _BLOCK = "block long, kind int, asked long, dims int, ids binary, labels binary, rows binary, vectors binary, summaries binary, wanted binary"
-_SLACK = 1e-9
+#: What rounding may take from a bound, as a share of the vectors' lengths; summaries are stored in single precision.
+_SLACK = 1e-6
+
+
+def cuts(dims: int, segments: int) -> np.ndarray:
+    """Where the segments of a vector begin and end; the ends of few segments are ends of more of them too."""
+    segments = max(1, min(segments, dims))
+    return np.arange(segments + 1) * dims // segments
 
 
 def summary(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     """The mean and deviation of each segment of the rows of ``x``, both times the root of the segment's length."""
-    dims = x.shape[1]
-    cuts = np.linspace(0, dims, min(segments, max(dims, 1)) + 1).astype(int)
-    means, spreads = np.zeros((len(x), len(cuts) - 1)), np.zeros((len(x), len(cuts) - 1))
-    for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
+    ends = cuts(x.shape[1], segments)
+    means, spreads = np.zeros((len(x), len(ends) - 1)), np.zeros((len(x), len(ends) - 1))
+    for s, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
         if b > a:
             part = x[:, a:b]
             mean = part.mean(1)
@@ -45,6 +52,18 @@ def summary(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
     return means, spreads
 
 
+def coarser(fine: tuple[np.ndarray, np.ndarray], dims: int, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """The summary of fewer segments from that of the finest ones; deviations are never too small."""
+    inner, outer = cuts(dims, LEVELS[-1]), cuts(dims, segments)
+    if not dims or len(inner) == len(outer):
+        return fine
+    first = np.searchsorted(inner, outer[:-1])
+    means = np.add.reduceat(fine[0] * np.sqrt(np.diff(inner)), first, axis=1) / np.sqrt(np.diff(outer))
+    squares = np.add.reduceat(fine[0] ** 2 + fine[1] ** 2, first, axis=1)
+    # what is stored is rounded, and the difference of two near squares would show it
+    return means, np.sqrt(np.maximum(squares - means**2, 0) + _SLACK * squares)
+
+
 def bounds(q: tuple[np.ndarray, np.ndarray], x: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper bounds of the inner products of all rows of ``q`` with all rows of ``x``, from their summaries."""
     middle, width = q[0] @ x[0].T, q[1] @ x[1].T
@@ -124,11 +143,12 @@ def _packed(size: int, scale: float, kind: int, at_most: int, tasks: int):
             for n, scores in enumerate(wanted):
                 if scores:
                     asked[n, : len(scores)] = scores
-            levels = b"".join(np.concatenate(summary(x, s), axis=1).tobytes() for s in LEVELS)
+            fine = np.concatenate(summary(x, LEVELS[-1]), axis=1).astype(np.float32)
+            whole_numbers = x.astype(np.int32) if np.abs(x).max(initial=0) < 2**31 else x
             made_of = {
                 "block": pa.array([number], pa.int64()), "kind": pa.array([kind], pa.int32()), "asked": pa.array([number], pa.int64()),
                 "dims": pa.array([dims], pa.int32()), "ids": [whole(ids)], "labels": [whole(labels)], "rows": [whole(rows)],
-                "vectors": [x.tobytes()], "summaries": [levels], "wanted": [asked.tobytes()],
+                "vectors": [whole_numbers.tobytes()], "summaries": [fine.tobytes()], "wanted": [asked.tobytes()],
             }
             return pa.RecordBatch.from_pydict(made_of)
 
@@ -148,15 +168,12 @@ class _Block:
         whole = lambda c: np.frombuffer(row[c], np.int64)
         self.ids, self.labels, self.rows, self.dims = whole("ids"), whole("labels"), whole("rows"), row["dims"]
         n = len(self.ids)
-        self.x = np.frombuffer(row["vectors"]).reshape(n, self.dims)
+        kind = np.int32 if len(row["vectors"]) == 4 * n * self.dims else np.float64
+        self.x = np.frombuffer(row["vectors"], kind).reshape(n, self.dims).astype(np.float64)
         self.wanted = np.frombuffer(row["wanted"]).reshape(n, at_most)
-        self.levels, start = [], 0
-        flat = np.frombuffer(row["summaries"])
-        for s in LEVELS:
-            s = min(s, max(self.dims, 1))
-            both = flat[start : start + 2 * s * n].reshape(n, 2 * s)
-            self.levels.append((both[:, :s], both[:, s:]))
-            start += 2 * s * n
+        both = np.frombuffer(row["summaries"], np.float32).reshape(n, -1).astype(np.float64)
+        fine = both[:, : both.shape[1] // 2], both[:, both.shape[1] // 2 :]
+        self.levels = [coarser(fine, self.dims, s) for s in LEVELS]
 
     def scored(self, other: _Block, apart: np.ndarray, possible: Callable):
         """Pairs of rows of this block with rows of another one that may matter, with their exact scores."""

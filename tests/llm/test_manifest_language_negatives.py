@@ -275,6 +275,20 @@ def test_bounds_hold():
         width = (upper - lower).mean()
 
 
+@pytest.mark.parametrize("dims", [1, 3, 10, 33, 50, 64])
+def test_coarser_summaries_hold(dims):
+    draw = np.random.default_rng(dims)
+    q, x = np.floor(draw.normal(3, 90, (20, dims))), np.floor(draw.normal(-2, 70, (60, dims)))
+    q[0], x[0], x[1] = 7, -9, 0
+    stored = [tuple(a.astype(np.float32).astype(np.float64) for a in segments.summary(v, segments.LEVELS[-1])) for v in (q, x)]
+    for level in segments.LEVELS:
+        lower, upper = segments.bounds(*(segments.coarser(fine, dims, level) for fine in stored))
+        assert (lower <= q @ x.T).all() and (q @ x.T <= upper).all()
+        for fine, v in zip(stored, (q, x)):
+            for got, want in zip(segments.coarser(fine, dims, level), segments.summary(v, level)):
+                assert np.allclose(got, want, rtol=1e-3, atol=2e-3 * np.abs(v).max() * np.sqrt(dims))
+
+
 def test_negatives_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [
