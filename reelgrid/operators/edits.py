@@ -31,8 +31,13 @@ def update_clips(edits: DataFrame, clips: DataFrame, frames: DataFrame, toleranc
         F.col("name").alias("_name"), ((F.col("camera") == 0) | ~F.col("library")).alias("_holds"),
     )
     joined = edits.join(old, "id", "left").withColumn("_known", F.col("_in").isNotNull())
-    snapped = snap_to_frame(joined, frames, "in_ns", tolerance_ns, "_snap_in")
-    snapped = snap_to_frame(snapped, frames, "out_ns", tolerance_ns, "_snap_out")
+    # both ends look for their frame in one pass over the frames, which are many more than the edits
+    whole = joined.withColumn("_row", F.monotonically_increasing_id())
+    ends = F.array(F.struct(F.lit(0).alias("side"), F.col("in_ns").alias("at")), F.struct(F.lit(1).alias("side"), F.col("out_ns").alias("at")))
+    apart = whole.select(F.struct(*whole.columns).alias("_edit"), "camera", F.explode(ends).alias("_end")).select("_edit", "camera", "_end.side", "_end.at")
+    found = snap_to_frame(apart, frames, "at", tolerance_ns, "_snap")
+    of = lambda side: F.max(F.when(F.col("side") == side, F.col("_snap")))
+    snapped = found.groupBy("_edit").agg(of(0).alias("_snap_in"), of(1).alias("_snap_out")).select("_edit.*", "_snap_in", "_snap_out")
     new_in = F.when(F.col("in_ns") != F.col("_in"), F.col("_snap_in")).otherwise(F.col("in_ns"))
     new_out = F.when(F.col("out_ns") != F.col("_out"), F.col("_snap_out")).otherwise(F.col("out_ns"))
     other = F.col("camera") != F.col("_camera")

@@ -57,24 +57,26 @@ def overlap_join(
     for frame, (begin, end) in ((left, left_span), (right, right_span)):
         length = F.greatest(F.col(end) - F.col(begin), F.lit(0))
         sides.append(frame.withColumn("_own", F.length(F.bin(length))))
-    levels = [sorted(r[0] for r in side.select("_own").distinct().collect() if r[0] is not None) for side in sides]
+    found = [side.select(F.lit(n).alias("side"), "_own").filter("_own is not null").distinct() for n, side in enumerate(sides)]
+    levels: list[list[int]] = [[], []]
+    for n, own in sorted(found[0].unionByName(found[1]).collect()):
+        levels[n].append(own)
 
-    def listed(side: int, others: bool, strictly: bool) -> DataFrame:
+    def listed(side: int) -> DataFrame:
+        # by turn: the right one's own level meets all levels of the left, then the left one's own the greater of the right
         begin, end = (left_span, right_span)[side]
-        at = F.array("_own")
-        if others:
-            wanted = F.array(*[F.lit(n) for n in levels[1 - side]]).cast("array<int>")
-            at = F.filter(wanted, lambda n: n > F.col("_own") if strictly else n >= F.col("_own"))
-        spread = sides[side].withColumn("_level", F.explode(at)).drop("_own")
-        return spread.withColumn("_bucket", F.explode(F.expr(f"sequence(shiftright({begin}, _level), shiftright({end}, _level))")))
+        own = F.struct(F.col("_own").alias("level"), F.lit(0).alias("turn"))
+        greater = F.filter(F.array(*[F.lit(n) for n in levels[1 - side]]).cast("array<int>"), lambda n: n > F.col("_own"))
+        also = F.transform(greater, lambda n: F.struct(n.alias("level"), F.lit(side).alias("turn")))
+        mine = F.array(own, F.struct(F.col("_own").alias("level"), F.lit(1).alias("turn"))) if side == 0 else F.array(own)
+        spread = sides[side].withColumn("_at", F.explode(F.concat(mine, also))).drop("_own").withColumns({"_level": F.col("_at.level"), "_turn": F.col("_at.turn")})
+        return spread.drop("_at").withColumn("_bucket", F.explode(F.expr(f"sequence(shiftright({begin}, _level), shiftright({end}, _level))")))
 
     (lb, le), (rb, re_) = left_span, right_span
     first_common = F.greatest(F.expr(f"shiftright({lb}, _level)"), F.expr(f"shiftright({rb}, _level)"))
-    where = [*keys, "_level", "_bucket"]
-    shorter_left = listed(0, True, False).join(listed(1, False, False), where)
-    shorter_right = listed(0, False, False).join(listed(1, True, True), where)
     return (
-        shorter_left.unionByName(shorter_right)
+        listed(0)
+        .join(listed(1), [*keys, "_level", "_bucket", "_turn"])
         .filter((F.col(lb) <= F.col(re_)) & (F.col(le) >= F.col(rb)) & (F.col("_bucket") == first_common))
-        .drop("_level", "_bucket")
+        .drop("_level", "_bucket", "_turn")
     )
