@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelgrid.functions import identity, playout, timebase
-from reelgrid.operators import catalog, documents, ingest, joins, lookahead, shots, signal, store, timeline
+from reelgrid.operators import documents as catalogue
+from reelgrid.operators import catalog, ingest, joins, lookahead, shots, signal, store, timeline
 from reelgrid.sources import documents, tally
 
 MS = 1_000_000
@@ -368,15 +369,15 @@ def test_playlists_are_read_leniently(spark):
         '{"id":"p2","aux":{"source":"a","level_db":13}}', '{"name":"no id"}', '{"id":"p3","entries":[{}]}', "not json",
     ]
     given = spark.createDataFrame([(t,) for t in texts], "document string")
-    lists = {r.id: r for r in documents.import_playlists(given).collect()}
+    lists = {r.id: r for r in catalogue.import_playlists(given).collect()}
     assert set(lists) == {"p1", "p2", "p3"} and lists["p1"].loop and lists["p2"].name == ""
     assert tuple(lists["p1"].aux) == ("a", 0.0, True, 50, -6.0, 200, 500)
     assert tuple(lists["p2"].aux) == tuple(lists["p3"].aux) == ("", 0.0, True, 50, -12.0, 200, 500)
-    entries = {r.playlist: r for r in documents.import_entries(given).collect()}
+    entries = {r.playlist: r for r in catalogue.import_entries(given).collect()}
     assert (entries["p1"].end_action, entries["p1"].transition, entries["p1"].transition_frames, entries["p1"].own_audio) == ("next", "cut", 0, True)
     assert (entries["p3"].clip_id, entries["p3"].speed, entries["p3"].auto_advance, entries["p3"].audio_frames) == ("", 1.0, True, -1)
     settings = spark.createDataFrame([('{"key":"k","value":"v"}',), ('{"key":"","value":"v"}',), ('{"value":"v"}',)], "document string")
-    assert [tuple(r) for r in documents.import_settings(settings).collect()] == [("k", "v")]
+    assert [tuple(r) for r in catalogue.import_settings(settings).collect()] == [("k", "v")]
 
 
 def test_pictures_without_a_window(spark):
