@@ -20,8 +20,9 @@ def asof(
 ) -> DataFrame:
     """Each probe with ``before`` (latest row not later than it) and ``after`` (first later row) as structs.
 
-    ``frames`` must be unique in (keys, frame_time). Probes and frames are merged into one timeline, so a camera or
-    an instant that holds most of the probes is split like any other part of it.
+    Of frames equal in (keys, frame_time) the one whose ``columns`` are the greatest counts, compared in the order
+    given, so that reruns agree. Probes and frames are merged into one timeline, so a camera or an instant that holds
+    most of the probes is split like any other part of it.
     """
     row = F.struct(*[F.col(c) for c in dict.fromkeys([frame_time, *(columns or [])])])
     probe = F.struct(*probes.columns)
@@ -33,7 +34,9 @@ def asof(
         found[before] = last_value("_frame")
     if after:
         found[after] = next_value("_frame")
-    seen = over_timeline(merged, keys, ["_at", "_side"], [F.xxhash64("_probe")], **found)
+    # with the instant alone, equal rows cannot be told apart
+    ties = "_frame" if len(right.schema["_frame"].dataType) > 1 else None
+    seen = over_timeline(merged, keys, ["_at", "_side"], [F.xxhash64("_probe")], ties, **found)
     return seen.filter("_side = 1").select("_probe.*", *found)
 
 

@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from reelgrid.operators import joins
 from reelgrid.plans import greedy
 from reelgrid.plans.asof import asof
 from reelgrid.plans.fold import Machine, fold_timeline
@@ -77,6 +78,23 @@ def test_asof_with_hot_instants(spark):
         assert (r.after and r.after.tai_ns) == (times[j] if j < len(times) else None)
 
 
+@pytest.mark.parametrize("backwards", [False, True])
+def test_asof_takes_the_greatest_of_equal_frames(spark, backwards):
+    # every instant is recorded several times; the order in which the rows are read must not matter
+    frames = sorted({(k, t // 20 * 20, i) for k, t, i in skewed(9, 800)}, reverse=backwards)
+    probes = skewed(10, 600)
+    left = spark.createDataFrame(probes, "camera int, at_ns long, probe long")
+    right = spark.createDataFrame(frames, "camera int, tai_ns long, event_id long").repartition(5, "event_id")
+    greatest = {(k, t): i for k, t, i in sorted(frames)}
+    before = {r.probe: r.frame and r.frame.event_id for r in joins.at_or_before(left, right, columns=["event_id"]).collect()}
+    after = {r.probe: r.frame and r.frame.event_id for r in joins.after(left, right, columns=["event_id"]).collect()}
+    for k, at, probe in probes:
+        times = sorted({t for c, t, _ in frames if c == k})
+        j = bisect.bisect_right(times, at)
+        assert before[probe] == (greatest[k, times[j - 1]] if j else None)
+        assert after[probe] == (greatest[k, times[j]] if j < len(times) else None)
+
+
 def test_touched_and_overlap(spark):
     rng = random.Random(4)
     spans = [(k, t, t + rng.randrange(20), i) for k, t, i in skewed(5, 600)]
