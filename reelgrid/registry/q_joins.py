@@ -58,7 +58,7 @@ def _(t):
 )
 def _(t):
     shifted = t.probes.select("probe", "camera", (F.col("at_ns") + 7_000_000).alias("at_ns"))
-    found = joins.nearest_audio(shifted, t.frames, 20_000_000, ["audio_ok"])
+    found = joins.nearest_audio(shifted, t.frames, 20_000_000, ["event_id", "audio_ok"])
     return found.select("probe", "camera", "audio_ns", F.col("frame.tai_ns").alias("frame_ns"), "frame.audio_ok")
 
 

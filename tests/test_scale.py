@@ -95,6 +95,14 @@ def test_asof_takes_the_greatest_of_equal_frames(spark, backwards):
         assert after[probe] == (greatest[k, times[j]] if j < len(times) else None)
 
 
+def test_nearest_takes_the_greatest_of_equal_frames(spark):
+    frames = [(1, t, n) for t in (100, 200, 300) for n in (7, 9, 8)]
+    right = spark.createDataFrame(frames, "camera int, tai_ns long, event_id long")
+    left = spark.createDataFrame([(n, 1, at) for n, at in enumerate((50, 100, 149, 151, 299, 400))], "probe long, camera int, at_ns long")
+    shown = joins.shown_frames(left, right, 50, 1).orderBy("probe").collect()
+    assert [(r.frame_ns, r.frame_id) for r in shown] == [(100, 9), (100, 9), (100, 9), (200, 9), (300, 9), (300, 9)]
+
+
 def test_touched_and_overlap(spark):
     rng = random.Random(4)
     spans = [(k, t, t + rng.randrange(20), i) for k, t, i in skewed(5, 600)]
