@@ -208,6 +208,13 @@ def test_no_nested_loops_or_whole_key_windows(spark):
         assert "NestedLoop" not in text and "CartesianProduct" not in text, name
 
 
+def test_rate_conversion_moves_its_frames_once(spark):
+    import __spark_entry__ as contract
+
+    read = contract.queries()["rate_convert"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert read.count("Relation [") == 2 and read.count("RepartitionById") <= 1, read
+
+
 def test_scan_prunes_and_pushes_down(spark, tmp_path):
     path = str(tmp_path / "frames")
     stored.write_frames(Tables(spark, FOLDER).frames, path)
