@@ -1,10 +1,14 @@
 """What the next grains of a channel need: frame pairs to interpolate and frames to decode ahead.
 
-All of it is local to a channel's state: a few grains of at most two sources, as arrays. Nothing is shuffled.
+All of it is local to a channel's state: a few grains of at most two sources, as arrays. Nothing is shuffled. Lambdas
+over nested arrays are interpreted node by node, so the grains of a batch of states are laid out as matrices instead.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,22 +21,44 @@ KEPT_FRAMES = 2
 NEXT_FRAMES = 6
 
 
-def pick(position: Column, factor: Column, period_ns: int, snap: float, motion: Column) -> Column:
-    """The frames shown at a position, numbered by the source's period, as an expression: ``a``, ``b``, ``between``."""
-    rest = (position % period_ns) * factor
-    lower = idiv(position, period_ns) * factor + idiv(rest, period_ns)
-    phase = (rest % period_ns).cast("double") / float(period_ns)
-    near = lower + F.when(phase >= 0.5, 1).otherwise(0)
-    between = (F.least(phase, 1.0 - phase) > snap) & (motion != "repeat")
-    return F.struct(
-        F.when(between, lower).otherwise(near).alias("a"), F.when(between, lower + 1).otherwise(near).alias("b"), between.alias("between")
-    )
+FRAMES = "array<struct<camera:int,frame_ns:bigint>>"
 
 
-def position_after(position: Column, speed: Column, playing: Column, grain: Column, period_ns: int) -> Column:
-    """Where a source is some grains on; a paused one shows its own frame first."""
-    step = F.round(speed * F.lit(float(period_ns))).cast("long")
-    return F.greatest(F.lit(0).cast("long"), position + step * (grain - F.when(playing, 0).otherwise(1)))
+def picked(position: np.ndarray, factor, period_ns: int, snap: float, repeat) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The frames shown at positions, numbered by the source's period: first, second, and whether it is between them."""
+    rest = position % period_ns * factor
+    lower = position // period_ns * factor + rest // period_ns
+    phase = (rest % period_ns) / float(period_ns)
+    between = (np.minimum(phase, 1.0 - phase) > snap) & np.logical_not(repeat)
+    near = lower + (phase >= 0.5)
+    return np.where(between, lower, near), np.where(between, lower + 1, near), between
+
+
+def plain(values: pa.Array, instead) -> np.ndarray:
+    return pc.fill_null(values, instead).to_numpy(zero_copy_only=False)
+
+
+def steps(speed: np.ndarray, period_ns: int) -> np.ndarray:
+    """How far a source moves in a grain, half away from zero."""
+    if not np.isfinite(speed).all():
+        raise ValueError("a speed is not finite")
+    way = speed * float(period_ns)
+    whole = np.trunc(way)
+    return (whole + np.sign(way) * (np.abs(way - whole) >= 0.5)).astype(np.int64)
+
+
+def positions_after(position: pa.Array, speed: pa.Array, playing: pa.Array, grain: np.ndarray, period_ns: int) -> np.ndarray:
+    """Where sources are some grains on, a row each; a paused one shows its own frame first, an unknown place is 0."""
+    known = plain(pc.and_(pc.is_valid(position), pc.is_valid(speed)), False)
+    ahead = grain[None, :] - np.where(plain(playing, False), 0, 1)[:, None]
+    at = plain(position, 0)[:, None] + steps(plain(speed, 0.0), period_ns)[:, None] * ahead
+    return np.where(known[:, None], np.maximum(at, 0), 0)
+
+
+def as_lists(counts: np.ndarray, **values: np.ndarray | pa.Array) -> pa.Array:
+    """A list of structs for each row, ``counts`` of them."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(v) for v in values.values()], names=list(values)))
 
 
 def pair_demand(
@@ -43,35 +69,79 @@ def pair_demand(
     A paused state keeps its own pair to the end of the look-ahead. With ``recorded``, the column of the newest recorded
     instant (null: nothing is), only pairs whose second frame is recorded are asked for.
     """
-    at = lambda g: position_after(F.col("position_ns"), F.col("speed"), F.col("playing"), g, period_ns)
-    shown = F.transform(
-        F.sequence(F.lit(1), F.lit(grains)),
-        lambda g: F.struct(
-            g.alias("g"), F.when(~F.col("playing") & (g == 1), grains).otherwise(g).alias("last"),
-            pick(at(g), F.lit(factor), period_ns, snap, F.lit("interpolate")).alias("p"),
-        ),
-    )
-    wanted = F.filter(shown, lambda s: s["p"]["between"])
-    pairs = F.array_distinct(F.transform(wanted, lambda s: s["p"]["a"]))
-    if recorded:
-        pairs = F.filter(pairs, lambda a: (a + 1) * idiv(F.lit(period_ns).cast("long"), factor) <= F.col(recorded))
-    held = states.withColumn("_wanted", wanted).withColumn("_a", F.explode(pairs))
-    own = F.filter("_wanted", lambda s: s["p"]["a"] == F.col("_a"))
-    return held.select(
-        "state", F.col("_a").alias("a"), (F.col("_a") + 1).alias("b"),
-        F.array_min(F.transform(own, lambda s: s["g"])).alias("first"), F.array_max(F.transform(own, lambda s: s["last"])).alias("last"),
-    )
+
+    def pairs(position: pa.Array, speed: pa.Array, playing: pa.Array, newest: pa.Array) -> pa.Array:
+        grain = np.arange(1, grains + 1)
+        a, _, wanted = picked(positions_after(position, speed, playing, grain, period_ns), factor, period_ns, snap, False)
+        paused = ~plain(playing, True)
+        last = np.where(paused[:, None] & (grain == 1), grains, grain)
+        new = wanted.copy()
+        for i in range(grains):
+            for j in range(i + 1, grains):
+                same = wanted[:, i] & wanted[:, j] & (a[:, i] == a[:, j])
+                new[:, j] &= ~same
+                last[:, i] = np.where(same, np.maximum(last[:, i], last[:, j]), last[:, i])
+        if recorded:
+            new &= plain(pc.is_valid(newest), False)[:, None] & ((a + 1) * (period_ns // factor) <= plain(newest, 0)[:, None])
+        first = np.broadcast_to(grain, new.shape)
+        return as_lists(new.sum(axis=1), a=a[new], first=first[new].astype(np.int32), last=last[new].astype(np.int32))
+
+    asked = F.arrow_udf(pairs, "array<struct<a:bigint,first:int,last:int>>")
+    newest = F.col(recorded).cast("bigint") if recorded else F.lit(0).cast("bigint")
+    given = F.col("position_ns").cast("bigint"), F.col("speed").cast("double"), F.col("playing"), newest
+    each = states.select("state", asked(*given).alias("_pairs")).select("state", F.inline("_pairs"))
+    return each.select("state", "a", (F.col("a") + 1).alias("b"), "first", "last")
 
 
 def opening(camera: Column, in_ns: Column, speed: Column, period_ns: int, snap: float, frames: int = NEXT_FRAMES) -> Column:
     """The first frames a clip shows from its IN, each once, as (camera, frame_ns)."""
     at = lambda g: in_ns + F.round(speed * F.lit(float(period_ns))).cast("long") * g
-    nearest = F.transform(
-        F.sequence(F.lit(0), F.lit(frames - 1)), lambda g: pick(at(g), F.lit(1), period_ns, snap, F.lit("repeat"))["a"] * period_ns
-    )
+    half_up = lambda ns: F.when((ns % period_ns).cast("double") / float(period_ns) >= 0.5, 1).otherwise(0)
+    places = F.transform(F.sequence(F.lit(0), F.lit(frames - 1)), at)
+    nearest = F.transform(places, lambda ns: (idiv(ns, period_ns) + half_up(ns)) * period_ns)
     return F.transform(F.array_distinct(nearest), lambda ns: F.struct(camera.alias("camera"), ns.alias("frame_ns")))
 
 
+class Sources:
+    """The sources of a batch of states as flat arrays; ``state`` is the row that each belongs to, ``side`` its place."""
+
+    def __init__(self, sources: pa.Array, period_ns: int, snap: float):
+        counts = plain(pc.list_value_length(sources), 0)
+        flat = sources.flatten()
+        self.field = lambda name: flat.field(name)
+        self.states, self.size = len(sources), len(flat)
+        self.state = np.repeat(np.arange(self.states), counts)
+        self.side = np.arange(self.size) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.factor, self.both = plain(self.field("factor"), 1).astype(np.int64), plain(self.field("both"), True)
+        self.own_ns = period_ns // self.factor
+        self.repeat = plain(pc.equal(self.field("motion"), "repeat"), True)
+        # cameras as numbers, the lowest for an unknown one
+        self.camera = plain(pc.cast(self.field("camera"), pa.int64()), NO_CAMERA)
+        now = np.maximum(plain(self.field("position_ns"), 0), 0)
+        self.a, self.b, self.between = picked(now, self.factor, period_ns, snap, self.repeat)
+
+
+#: Stands for an unknown camera; cameras are integers of 32 bits.
+NO_CAMERA = -(2**31) - 1
+
+
+def first_of_each(states: int, state: np.ndarray, rank: np.ndarray, camera: np.ndarray, frame_ns: np.ndarray, limit: int | None) -> pa.Array:
+    """The distinct frames of each state, by rank, at most ``limit``."""
+    owner = state * 2**33 + (camera - NO_CAMERA)
+    order = np.lexsort((rank, frame_ns, owner))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(owner[order]) != 0) | (np.diff(frame_ns[order]) != 0)
+    kept = order[new]
+    kept = kept[np.lexsort((rank[kept], state[kept]))]
+    counts = np.bincount(state[kept], minlength=states)
+    if limit is not None:
+        place = np.arange(len(kept)) - np.repeat(np.cumsum(counts) - counts, counts)
+        kept, counts = kept[place < limit], np.minimum(counts, limit)
+    cameras = camera[kept]
+    known = pa.array(np.where(cameras == NO_CAMERA, 0, cameras).astype(np.int32), mask=cameras == NO_CAMERA)
+    return as_lists(counts, camera=known, frame_ns=frame_ns[kept])
+
+
 def decode_plan(
     states: DataFrame, sources: Column, period_ns: int, snap: float, grains: int, following: Column | None = None,
     limit: int | None = PLAN_FRAMES, kept: int = KEPT_FRAMES,
@@ -85,40 +155,50 @@ def decode_plan(
     of the next clip, come after the first grain. ``keep`` are the frames shown now. ``limit`` and ``kept`` bound the
     two, as a decoder has so many slots.
     """
-    shape = "array<struct<camera:int,frame_ns:bigint>>"
-    own_ns = lambda s: idiv(F.lit(period_ns).cast("long"), s["factor"])
-    current = lambda s: pick(F.greatest(F.lit(0).cast("long"), s["position_ns"]), s["factor"], period_ns, snap, s["motion"])
-    frame = lambda s, number: F.struct(s["camera"].cast("int").alias("camera"), (number * own_ns(s)).alias("frame_ns"))
-    with_now = states.withColumn("_sources", F.transform(sources, lambda s: F.struct(s.alias("s"), current(s).alias("now"))))
-
-    def needed(source: Column, grain: Column) -> Column:
-        s, now = source["s"], source["now"]
-        then = pick(position_after(s["position_ns"], s["speed"], s["playing"], grain, period_ns), s["factor"], period_ns, snap, s["motion"])
-        held = s["both"] | ~now["between"]
-        numbers = F.when(then["between"] & ~s["both"], F.array().cast("array<bigint>")).otherwise(F.array(then["a"], then["b"]))
-
-        def wanted(number: Column) -> Column:
-            shown = held & ((number == now["a"]) | (now["between"] & (number == now["b"])))
-            inside = s["until_ns"].isNull() | (number * own_ns(s) <= s["until_ns"])
-            return ~shown & (number >= 0) & inside & (grain <= F.coalesce(s["grains"], F.lit(grains)))
-
-        return F.transform(F.filter(numbers, wanted), lambda number: frame(s, number))
-
-    def kept_frames(source: Column) -> Column:
-        s, now = source["s"], source["now"]
-        both = F.when(now["between"], F.array(now["a"], now["b"])).otherwise(F.array(now["a"]))
-        return F.transform(F.when(now["between"] & ~s["both"], F.array().cast("array<bigint>")).otherwise(both), lambda number: frame(s, number))
-
-    most = F.greatest(F.lit(grains), F.coalesce(F.array_max(F.transform("_sources", lambda s: s["s"]["grains"])), F.lit(grains)))
-    none = F.array().cast(shape)
-    after = F.coalesce(following.cast(shape), none) if following is not None else none
-    by_grain = F.transform(
-        F.sequence(F.lit(1), most),
-        lambda g: F.concat(F.flatten(F.transform("_sources", lambda s: needed(s, g))), F.when(g == 1, after).otherwise(none)),
-    )
-    plan = F.array_distinct(F.flatten(by_grain))
-    keep = F.slice(F.array_distinct(F.flatten(F.transform("_sources", kept_frames))), 1, kept)
-    return with_now.withColumns({"plan": plan if limit is None else F.slice(plan, 1, limit), "keep": keep}).drop("_sources")
+
+    def needed(given: pa.Array, after: pa.Array) -> pa.Array:
+        src = Sources(given, period_ns, snap)
+        own = plain(src.field("grains"), grains)
+        grain = np.arange(1, max(grains, own.max(initial=0)) + 1)
+        at = positions_after(src.field("position_ns"), src.field("speed"), src.field("playing"), grain, period_ns)
+        column = lambda values: values[:, None]
+        a, b, between = picked(at, column(src.factor), period_ns, snap, column(src.repeat))
+        number = np.stack([a, b], axis=2)
+        every = lambda values: values[:, None, None]
+        frame_ns = number * every(src.own_ns)
+        shown = every(src.both | ~src.between) & ((number == every(src.a)) | (every(src.between) & (number == every(src.b))))
+        until = src.field("until_ns")
+        inside = every(~plain(pc.is_valid(until), False)) | (frame_ns <= every(plain(until, 0)))
+        soon = (column(own) >= grain) & ~(between & ~column(src.both))
+        wanted = ~shown & (number >= 0) & inside & soon[:, :, None]
+        # ranks: grain by grain, in it source by source, the following frames after the first grain
+        counts = plain(pc.list_value_length(after), 0)
+        clip = after.flatten()
+        sides, wide = src.side.max(initial=0) + 2, max(2, counts.max(initial=0))
+        rank = (grain[None, :, None] * sides + every(src.side)) * wide + np.arange(2)
+        nth = np.arange(len(clip)) - np.repeat(np.cumsum(counts) - counts, counts)
+        whole = lambda values: np.broadcast_to(every(values), wanted.shape)[wanted]
+        return first_of_each(
+            src.states,
+            np.concatenate([whole(src.state), np.repeat(np.arange(src.states), counts)]),
+            np.concatenate([rank[wanted], (2 * sides - 1) * wide + nth]),
+            np.concatenate([whole(src.camera), plain(pc.cast(clip.field("camera"), pa.int64()), NO_CAMERA)]),
+            np.concatenate([frame_ns[wanted], plain(clip.field("frame_ns"), 0)]),
+            limit,
+        )
+
+    def shown_now(given: pa.Array) -> pa.Array:
+        src = Sources(given, period_ns, snap)
+        number = np.stack([src.a, src.b], axis=1)
+        held = np.stack([~src.between | src.both, src.between & src.both], axis=1)
+        of = lambda values: np.broadcast_to(values[:, None], held.shape)[held]
+        rank = src.side[:, None] * 2 + np.arange(2)
+        return first_of_each(src.states, of(src.state), rank[held], of(src.camera), (number * src.own_ns[:, None])[held], kept)
+
+    after = F.array().cast(FRAMES) if following is None else F.coalesce(following.cast(FRAMES), F.array().cast(FRAMES))
+    with_sources = states.withColumns({"_sources": sources, "_after": after})
+    plan, keep = F.arrow_udf(needed, FRAMES), F.arrow_udf(shown_now, FRAMES)
+    return with_sources.withColumns({"plan": plan("_sources", "_after"), "keep": keep("_sources")}).drop("_sources", "_after")
 
 
 def source(camera, position_ns, speed, playing, motion, factor=1, until_ns=None, grains=None, both=True) -> Column:

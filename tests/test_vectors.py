@@ -372,6 +372,23 @@ def test_all_pairs_of_every_state_are_asked_for(spark):
     assert {r["count"] for r in most.collect()} == {8}
 
 
+def test_plans_are_not_interpreted_node_by_node(spark):
+    import __spark_entry__ as contract
+
+    text = contract.queries()["frame_demand"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # what is left are the first frames of the next clip; frames that nobody asks for are not kept
+    assert text.count("lambdafunction") <= 6 and "needed(" in text and "shown_now(" not in text and "Exchange" not in text
+
+
+def test_plan_without_sources_or_cameras(spark):
+    none = F.array().cast("array<struct<camera:int,position_ns:bigint,speed:double,playing:boolean,motion:string,factor:int,until_ns:bigint,grains:int,both:boolean>>")
+    row = lookahead.decode_plan(spark.range(1), none, 20 * MS, 0.1, 2).first()
+    assert (row.plan, row.keep) == ([], [])
+    unknown = lookahead.source(None, F.lit(40 * MS), 1.0, True, None)
+    row = lookahead.decode_plan(spark.range(1), F.array(unknown), 20 * MS, 0.1, 2).first()
+    assert [tuple(f) for f in row.plan] == [(None, 60 * MS), (None, 80 * MS)] and [tuple(f) for f in row.keep] == [(None, 40 * MS)]
+
+
 def test_playlists_are_read_leniently(spark):
     texts = [
         '{"id":"p1","name":"n","loop":true,"entries":[{"clip_id":"c","end":"odd","transition":"mix","transition_frames":999,"own_audio":false}],"aux":{"source":"a","duck_db":-6}}',
