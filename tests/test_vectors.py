@@ -372,6 +372,20 @@ def test_all_pairs_of_every_state_are_asked_for(spark):
     assert {r["count"] for r in most.collect()} == {8}
 
 
+def test_pairs_are_not_interpreted_node_by_node(spark):
+    import __spark_entry__ as contract
+
+    text = contract.queries()["pair_demand"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in text and "Exchange" not in text
+
+
+def test_unknown_places_ask_for_pairs_at_0(spark):
+    state = "state long, position_ns long, speed double, playing boolean, motion string"
+    given = [(1, None, 1.0, True, None), (2, 30 * MS, None, True, None), (3, 30 * MS, 0.0, False, None), (4, 30 * MS, 0.5, None, None)]
+    found = lookahead.pair_demand(spark.createDataFrame(given, state), 20 * MS, 0.1)
+    assert rows(found, "state", "a", "b", "first", "last") == [(3, 1, 2, 1, 8), (4, 1, 2, 1, 1), (4, 2, 3, 3, 3), (4, 3, 4, 5, 5), (4, 4, 5, 7, 7)]
+
+
 def test_plans_are_not_interpreted_node_by_node(spark):
     import __spark_entry__ as contract
 
