@@ -28,12 +28,13 @@ class Streamed(Tables):
     """The same views over the events as a stream whose files arrive in the order ``by``.
 
     The table is cut into stretches of that order, as many as it is long; each arrives, as files of its own, when the
-    stream has used up the ones before.
+    stream has used up the ones before. With ``ahead`` all are there before the stream starts, a file each that it
+    takes one at a trigger: it is planned, and its state loaded, once and not for each stretch.
     """
 
-    def __init__(self, spark, folder, by="event_id", triggers=None, even=False):
+    def __init__(self, spark, folder, by="event_id", triggers=None, even=False, ahead=False):
         super().__init__(spark, folder)
-        self.by, self.triggers, self.even, self.arriving = F.expr(by), triggers, even, {}
+        self.by, self.triggers, self.even, self.ahead, self.arriving = F.expr(by), triggers, even, ahead, {}
 
     def base(self, name):
         static = super().base(name)
@@ -49,12 +50,16 @@ class Streamed(Tables):
                 bounds = static.select(F.percentile_approx(self.by, F.array(*shares), 10_000)).first()[0] if shares else []
             cuts = [F.lit(True), *[self.by > b for b in bounds]], [*[self.by <= b for b in bounds], F.lit(True)]
             self.arriving[name] = (folder, [static.filter(low & high) for low, high in zip(*cuts)])
-            self.arrive(name, 0)
-        return jobs.files(self.spark, self.arriving[name][0], static.schema, 1_000_000)
+            for n in range(len(self.arriving[name][1]) if self.ahead else 1):
+                self.arrive(name, n)
+        return jobs.files(self.spark, self.arriving[name][0], static.schema, 1 if self.ahead else 1_000_000)
 
     def arrive(self, name, n):
         folder, stretches = self.arriving[name]
-        stretches[n].write.mode("append").option("maxRecordsPerFile", ARRIVALS // 8).parquet(folder)
+        if self.ahead:
+            stretches[n].repartition(1).write.mode("append").parquet(folder)
+        else:
+            stretches[n].write.mode("append").option("maxRecordsPerFile", ARRIVALS // 8).parquet(folder)
 
     def rest(self):
         """Let the later stretches arrive, one at a time."""
@@ -120,7 +125,8 @@ def _(t):
 
 @query("input_stall_stream", STALLS.replace("UNTIL", "(select max(tai_ns)-600000000000 from e)"))
 def _(t):
-    return run(t, lambda s: state.stall_stream(jobs.event_time(input_events(s), "10 minutes"), HOUR))
+    live = Streamed(t.spark, t.folder, ahead=True)
+    return jobs.run_to_table(state.stall_stream(jobs.event_time(input_events(live), "10 minutes"), HOUR), fresh_folder(t.spark, "stream"))
 
 
 @query(

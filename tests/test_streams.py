@@ -92,3 +92,29 @@ def test_a_changed_dimension_counts_from_the_next_trigger(spark):
     found = [name for _, name in rows]
     assert found == sorted(found) and set(found) == {"a", "b"}
     assert len(rows) == Tables(spark, FOLDER).tally.count()
+
+
+def test_stalls_of_many_arrivals_are_one_query(spark, monkeypatch):
+    import os
+
+    from reelgrid.registry import QUERIES, load, q_streams
+
+    load()
+    real, starts = q_streams.jobs.run_to_table, []
+
+    def counted(stream, folder, mode="append", more=()):
+        told = [0]
+
+        def walked():
+            for _ in more:
+                told[0] += 1
+                yield
+
+        found = real(stream, folder, mode, walked())
+        starts.append((1 + told[0], len([n for n in os.listdir(f"{folder.removeprefix('file:')}/checkpoint/commits") if n.isdigit()])))
+        return found
+
+    monkeypatch.setattr(q_streams.jobs, "run_to_table", counted)
+    QUERIES["input_stall_stream"](spark, "/root/testdata/sf0.001").count()
+    (queries, triggers), = starts
+    assert queries == 1 and triggers >= q_streams.TRIGGERS
