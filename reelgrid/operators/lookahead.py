@@ -44,14 +44,23 @@ def steps(speed: np.ndarray, period_ns: int) -> np.ndarray:
         raise ValueError("a speed is not finite")
     way = speed * float(period_ns)
     whole = np.trunc(way)
-    return (whole + np.sign(way) * (np.abs(way - whole) >= 0.5)).astype(np.int64)
+    whole += np.sign(way) * (np.abs(way - whole) >= 0.5)
+    if not ((whole >= -(2.0**63)) & (whole < 2.0**63)).all():
+        raise ValueError("a speed is too great")
+    return whole.astype(np.int64)
 
 
-def positions_after(position: pa.Array, speed: pa.Array, playing: pa.Array, grain: np.ndarray, period_ns: int) -> np.ndarray:
-    """Where sources are some grains on, a row each; a paused one shows its own frame first, an unknown place is 0."""
+def positions_after(position: pa.Array, speed: pa.Array, playing: pa.Array, grain: np.ndarray, last, period_ns: int) -> np.ndarray:
+    """Where sources are some grains on, a row each; a paused one shows its own frame first, an unknown place is 0.
+
+    ``last`` is the last grain that counts; a place up to it that 64 bits do not hold is an error, as in SQL.
+    """
     known = plain(pc.and_(pc.is_valid(position), pc.is_valid(speed)), False)
-    ahead = grain[None, :] - np.where(plain(playing, False), 0, 1)[:, None]
-    at = plain(position, 0)[:, None] + steps(plain(speed, 0.0), period_ns)[:, None] * ahead
+    start, held = np.where(known, plain(position, 0), 0), np.where(plain(playing, False), 0, 1)
+    step = steps(np.where(known, plain(speed, 0.0), 0.0), period_ns)
+    # all places lie between the start and the last one
+    pc.add_checked(pa.array(start), pc.multiply_checked(pa.array(step), pa.array(last - held)))
+    at = start[:, None] + step[:, None] * (grain[None, :] - held[:, None])
     return np.where(known[:, None], np.maximum(at, 0), 0)
 
 
@@ -72,7 +81,7 @@ def pair_demand(
 
     def pairs(position: pa.Array, speed: pa.Array, playing: pa.Array, newest: pa.Array) -> pa.Array:
         grain = np.arange(1, grains + 1)
-        a, _, wanted = picked(positions_after(position, speed, playing, grain, period_ns), factor, period_ns, snap, False)
+        a, _, wanted = picked(positions_after(position, speed, playing, grain, grains, period_ns), factor, period_ns, snap, False)
         paused = ~plain(playing, True)
         last = np.where(paused[:, None] & (grain == 1), grains, grain)
         new = wanted.copy()
@@ -160,7 +169,7 @@ def decode_plan(
         src = Sources(given, period_ns, snap)
         own = plain(src.field("grains"), grains)
         grain = np.arange(1, max(grains, own.max(initial=0)) + 1)
-        at = positions_after(src.field("position_ns"), src.field("speed"), src.field("playing"), grain, period_ns)
+        at = positions_after(src.field("position_ns"), src.field("speed"), src.field("playing"), grain, own, period_ns)
         column = lambda values: values[:, None]
         a, b, between = picked(at, column(src.factor), period_ns, snap, column(src.repeat))
         number = np.stack([a, b], axis=2)

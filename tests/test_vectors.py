@@ -386,6 +386,15 @@ def test_unknown_places_ask_for_pairs_at_0(spark):
     assert rows(found, "state", "a", "b", "first", "last") == [(3, 1, 2, 1, 8), (4, 1, 2, 1, 1), (4, 2, 3, 3, 3), (4, 3, 4, 5, 5), (4, 4, 5, 7, 7)]
 
 
+@pytest.mark.parametrize("position,speed,reason", [(0, 1e15, "too great"), (0, -1e13, "too great"), (2**63 - 5, 1.0, "overflow"), (4 * 10**18, 4e10, "overflow")])
+def test_places_that_64_bits_do_not_hold_are_errors(spark, position, speed, reason):
+    state = "state long, position_ns long, speed double, playing boolean"
+    asked = lambda *given: lookahead.pair_demand(spark.createDataFrame([given], state), 20 * MS, 0.1).collect()
+    with pytest.raises(Exception, match=reason):
+        asked(1, position, speed, True)
+    assert asked(1, None, speed, True) == []
+
+
 def test_plans_are_not_interpreted_node_by_node(spark):
     import __spark_entry__ as contract
 
