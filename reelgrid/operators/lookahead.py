@@ -98,7 +98,8 @@ def pair_demand(
     asked = F.arrow_udf(pairs, "array<struct<a:bigint,first:int,last:int>>")
     newest = F.col(recorded).cast("bigint") if recorded else F.lit(0).cast("bigint")
     given = F.col("position_ns").cast("bigint"), F.col("speed").cast("double"), F.col("playing"), newest
-    each = states.select("state", asked(*given).alias("_pairs")).select("state", F.inline("_pairs"))
+    # an inner generator would filter by the size of its list, pushed down as a second computation of it
+    each = states.select("state", asked(*given).alias("_pairs")).select("state", F.inline_outer("_pairs")).filter("a is not null")
     return each.select("state", "a", (F.col("a") + 1).alias("b"), "first", "last")
 
 
@@ -221,5 +222,6 @@ def source(camera, position_ns, speed, playing, motion, factor=1, until_ns=None,
 
 def frame_demand(states: DataFrame) -> DataFrame:
     """The frames of planned states, one row each with its place in the plan."""
-    placed = states.select("state", F.posexplode("plan").alias("_at", "_frame"))
+    # outer for the same reason as in pair_demand
+    placed = states.select("state", F.posexplode_outer("plan").alias("_at", "_frame")).filter("_at is not null")
     return placed.select("state", (F.col("_at") + 1).alias("place"), "_frame.camera", "_frame.frame_ns")

@@ -379,6 +379,14 @@ def test_pairs_are_not_interpreted_node_by_node(spark):
     assert "lambdafunction" not in text and "Exchange" not in text
 
 
+@pytest.mark.parametrize("name", ["pair_demand", "frame_demand"])
+def test_demands_are_computed_once(spark, name):
+    import __spark_entry__ as contract
+
+    text = contract.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("ArrowEvalPython") == 1
+
+
 def test_unknown_places_ask_for_pairs_at_0(spark):
     state = "state long, position_ns long, speed double, playing boolean, motion string"
     given = [(1, None, 1.0, True, None), (2, 30 * MS, None, True, None), (3, 30 * MS, 0.0, False, None), (4, 30 * MS, 0.5, None, None)]
