@@ -181,6 +181,23 @@ def test_top_k(spark):
     assert vafile.top_k(rows.limit(0), rows.limit(0)).count() == 0
 
 
+def test_top_k_sends_no_copies_of_the_queries_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(vafile, "BLOCK", 256)
+    monkeypatch.setattr(vafile, "ASKED", 64)
+    # parts of several blocks, scores that are equal in many of them, and vectors beyond single precision
+    rows = spark.range(8000).selectExpr("id vec_id", "transform(sequence(1, 6), i -> cast(pmod(hash(id % 7000, i), 9) - 4 as double)) vector")
+    for scale in (1.0, 2.0**20):
+        found = vafile.top_k(rows, rows.filter("vec_id % 10 = 0"), 5, scale=scale)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+        x = np.array([r["vector"] for r in rows.orderBy("vec_id").collect()]) * scale
+        want = []
+        for q in range(0, len(x), 10):
+            score = (x @ x[q]).astype(np.int64)
+            best = [i for i in np.lexsort((np.arange(len(x)), -score))[:6].tolist() if i != q][:5]
+            want += [(q, n + 1, i, int(score[i])) for n, i in enumerate(best)]
+        assert sorted(map(tuple, found.collect())) == want
+
+
 def test_contaminated(spark, docs, none):
     items = spark.createDataFrame(
         [("i1", "same words in both"), ("i2", None), ("i3", "..."), (None, "one"), ("i1", "same words in both"), ("i5", "ONE")],
