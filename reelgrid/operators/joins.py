@@ -9,14 +9,16 @@ from reelgrid.functions.timebase import idiv, timecode
 from reelgrid.plans.asof import asof, nearest
 
 
-def nearest_frame(probes: DataFrame, frames: DataFrame, at: str = "at_ns", columns: list[str] | None = None) -> DataFrame:
+def nearest_frame(
+    probes: DataFrame, frames: DataFrame, at: str = "at_ns", columns: list[str] | None = None, in_order: bool = False
+) -> DataFrame:
     """Each probe with the nearest recorded frame of its camera, the earlier one on a tie (null without frames)."""
-    return nearest(probes, frames, ["camera"], at, "tai_ns", columns)
+    return nearest(probes, frames, ["camera"], at, "tai_ns", columns, in_order=in_order)
 
 
-def shown_frames(probes: DataFrame, frames: DataFrame, num: int, den: int) -> DataFrame:
+def shown_frames(probes: DataFrame, frames: DataFrame, num: int, den: int, in_order: bool = False) -> DataFrame:
     """The frame shown at each output position, how far off it is, and its timecode."""
-    found = nearest_frame(probes, frames, columns=["event_id"])
+    found = nearest_frame(probes, frames, columns=["event_id"], in_order=in_order)
     at = F.col("frame.tai_ns")
     return found.select(
         "probe", "camera", "at_ns", at.alias("frame_ns"), F.col("frame.event_id").alias("frame_id"),
@@ -28,14 +30,16 @@ def at_or_before(probes: DataFrame, frames: DataFrame, at: str = "at_ns", column
     return asof(probes, frames, ["camera"], at, "tai_ns", columns, before="frame", after=None)
 
 
-def after(probes: DataFrame, frames: DataFrame, at: str = "at_ns", columns: list[str] | None = None) -> DataFrame:
-    return asof(probes, frames, ["camera"], at, "tai_ns", columns, before=None, after="frame")
+def after(
+    probes: DataFrame, frames: DataFrame, at: str = "at_ns", columns: list[str] | None = None, in_order: bool = False
+) -> DataFrame:
+    return asof(probes, frames, ["camera"], at, "tai_ns", columns, before=None, after="frame", in_order=in_order)
 
 
-def nearest_audio(probes: DataFrame, frames: DataFrame, period_ns: int, audio: list[str]) -> DataFrame:
+def nearest_audio(probes: DataFrame, frames: DataFrame, period_ns: int, audio: list[str], in_order: bool = False) -> DataFrame:
     """The sound a position reads: that of the frame nearest to the rounded house time; pictures are not touched."""
     rounded = idiv(F.col("at_ns") + period_ns // 2, period_ns) * period_ns
-    return nearest(probes.withColumn("audio_ns", rounded), frames, ["camera"], "audio_ns", "tai_ns", audio)
+    return nearest(probes.withColumn("audio_ns", rounded), frames, ["camera"], "audio_ns", "tai_ns", audio, in_order=in_order)
 
 
 def snap_to_frame(edits: DataFrame, frames: DataFrame, at: str, tolerance: int | Column, name: str = "snapped_ns") -> DataFrame:

@@ -17,11 +17,13 @@ def asof(
     columns: list[str] | None = None,
     before: str | None = "before",
     after: str | None = "after",
+    in_order: bool = False,
 ) -> DataFrame:
     """Each probe with ``before`` (latest row not later than it) and ``after`` (first later row) as structs.
 
     Of frames equal in (keys, frame_time) the one whose ``columns`` are the greatest counts, compared in the order
-    given, so that reruns agree. Probes and frames are merged into one timeline, so a camera or an instant that holds
+    given, so that reruns agree. With ``in_order`` these columns go on where the time ends: the row before is still the
+    greatest of its instant, but the row after is the least. Probes and frames are merged into one timeline, so a camera or an instant that holds
     most of the probes is split like any other part of it.
     """
     row = F.struct(*[F.col(c) for c in dict.fromkeys([frame_time, *(columns or [])])])
@@ -36,7 +38,7 @@ def asof(
         found[after] = next_value("_frame")
     # with the instant alone, equal rows cannot be told apart
     ties = "_frame" if len(right.schema["_frame"].dataType) > 1 else None
-    seen = over_timeline(merged, keys, ["_at", "_side"], [F.xxhash64("_probe")], ties, **found)
+    seen = over_timeline(merged, keys, ["_at", "_side"], [F.xxhash64("_probe")], ties, in_order, **found)
     return seen.filter("_side = 1").select("_probe.*", *found)
 
 
@@ -55,9 +57,10 @@ def nearest(
     frame_time: str,
     columns: list[str] | None = None,
     name: str = "frame",
+    in_order: bool = False,
 ) -> DataFrame:
     """Each probe with the nearest row as struct ``name`` (null where a key has no rows)."""
-    both = asof(probes, frames, keys, probe_time, frame_time, columns, "_b", "_a")
+    both = asof(probes, frames, keys, probe_time, frame_time, columns, "_b", "_a", in_order)
     return both.withColumn(
         name, nearest_of(F.col(probe_time), F.col("_b"), F.col("_a"), frame_time)
     ).drop("_b", "_a")

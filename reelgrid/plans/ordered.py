@@ -89,13 +89,13 @@ def chunk_count(df: DataFrame) -> int:
 
 
 def running(
-    df: DataFrame, keys: list[str], order: list[str], again: bool = False, ties: str | None = None, **outputs: Running
+    df: DataFrame, keys: list[str], order: list[str], again: bool = False, ties: str | None = None, in_order: bool = False, **outputs: Running
 ) -> DataFrame:
     """Add running values to rows that :func:`spread` cut; ``keys`` must not be null.
 
     ``order`` must be a total order within a key as far as the chosen functions can tell; or else ``ties`` is a column
     by which, of the rows of one place, the greatest counts for last and next values alike (``order`` is then whole
-    numbers). The rows are placed with one chunk per partition, which a hash of the chunk number would not give;
+    numbers), or with ``in_order`` the greatest for last values and the least for next ones. The rows are placed with one chunk per partition, which a hash of the chunk number would not give;
     ``again`` says that an earlier call placed them, so a further round needs no shuffle.
 
     A chunk is contiguous in (keys, order), so only its first key can have rows in earlier chunks and only its last
@@ -104,7 +104,7 @@ def running(
     parts = [*keys, CHUNK]
     tied = [ties] if ties else []
     forward = Window.partitionBy(*parts).orderBy(*order, *tied)
-    backward = Window.partitionBy(*parts).orderBy(*[F.desc(c) for c in order], *tied)
+    backward = Window.partitionBy(*parts).orderBy(*[F.desc(c) for c in order], *(map(F.desc, tied) if in_order else tied))
     earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     later = Window.partitionBy(*keys).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
     position = F.col(order[0]) if len(order) == 1 else F.struct(*order)
@@ -113,6 +113,8 @@ def running(
         # the nearest place, then the greatest there: the order is turned round for the first place
         first = lambda value, known: F.max_by(value, F.when(known.isNotNull(), F.struct(*[F.bitwise_not(c) for c in order], ties)))
         last = lambda value, known: F.max_by(value, F.when(known.isNotNull(), F.struct(*order, ties)))
+    if ties and in_order:
+        first = lambda value, known: F.min_by(value, F.when(known.isNotNull(), F.struct(*order, ties)))
 
     inside, summary, carry, combined = {}, [], [], {}
     for name, run in outputs.items():
@@ -159,7 +161,7 @@ def running(
 
 
 def over_timeline(
-    df: DataFrame, keys: list[str], order: list[str], tiebreak: list[Column] | None = None, ties: str | None = None, **outputs: Running
+    df: DataFrame, keys: list[str], order: list[str], tiebreak: list[Column] | None = None, ties: str | None = None, in_order: bool = False, **outputs: Running
 ) -> DataFrame:
     """:func:`spread` and :func:`running` in one step, without the chunk column."""
-    return running(spread(df, keys, order, tiebreak), keys, order, ties=ties, **outputs).drop(CHUNK)
+    return running(spread(df, keys, order, tiebreak), keys, order, ties=ties, in_order=in_order, **outputs).drop(CHUNK)

@@ -45,7 +45,7 @@ def _(t):
     "probes frames",
 )
 def _(t):
-    found = joins.after(t.probes.drop("channel"), t.frames, columns=["event_id"])
+    found = joins.after(t.probes.drop("channel"), t.frames, columns=["event_id"], in_order=True)
     return found.select("probe", "camera", "at_ns", F.col("frame.tai_ns").alias("frame_ns"), F.col("frame.event_id").alias("frame_id"))
 
 

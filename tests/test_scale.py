@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from reelgrid import registry
 from reelgrid.operators import joins
 from reelgrid.plans import greedy
 from reelgrid.plans.asof import asof
@@ -24,6 +25,7 @@ from reelgrid.plans.ordered import (
 )
 from reelgrid.registry.tables import Tables
 from reelgrid.sources import frames as stored
+from reelgrid.testing import compare, open_duckdb
 from pyspark.sql.types import LongType, StructField
 
 FOLDER = "/root/testdata/sf0.001"
@@ -95,6 +97,35 @@ def test_asof_takes_the_greatest_of_equal_frames(spark, backwards):
         assert after[probe] == (greatest[k, times[j]] if j < len(times) else None)
 
 
+@pytest.mark.parametrize("backwards", [False, True])
+def test_asof_in_order_takes_the_first_row_after(spark, backwards):
+    # every instant is recorded several times, some by more frames than one chunk has
+    frames = sorted({(k, t // 20 * 20, i) for k, t, i in skewed(9, 800)}, reverse=backwards)
+    probes = skewed(10, 600)
+    left = spark.createDataFrame(probes, "camera int, at_ns long, probe long")
+    right = spark.createDataFrame(frames, "camera int, tai_ns long, event_id long").repartition(5, "event_id")
+    least, greatest = {(k, t): i for k, t, i in sorted(frames, reverse=True)}, {(k, t): i for k, t, i in sorted(frames)}
+    both = {r.probe: r for r in asof(left, right, ["camera"], "at_ns", "tai_ns", ["event_id"], in_order=True).collect()}
+    for k, at, probe in probes:
+        times = sorted({t for c, t, _ in frames if c == k})
+        j = bisect.bisect_right(times, at)
+        before, after = both[probe].before, both[probe].after
+        assert (before and before.event_id) == (greatest[k, times[j - 1]] if j else None)
+        assert (after and after.event_id) == (least[k, times[j]] if j < len(times) else None)
+
+
+@pytest.mark.parametrize("name", ["asof_before", "asof_after"])
+def test_equal_instants_as_in_the_sql(spark, tmp_path, name):
+    # a table short enough for DuckDB to keep equal instants in the order of the file, with one thread from run to run
+    duck = open_duckdb("/root/testdata/sf0.01")
+    duck.execute("set threads=1")
+    duck.execute(f"copy (select * replace (date_trunc('minute', ts) as ts) from events order by event_id) to '{tmp_path}/events.parquet' (format parquet)")
+    duck.execute(f"create or replace view events as select * from '{tmp_path}/events.parquet'")
+    assert len(duck.execute("select user_id % 4, ts from events group by all having count(*) > 1").fetchall()) > 100
+    registry.load()
+    assert compare(registry.QUERIES[name](spark, str(tmp_path)), duck, registry.ORACLES[name]) is None
+
+
 def test_nearest_takes_the_greatest_of_equal_frames(spark):
     frames = [(1, t, n) for t in (100, 200, 300) for n in (7, 9, 8)]
     right = spark.createDataFrame(frames, "camera int, tai_ns long, event_id long")
