@@ -24,7 +24,7 @@ NEAREST = """b as (select p.*, f.tai_ns bt, f.event_id be, f.audio_ok ba from {p
     "probes frames",
 )
 def _(t):
-    return joins.shown_frames(t.probes.drop("channel"), t.frames.select("camera", "tai_ns", "event_id"), 50, 1)
+    return joins.shown_frames(t.probes.drop("channel"), t.frames.select("camera", "tai_ns", "event_id"), 50, 1, in_order=True)
 
 
 @query(
@@ -58,7 +58,7 @@ def _(t):
 )
 def _(t):
     shifted = t.probes.select("probe", "camera", (F.col("at_ns") + 7_000_000).alias("at_ns"))
-    found = joins.nearest_audio(shifted, t.frames, 20_000_000, ["event_id", "audio_ok"])
+    found = joins.nearest_audio(shifted, t.frames, 20_000_000, ["event_id", "audio_ok"], in_order=True)
     return found.select("probe", "camera", "audio_ns", F.col("frame.tai_ns").alias("frame_ns"), "frame.audio_ok")
 
 

@@ -114,7 +114,7 @@ def test_asof_in_order_takes_the_first_row_after(spark, backwards):
         assert (after and after.event_id) == (least[k, times[j]] if j < len(times) else None)
 
 
-@pytest.mark.parametrize("name", ["asof_before", "asof_after"])
+@pytest.mark.parametrize("name", ["asof_before", "asof_after", "nearest_frame", "nearest_audio"])
 def test_equal_instants_as_in_the_sql(spark, tmp_path, name):
     # a table short enough for DuckDB to keep equal instants in the order of the file, with one thread from run to run
     duck = open_duckdb("/root/testdata/sf0.01")
